@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, warc
-from .common import read
+from . import fingerprints, mixing, packing, secrets, warc
+from .common import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize_pieces(read(spark, sf_dir, "documents"))
+    # the digest stands for the ids, which need not be kept for it
+    slim = materialize(pieces.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.pack(slim).drop("row")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -21,6 +33,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest(base), 256).alias("base_sha256"), digest("spans").alias("spans"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(read(spark, sf_dir, "pages"))
     records = warc.read_archives(spark, [path for path, _, _ in archives], keep_payload=False)
@@ -37,7 +54,10 @@ from p left join top on p.html = top.html
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
     "op10_warc": op10_warc,
 }
 
