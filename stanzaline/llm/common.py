@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
     """How many buckets the input needs, from the size that the scan reports; never under the shuffle setting's eighth."""
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if known > 1 << 60:  # a source that reports no size
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(4, -(-known // each))

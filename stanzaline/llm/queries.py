@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, secrets, warc
+from . import fingerprints, mixing, packing, quality, secrets, substrings, warc
 from .common import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(read(spark, sf_dir, "documents"))
     # the digest stands for the ids, which need not be kept for it
@@ -25,6 +30,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -54,8 +66,10 @@ from p left join top on p.html = top.html
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_substrings": op2_substrings,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_quality": op5_quality,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op10_warc": op10_warc,
