@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, secrets, substrings, warc
+from . import embeddings, fingerprints, lines, mixing, neardup, packing, quality, secrets, substrings, warc
 from .common import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup_substrings(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,6 +41,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_removed").alias("n_removed"), F.sha2("line_kept", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -50,6 +59,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(F.col(f"mix_{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(read(spark, sf_dir, "pages"))
     records = warc.read_archives(spark, [path for path, _, _ in archives], keep_payload=False)
@@ -66,12 +79,15 @@ from p left join top on p.html = top.html
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_neardup": op1_neardup,
     "op2_substrings": op2_substrings,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_quality": op5_quality,
+    "op6_lines": op6_lines,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_embeddings": op9_embeddings,
     "op10_warc": op10_warc,
 }
 
