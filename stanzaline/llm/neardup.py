@@ -137,7 +137,7 @@ _TOGETHER = 1 << 20
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
         at = 0
         while at < len(ids):
             end, held = at, 0
@@ -147,7 +147,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bags = [shingles(t or b"") for t in texts[at:end]]
             keys = bands(signatures(bags)).view(np.int64)
             nodes = [_node(t) if len(b[0]) else None for t, b in zip(texts[at:end], bags)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(nodes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(rows[at:end], pa.int64()), pa.array(nodes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "row", "node", "bands"])
             at = end
 
 
@@ -157,8 +157,9 @@ def _node(text: bytes) -> int:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, node (equal for equal words; null without words) and band keys of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_sign, "doc_id long, node long, bands array<long>")
+    """doc_id, row (a hash of doc_id and text), node (equal for equal words; null without words) and band keys of every row."""
+    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
+    return slim.mapInArrow(_sign, "doc_id long, row long, node long, bands array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,7 @@ def _check_block(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id (least doc_id of the group), n_links and kept for every row.
+    """doc_id, row (its hash), group_id (least doc_id of the group), n_links and kept for every row.
 
     ``n_links`` counts the verified links of the row's words to other words that the groups were built
     from; copies are not counted. A row is kept when its doc_id is its group's.
@@ -245,9 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where = nodes.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = where.groupBy("component").agg(F.min("doc_id").alias("group_id"))
     where = where.join(least, "component").join(degree, "node", "left").select("node", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("doc_id", "node").join(where, "node", "left")
+    out = signed.select("doc_id", "row", "node").join(where, "node", "left")
     group = F.coalesce("group_id", "doc_id")
-    return out.select("doc_id", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "row", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def _only_own(rows: DataFrame) -> DataFrame:
