@@ -184,7 +184,7 @@ def _check_block(table: pa.Table) -> pa.Table:
     """Links between documents of one bucket's two blocks that lie in different components."""
     node, part, text = (table.column(n).to_pylist() for n in ("node", "component", "text"))
     side = table.column("side").to_pylist()
-    same = not any(side)
+    same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
     bags = [shingles(t) for t in text]
     total = [int(b[1].sum()) for b in bags]
     root: dict[int, int] = {}

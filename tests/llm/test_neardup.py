@@ -94,9 +94,11 @@ def test_blocks_link_what_the_least_misses(spark, monkeypatch):
     a, b = prose(rng, 100).encode(), prose(rng, 100).encode()
     near = b.split()
     near[50] = b"z"
-    table = pa.table({"node": [1, 2, 3], "component": [1, 2, 3], "text": [a, b, b" ".join(near)], "side": [0, 0, 0]})
+    table = pa.table({"node": [1, 2, 3], "component": [1, 2, 3], "text": [a, b, b" ".join(near)], "side": [0, 0, 0], "x": [0] * 3, "y": [0] * 3})
     assert N._check_block(table).to_pylist() == [{"a": 2, "b": 3}]
-    assert N._check_block(table.set_column(3, "side", pa.array([0, 0, 1]))).to_pylist() == [{"a": 2, "b": 3}]
+    across = table.set_column(5, "y", pa.array([1, 1, 1]))
+    assert N._check_block(across).to_pylist() == []
+    assert N._check_block(across.set_column(3, "side", pa.array([0, 0, 1]))).to_pylist() == [{"a": 2, "b": 3}]
     assert N._check_block(table.set_column(1, "component", pa.array([1, 2, 2]))).to_pylist() == []
 
 
