@@ -4,8 +4,12 @@ from awkward import awkward_rows, prose
 from stanzaline.llm import lines as L
 
 
-def brute(rows, rare=L.RARE):
-    order = lambda i: (1 << 63) - 1 if i is None else i
+def order(i):
+    return (1 << 63) - 1 if i is None else i
+
+
+def cuts(rows, rare=L.RARE):
+    """Line numbers that go, by (order, text); rows that tie on doc_id must differ in nothing."""
     split = {(order(i), t): (t or "").split("\n") for i, t, *_ in rows}
     carriers = {}
     for key in sorted(split, key=lambda k: (k[0], k[1] or "")):
@@ -13,20 +17,23 @@ def brute(rows, rare=L.RARE):
             for line in dict.fromkeys(split[key]):
                 if len(line.strip(" ")) >= L.MIN_LINE:
                     carriers.setdefault(line, []).append(key)
-    pairs = set()
-    for own in carriers.values():
-        pairs |= {(b, a) for k, b in enumerate(own) for a in (own[:k] if len(own) <= rare else own[:1]) if a != b}
+    pairs = {(b, a) for own in carriers.values() for k, b in enumerate(own) for a in (own[:k] if len(own) <= rare else own[:1]) if a != b}
     cut = {}
     for late, early in pairs:
         for s, e in L.common_blocks(split[early], split[late], [len(x.strip(" ")) for x in split[late]]):
             cut.setdefault(late, set()).update(range(s, e))
-    out = []
-    for i, t, *_ in rows:
-        key = (order(i), t)
-        gone = cut.get(key, set())
-        kept = t if not gone else "\n".join(x for k, x in enumerate(split[key]) if k not in gone)
-        out.append((i, 0 if t is None else len(split[key]), len(gone), kept))
-    return sorted(out, key=repr)
+    return cut
+
+
+def result(cut, i, t):
+    gone = cut.get((order(i), t), set())
+    kept = t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return i, 0 if t is None else len(t.split("\n")), len(gone), kept
+
+
+def brute(rows):
+    cut = cuts(rows)
+    return sorted((result(cut, i, t) for i, t, *_ in rows), key=repr)
 
 
 def found(df):

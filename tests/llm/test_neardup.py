@@ -19,8 +19,8 @@ def jaccard(a, b):
     return sum((a & b).values()) / total if total else 0.0
 
 
-def groups(rows):
-    """(doc_id, text) -> least doc_id of its group, by comparing every pair."""
+def group_list(rows):
+    """The least doc_id of each row's group, by comparing every pair."""
     bags = [bag(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
 
@@ -37,7 +37,11 @@ def groups(rows):
     for k, (i, *_) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(least.get(find(k), i), i)
-    return sorted(((i, least.get(find(k), i) if bags[k] else i) for k, (i, *_) in enumerate(rows)), key=repr)
+    return [least.get(find(k), i) if bags[k] else i for k, (i, *_) in enumerate(rows)]
+
+
+def groups(rows):
+    return sorted(zip((r[0] for r in rows), group_list(rows)), key=repr)
 
 
 def found(df):
