@@ -25,8 +25,7 @@ def verse_of_day(units: DataFrame, translation: str, days: list[str]) -> DataFra
     per = own.groupBy("book_order", "chapter").agg(F.count("*").alias("n"))
     # offsets of chapters: books first, then chapters in a book
     in_book = Window.partitionBy("book_order").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
-    books = per.groupBy("book_order").agg(F.sum("n").alias("size"))
-    before = books.alias("a").join(books.alias("b"), F.col("b.book_order") < F.col("a.book_order"), "left").groupBy(F.col("a.book_order").alias("book_order")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("book_at"))
+    before = canonical_places(per.groupBy("book_order").agg(F.sum("n").alias("size")))
     offsets = per.withColumn("in_book", F.coalesce(F.sum("n").over(in_book), F.lit(0))).join(before, "book_order")
     offsets = offsets.select("book_order", "chapter", (F.col("book_at") + F.col("in_book")).alias("low"), "n")
     spark = units.sparkSession
@@ -138,19 +137,34 @@ def _(s, d):
     return topics.join(refs, "topic", "left").select("topic", F.coalesce("refs", F.lit(0)).alias("refs"))
 
 
+def canonical_places(sizes: DataFrame) -> DataFrame:
+    """For each book (book_order, size) how many rows the books before it have, and how many there are in all.
+
+    Books are a canon's: their list fits in one row, which every book is then compared with.
+    """
+    every = sizes.agg(F.collect_list(F.struct("book_order", "size")).alias("every"))
+    met = sizes.crossJoin(F.broadcast(every))
+    total = lambda keep: F.aggregate(F.filter("every", keep), F.lit(0).cast("long"), lambda n, b: n + b["size"])
+    return met.select("book_order", total(lambda b: b["book_order"] < F.col("book_order")).alias("book_at"), total(lambda b: F.lit(True)).alias("total"))
+
+
 def reading_plan(chapters: DataFrame, days: int) -> DataFrame:
     """(day, refs): chapters (book_order, book, chapter) split evenly over the days, runs of a book as ranges.
 
-    A canon has thousands of chapters at most, whatever the number of texts; they are one group.
+    A chapter's place is its book's offset and its place in the book, so no task orders the whole canon;
+    its day follows from the place, the first days taking one chapter more where it does not come out even.
     """
-    split = W.even_split(chapters.withColumn("plan", F.lit(1)), ["plan"], ["book_order", "chapter"], days, "day")
-    place = Window.partitionBy("book").orderBy("chapter")
-    split = split.withColumn("nth", F.row_number().over(place))
-    runs = W.islands(split, ["day", "book_order", "book"], "nth")
-    ends = split.select("book", "nth", "chapter")
-    runs = runs.join(ends.select("book", F.col("nth").alias("low"), F.col("chapter").alias("first")), ["book", "low"]).join(ends.select("book", F.col("nth").alias("high"), F.col("chapter").alias("last")), ["book", "high"])
+    nth = F.row_number().over(Window.partitionBy("book_order", "book").orderBy("chapter"))
+    numbered = chapters.withColumn("nth", nth)
+    places = canonical_places(chapters.groupBy("book_order").agg(F.count("*").alias("size")))
+    placed = numbered.join(places, "book_order").withColumn("rank", F.col("book_at") + F.col("nth") - 1)
+    base, more = F.floor(F.col("total") / days), F.col("total") % days
+    large = more * (base + 1)
+    day = F.when(F.col("rank") < large, F.floor(F.col("rank") / (base + 1))).otherwise(more + F.floor((F.col("rank") - large) / F.greatest(base, F.lit(1)))) + 1
+    # within a day a book's chapters are one run, since places are consecutive
+    runs = placed.withColumn("day", day).groupBy("day", "book_order", "book").agg(F.min("chapter").alias("first"), F.max("chapter").alias("last"))
     ref = F.when(F.col("first") == F.col("last"), F.format_string("%s %d", "book", "first")).otherwise(F.format_string("%s %d-%d", "book", "first", "last"))
-    refs = F.array_sort(F.collect_list(F.struct("book_order", "low", ref.alias("ref"))))
+    refs = F.array_sort(F.collect_list(F.struct("book_order", ref.alias("ref"))))
     return runs.groupBy("day").agg(F.array_join(F.transform(refs, lambda x: x["ref"]), "; ").alias("refs"))
 
 
