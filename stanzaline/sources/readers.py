@@ -128,11 +128,13 @@ def segment_walk(texts: DataFrame) -> DataFrame:
 
 def dump_values(texts: DataFrame) -> DataFrame:
     """Rows ``(id, book, chapter, verse, 'text')`` of a MySQL dump, the literal without its escapes."""
-    literal = r"'(?:[^'\\]|\\.|'')*'"
+    # unrolled and possessive, so that a long literal takes no stack
+    inside = r"[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+"
+    literal = f"'{inside}'"
     found = F.regexp_extract_all("body", F.lit(rf"\(\d+,\s*\d+,\s*\d+,\s*\d+,\s*{literal}\)"), F.lit(0))
     rows = texts.select(F.explode(found).alias("m"))
     part = lambda n: F.regexp_extract("m", r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+),", n).cast("int")
-    inner = F.regexp_extract("m", rf"(?s),\s*'((?:[^'\\]|\\.|'')*)'\)$", 1)
+    inner = F.regexp_extract("m", rf"(?s),\s*'({inside})'\)$", 1)
     plain = F.regexp_replace(F.replace(F.regexp_replace(F.regexp_replace(inner, r"\\[nrt]", " "), r"\\(.)", "$1"), F.lit("''"), F.lit("'")), r"\\\\", r"\\")
     return rows.select(part(2).alias("book_id"), part(3).alias("chapter"), part(4).alias("verse"), T.squeeze(plain).alias("text"))
 
