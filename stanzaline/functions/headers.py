@@ -82,7 +82,7 @@ def intro_title(title: Column) -> Column:
 
 
 def summary_ranges(x: Column) -> Column:
-    """Array of (s, e) for each ``ver. 1-7``, ``ver. 16, 17`` or ``vv. 3-5`` of a summary, from the first number to the last."""
+    """Array of (s, e) for each ``v. 1-7``, ``v. 16, 17`` or ``vv. 3-5`` of a summary, from the first number to the last; ``ver.`` is not read."""
     found = F.regexp_extract_all(x, F.lit(r"v{1,2}\.\s*([0-9]+(?:\s*[–,-]\s*[0-9]+)*)"), F.lit(1))
     numbers = F.transform(found, lambda m: F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda v: v.cast("int")))
     return F.transform(numbers, lambda v: F.struct(F.element_at(v, 1).alias("s"), F.element_at(v, -1).alias("e")))

@@ -156,10 +156,10 @@ def _(s, d):
     return asked.select("raw", F.coalesce(F.concat("t.book", more(" ", "t.chapter"), more("-", "t.to_chapter")), F.lit("")).alias("shown"))
 
 
-@query("g16_summary_ranges", "select * from (values ('Of it, ver. 1-7. Then ver. 16, 17 and vv. 3-5.', '1-7;16-17;3-5', -1), ('12 And he', '', 12)) t(raw, ranges, first_verse)")
+@query("g16_summary_ranges", "select * from (values ('Of it, v. 1-7. Then v. 16, 17 and vv. 3-5, not ver. 9.', '1-7;16-17;3-5', -1), ('12 And he', '', 12)) t(raw, ranges, first_verse)")
 def _(s, d):
     ranges = F.array_join(F.transform(H.summary_ranges(F.col("raw")), lambda r: F.format_string("%d-%d", r["s"], r["e"])), ";")
-    return _asked(s, ["Of it, ver. 1-7. Then ver. 16, 17 and vv. 3-5.", "12 And he"]).select("raw", ranges.alias("ranges"), F.coalesce(H.leading_verse(F.col("raw")), F.lit(-1)).alias("first_verse"))
+    return _asked(s, ["Of it, v. 1-7. Then v. 16, 17 and vv. 3-5, not ver. 9.", "12 And he"]).select("raw", ranges.alias("ranges"), F.coalesce(H.leading_verse(F.col("raw")), F.lit(-1)).alias("first_verse"))
 
 
 @query("x11_tei", "select p_partkey, p_name || chr(10) || p_type as body from part")
