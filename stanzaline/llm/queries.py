@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("row")
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,44 @@ select p.page_id, octet_length(encode(p.html)) as payload_bytes, sha1(p.html) as
 from p left join top on p.html = top.html
 """
 
+_WORDS = r"words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents)"
+
+OP1_SQL = f"""
+with recursive {_WORDS},
+sh as (select doc_id, s, count(*) as n from (
+    select doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as s
+    from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from words where len(ws) > 0)) group by all),
+total as (select doc_id, sum(n) as n from sh group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, sum(least(a.n, b.n)) as n from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+near as (select a, b from shared join total x on x.doc_id = a join total y on y.doc_id = b where shared.n >= 0.8 * (x.n + y.n - shared.n)),
+edge as (select a, b from near union all select b, a from near),
+reach(node, label) as (select doc_id, doc_id from documents union select e.b, r.label from reach r join edge e on e.a = r.node)
+select node as doc_id, min(label) as group_id, min(label) = node as kept from reach group by node
+"""
+
+OP2_SQL = f"""
+with {_WORDS},
+win as (select doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') as k
+    from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from words where len(ws) >= 50)),
+least as (select k, min(doc_id) as first from win group by k),
+gone as (select distinct doc_id, p from (select w.doc_id, unnest(range(w.i, w.i + 50)) as p from win w join least l on l.k = w.k and l.first < w.doc_id)),
+each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from words),
+kept as (select e.doc_id, string_agg(e.word, ' ' order by e.p) as t, count(*) as n from each e anti join gone g on g.doc_id = e.doc_id and g.p = e.p group by e.doc_id)
+select w.doc_id, len(w.ws) as n_words, len(w.ws) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
+
+OP9_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v
+    where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_inner_product(e, e) > 0),
+edge as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_inner_product(a.e, b.e) >= 0.95),
+reach(node, label) as (select vec_id, vec_id from v union select e.b, r.label from reach r join edge e on e.a = r.node),
+links as (select a, count(*) as n from edge group by a)
+select node as vec_id, coalesce(min(l.n), 0) as n_links, min(label) as component_id, min(label) = node as kept
+from reach left join links l on l.a = node group by node
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_neardup": op1_neardup,
     "op2_substrings": op2_substrings,
@@ -92,5 +130,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_neardup": OP1_SQL,
+    "op2_substrings": OP2_SQL,
+    "op9_embeddings": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
