@@ -228,9 +228,11 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, removed (word ranges) and kept_text of every row."""
-    home = buckets = common.buckets(docs)
+    buckets = common.buckets(docs)
+    # several home buckets for each partition, so that the chance of the hash evens out
+    home = 8 * buckets
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    texts = rows.select(F.pmod("row", F.lit(home)).cast("int").alias("bucket"), "row", "doc_id", "text").repartition(home, "bucket")
+    texts = rows.select(F.pmod("row", F.lit(home)).cast("int").alias("bucket"), "row", "doc_id", "text").repartition(buckets, "bucket")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Chunks(buckets)
@@ -271,7 +273,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT) if out else _RESULT.empty_table()
 
     def answered(chunks: DataFrame, smaller: bool) -> DataFrame:
-        return chunks.repartitionById(buckets, "bucket").mapInArrow(_answers(smaller, home), _CHUNK).repartition(home, "bucket")
+        return chunks.repartitionById(buckets, "bucket").mapInArrow(_answers(smaller, home), _CHUNK).repartition(buckets, "bucket")
 
     def met(answers: DataFrame):
         return texts.groupBy("bucket").cogroup(answers.groupBy("bucket"))
