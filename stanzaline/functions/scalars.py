@@ -9,8 +9,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Characters of a scan that are taken for digits, and the digits they may be.
-CONFUSED = {"l": "1", "I": "1", "i": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "G": "6", "g": "9", "q": "9"}
+# A character of a scanned number, and the characters that it may stand for.
+CONFUSED = {
+    "0": "Oo9",
+    "O": "0",
+    "o": "0",
+    "9": "08",
+    "1": "lIi7",
+    "l": "1",
+    "I": "1",
+    "i": "1",
+    "2": "35Ss$#?",
+    "7": "1",
+    "Z": "1",
+    "3": "258SsB",
+    "5": "2368Ss",
+    "6": "b5",
+    "b": "6",
+    "8": "359SsB",
+    "B": "83",
+    "S": "2358",
+    "s": "2358",
+    "$": "25",
+    "#": "2",
+    "4": "^",
+    "^": "42",
+    "?": "2",
+}
+# Characters of a number as it may be scanned.
+NUMBER_CHARACTERS = "0123456789$#SsOoLlIibB^?"
 
 
 def _c(x) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns that clean text must not hold.
-LEAKS = {"tag": "<[A-Za-z/][^>]*>", "entity": "&[a-z]+;|&#[0-9]+;", "marker": r"\\[a-z]+", "brace": r"\{\{|\}\}"}
+LEAKS = {"tag": "<[^>]+>", "entity": "&[a-zA-Z]+;|&#[0-9]+;", "marker": r"\\[a-z]+", "brace": r"\{\{|\}\}"}
 
 
 def reconcile(stages: dict[str, DataFrame]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import CONFUSED
+from ..functions.scalars import CONFUSED, NUMBER_CHARACTERS
 
 
 def longest_chain(keys: Sequence) -> list[int]:
@@ -41,12 +41,12 @@ def keep_chain(df: DataFrame, group: list[str], order: list[str], key: str) -> D
 
 def substitutions(token: str, expected: str, most: int = 2) -> int | None:
     """Characters read as the digit they are taken for, or null where the token is not the expected number."""
-    if not token or len(token) != len(expected):
+    if not token or len(token) != len(expected) or set(token) - set(NUMBER_CHARACTERS):
         return None
     n = 0
     for seen, want in zip(token, expected):
         if seen != want:
-            if CONFUSED.get(seen) != want:
+            if want not in CONFUSED.get(seen, ""):
                 return None
             n += 1
     return n if n <= most else None

@@ -59,7 +59,7 @@ def _(s, d):
     return A.reconcile({"scan": table(s, d, "part"), "notes": lens.notes(s, d), "lex": lens.lex(s, d)})
 
 
-@query("v02_leak_scan", r"""select 'tag' as pattern, count(*) filter (where regexp_matches(html, '<[A-Za-z/][^>]*>')) as n from pages union all select 'entity', count(*) filter (where regexp_matches(html, '&[a-z]+;|&#[0-9]+;')) from pages
+@query("v02_leak_scan", r"""select 'tag' as pattern, count(*) filter (where regexp_matches(html, '<[^>]+>')) as n from pages union all select 'entity', count(*) filter (where regexp_matches(html, '&[a-zA-Z]+;|&#[0-9]+;')) from pages
 union all select 'marker', count(*) filter (where regexp_matches(html, '\\[a-z]+')) from pages union all select 'brace', count(*) filter (where regexp_matches(html, '\{\{|\}\}')) from pages""")
 def _(s, d):
     return A.leaks(table(s, d, "pages"), "html")
