@@ -51,7 +51,7 @@ def test_overlap_tiers(spark):
 
 def test_no_nested_loops(spark):
     """The interval join has an equality."""
-    notes = spark.range(10).select(F.col("id"), F.lit(0).alias("book_order"), F.lit(1).alias("sc"), F.lit(1).alias("sv"), F.lit(2).alias("ec"), F.lit(0).alias("ev"))
-    keys = spark.range(10).select(F.lit(0).alias("book_order"), F.lit(1).alias("ch"), F.col("id").cast("int").alias("v"))
+    notes = spark.range(10).select(F.col("id"), (F.col("id") % 3).alias("book_order"), (F.col("id") % 2).cast("int").alias("sc"), F.lit(1).alias("sv"), F.lit(2).alias("ec"), F.lit(0).alias("ev"))
+    keys = spark.range(10).select((F.col("id") % 3).alias("book_order"), (F.col("id") % 4).cast("int").alias("ch"), F.col("id").cast("int").alias("v"))
     plan = J.covering_notes(keys, notes)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
