@@ -27,8 +27,8 @@ CAPACITY = 2048
 END = 0
 #: Pieces that one shard packs; open sequences at a shard's end are what sharding costs.
 SHARD_PIECES = 60_000
-#: Entries of a worker's word cache.
-CACHE = 700_000
+#: Entries of each of a worker's two word caches.
+CACHE = 300_000
 
 
 def tokenizer_path() -> str:
@@ -203,6 +203,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with its ids, sequence_id and offset."""
-    pieces = common.materialize(tokenize_pieces(docs, tokenizer, capacity), "pieces")
-    return pack(pieces, capacity)
+    """Every piece with its ids, sequence_id and offset.
+
+    Pieces are stored with a number of their own; only that, order and length go through the packer, and the
+    places are joined to the stored pieces.
+    """
+    numbered = tokenize_pieces(docs, tokenizer, capacity).withColumn("piece_number", F.monotonically_increasing_id())
+    pieces = common.materialize(numbered, "pieces")
+    places = pack(pieces.select("piece_number", "doc_id", "row", "piece", "length"), capacity)
+    return pieces.join(places.select("piece_number", "sequence_id", "offset"), "piece_number").drop("piece_number")
