@@ -1,8 +1,9 @@
 """Embedding near-dedup by E8 lattice hashing.
 
-Unit vectors are projected at random to eight dimensions, in several tables, and decoded to the nearest
-point of the lattice E8; the point is the vector's cell. Each vector also probes the neighbouring cells
-that it lies nearest to. Vectors that share a cell in some table are compared by cosine in double
+Unit vectors are projected at random to two blocks of eight dimensions, in several tables, and each
+block is decoded to the nearest point of the lattice E8; the two points are the vector's cell. Each
+vector also probes the cells that it lies nearest to, made of neighbouring points in either block. Two
+blocks keep chance meetings rare: their share of all pairs is the square of what one block would have. Vectors that share a cell in some table are compared by cosine in double
 precision, in blocks, and a pair is counted in the first cell that it shares.
 
 Defined cases: a vector that is null, zero, or holds a null or a component that is not finite is linked
@@ -24,7 +25,8 @@ from . import common
 from .components import components
 
 SIMILAR = 0.95
-TABLES, PROBES, SCALE, SEED = 14, 2, 0.9, 8_008
+TABLES, PROBES, SCALE, SEED = 8, 2, 1.3, 8_008
+PARTS = 2
 #: Rows of a block; a cell of more rows is compared block against block.
 BLOCK = 1024
 _EVEN = np.array([2, 3, 5, 7, 11, 13, 17, 19], np.int64)
@@ -65,27 +67,31 @@ _ROOTS = _roots()
 
 
 def cells(units: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
-    """Cell keys (vector x tables x (1 + probes)): the nearest lattice point, then the neighbours nearest to the vector."""
+    """Cell keys (vector x tables x (1 + probes) ** PARTS): per block the nearest lattice point and the neighbours nearest to the vector."""
     dim = units.shape[1]
-    out = np.zeros((len(units), tables, 1 + probes), np.int64)
+    out = np.zeros((len(units), tables, (1 + probes) ** PARTS), np.int64)
     for t in range(tables):
         rng = np.random.default_rng([SEED, dim, t])
-        x = units @ rng.standard_normal((dim, 8)) / scale + rng.random(8)
-        home = decode_e8(x)
-        # |x - home - r|^2 is least where (x - home) . r is largest, as all roots have one length
-        lean = (x - home) @ _ROOTS.T
-        best = np.argpartition(-lean, probes, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), int)
-        points = np.concatenate([home[:, None], home[:, None] + _ROOTS[best]], 1)
-        out[:, t] = _keys(points, dim, t)
+        keys = np.zeros((len(units), 1), np.uint64)
+        for part in range(PARTS):
+            x = units @ rng.standard_normal((dim, 8)) / scale + rng.random(8)
+            home = decode_e8(x)
+            # |x - home - r|^2 is least where (x - home) . r is largest, as all roots have one length
+            lean = (x - home) @ _ROOTS.T
+            best = np.argpartition(-lean, probes, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), int)
+            points = np.concatenate([home[:, None], home[:, None] + _ROOTS[best]], 1)
+            own = _keys(points, dim, t * PARTS + part)
+            keys = ((keys[:, :, None] * np.uint64(0x9E3779B97F4A7C15)) ^ own[:, None, :]).reshape(len(units), -1)
+        out[:, t] = keys.view(np.int64)
     return out
 
 
-def _keys(points: np.ndarray, dim: int, table: int) -> np.ndarray:
-    key = np.full(points.shape[:-1], (dim << 8 | table) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+def _keys(points: np.ndarray, dim: int, place: int) -> np.ndarray:
+    key = np.full(points.shape[:-1], (dim << 8 | place) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
     for k in range(8):
         key = (key ^ np.rint(points[..., k] * 2).astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+    return key
 
 
 def _usable(values: list | None) -> np.ndarray | None:
