@@ -136,7 +136,7 @@ _TOGETHER = 1 << 20
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
         at = 0
         while at < len(ids):

@@ -125,7 +125,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        for batch in batches:
+        for batch in common.slices(batches):
             rows, held = [], 0
             for doc_id, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = encode(text or b"") + tail

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 EMBED, WIDTH, STRIDE, FILTERS = 6, 16, 4, 32
 #: Bytes of a chunk; neighbouring chunks share OVERLAP bytes, so no window falls between two.
 CHUNK, OVERLAP = 1024, WIDTH - STRIDE
@@ -170,7 +172,7 @@ def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataF
     at, fields = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             scores = [score(model, t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
