@@ -121,7 +121,6 @@ def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     hashed = split.select("row", "doc", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(F.trim(x))).alias("sizes"))
     # doc_id and row, in this order, say which document is earlier
     carried = hashed.select(F.struct("doc", "row").alias("at"), F.explode(F.array_distinct(F.filter(F.zip_with("hashes", "sizes", lambda h, n: F.when(n >= MIN_LINE, h)), lambda h: h.isNotNull()))).alias("line"))
-    # a list of the first carriers, bounded by `rare`, made before the shuffle
     first = carried.groupBy("line").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first <> last")
     several = common.materialize(carried.join(first.select("line", "first", "n"), "line"), "lines")
     star = several.where((F.col("n") > rare) & (F.col("at") > F.col("first"))).select(F.col("at.row").alias("row"), F.col("first.row").alias("early"))
