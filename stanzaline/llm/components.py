@@ -27,19 +27,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionAll(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none."""
+    hung = edges.groupBy("a").agg(F.count("*").alias("n"))
+    several = hung.where("n > 1").select("a")
+    chained = edges.select("b").distinct().join(hung.select(F.col("a").alias("b")), "b").select(F.col("b").alias("a"))
+    return several.unionAll(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node on an edge (a, b); the component is its least node.
 
-    Alternates large and small stars, each round written to the shared folder, until the edges stay as
-    they are: then every edge hangs a node on its component. Rounds grow with the logarithm of the
-    longest path.
+    Alternates large and small stars, each round written to the shared folder, until every node hangs on
+    its component's least node. Rounds grow with the logarithm of the longest path; edges that are stars
+    already need none.
     """
     edges = common.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0)).alias("x")).first()
-        if state == seen or not state["n"]:
-            break
-        seen = state
+    while not _settled(edges):
         edges = common.materialize(_star(_star(edges, True), False), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
