@@ -71,3 +71,40 @@ def test_passages(spark):
         rows.append((i * 7 % 50, "\n".join(own)))
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert got == brute(rows) and sum(r[2] for r in got) > 20
+
+
+def all_earlier(rows):
+    """As brute, with every earlier document."""
+    split = {(order(i), t): t.split("\n") for i, t, *_ in rows if t}
+    keys, cut = sorted(split), {}
+    for k, late in enumerate(keys):
+        for early in keys[:k]:
+            for s, e in L.common_blocks(split[early], split[late], [len(x.strip(" ")) for x in split[late]]):
+                cut.setdefault(late, set()).update(range(s, e))
+    return sorted((result(cut, i, t) for i, t, *_ in rows), key=repr)
+
+
+def test_many_carriers(spark):
+    """A passage whose first carrier has it in another order goes from later ones, however many carry it."""
+    rng = random.Random(8)
+    a, b, c, d = ("abcd"[k] * 3 + " " + prose(rng, 5) for k in range(4))
+    rows = [(0, "\n".join([b, prose(rng, 9), a])), (1, "\n".join([a, b]))]
+    rows += [(i, "\n".join([prose(rng, 9), a, prose(rng, 9), b, prose(rng, 9)])) for i in range(2, 9)]
+    rows += [(i, "\n".join([c[:25], prose(rng, 9)])) for i in range(10, 15)] + [(i, "\n".join([prose(rng, 9), d[:25]])) for i in range(15, 20)]
+    rows += [(i, "\n".join([prose(rng, 9), c[:25], d[:25], prose(rng, 9)])) for i in range(20, 28)]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == all_earlier(rows) and got != brute(rows)
+
+
+def test_many_common_lines(spark):
+    """Lines of more carriers than are met pair by pair, in any order and number."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        shared = [prose(rng, rng.randrange(1, 9)) for _ in range(6)] + [""]
+        near = [prose(rng, 8) for _ in range(40)]
+        rows = []
+        for i in range(160):
+            own = [rng.choice(shared) if rng.random() < 0.6 else rng.choice(near) if rng.random() < 0.3 else prose(rng, 6) for _ in range(rng.randrange(1, 7))]
+            rows.append((i * 7 % 160, "\n".join(own)))
+        got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert got == all_earlier(rows)
