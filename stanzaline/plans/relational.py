@@ -186,6 +186,14 @@ def _(s, d):
     return side.select("book", "verse_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("en", "de", "fr")))
 
 
+@query("j08_compare_all", """select book, verse_no, coalesce(min(text) filter (where translation = 'en'), '') as en, coalesce(min(text) filter (where translation = 'de'), '') as de, coalesce(min(text) filter (where translation = 'fr'), '') as fr
+from units where translation in ('en', 'de', 'fr') group by book, verse_no""", "units")
+def _(s, d):
+    """As j08_compare, with the keys of all verses."""
+    side = J.side_by_side(lens.units(s, d), ["en", "de", "fr"], ["book", "verse_no"])
+    return side.select("book", "verse_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("en", "de", "fr")))
+
+
 @query("j09_presence", """select c.code as translation, coalesce(u.text, '') as text, u.text is not null as present from (select distinct lang as code from documents) c
 left join (select * from units where chapter = 7 and verse_no = 1) u on u.translation = c.code""", "units")
 def _(s, d):
