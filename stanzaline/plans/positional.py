@@ -102,6 +102,15 @@ def _(s, d):
     return W.first_seen(met, ["id"], ["ch", "v"]).select("id", "ch", "v")
 
 
+@query("w14_first_seen_all", """select id, ch, v from (select n.id, k.ch, k.v, row_number() over (partition by n.id order by k.ch, k.v) as rn from keys k join notes n on n.book_order = k.book_order
+and ((n.sc < k.ch) or (n.sc = k.ch and (n.sv = 0 or n.sv <= k.v))) and ((n.ec > k.ch) or (n.ec = k.ch and (n.ev = 0 or n.ev >= k.v)))) where rn = 1""", "keys notes")
+def _(s, d):
+    """As w14_first_seen, with the keys of all chapters."""
+    from ..operators.joins import covering_notes
+
+    return W.first_seen(covering_notes(lens.keys(s, d), lens.notes(s, d)), ["id"], ["ch", "v"]).select("id", "ch", "v")
+
+
 @query("w15_not_increasing", "select conv_id, turn from (select conv_id, turn, length(text) as n, lag(length(text)) over (partition by conv_id order by turn, role) as before from conversations) where n <= before")
 def _(s, d):
     c = table(s, d, "conversations").withColumn("size", F.length("text")).withColumn("at", F.struct("turn", "role"))
