@@ -108,3 +108,11 @@ def test_many_common_lines(spark):
             rows.append((i * 7 % 160, "\n".join(own)))
         got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
         assert got == all_earlier(rows)
+
+
+def test_short_lines(spark):
+    """Documents that share nothing but lines of fewer than MIN_LINE characters."""
+    poem = "\n".join(f"short line {k}" for k in range(6))
+    rows = [(0, poem), (1, "other\n" + poem), (2, poem), (3, "short line 1\nshort line 2"), (4, "short line 1\nno")]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == all_earlier(rows) and [r[2] for r in got] == [0, 6, 6, 0, 0]
