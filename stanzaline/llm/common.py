@@ -19,7 +19,8 @@ BUCKET_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing is set (tests, a laptop) a temporary folder is made and set.
+    Only where nothing is set and the master is local (tests, a laptop) a temporary folder is made and set;
+    a cluster without the setting is an error, since its machines share no folder that could be guessed.
     """
     jsc = spark.sparkContext._jsc.sc()
     known = jsc.getCheckpointDir()
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get().rstrip("/")
     if named := spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(named)
+    elif not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     else:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stanzaline-"))
     return jsc.getCheckpointDir().get().rstrip("/")
@@ -52,6 +55,39 @@ def buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
     return max(4, -(-known // each))
 
 
+#: At most so many keys are dealt to several tasks by ``spread_join``; the list of them is broadcast.
+HOT_KEYS = 20_000
+#: Rows of one key that stay in one task, at least.
+KEY_ROWS = 1_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``many`` with ``few``, which has one row for each key and its rows in ``many`` as column ``n``.
+
+    Keys with more rows than KEY_ROWS, and more than the HOT_KEYS-th part of all, are dealt by a hash of column
+    ``by`` to several tasks. As the counts add up to no more than all rows, there are at most HOT_KEYS of them,
+    so their list can be broadcast at any size of the input.
+    """
+    total = few.agg(F.sum("n")).first()[0] or 0
+    each = max(KEY_ROWS, -(-total // HOT_KEYS))
+    salts = F.ceil(F.col("n") / F.lit(each)).cast("int")
+    hot = few.where(F.col("n") > each).select(F.col(key).alias("hot_key"), salts.alias("hot_salts"))
+    dealt = many.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    dealt = dealt.withColumn("hot_salt", F.coalesce(F.pmod(F.xxhash64(by), "hot_salts"), F.lit(0)).cast("int")).drop("hot_key", "hot_salts")
+    copied = few.withColumn("hot_salt", F.explode(F.when(F.col("n") > each, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, "hot_salt"]).drop("hot_salt")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes to differ from all columns (in any letter case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that only a part's texts are Python objects at a time."""
     for batch in batches:

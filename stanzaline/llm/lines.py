@@ -1,17 +1,22 @@
 """Line dedup by pairwise alignment.
 
-A document is aligned with all earlier ones that can have a block in common with it, by patience diff
-over the line hashes, and common blocks are deleted from the later document. Such documents share a
-window: a shortest run of lines with MIN_BLOCK characters, be it one line or many short ones. First a
-document meets every earlier carrier of a window that is rare, the earliest carrier of a window that is
-not, and the first copy of its own text. Windows that are not cut by then meet all their earlier
-carriers, documents with the same common lines together.
-
-Defined cases: a null text has no lines; blank lines anchor nothing and go only inside a block; a
-block whose lines have fewer than MIN_BLOCK characters in all stays; a null doc_id is later than all
-others; repeated rows, and rows that tie on doc_id, are ordered by a hash of the text, and equal rows
-among them are one document, all of which keep or lose the same lines; an empty table gives no rows.
-Columns of the input whose names start with ``line_`` are replaced, all others stay.
+Documents overlap where they share a window: a shortest run of lines with MIN_BLOCK characters, be it one
+line or many short ones. A document is aligned by patience diff with the earliest carrier of each of its
+windows, and the aligned common blocks are deleted from the later document. Runs that the longest common
+order leaves out, since the earlier document has them in another order or once instead of twice, are
+aligned in further passes until no common window is left.
+
+A block that a document shares with any earlier one is made of windows, and each of these has an earliest
+carrier, so meeting the earliest carriers alone deletes all that meeting every earlier document would: a
+line goes if, and only if, it lies in a window that an earlier document has. How many carry it makes no
+difference, and no document meets more others than it has windows.
+
+Defined cases: a null text has no lines; blank lines anchor nothing and go only inside a window; a text
+with fewer than MIN_BLOCK characters in all stays; a null doc_id is later than all others; rows that tie
+on doc_id are ordered by a hash of the text, and equal rows among them are one document, all of which keep
+or lose the same lines; lines repeated within one document only stay; a very long text is one task's
+work, in proportion to its lines; an empty table gives no rows. All columns of the input stay as they are;
+those of the result that would clash with one get underscores in front.
 """
 
 from __future__ import annotations
@@ -26,12 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A window that at most so many documents carry is rare: all its earlier carriers are met in the first round.
-RARE = 4
-#: Lines and windows of at most so many carriers are met pair by pair in the second round, others by form.
-MANY = 16
-#: Characters that tests take for a line's least, and below which a common block stays.
-MIN_LINE, MIN_BLOCK = 20, 40
+#: Characters below which a common block stays.
+MIN_BLOCK = 40
 
 
 def _unique(values: list[int], low: int, high: int) -> dict[int, int]:
@@ -67,7 +68,7 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned equal lines (position in a, position in b) by patience diff."""
+    """Aligned equal elements (position in a, position in b) by patience diff."""
     found, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         al, ah, bl, bh = todo.pop()
@@ -88,31 +89,25 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def _blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
-    blocks: list[list[int]] = []
-    last = None
-    for i, j in pairs:
-        if last == (i - 1, j - 1):
-            blocks[-1][1] = j + 1
-        else:
-            blocks.append([j, j + 1])
-        last = (i, j)
-    return blocks
-
-
-def common_blocks(a: list[int], b: list[int], sizes: list[int], least: int = MIN_BLOCK) -> list[tuple[int, int]]:
-    """Ranges of b's lines in aligned blocks of at least ``least`` characters."""
-    return [(s, e) for s, e in _blocks(align(a, b)) if sum(sizes[s:e]) >= least]
-
+def align_all(early: list[int], late: list[int]) -> list[tuple[int, int]]:
+    """Aligned elements of both, by as many passes as it takes until nothing that ``early`` has is left of ``late``.
 
-def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, cut = [], []
-        for key, early, late, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-            if ranges := common_blocks(early, late, sizes):
-                keys.append(key)
-                cut.append([{"start": s, "end": e} for s, e in ranges])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["row", "cut"])
+    A pass aligns what the earlier ones left. Where it finds nothing, since elements are repeated, the
+    next one takes the first of each alone.
+    """
+    known = set(early)
+    found, left = [], [k for k, v in enumerate(late) if v in known]
+    while left:
+        pairs = align(early, [late[k] for k in left])
+        if not pairs:
+            here = {v: k for k, v in reversed(list(enumerate(early)))}
+            there = {late[k]: j for j, k in reversed(list(enumerate(left)))}
+            ours, theirs = sorted(here.values()), sorted(there.values())
+            pairs = [(ours[i], theirs[j]) for i, j in align([early[k] for k in ours], [late[left[j]] for j in theirs])]
+        found += [(i, left[j]) for i, j in pairs]
+        gone = {j for _, j in pairs}
+        left = [k for j, k in enumerate(left) if j not in gone]
+    return sorted(found)
 
 
 _LAST = (1 << 63) - 1
@@ -120,11 +115,10 @@ _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
 
-def _windows(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def windows(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Shortest runs of lines that reach MIN_BLOCK: (document, start, end, hash) of the run from each line on and of that up to each line.
 
-    A common block of two documents is covered by such runs that lie in it, so documents that share none
-    have no block in common. ``offsets`` are the documents' bounds in ``hashes`` and ``sizes``.
+    ``offsets`` are the documents' bounds in ``hashes`` and ``sizes``. Sorted by document and start.
     """
     total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -138,7 +132,7 @@ def _windows(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tupl
     down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(hashes), _BACK, np.uint64)), dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.view(np.uint64) * down[: len(hashes)], dtype=np.uint64)])
     start, end = spans
-    return doc[start], start, end, ((sums[end] - sums[start]) * up[start]).view(np.int64)
+    return doc[start], start - offsets[doc[start]], end - offsets[doc[start]], ((sums[end] - sums[start]) * up[start]).view(np.int64)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,152 +142,69 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, window) of every window, once for each row."""
+    """(row, doc, window, start, end) of every window."""
     for batch in batches:
         (hashes, offsets), (sizes, _) = _flat(batch.column(2)), _flat(batch.column(3))
-        doc, _, _, window = _windows(hashes, sizes, offsets)
-        doc, window = np.unique(np.stack([doc, window]), axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(window)], names=["row", "doc", "window"])
+        doc, start, end, window = windows(hashes, sizes, offsets)
+        own = pa.array(doc)
+        columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(window), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "window", "start", "end"])
+
+
+def blocks(windows_of: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Line ranges of one document that go, out of its windows: (start, end, early row, place there)."""
+    by_early: dict[int, list[tuple[int, int, int]]] = {}
+    for start, end, early, place in sorted(windows_of):
+        by_early.setdefault(early, []).append((start, end, place))
+    spans = []
+    for own in by_early.values():
+        # a window's place in the earlier document stands for the window
+        pairs = align_all(sorted({p for _, _, p in own}), [p for _, _, p in own])
+        spans += [own[j][:2] for _, j in pairs]
+    merged: list[list[int]] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(end, merged[-1][1])
+        else:
+            merged.append([start, end])
+    return [(s, e) for s, e in merged]
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, window) of the windows that the cuts so far do not cover."""
+_CUT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        (hashes, offsets), (sizes, _) = _flat(batch.column(2)), _flat(batch.column(3))
-        gone = np.zeros(len(hashes) + 1, np.int64)
-        for k, cut in enumerate(batch.column(4).to_pylist()):
-            for r in cut or ():
-                gone[offsets[k] + r["start"] + 1 : offsets[k] + r["end"] + 1] = 1
-        gone = np.cumsum(gone)
-        doc, start, end, window = _windows(hashes, sizes, offsets)
-        left = gone[end] - gone[start] < end - start
-        doc, window = np.unique(np.stack([doc[left], window[left]]), axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(window)], names=["row", "doc", "window"])
+        cut = []
+        for found in batch.column(1).to_pylist():
+            cut.append([{"start": s, "end": e} for s, e in blocks([(w["start"], w["end"], w["early"], w["place"]) for w in found])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, _CUT)], names=["row", "cut"])
 
 
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each run of lines that are not common as one null, and the place of every element."""
-    for batch in batches:
-        forms, places = [], []
-        for hashes, common_lines in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            known = set(common_lines or ())
-            at = [k for k, h in enumerate(hashes) if h in known or not k or hashes[k - 1] in known]
-            forms.append([hashes[k] if hashes[k] in known else None for k in at])
-            places.append(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["row", "doc", "lines", "places"])
-
-
-def _align_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the late form; nulls match nothing."""
-    for batch in batches:
-        late, early, cut = [], [], []
-        for a, b, x, y, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-            if ranges := common_blocks([("early",) if v is None else v for v in y], [("late",) if v is None else v for v in x], sizes):
-                late.append(a)
-                early.append(b)
-                cut.append([{"start": i, "end": j} for i, j in ranges])
-        yield pa.RecordBatch.from_arrays([pa.array(late, pa.int64()), pa.array(early, pa.int64()), pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["late", "early", "cut"])
-
-
-def _rest(left: DataFrame, several: DataFrame, arrays: DataFrame, aligned) -> DataFrame:
-    """Cuts of the documents with open windows (``left``) from all earlier carriers of these windows.
-
-    Two documents that share a window or a line of at most MANY carriers are aligned themselves. Any other
-    two share lines of many carriers only, and without all other lines they align as before. Such reduced
-    documents, the forms, are few: each two of them that share a window are aligned once, for all their
-    documents.
-    """
-    at = F.struct("doc", "row").alias("at")
-    sought = left.select("window").distinct()
-    carriers = common.materialize(several.join(sought, "window").select("at", "window", "n"), "carriers")
-    who = common.materialize(carriers.select("at.row").unionAll(left.select("at.row")).distinct(), "who")
-    of = arrays.join(who, "row")
-    lines = of.select(at, F.explode(F.array_distinct("hashes")).alias("line"))
-    counts = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
-    lines = common.materialize(lines.join(counts, "line"), "shared")
-
-    few = lines.where(F.col("n") <= MANY)
-    late = left.select("at").distinct()
-    by_line = few.join(late, "at", "left_semi").alias("x").join(few.alias("y"), (F.col("x.line") == F.col("y.line")) & (F.col("x.at") > F.col("y.at")))
-    by_window = left.alias("x").join(carriers.where(F.col("n") <= MANY).alias("y"), (F.col("x.window") == F.col("y.window")) & (F.col("x.at") > F.col("y.at")))
-    rows = [F.col("x.at.row").alias("row"), F.col("y.at.row").alias("early")]
-    direct = common.materialize(by_line.select(*rows).unionAll(by_window.select(*rows)).where("row <> early").distinct(), "direct")
-
-    often = lines.where(F.col("n") > MANY).groupBy("at.row").agg(F.collect_list("line").alias("often"))
-    forms = of.join(often, "row").select("row", "doc", "hashes", "often").mapInArrow(_reduced, "row long, doc long, lines array<long>, places array<int>")
-    # hashes of arrays pass over nulls
-    forms = forms.withColumn("form", F.xxhash64(F.transform("lines", lambda x: F.coalesce(x, F.lit(0)))))
-    forms = forms.join(arrays.select("row", "sizes"), "row").withColumn("sizes", F.transform("places", lambda k: F.get("sizes", k)))
-    forms = common.materialize(forms, "forms")
-    each = forms.groupBy("form").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.min(at).alias("first"))
-    form_of = forms.select(at, "form")
-    hot = carriers.where(F.col("n") > MANY)
-    early = hot.join(form_of, "at").select("window", F.col("form").alias("early")).distinct()
-    open_ = left.join(hot.select("window").distinct(), "window").join(form_of, "at").select("window", F.col("form").alias("late")).distinct()
-    met = common.materialize(open_.join(early, "window").select("late", "early").distinct(), "met")
-    pairs = met.join(each.select(F.col("form").alias("late"), F.col("lines").alias("x"), "sizes"), "late").join(each.select(F.col("form").alias("early"), F.col("lines").alias("y")), "early")
-    found = common.materialize(pairs.select("late", "early", "x", "y", "sizes").mapInArrow(_align_forms, "late long, early long, cut array<struct<start:int,end:int>>"), "found")
-
-    found = found.join(each.select(F.col("form").alias("early"), "first"), "early")
-    whose = forms.join(late.select(F.col("at.row").alias("row")), "row", "left_semi").select("row", at, F.col("form").alias("late"), "places")
-    near = direct.select("row", F.col("early").alias("near"))
-    blocks = found.select("late", "first", F.explode("cut").alias("r")).groupBy("late", "r").agg(F.min("first").alias("first"))
-    known = whose.join(blocks, "late").where("first < at").withColumn("near", F.col("first.row"))
-    known = common.materialize(known.join(near.withColumn("is_near", F.lit(True)), ["row", "near"], "left"), "known")
-    place = F.struct(F.get("places", F.col("r.start")).alias("start"), (F.get("places", F.col("r.end") - 1) + 1).alias("end"))
-    placed = known.where("is_near is null").select("row", place.alias("r"))
-    # where the first carrier of a block shares more with the document, all of the block's forms are looked at, and those with such a first one by one
-    again = known.where("is_near").select("row", "at", "places", "late").dropDuplicates(["row"])
-    again = again.join(found, "late").where("first < at").withColumn("near", F.col("first.row"))
-    again = common.materialize(again.join(near.withColumn("is_near", F.lit(True)), ["row", "near"], "left"), "again")
-    placed = placed.unionAll(again.where("is_near is null").withColumn("r", F.explode("cut")).select("row", place.alias("r")))
-    others = again.where("is_near").select("row", F.col("at").alias("own"), F.col("early").alias("form")).join(forms.select("form", at, F.col("row").alias("early")), "form").where("at < own").select("row", "early")
-    direct = direct.unionAll(others).where("row <> early").distinct()
-    return aligned(direct).unionAll(placed.groupBy("row").agg(F.collect_set("r").alias("line_cut")))
-
-
-def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with line_count, line_removed and line_kept (the text without the removed lines)."""
     row = F.xxhash64("doc_id", "text")
-    split = docs.where(F.length("text") >= MIN_BLOCK).select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("copy"), _lines(F.col("text")).alias("lines"))
-    hashed = split.select("row", "doc", "copy", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(F.trim(x))).alias("sizes"))
-    # doc_id and row, in this order, say which document is earlier
-    at = F.struct("doc", "row").alias("at")
-    carried = hashed.select("row", "doc", "hashes", "sizes").mapInArrow(_carried, "row long, doc long, window long").select(at, "window")
-    first = carried.groupBy("window").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first <> last")
-    several = common.materialize(carried.join(first.select("window", "first", "n"), "window"), "lines")
-    # a copy of an earlier text goes whole; it needs no other partner, and is none
-    original = hashed.groupBy("copy").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
-    copies = common.materialize(hashed.select(at, "copy").join(original.select("copy", "first"), "copy").where("at > first").select(F.col("at.row").alias("row"), F.col("first.row").alias("early")).distinct(), "copies")
-    several = several.join(copies.select(F.col("row").alias("copy_row")), F.col("at.row") == F.col("copy_row"), "left_anti")
-    star = several.where((F.col("n") > rare) & (F.col("at") > F.col("first"))).select(F.col("at.row").alias("row"), F.col("first.row").alias("early"))
-    few = several.where(F.col("n") <= rare)
-    # at most `rare` rows carry such a window
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.window") == F.col("y.window")) & (F.col("x.at") > F.col("y.at"))).select(F.col("x.at.row").alias("row"), F.col("y.at.row").alias("early"))
-    pairs = common.materialize(star.unionAll(pairs).unionAll(copies).where("row <> early").distinct(), "pairs")
-    wanted = pairs.select("row").unionAll(several.select(F.col("at.row").alias("row"))).distinct()
-    arrays = common.materialize(hashed.join(wanted, "row", "left_semi").drop("copy").dropDuplicates(["row"]), "arrays")
-
-    def aligned(pairs):
-        late = arrays.select("row", F.col("hashes").alias("late"), "sizes")
-        met = pairs.join(late, "row").join(arrays.select(F.col("row").alias("early"), F.col("hashes").alias("from")), "early")
-        cuts = met.select("row", "from", "late", "sizes").mapInArrow(_align_pairs, "row long, cut array<struct<start:int,end:int>>")
-        return cuts.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("line_cut"))
-
-    cuts = common.materialize(aligned(pairs), "cuts")
-    # windows of many carriers that the first did not cut meet all the others
-    tried = arrays.join(star.select("row").distinct(), "row", "left_semi").join(cuts, "row", "left")
-    left = tried.select("row", "doc", "hashes", "sizes", "line_cut").mapInArrow(_open, "row long, doc long, window long").select(at, "window")
-    left = common.materialize(left, "open")
-    cuts = cuts.unionAll(_rest(left, several, arrays, aligned)).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("line_cut"))).alias("line_cut"))
-
-    own = [c for c in docs.columns if not c.startswith("line_")]
-    joined = docs.select(*own, row.alias("line_row")).join(cuts.withColumnRenamed("row", "line_cut_row"), F.col("line_row") == F.col("line_cut_row"), "left")
-    gone = F.array_distinct(F.flatten(F.transform("line_cut", lambda r: F.sequence(r["start"], r["end"] - 1))))
-    joined = joined.select(*own, _lines(F.col("text")).alias("line_all"), F.coalesce(gone, F.array().cast("array<int>")).alias("line_gone"))
-    kept = F.array_join(F.filter("line_all", lambda _, i: ~F.array_contains("line_gone", i)), "\n")
-    return joined.select(*own, F.when(F.col("text").isNull(), 0).otherwise(F.size("line_all")).cast("long").alias("line_count"), F.size("line_gone").cast("long").alias("line_removed"), F.when(F.size("line_gone") == 0, F.col("text")).otherwise(kept).alias("line_kept"))
+    split = docs.where(F.length("text") >= MIN_BLOCK).select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), _lines(F.col("text")).alias("lines"))
+    hashed = split.select("row", "doc", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(F.trim(x))).alias("sizes"))
+    carried = common.materialize(hashed.mapInArrow(_carried, "row long, doc long, window long, start int, end int"), "windows")
+    # doc and row, in this order, say which document is earlier
+    each = carried.groupBy("window").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.max(F.struct("doc", "row")).alias("last"), F.count("*").alias("n"))
+    each = each.where(F.struct("first.doc", "first.row") != F.col("last")).select("window", F.col("first.doc").alias("early_doc"), F.col("first.row").alias("early"), F.col("first.start").alias("place"), "n")
+    met = common.spread_join(carried, common.materialize(each, "shared"), "window", "row")
+    later = (F.col("doc") > F.col("early_doc")) | ((F.col("doc") == F.col("early_doc")) & (F.col("row") > F.col("early")))
+    found = met.where(later).groupBy("row").agg(F.collect_set(F.struct("start", "end", "early", "place")).alias("windows"))
+    cuts = found.mapInArrow(_align, "row long, cut array<struct<start:int,end:int>>")
+
+    own = docs.columns
+    key, cut_key, cut, lines = common.fresh(own, "line_row", "line_cut_row", "line_cut", "line_all")
+    counted, removed, kept = common.fresh(own, "line_count", "line_removed", "line_kept")
+    joined = docs.withColumn(key, row).join(cuts.select(F.col("row").alias(cut_key), F.col("cut").alias(cut)), F.col(key) == F.col(cut_key), "left").withColumn(lines, _lines(F.col("text")))
+    # what lies before each range that goes, and behind the last
+    edges = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(cut, lambda r: r["end"])), F.concat(F.transform(cut, lambda r: r["start"]), F.array(F.size(lines))), lambda s, e: F.slice(lines, s + 1, e - s))
+    gone = F.coalesce(F.aggregate(cut, F.lit(0), lambda n, r: n + r["end"] - r["start"]), F.lit(0)).cast("long")
+    left = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(edges), "\n"))
+    return joined.select(*own, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counted), gone.alias(removed), left.alias(kept))

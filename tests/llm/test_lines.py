@@ -8,20 +8,30 @@ def order(i):
     return (1 << 63) - 1 if i is None else i
 
 
-def cuts(rows, rare=L.RARE):
-    """Line numbers that go, by (order, text); rows that tie on doc_id must differ in nothing."""
-    split = {(order(i), t): (t or "").split("\n") for i, t, *_ in rows}
-    carriers = {}
-    for key in sorted(split, key=lambda k: (k[0], k[1] or "")):
-        if key[1] and len(key[1]) >= L.MIN_LINE:
-            for line in dict.fromkeys(split[key]):
-                if len(line.strip(" ")) >= L.MIN_LINE:
-                    carriers.setdefault(line, []).append(key)
-    pairs = {(b, a) for own in carriers.values() for k, b in enumerate(own) for a in (own[:k] if len(own) <= rare else own[:1]) if a != b}
-    cut = {}
-    for late, early in pairs:
-        for s, e in L.common_blocks(split[early], split[late], [len(x.strip(" ")) for x in split[late]]):
-            cut.setdefault(late, set()).update(range(s, e))
+def runs(lines):
+    """Shortest runs of lines with MIN_BLOCK characters, from each line on and up to each line."""
+    sizes = [len(x.strip(" ")) for x in lines]
+    out = set()
+    for k in range(len(lines)):
+        end = next((e for e in range(k + 1, len(lines) + 1) if sum(sizes[k:e]) >= L.MIN_BLOCK), None)
+        if end:
+            out.add((k, end))
+        start = next((s for s in range(k, -1, -1) if sum(sizes[s : k + 1]) >= L.MIN_BLOCK), None)
+        if start is not None:
+            out.add((start, k + 1))
+    return out
+
+
+def cuts(rows):
+    """Line numbers that go, by (order, text): those in a run that any earlier document has. Rows that tie on doc_id must differ in nothing."""
+    seen, cut = set(), {}
+    for i, text in sorted({(order(i), t) for i, t, *_ in rows if t}):
+        lines = text.split("\n")
+        own = [(s, e, tuple(lines[s:e])) for s, e in runs(lines)]
+        for s, e, run in own:
+            if run in seen:
+                cut.setdefault((i, text), set()).update(range(s, e))
+        seen |= {run for _, _, run in own}
     return cut
 
 
@@ -40,6 +50,14 @@ def found(df):
     return sorted(((r.doc_id, r.line_count, r.line_removed, r.line_kept) for r in L.dedup_lines(df).collect()), key=repr)
 
 
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def test_align_is_increasing_and_equal():
     rng = random.Random(7)
     for _ in range(400):
@@ -47,15 +65,31 @@ def test_align_is_increasing_and_equal():
         pairs = L.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    for _ in range(100):  # of elements without repetitions patience keeps as many as any order can
+        a, b = (rng.sample(range(15), 10) for _ in range(2))
+        assert len(L.align(a, b)) == longest_common(a, b)
     assert L.align(list(range(50)), list(range(50))) == [(i, i) for i in range(50)]
 
 
+def test_align_all_leaves_nothing():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(10))] for _ in range(2))
+        pairs = L.align_all(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert [j for _, j in sorted(pairs, key=lambda p: p[1])] == [j for j, v in enumerate(b) if v in a]
+
+
 def test_awkward(docs, clashing, no_docs):
     wanted = brute(awkward_rows())
     assert found(docs) == wanted
-    assert found(clashing) == wanted
     assert L.dedup_lines(no_docs).count() == 0
     assert L.dedup_lines(docs).columns == [*docs.columns, "line_count", "line_removed", "line_kept"]
+    got = L.dedup_lines(clashing)
+    assert got.columns == [*clashing.columns, "_line_count", "line_removed", "line_kept"]
+    rows = got.collect()
+    assert sorted(((r.doc_id, r._line_count, r.line_removed, r.line_kept) for r in rows), key=repr) == wanted
+    assert all(r.line_count == 1 and r.row == 1 for r in rows)
 
 
 def test_passages(spark):
@@ -73,32 +107,37 @@ def test_passages(spark):
     assert got == brute(rows) and sum(r[2] for r in got) > 20
 
 
-def all_earlier(rows):
-    """As brute, with every earlier document."""
-    split = {(order(i), t): t.split("\n") for i, t, *_ in rows if t}
-    keys, cut = sorted(split), {}
-    for k, late in enumerate(keys):
-        for early in keys[:k]:
-            for s, e in L.common_blocks(split[early], split[late], [len(x.strip(" ")) for x in split[late]]):
-                cut.setdefault(late, set()).update(range(s, e))
-    return sorted((result(cut, i, t) for i, t, *_ in rows), key=repr)
+def test_number_of_carriers_does_not_matter(spark):
+    """A block of two lines, each of which an earlier document has alone, goes from all copies but the first."""
+    a, b = "line a " + "x" * 20, "line b " + "y" * 21
+    for n in (2, 3, 4, 6, 12):
+        rows = [(0, f"{a}\nown start of the first"), (1, f"own start of the second\n{b}")]
+        rows += [(i, f"own {i} {i * i}\n{a}\n{b}\nend {i}") for i in range(2, 2 + n)]
+        got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got == brute(rows)
+        assert sorted((r[0], r[2]) for r in got) == [(0, 0), (1, 0), (2, 0), *((i, 2) for i in range(3, 2 + n))]
 
 
-def test_many_carriers(spark):
-    """A passage whose first carrier has it in another order goes from later ones, however many carry it."""
+def test_other_orders(spark):
+    """A passage whose first carrier has it in another order, or more seldom, goes from later ones, however many carry it."""
     rng = random.Random(8)
-    a, b, c, d = ("abcd"[k] * 3 + " " + prose(rng, 5) for k in range(4))
+    a, b, c, d = ("abcd"[k] * 3 + " " + prose(rng, 7) for k in range(4))
     rows = [(0, "\n".join([b, prose(rng, 9), a])), (1, "\n".join([a, b]))]
-    rows += [(i, "\n".join([prose(rng, 9), a, prose(rng, 9), b, prose(rng, 9)])) for i in range(2, 9)]
+    rows += [(i, "\n".join([prose(rng, 9), a, prose(rng, 9), b, prose(rng, 9), a])) for i in range(2, 9)]
     rows += [(i, "\n".join([c[:25], prose(rng, 9)])) for i in range(10, 15)] + [(i, "\n".join([prose(rng, 9), d[:25]])) for i in range(15, 20)]
     rows += [(i, "\n".join([prose(rng, 9), c[:25], d[:25], prose(rng, 9)])) for i in range(20, 28)]
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert got == all_earlier(rows) and got != brute(rows)
+    assert got == brute(rows)
+    removed = {r[0]: r[2] for r in got}
+    assert removed[1] == 2 and all(removed[i] == 3 for i in range(2, 9)) and removed[20] == 0 and all(removed[i] == 2 for i in range(21, 28))
+
 
+def test_many_common_lines(spark, monkeypatch):
+    """Lines of many carriers, in any order and number, also where their keys are dealt to several tasks."""
+    from stanzaline.llm import common
 
-def test_many_common_lines(spark):
-    """Lines of more carriers than are met pair by pair, in any order and number."""
     for seed in range(3):
+        monkeypatch.setattr(common, "KEY_ROWS", 3 if seed else 1_000)
         rng = random.Random(seed)
         shared = [prose(rng, rng.randrange(1, 9)) for _ in range(6)] + [""]
         near = [prose(rng, 8) for _ in range(40)]
@@ -107,12 +146,25 @@ def test_many_common_lines(spark):
             own = [rng.choice(shared) if rng.random() < 0.6 else rng.choice(near) if rng.random() < 0.3 else prose(rng, 6) for _ in range(rng.randrange(1, 7))]
             rows.append((i * 7 % 160, "\n".join(own)))
         got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-        assert got == all_earlier(rows)
+        assert got == brute(rows)
 
 
 def test_short_lines(spark):
-    """Documents that share nothing but lines of fewer than MIN_LINE characters."""
+    """Documents that share nothing but short lines."""
     poem = "\n".join(f"short line {k}" for k in range(6))
     rows = [(0, poem), (1, "other\n" + poem), (2, poem), (3, "short line 1\nshort line 2"), (4, "short line 1\nno")]
     got = found(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got == all_earlier(rows) and [r[2] for r in got] == [0, 6, 6, 0, 0]
+    assert got == brute(rows) and [r[2] for r in got] == [0, 6, 6, 0, 0]
+
+
+def test_query(spark, tmp_path):
+    """The registered query against the brute-force version."""
+    import hashlib
+
+    from stanzaline.llm import queries
+
+    rows = awkward_rows() + [(100 + k, f"{prose(random.Random(k), 9)}\nthe same long line that all of these documents carry", None, None, None) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_lines(spark, str(tmp_path)).collect()
+    wanted = [(i, n, gone, None if kept is None else hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute(rows)]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(wanted, key=repr)
