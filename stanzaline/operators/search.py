@@ -1,23 +1,75 @@
-"""Full-text search: postings, conjunctive match, BM25 and snippets, derived from the texts themselves."""
+"""Full-text search over stemmed, folded tokens: postings, conjunctive match, BM25 and snippets.
+
+A token is a run of letters and digits, in lower case and without marks on Latin letters; words of
+three letters and more are stemmed. Tokens are found and folded by built-in expressions. Stems need
+Python, so a search stems only the tokens that begin like one of its terms; an index stems all.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
+#: What a term adds that most documents hold: less than any rarer one.
+LEAST_IDF = 1e-6
+SNIPPET_TOKENS = 12
+#: Marks that combine with the letter before them are part of its word.
+TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{331}]*"
+
+
+def _bare_letters() -> dict[str, str]:
+    """Small Latin letters with a single mark, and the letters without it."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code).lower())
+        if len(chr(code).lower()) == 1 and len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+            found[chr(code).lower()] = parts[0]
+    return found
+
+
+_MARKED = _bare_letters()
+
+
+def fold(text) -> Column:
+    """Lower case, without marks."""
+    bare = F.translate(F.lower(text), "".join(_MARKED), "".join(_MARKED.values()))
+    return F.regexp_replace(bare, r"[\x{300}-\x{331}]+", "")
+
+
+def tokens_of(text) -> Column:
+    """Folded tokens of a text in their order, not stemmed; a null text has none."""
+    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
 def terms_of(query: str) -> list[str]:
-    """Alphanumeric terms of a query, all of which must match; an empty query is an error."""
+    """Stems of a query's alphanumeric terms, all of which must match; an empty query is an error."""
     found = re.findall("[A-Za-z0-9]+", query or "")
     if not found:
         raise ValueError("the query is empty without punctuation")
-    return [t.lower() for t in found]
+    return [porter(t.lower()) for t in found]
+
+
+def checked_limit(limit: int | None = None) -> int:
+    """How many hits a search returns: 20 where nothing is said, 1 to 100 may be asked for."""
+    if limit is None:
+        return 20
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
+    return limit
+
+
+def _may_stem_to(token, stems: list[str]) -> Column:
+    """Whether a token can have one of the stems: stemming changes the last two letters of a stem at most."""
+    out = F.lit(False)
+    for start in sorted({t[: max(1, len(t) - 2)] for t in stems}):
+        out = out | token.startswith(start)
+    return out
 
 
 def postings(tokens: DataFrame, key: str = "doc_id", term: str = "term") -> DataFrame:
@@ -25,63 +77,137 @@ def postings(tokens: DataFrame, key: str = "doc_id", term: str = "term") -> Data
     return tokens.groupBy(term, key).agg(F.count("*").alias("tf"))
 
 
+def index_tokens(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each token, stemmed as ``term``, with the document's other columns: what an index is built of."""
+    return docs.select(*(c for c in docs.columns if c != text), F.explode(stem_all(tokens_of(F.col(text)))).alias("term"))
+
+
 def lengths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.groupBy(key).agg(F.count("*").alias("dl"))
 
 
-def match_all(post: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
-    """Keys that hold every term, found from those terms' postings only."""
-    return post.where(F.col("term").isin(terms)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(set(terms))).select(key)
+def term_counts(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """The documents with dl (tokens) and tf (an array: how often each term occurs); row by row, no shuffle."""
+    stems = list(dict.fromkeys(terms))
+    found = docs.withColumn("_tokens", tokens_of(F.col(text)))
+    found = found.withColumn("dl", F.size("_tokens")).withColumn("_stems", stem_all(F.filter("_tokens", lambda t: _may_stem_to(t, stems))))
+    occurs = lambda stem: F.size(F.filter("_stems", lambda t: t == stem))
+    return found.withColumn("tf", F.array(*map(occurs, stems))).drop("_tokens", "_stems")
 
 
-def bm25(tokens: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, score) of the documents that hold every term; statistics are those of the whole corpus.
+def match_all(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """The documents that hold every term."""
+    return term_counts(docs, text, terms).where(F.forall("tf", lambda n: n > 0)).drop("dl", "tf")
 
-    One pass over the tokens counts length and terms per document; document frequencies and the mean
-    length are one row, joined to it.
+
+def bm25(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
+    """The documents that hold every term, with their score; statistics are those of all documents.
+
+    Lengths and counts come from each row's own tokens, so the only exchange is that of the one row of
+    statistics, which is joined to the hits.
     """
-    terms = list(dict.fromkeys(terms))
-    counts = [F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    per = tokens.groupBy(key).agg(F.count("*").alias("dl"), *counts)
-    total = per.agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hits = per
-    for i in range(len(terms)):
-        hits = hits.where(F.col(f"tf{i}") > 0)
+    n = len(dict.fromkeys(terms))
+    per = term_counts(docs, text, terms)
+    total = per.agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        score = score + F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return hits.join(F.broadcast(total)).select(key, score.alias("score"))
+    for i in range(n):
+        tf, df = F.col("tf")[i], F.col(f"df{i}")
+        rare = F.log((F.col("docs") - df + 0.5) / (df + 0.5))
+        score = score + F.when(rare > 0, rare).otherwise(LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    hits = per.where(F.forall("tf", lambda n: n > 0)).join(F.broadcast(total))
+    return hits.select(*docs.columns, score.alias("score"))
+
+
+_WORDS = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u0331])*")
+
 
+def _folded(word: str) -> str:
+    low = "".join(_MARKED.get(c, c) for c in word.lower())
+    return porter("".join(c for c in low if not "\u0300" <= c <= "\u0331"))
 
-def snippet(text, terms: list[str], width: int = 12):
-    """Up to ``width`` words from two before the first hit, hits marked; dots where text is left out."""
-    words = F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")
-    plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))
-    first = F.array_position(F.transform(plain, lambda w: w.isin(terms)), True).cast("int")
-    start = F.greatest(F.lit(1), first - 2)
-    marked = F.transform(F.slice(words, start, width), lambda w: F.when(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(terms), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
-    body = F.array_join(marked, " ")
-    return F.when(first > 0, F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(F.size(words) > start + width - 1, "...").otherwise("")))
+
+def best_window(hits: list[tuple[int, int]], size: int, width: int, heads: list[int] = ()) -> int:
+    """The first token of the best window of ``width`` tokens in a text of ``size``.
+
+    ``hits`` are (token, term). Every term that a window holds counts 1000, every further hit 1; a window
+    begins at a hit and is moved so that its hits lie in its middle, or begins at the head of the sentence
+    of a hit, which counts 100, and 120 at the text's own head. The first of the best wins.
+    """
+    best, found = -1, 0
+
+    def worth(start):
+        inside = [(at, t) for at, t in hits if start <= at < start + width]
+        terms = len({t for _, t in inside})
+        return 1000 * terms + len(inside) - terms, inside
+
+    for at, _ in hits:
+        score, inside = worth(at)
+        if score > best:
+            first, last = inside[0][0], inside[-1][0] + 1
+            best, found = score, max(0, min(first - (width - (last - first)) // 2, size - width))
+        if heads and size > width:
+            head = max((h for h in heads if h <= at), default=heads[0])
+            if head < at:
+                score = worth(head)[0] + (100 if head else 120)
+                if score > best:
+                    best, found = score, head
+    return found
+
+
+def snippet_of(text: str | None, stems: list[str], width: int = SNIPPET_TOKENS) -> str | None:
+    """The best window of a text, hits in ``<em>``, dots where text is left out; null where nothing is hit."""
+    spans = [m.span() for m in _WORDS.finditer(text or "")]
+    known = {t: i for i, t in enumerate(stems)}
+    hits = [(k, known[w]) for k, (s, e) in enumerate(spans) if (w := _folded(text[s:e])) in known]
+    if not hits:
+        return None
+    # a sentence begins behind a stop or a colon and blanks
+    heads = [k for k, (s, _) in enumerate(spans) if not k or re.search(r"[.:]\s*\Z", text[spans[k - 1][1] : s])]
+    start = best_window(hits, len(spans), width, heads)
+    end = start + width
+    out, at = [], spans[start][0] if start else 0
+    for k in sorted({k for k, _ in hits if start <= k < end}):
+        low, high = spans[k]
+        out += [text[at:low], "<em>", text[low:high], "</em>"]
+        at = high
+    out.append(text[at:] if end >= len(spans) else text[at : spans[end - 1][1]] + "...")
+    return ("..." if start else "") + "".join(out)
+
+
+def snippet(text, terms: list[str], width: int = SNIPPET_TOKENS) -> Column:
+    """``snippet_of`` as a column, for the few rows that a search shows."""
+    stems = list(dict.fromkeys(terms))
+    return F.pandas_udf(lambda texts: texts.map(lambda t: snippet_of(t, stems, width)), StringType())(text)
+
+
+def search(docs: DataFrame, query: str, where: Column, limit: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The best documents of all that match the query and ``where``, with score and snippet; the least key first on a tie (of ten decimals)."""
+    terms = terms_of(query)
+    best = bm25(docs, text, terms).where(where).orderBy(F.desc(F.round("score", 10)), key).limit(checked_limit(limit))
+    return best.withColumn("snippet", snippet(F.col(text), terms))
 
 
 _VOWELS = set("aeiou")
 
 
+def _kinds(stem: str) -> str:
+    """v for vowels and c for consonants; y is a vowel behind a consonant."""
+    out = ""
+    for c in stem:
+        out += "v" if c in _VOWELS or (c == "y" and out.endswith("c")) else "c"
+    return out
+
+
 def _measure(stem: str) -> int:
-    kinds = "".join("v" if c in _VOWELS or (c == "y" and i and stem[i - 1] not in _VOWELS) else "c" for i, c in enumerate(stem))
-    return len(re.findall("v+c+", kinds))
+    return _kinds(stem).count("vc")
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(c in _VOWELS or (c == "y" and i and stem[i - 1] not in _VOWELS) for i, c in enumerate(stem))
+    return "v" in _kinds(stem)
 
 
 def _short_end(stem: str) -> bool:
-    if len(stem) < 3:
-        return False
-    a, b, c = stem[-3:]
-    return a not in _VOWELS and (b in _VOWELS or b == "y") and c not in _VOWELS and c not in "wxy"
+    return _kinds(stem).endswith("cvc") and stem[-1] not in "wxy"
 
 
 # Suffixes of the published stemmer's second, third and fourth steps.
@@ -92,7 +218,7 @@ _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous
 
 def porter(word: str) -> str:
     """The stem of a lower-case word by the 1980 algorithm, with the two later departures of its author."""
-    if len(word) <= 2:
+    if not 3 <= len(word.encode()) <= 64:
         return word
     w = word
     if w.endswith("s"):
@@ -129,8 +255,26 @@ def porter(word: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
+#: Words whose stems a worker remembers.
+_REMEMBERED = 200_000
+_stems: dict[str, str] = {}
+
+
+def _stem(word: str) -> str:
+    if (found := _stems.get(word)) is None:
+        if len(_stems) >= _REMEMBERED:
+            _stems.clear()
+        found = _stems[word] = porter(word)
+    return found
+
+
 @F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
-    """Stems; each distinct word of a batch once."""
-    known = {w: porter(w) for w in words.dropna().unique()}
-    return words.map(known, na_action="ignore")
+    """Stems of words."""
+    return words.map(_stem, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def stem_all(words: pd.Series) -> pd.Series:
+    """Stems of arrays of words."""
+    return words.map(lambda own: [_stem(w) for w in own], na_action="ignore")

@@ -13,6 +13,7 @@ from ..operators import search as S
 from ..operators import windows as W
 from . import lens
 from .lens import query, table
+from .texts import _ON, _THE, BM25_SQL
 
 
 def verse_of_day(units: DataFrame, translation: str, days: list[str]) -> DataFrame:
@@ -90,15 +91,11 @@ def _(s, d):
     return side.select("chapter", "verse_no", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("es", F.lit("")).alias("es"))
 
 
-@query("c06_search", """with per as (select doc_id, min(lang) as lang, count(*) as dl, count(*) filter (where term = 'the') as t0, count(*) filter (where term = 'was') as t1 from tokens group by doc_id),
-st as (select count(*) as n, avg(dl) as mean, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from per),
-sc as (select doc_id, lang, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * dl / mean)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) as score from per, st where t0 > 0 and t1 > 0)
-select doc_id, score from sc where lang = 'en' order by score desc, doc_id limit 20""", "tokens")
+@query("c06_search", "with " + BM25_SQL.format(a=_THE, b=_ON) + " select sc.doc_id, round(score, 6) as score from sc join documents d on d.doc_id = sc.doc_id where d.lang = 'en' order by round(sc.score, 10) desc, sc.doc_id limit 20", "tokens")
 def _(s, d):
     """Statistics of the whole corpus, then the translation filter, then the best twenty."""
-    ranked = S.bm25(lens.tokens(s, d), S.terms_of("the was")).select("doc_id", F.round("score", 6).alias("score"))
-    own = table(s, d, "documents").where("lang = 'en'").select("doc_id")
-    return ranked.join(own, "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
+    docs = table(s, d, "documents").select("doc_id", "lang", "text")
+    return S.search(docs, "the ones", F.col("lang") == "en").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("c07_verse_of_day", """with c as (select count(*) as n from units where translation = 'de'), h as (select n, sha256('2026-09-20|de') as x from c),

@@ -114,11 +114,14 @@ def _(s, d):
     return R.header_fields(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), body.alias("body")), ["Title", "Language"])
 
 
-@query("s33_index", "select term, doc_id, count(*) as tf from tokens group by all", "tokens")
+@query("s33_index", "select doc_id, count(*) as tokens, count(*) filter (where term in ('the', 'thes')) as thes, count(*) filter (where term in ('in', 'ined', 'ines', 'ining')) as ins from tokens group by doc_id", "tokens")
 def _(s, d):
-    from ..operators.search import postings
+    """The postings of the whole index, summed up by document, with two of their stems."""
+    from ..operators.search import index_tokens, postings
 
-    return postings(lens.tokens(s, d)).select("term", "doc_id", "tf")
+    post = postings(index_tokens(table(s, d, "documents").select("doc_id", "text"), "text"))
+    of = lambda stem: F.coalesce(F.sum(F.when(F.col("term") == stem, F.col("tf"))), F.lit(0))
+    return post.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), of("the").alias("thes"), of("in").alias("ins"))
 
 
 def _asked(s, raws):

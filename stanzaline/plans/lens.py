@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import tokens_of
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -86,9 +88,8 @@ def checkins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Search tokens: lower-case runs of letters and digits."""
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", "lang", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("at", "term"))
+    """Search tokens: folded runs of letters and digits, not stemmed."""
+    return table(spark, d, "documents").select("doc_id", "lang", F.posexplode(tokens_of(F.col("text"))).alias("at", "term"))
 
 
 SQL = {
@@ -105,7 +106,7 @@ SQL = {
         (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents))""",
     "anchors": """select event_id as dev_id, user_id as ch, try_cast(json_extract_string(props, '$.k') as bigint) as vs, try_cast(json_extract_string(props, '$.k') as bigint) + event_id % 4 as ve, event_type as source_id from events""",
     "checkins": "select user_id % 4 as plan_id, '2024-01-01' as start_date, cast(date_diff('day', date '2024-01-01', cast(ts as date)) + 1 as bigint) as day, ts as checked_at, event_id from events where event_type = 'purchase'",
-    "tokens": """select doc_id, lang, unnest(w) as term, unnest(range(0, len(w))) as pos from (select doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents)""",
+    "tokens": """select doc_id, lang, unnest(w) as term, unnest(range(0, len(w))) as pos from (select doc_id, lang, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from documents)""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

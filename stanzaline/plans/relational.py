@@ -140,10 +140,12 @@ def _(s, d):
 # ---- joins
 
 
-@query("j01_hit_to_row", "select d.doc_id, d.lang, d.n_chars from documents d join (select distinct doc_id from tokens where term = 'license') h on h.doc_id = d.doc_id", "tokens")
+@query("j01_hit_to_row", "select d.doc_id, d.lang, d.n_chars from documents d join (select distinct doc_id from tokens where term in ('license', 'licensed')) h on h.doc_id = d.doc_id", "tokens")
 def _(s, d):
-    hits = lens.tokens(s, d).where("term = 'license'").select("doc_id").distinct()
-    return table(s, d, "documents").select("doc_id", "lang", "n_chars").join(hits, "doc_id")
+    """Search hits with the columns of their rows: tokens and columns are of one row, so none is looked up."""
+    from ..operators.search import match_all, terms_of
+
+    return match_all(table(s, d, "documents").select("doc_id", "lang", "n_chars", "text"), "text", terms_of("licenses")).select("doc_id", "lang", "n_chars")
 
 
 @query("j02_dimension", "select l.office, l.seq, l.speaker from liturgy l join (select distinct role from conversations) e on e.role = l.speaker where l.speaker = 'user'", "liturgy")
