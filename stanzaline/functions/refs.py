@@ -12,79 +12,79 @@ from pyspark.sql import functions as F
 
 # Books in canonical order and their abbreviations.
 BOOKS = """
-Genesis: gen ge gn
-Exodus: ex exo exod
-Leviticus: lev le lv
-Numbers: num nu nm nb
-Deuteronomy: deut de dt
-Joshua: josh jos
-Judges: judg jdg jg
-Ruth: rth ru
-1 Samuel: 1sa 1sm 1sam
-2 Samuel: 2sa 2sm 2sam
-1 Kings: 1ki 1kgs 1kings
-2 Kings: 2ki 2kgs 2kings
-1 Chronicles: 1ch 1chr 1chron
-2 Chronicles: 2ch 2chr 2chron
+Genesis: gen, ge, gn
+Exodus: ex, exo, exod
+Leviticus: lev, le, lv
+Numbers: num, nu, nm, nb
+Deuteronomy: deut, de, dt
+Joshua: josh, jos
+Judges: judg, jdg, jg
+Ruth: rth, ru
+1 Samuel: 1sa, 1sm, 1sam
+2 Samuel: 2sa, 2sm, 2sam
+1 Kings: 1ki, 1kgs, 1kings
+2 Kings: 2ki, 2kgs, 2kings
+1 Chronicles: 1ch, 1chr, 1chron
+2 Chronicles: 2ch, 2chr, 2chron
 Ezra: ezr
-Nehemiah: neh ne
-Esther: est esth es
+Nehemiah: neh, ne
+Esther: est, esth, es
 Job: jb
-Psalms: ps psa psalm pslm
-Proverbs: prov pr prv pro
-Ecclesiastes: eccl ecc ec qoh qohelet
-Song of Songs: song songs song_of_solomon canticles sos cant
-Isaiah: isa is
-Jeremiah: jer je
-Lamentations: lam la
-Ezekiel: ezek eze ezk
-Daniel: dan da dn
-Hosea: hos ho
+Psalms: ps, psa, psalm, pslm
+Proverbs: prov, pr, prv, pro
+Ecclesiastes: eccl, ecc, ec, qoh, qohelet
+Song of Songs: song, songs, song of solomon, canticles, sos, cant
+Isaiah: isa, is
+Jeremiah: jer, je
+Lamentations: lam, la
+Ezekiel: ezek, eze, ezk
+Daniel: dan, da, dn
+Hosea: hos, ho
 Joel: jl
 Amos: am
-Obadiah: obad obd ob
-Jonah: jon jnh
-Micah: mi mic
-Nahum: nah na
+Obadiah: obad, obd, ob
+Jonah: jon, jnh
+Micah: mi, mic
+Nahum: nah, na
 Habakkuk: hab
-Zephaniah: zeph zep
-Haggai: hag hg
-Zechariah: zech zec zc
-Malachi: mal ml
-Matthew: matt mt mat
-Mark: mk mrk
-Luke: lk luk
-John: jn joh jhn
-Acts: ac act
-Romans: rom ro rm
-1 Corinthians: 1cor 1co
-2 Corinthians: 2cor 2co
-Galatians: gal ga
-Ephesians: eph ephes
-Philippians: phil php phl
-Colossians: col co
-1 Thessalonians: 1thess 1thes 1th
-2 Thessalonians: 2thess 2thes 2th
-1 Timothy: 1tim 1ti
-2 Timothy: 2tim 2ti
-Titus: tit ti
-Philemon: phlm phm
-Hebrews: heb he
-James: jas jm
-1 Peter: 1pet 1pe 1pt
-2 Peter: 2pet 2pe 2pt
+Zephaniah: zeph, zep
+Haggai: hag, hg
+Zechariah: zech, zec, zc
+Malachi: mal, ml
+Matthew: matt, mt, mat
+Mark: mk, mrk
+Luke: lk, luk
+John: jn, joh, jhn
+Acts: ac, act
+Romans: rom, ro, rm
+1 Corinthians: 1cor, 1co
+2 Corinthians: 2cor, 2co
+Galatians: gal, ga
+Ephesians: eph, ephes
+Philippians: phil, php, phl
+Colossians: col, co
+1 Thessalonians: 1thess, 1thes, 1th
+2 Thessalonians: 2thess, 2thes, 2th
+1 Timothy: 1tim, 1ti
+2 Timothy: 2tim, 2ti
+Titus: tit, ti
+Philemon: phlm, phm
+Hebrews: heb, he
+James: jas, jm
+1 Peter: 1pet, 1pe, 1pt
+2 Peter: 2pet, 2pe, 2pt
 1 John: 1jn
 2 John: 2jn
 3 John: 3jn
-Jude: jud jd
-Revelation: rev re apocalypse
-Tobit: tob tb
+Jude: jud, jd
+Revelation: rev, re, apocalypse
+Tobit: tob, tb
 Judith: jdt
-Wisdom: wis ws
-Sirach: sir ecclesiasticus
+Wisdom: wis, ws
+Sirach: sir, ecclesiasticus
 Baruch: bar
-1 Maccabees: 1ma 1mac 1macc 1maccabees
-2 Maccabees: 2ma 2mac 2macc 2maccabees
+1 Maccabees: 1ma, 1mac, 1macc, 1maccabees
+2 Maccabees: 2ma, 2mac, 2macc, 2maccabees
 """
 
 
@@ -97,7 +97,7 @@ def alias_rows() -> list[tuple[str, str]]:
     rows = []
     for line in BOOKS.strip().splitlines():
         name, _, short = line.partition(":")
-        rows += [(a.replace("_", " "), name) for a in [name.lower(), *short.split()]]
+        rows += [(a.strip(), name) for a in [name.lower(), *short.split(",")]]
     return rows
 
 
@@ -105,31 +105,32 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(alias_rows(), "alias string, book string")
 
 
+#: A number before a name: a digit, as an ordinal too, or i to iii before a blank; then the name.
+_NUMBERED = r"^(?:([123])(?:st|nd|rd)?|(i{1,3})(?= ))? *(.*)$"
+
+
 def fold_book(raw) -> Column:
-    """Lower case, no dots, single blanks, ``1st``, ``1x`` and ``ii`` to a number and a blank."""
-    x = F.lower(F.trim(raw))
-    x = F.regexp_replace(F.replace(x, F.lit("."), F.lit("")), r"[ \t\r\n]+", " ")
-    x = F.regexp_replace(x, r"^([123])(?:st|nd|rd)? *", "$1 ")
-    for n in (3, 2, 1):
-        x = F.regexp_replace(x, rf"^i{{{n}}} +", f"{n} ")
-    return F.trim(F.regexp_replace(x, " +", " "))
+    """Lower case, no dots, single blanks, a number before the name as a digit and a blank."""
+    x = F.regexp_replace(F.replace(F.lower(F.trim(raw)), F.lit("."), F.lit("")), r"[ \t\r\n]+", " ")
+    digit, ones, name = (F.regexp_extract(x, _NUMBERED, k) for k in (1, 2, 3))
+    return F.trim(F.concat(F.when(digit != "", F.concat(digit, F.lit(" "))).when(ones != "", F.concat(F.length(ones).cast("string"), F.lit(" "))).otherwise(""), name))
 
 
 def resolve_books(df: DataFrame, raw: str, names: DataFrame, out: str = "book") -> DataFrame:
-    """Adds the book by alias, also with the blank after its number left out. ``names`` has a row for each alias of the grammar."""
-    first = F.broadcast(names.select(F.col("alias").alias("_a1"), F.col("book").alias("_b1")))
-    second = F.broadcast(names.select(F.col("alias").alias("_a2"), F.col("book").alias("_b2")))
+    """Adds the book by alias, also with the blank after its number left out. ``names`` has a row for each alias."""
+    first = names.select(F.col("alias").alias("_a1"), F.col("book").alias("_b1"))
+    second = names.select(F.col("alias").alias("_a2"), F.col("book").alias("_b2"))
     folded = df.withColumn("_fold", fold_book(F.col(raw)))
     met = folded.join(first, F.col("_fold") == F.col("_a1"), "left").join(second, F.regexp_replace("_fold", "^([123]) ", "$1") == F.col("_a2"), "left")
     return met.withColumn(out, F.coalesce("_b1", "_b2")).drop("_fold", "_a1", "_b1", "_a2", "_b2")
 
 
-SPAN = "struct<ch:int,vs:int,ve:int>"
+SPAN = "struct<ch:bigint,vs:int,ve:int>"
 _SPLIT = r"^(.+?)[ \t]+([0-9][0-9 \t:,-]*)$"
 
 
-def _n(text, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+def _n(text, pattern: str, group: int, kind: str = "int") -> Column:
+    return F.regexp_extract(text, pattern, group).try_cast(kind)
 
 
 def split_reference(ref) -> tuple[Column, Column]:
@@ -139,61 +140,90 @@ def split_reference(ref) -> tuple[Column, Column]:
 
 
 def bounds_of(units: DataFrame) -> DataFrame:
-    """book -> book_order, chapters, max_verse (map of chapter to its last verse): two aggregations."""
-    per = units.groupBy("book_order", "book", "chapter").agg(F.max("verse_no").alias("v"))
-    return per.groupBy("book").agg(F.min("book_order").cast("int").alias("book_order"), F.max("chapter").cast("int").alias("chapters"), F.map_from_entries(F.collect_list(F.struct(F.col("chapter").cast("int"), F.col("v").cast("int")))).alias("max_verse"))
+    """(book, book_order, chapter, last): a row for each chapter with its last verse, in one aggregation."""
+    per = units.groupBy("book", "chapter").agg(F.min("book_order").cast("int").alias("book_order"), F.max("verse_no").cast("int").alias("last"))
+    return per.select("book", "book_order", F.col("chapter").cast("long").alias("chapter"), "last")
+
+
+def within_chapters(units: DataFrame, refs: list[str]) -> DataFrame:
+    """The units of the chapters that literal references name, as a filter that reaches the scan."""
+    import re
+
+    spans = set()
+    for ref in refs:
+        numbers = re.search(_SPLIT, ref.translate(str.maketrans("–—", "--")).strip())
+        if numbers:
+            found = re.sub(r"[ \t]", "", numbers[2])
+            low = int(re.match(r"\d+", found)[0])
+            high = re.search(r"-(\d+):\d+$", found) or (re.fullmatch(r"\d+-(\d+)", found))
+            spans.add((low, int(high[1]) if high else low))
+    where = F.lit(False)
+    for low, high in sorted(spans):
+        where = where | F.col("chapter").between(low, high)
+    return units.where(where)
 
 
 def parse_references(df: DataFrame, ref: str, names: DataFrame, bounds: DataFrame) -> DataFrame:
     """Adds book, book_order, spans (array of ch, vs, ve), display and error.
 
-    ``names`` and ``bounds`` hold a row for each alias and book; they are broadcast as dimension tables.
-    Chapters without a bound are errors. Spans keep the order in which they are written.
+    Each different text is read once: its spans are unfolded to chapters, joined to ``bounds`` (rows of book,
+    book_order, chapter, last) on book and chapter, and folded again. No side is broadcast by a hint, and
+    no row holds more chapters than one reference names. Chapters without a bound are errors. Spans keep
+    the order in which they are written.
     """
-    raw, numbers = split_reference(F.col(ref))
-    split = df.select("*", raw.alias("_raw"), numbers.alias("_num"))
-    met = resolve_books(split, "_raw", names, "book").join(F.broadcast(bounds), "book", "left")
-    num, top, last = F.col("_num"), F.col("chapters"), F.col("max_verse")
+    asked = df.select(F.coalesce(F.col(ref), F.lit("")).alias("_ref")).distinct()
+    raw, numbers = split_reference(F.col("_ref"))
+    split = asked.select("_ref", raw.alias("_raw"), numbers.alias("_num"))
+    tops = bounds.groupBy("book").agg(F.min("book_order").alias("book_order"), F.max("chapter").alias("_top"))
+    met = resolve_books(split, "_raw", names, "book").join(tops, "book", "left")
+    num, top = F.col("_num"), F.col("_top")
     cross, chapters, whole, verses = (num.rlike(p) for p in (r"^\d+:\d+-\d+:\d+$", r"^\d+-\d+$", r"^\d+$", r"^\d+:.+$"))
-    span = lambda ch, vs, ve: F.struct(ch.cast("int").alias("ch"), vs.cast("int").alias("vs"), ve.cast("int").alias("ve"))
-    at = lambda ch: F.try_element_at(last, ch)
-    sc, ec = _n(num, r"^(\d+)", 1), F.when(cross, _n(num, r"-(\d+):", 1)).when(chapters, _n(num, r"-(\d+)$", 1)).otherwise(_n(num, r"^(\d+)", 1))
+    span = lambda ch, vs, ve: F.struct(ch.cast("long").alias("ch"), vs.cast("int").alias("vs"), ve.cast("int").alias("ve"))
+    sc = _n(num, r"^(\d+)", 1, "long")
+    ec = F.when(cross, _n(num, r"-(\d+):", 1, "long")).when(chapters, _n(num, r"-(\d+)$", 1, "long")).otherwise(sc)
     sv, ev = _n(num, r"^\d+:(\d+)", 1), _n(num, r":(\d+)$", 1)
-    # a span for each chapter, only where both ends are known to be in bounds
-    in_bounds = (sc >= 1) & (ec <= top) & (sc <= ec)
-    steps = F.when(in_bounds, F.sequence(sc, ec))
-    over = F.transform(steps, lambda c: span(c, F.when(cross & (c == sc), sv).otherwise(1), F.when(cross & (c == ec), ev).otherwise(at(c))))
+    # a span for each chapter, only where both ends are known to be in bounds; an end that is not written is the chapter's
+    steps = F.when((sc >= 1) & (ec <= top) & (sc <= ec), F.sequence(sc, ec))
+    over = F.transform(steps, lambda c: span(c, F.when(cross & (c == sc), sv).otherwise(1), F.when(cross & (c == ec), ev)))
     parts = F.split(F.regexp_extract(num, r"^\d+:(.+)$", 1), ",")
     listed = F.transform(parts, lambda p: span(sc, _n(p, r"^(\d+)", 1), F.coalesce(_n(p, r"^\d+-(\d+)$", 1), _n(p, r"^(\d+)$", 1))))
-    spans = F.when(verses & ~cross, listed).otherwise(over)
-    bad_part = F.exists(parts, lambda p: ~p.rlike(r"^\d+(-\d+)?$"))
-    missing = F.exists(spans, lambda s: at(s["ch"]).isNull())
-    outside = F.exists(spans, lambda s: (s["vs"] < 1) | (s["ve"] < 1) | (s["vs"] > at(s["ch"])) | (s["ve"] > at(s["ch"])))
-    inverted = F.exists(spans, lambda s: s["vs"] > s["ve"])
+    spans = F.when(verses & ~cross, F.when((sc >= 1) & (sc <= top), listed)).otherwise(over)
     yes = lambda x: F.coalesce(x, F.lit(False))
-    error = (
-        F.when(F.trim(F.coalesce(F.col(ref), F.lit(""))) == "", "empty")
+    early = (
+        F.when(F.trim("_ref") == "", "empty")
         .when(num == "", "unreadable")
         .when(top.isNull(), "unknown book")
         .when(~(cross | chapters | whole | verses), "unreadable")
-        .when(verses & ~cross & yes(bad_part), "unreadable")
+        .when(verses & ~cross & yes(F.exists(parts, lambda p: ~p.rlike(r"^\d+(-\d+)?$"))), "unreadable")
         .when(~yes((sc >= 1) & (sc <= top) & (ec >= 1) & (ec <= top)), "chapter out of range")
         .when(yes(sc > ec), "inverted")
-        .when(yes(missing), "chapter out of range")
-        .when(yes(inverted & ~cross), F.when(yes(outside), "verse out of range").otherwise("inverted"))
-        .when(cross & yes((sc == ec) & (sv > ev)), F.when(yes((sv > at(sc)) | (ev > at(ec)) | (sv < 1) | (ev < 1)), "verse out of range").otherwise("inverted"))
+    )
+    read = met.select("_ref", "book", "book_order", (verses & ~cross).alias("_listed"), early.alias("_early"), spans.alias("_spans"))
+    each = read.where("_early is null").select("_ref", "book", F.posexplode("_spans").alias("_ix", "_span"))
+    last = bounds.select("book", F.col("chapter").alias("_ch"), "last")
+    bound = each.join(last.withColumnRenamed("book", "_book"), (F.col("book") == F.col("_book")) & (F.col("_span.ch") == F.col("_ch")), "left")
+    one = F.struct("_ix", F.col("_span.ch").alias("ch"), F.col("_span.vs").alias("vs"), F.coalesce("_span.ve", "last").alias("ve"), "last")
+    folded = bound.groupBy("_ref").agg(F.array_sort(F.collect_list(one)).alias("_found"))
+    found = F.col("_found")
+    outside = F.exists(found, lambda x: (x["vs"] < 1) | (x["ve"] < 1) | (x["vs"] > x["last"]) | (x["ve"] > x["last"]))
+    late = (
+        F.when(F.exists(found, lambda x: x["last"].isNull()), "chapter out of range")
         .when(yes(outside), "verse out of range")
+        .when(yes(F.exists(found, lambda x: x["vs"] > x["ve"])), "inverted")
     )
-    kept = met.withColumn("error", error).withColumn("spans", F.when(F.col("error").isNull(), spans))
-    return kept.withColumn("display", F.when(F.col("error").isNull(), display("book", "spans", "max_verse"))).drop("_raw", "_num", "chapters", "max_verse")
+    done = read.join(folded, "_ref", "left").withColumn("error", F.coalesce("_early", late))
+    good = F.col("error").isNull()
+    plain = F.transform(found, lambda x: F.struct(x["ch"].alias("ch"), x["vs"].alias("vs"), x["ve"].alias("ve")))
+    done = done.select("_ref", "book", "book_order", "error", F.when(good, plain).alias("spans"), F.when(good, display("book", "_found")).alias("display"))
+    return df.join(done, F.coalesce(F.col(ref), F.lit("")) == F.col("_ref"), "left").drop("_ref")
 
 
-def display(book, spans, max_verse) -> Column:
-    """Canonical text of spans: whole chapters without verses, ranges with their ends, lists with commas."""
-    book, spans, last = F.col(book), F.col(spans), F.col(max_verse)
+def display(book, spans) -> Column:
+    """Canonical text of spans (ch, vs, ve, last): whole chapters without verses, ranges with their ends, lists with commas."""
+    book, spans = F.col(book), F.col(spans)
     head, tail = F.element_at(spans, 1), F.element_at(spans, -1)
     text = lambda x: x.cast("string")
-    whole = lambda s: (s["vs"] == 1) & (s["ve"] == F.try_element_at(last, s["ch"]))
+    whole = lambda s: (s["vs"] == 1) & (s["ve"] == s["last"])
     verses = lambda s: F.when(s["vs"] == s["ve"], text(s["vs"])).otherwise(F.concat(text(s["vs"]), F.lit("-"), text(s["ve"])))
     one = F.when(whole(head), F.concat(book, F.lit(" "), text(head["ch"]))).otherwise(F.concat(book, F.lit(" "), text(head["ch"]), F.lit(":"), verses(head)))
     listed = F.concat(book, F.lit(" "), text(head["ch"]), F.lit(":"), F.array_join(F.transform(spans, verses), ","))
@@ -250,15 +280,16 @@ def contextual_refs(df: DataFrame, text: str, names: DataFrame, bounds: DataFram
     named = named.withColumn("_rest", rest).withColumn("_only", F.col("_found").isNotNull() & F.col("_rest").rlike("^[0-9]+$"))
     order = Window.partitionBy("_key").orderBy("part_ix").rowsBetween(Window.unboundedPreceding, 0)
     named = named.withColumn("ref_book", F.coalesce(F.last("_found", True).over(order), F.col(book)))
-    own = F.when(F.col("_rest").rlike("^[0-9]+ *:"), F.regexp_extract("_rest", "^([0-9]+)", 1).try_cast("int"))
-    named = named.withColumn("ref_chapter", F.coalesce(F.last(own, True).over(order), F.col(chapter)).cast("int"))
+    own = F.when(F.col("_rest").rlike("^[0-9]+ *:"), F.regexp_extract("_rest", "^([0-9]+)", 1).try_cast("long"))
+    named = named.withColumn("ref_chapter", F.coalesce(F.last(own, True).over(order), F.col(chapter)).cast("long"))
     verses = F.split(F.regexp_replace("_rest", "^[0-9]+ *:", ""), ",")
     pieces = named.select("*", F.explode_outer(F.filter(F.transform(verses, F.trim), lambda p: p != "")).alias("_piece"))
     low, high = F.regexp_extract("_piece", "^([0-9]+)", 1).try_cast("int"), F.regexp_extract("_piece", "([0-9]+)$", 1).try_cast("int")
     good = F.coalesce(F.col("_piece").rlike("^[0-9]+( *- *[0-9]+)?$"), F.lit(False)) & ~F.col("_only")
     listed = F.when(good, F.sequence(F.least(low, high), F.greatest(low, high)))
-    out = pieces.select("*", F.explode_outer(listed).alias("ref_verse")).join(F.broadcast(bounds.select(F.col("book").alias("ref_book"), "max_verse")), "ref_book", "left")
-    fits = F.coalesce((F.col("ref_verse") >= 1) & (F.col("ref_verse") <= F.try_element_at("max_verse", F.col("ref_chapter"))), F.lit(False))
+    last = bounds.select(F.col("book").alias("_last_book"), F.col("chapter").alias("_last_chapter"), "last")
+    out = pieces.select("*", F.explode_outer(listed).alias("ref_verse")).join(last, (F.col("ref_book") == F.col("_last_book")) & (F.col("ref_chapter") == F.col("_last_chapter")), "left")
+    fits = F.coalesce((F.col("ref_verse") >= 1) & (F.col("ref_verse") <= F.col("last")), F.lit(False))
     outcome = F.when(F.col("_only"), "chapter only").when(F.col("ref_verse").isNull(), "unreadable").when(fits, "ok").otherwise("invalid")
     return out.withColumn("outcome", outcome).select(*df.columns, "part_ix", "ref_book", "ref_chapter", "ref_verse", "outcome")
 

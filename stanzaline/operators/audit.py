@@ -56,8 +56,9 @@ def untraced(rows: DataFrame, source: str, listed: DataFrame) -> DataFrame:
     return rows.select(source).distinct().join(listed, source, "left_anti")
 
 
-def unresolved(parsed: DataFrame, ref: str) -> DataFrame:
-    return parsed.where("error is not null").select(ref, "error")
+def unresolved(parsed: DataFrame) -> DataFrame:
+    """References that could not be read or do not exist, with their error."""
+    return parsed.where("error is not null")
 
 
 def gaps(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -48,11 +48,15 @@ _PASSAGES = ["src3 3:1-2", "src7 7", "src5 5:1,3", "src0 20:2", "nowhere 1", "sr
 
 
 def passages(spark: SparkSession, units: DataFrame, refs: list[str]) -> DataFrame:
-    """Verses of literal references, in the order of reference, span and verse; unreadable ones give none."""
-    names = units.select(F.lower("book").alias("alias"), "book").where("book is not null").distinct()
+    """Verses of literal references, in the order of reference, span and verse; unreadable ones give none.
+
+    Only the chapters that they name are read, for their bounds and for their text.
+    """
+    own = R.within_chapters(units, refs)
+    names = own.select(F.lower("book").alias("alias"), "book").where("book is not null").distinct()
     asked = spark.createDataFrame(list(enumerate(refs)), "ref_ix int, ref string")
-    parsed = R.parse_references(asked, "ref", names, R.bounds_of(units))
-    return J.resolve_passages(parsed, units)
+    parsed = R.parse_references(asked, "ref", names, R.bounds_of(own))
+    return J.resolve_passages(parsed, own)
 
 
 @query("j07_passage", """with r as (select * from (values (0, 0, 'src3', 3, 1, 2), (1, 0, 'src7', 7, 1, 999999), (2, 0, 'src5', 5, 1, 1), (2, 1, 'src5', 5, 3, 3), (3, 0, 'src0', 20, 2, 2)) t(ref_ix, span_ix, book, chapter, vs, ve)),

@@ -31,6 +31,13 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def lessons(spark: SparkSession, d: str) -> DataFrame:
+    """The units again, with ten consecutive chapters a book; books have names of letters."""
+    number = F.floor(F.col("chapter") / 10)
+    name = F.concat(F.lit("b"), F.translate(number.cast("string"), "0123456789", "abcdefghij"))
+    return units(spark, d).select("translation", name.alias("book"), number.cast("int").alias("book_order"), (F.col("chapter") % 10 + 1).alias("chapter"), "verse", "verse_no", "text")
+
+
 def notes(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     sv = F.col("p_partkey") % 5
@@ -95,6 +102,7 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "units": """select lang as translation, source as book, try_cast(substr(source, 4, 9) as int) as book_order, doc_id as chapter, cast(pos as varchar) as verse, cast(pos as int) as verse_no, line as text
         from (select lang, source, doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from (select *, string_split(text, chr(10)) as l from documents)) where trim(line) <> ''""",
+    "lessons": """select translation, 'b' || translate(cast(chapter // 10 as varchar), '0123456789', 'abcdefghij') as book, cast(chapter // 10 as int) as book_order, chapter % 10 + 1 as chapter, verse, verse_no, text from units""",
     "notes": """select p_partkey as id, p_brand as source_id, cast(p_partkey % 20 as int) as book_order, cast(1 + p_partkey % 4 as int) as sc, cast(p_partkey % 5 as int) as sv,
         cast(1 + p_partkey % 4 + (case when p_partkey % 11 = 0 then 1 else 0 end) as int) as ec, cast(case when p_partkey % 7 = 0 then 0 else p_partkey % 5 + p_size % 3 end as int) as ev, p_name as text from part""",
     "keys": "select distinct cast(l_suppkey % 20 as int) as book_order, cast(1 + l_partkey % 6 as int) as ch, cast(l_linenumber as int) as v from lineitem",

@@ -93,19 +93,9 @@ def _(s, d):
     return ten.select(big(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("o_totalprice"), "o_orderkey"))).alias("n"), "o_orderkey")
 
 
-@query("w14_first_seen", """select n.id, min((k.ch, k.v)).ch as ch, min((k.ch, k.v)).v as v from (select distinct book_order, ch, v from keys where ch <= 3) k join notes n on n.book_order = k.book_order
-and ((n.sc < k.ch) or (n.sc = k.ch and (n.sv = 0 or n.sv <= k.v))) and ((n.ec > k.ch) or (n.ec = k.ch and (n.ev = 0 or n.ev >= k.v))) group by n.id""".replace("min((k.ch, k.v)).ch", "min(struct_pack(ch := k.ch, v := k.v)).ch").replace("min((k.ch, k.v)).v", "min(struct_pack(ch := k.ch, v := k.v)).v"), "keys notes")
-def _(s, d):
-    from ..operators.joins import covering_notes
-
-    met = covering_notes(lens.keys(s, d).where("ch <= 3"), lens.notes(s, d))
-    return W.first_seen(met, ["id"], ["ch", "v"]).select("id", "ch", "v")
-
-
-@query("w14_first_seen_all", """select id, ch, v from (select n.id, k.ch, k.v, row_number() over (partition by n.id order by k.ch, k.v) as rn from keys k join notes n on n.book_order = k.book_order
+@query("w14_first_seen", """select id, ch, v from (select n.id, k.ch, k.v, row_number() over (partition by n.id order by k.ch, k.v) as rn from keys k join notes n on n.book_order = k.book_order
 and ((n.sc < k.ch) or (n.sc = k.ch and (n.sv = 0 or n.sv <= k.v))) and ((n.ec > k.ch) or (n.ec = k.ch and (n.ev = 0 or n.ev >= k.v)))) where rn = 1""", "keys notes")
 def _(s, d):
-    """As w14_first_seen, with the keys of all chapters."""
     from ..operators.joins import covering_notes
 
     return W.first_seen(covering_notes(lens.keys(s, d), lens.notes(s, d)), ["id"], ["ch", "v"]).select("id", "ch", "v")

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import lifecycle as L
 from . import lens
 from .lens import query, table
+from .texts import LESSONS_SQL, _lesson_parsed
 
 
 def _changes(s, d):
@@ -88,11 +89,10 @@ def _(s, d):
     return A.starts_within(docs.select("doc_id", F.col("text").alias("raw")), docs.select("doc_id", F.substring("text", 3, 40).alias("text")), "doc_id", "raw", "text")
 
 
-@query("v07_refs_resolve", "select * from (values ('src3 9999', 'chapter out of range'), ('nowhere 1:1', 'unknown book'), ('src3 3:0', 'verse out of range'), ('src3 3:2-1', 'inverted'), ('', 'empty'), ('src3', 'unreadable'), ('src3 3:x', 'unreadable'), ('src5 5:1-2', '')) t(ref, error) where error <> '' and ref not in ('src5 5:1-2', 'src3 3:2-1')")
+@query("v07_refs_resolve", "with " + LESSONS_SQL + " select of, form, error from f where error is not null", "units lessons")
 def _(s, d):
-    from .texts import _parsed
-
-    return A.unresolved(_parsed(s, d), "ref").where(F.col("ref").isin("src3 9999", "nowhere 1:1", "src3 3:0", "", "src3", "src3 3:x"))
+    """References that do not resolve, of all forms to all books."""
+    return A.unresolved(_lesson_parsed(s, d)).select("of", "form", "error")
 
 
 @query("v08_traceable", "select distinct source_id from notes where source_id not in ('Brand#11', 'Brand#12')", "notes")

@@ -180,18 +180,9 @@ def _(s, d):
     return J.overlap_tiers(asked, lens.anchors(s, d)).select("ch", "v", "dev_id", "tier")
 
 
-@query("j08_compare", """with w as (select * from units where verse_no <= 3)
-select book, verse_no, coalesce(min(text) filter (where translation = 'en'), '') as en, coalesce(min(text) filter (where translation = 'de'), '') as de, coalesce(min(text) filter (where translation = 'fr'), '') as fr
-from w where translation in ('en', 'de', 'fr') group by book, verse_no""", "units")
-def _(s, d):
-    side = J.side_by_side(lens.units(s, d).where("verse_no <= 3"), ["en", "de", "fr"], ["book", "verse_no"])
-    return side.select("book", "verse_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("en", "de", "fr")))
-
-
-@query("j08_compare_all", """select book, verse_no, coalesce(min(text) filter (where translation = 'en'), '') as en, coalesce(min(text) filter (where translation = 'de'), '') as de, coalesce(min(text) filter (where translation = 'fr'), '') as fr
+@query("j08_compare", """select book, verse_no, coalesce(min(text) filter (where translation = 'en'), '') as en, coalesce(min(text) filter (where translation = 'de'), '') as de, coalesce(min(text) filter (where translation = 'fr'), '') as fr
 from units where translation in ('en', 'de', 'fr') group by book, verse_no""", "units")
 def _(s, d):
-    """As j08_compare, with the keys of all verses."""
     side = J.side_by_side(lens.units(s, d), ["en", "de", "fr"], ["book", "verse_no"])
     return side.select("book", "verse_no", *(F.coalesce(c, F.lit("")).alias(c) for c in ("en", "de", "fr")))
 
@@ -288,14 +279,15 @@ def _(s, d):
     return lens.units(s, d).groupBy("book_order", "book").agg(F.max("chapter").alias("chapters")).orderBy("book_order")
 
 
-@query("a04_bounds", """with t as (select book, chapter, max(verse_no) as v from units group by all)
-select book, count(*) as chapters, string_agg(cast(chapter as varchar) || ':' || cast(v as varchar), ',' order by chapter) as max_verse from t group by book""", "units")
+@query("a04_bounds", """with t as (select book, chapter, max(verse_no) as v from lessons group by all)
+select book, count(*) as chapters, string_agg(cast(chapter as varchar) || ':' || cast(v as varchar), ',' order by chapter) as max_verse from t group by book""", "units lessons")
 def _(s, d):
+    """Last verses by chapter, then a map for each book, which has few chapters at any size of the table."""
     from ..functions.refs import bounds_of
 
-    b = bounds_of(lens.units(s, d))
-    entries = F.array_sort(F.map_entries("max_verse"))
-    return b.select("book", big(F.size("max_verse")).alias("chapters"), F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("max_verse"))
+    entries = F.map_entries(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chapter", "last")))))
+    text = F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return bounds_of(lens.lessons(s, d)).groupBy("book").agg(F.count("*").alias("chapters"), text.alias("max_verse"))
 
 
 @query("a05_nullable_count", "select c.c_nationkey, count(o.o_orderkey) as n from customer c left join orders o on o.o_custkey = c.c_custkey group by all")

@@ -70,40 +70,68 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", asked.alias("asked")).select("p_partkey", F.when(F.col("asked").isNull(), S.checked_limit()).when(F.col("asked").between(low, high), F.col("asked")).alias("shown"), (F.col("asked").isNotNull() & ~F.coalesce(F.col("asked").between(low, high), F.lit(True))).alias("error"))
 
 
-# ---- the reference grammar, over literal references and the tables' own bounds
+# ---- the reference grammar, over references to every book of the tables
 
 
-_REFS = ["src3 3", "Src3 3:1", "src5 5:1-2", "src7 7:1,2", "src3 3-23", "src3 3:1-23:1", "src3 9999", "nowhere 1:1", "src3 3:0", "src3 3:2-1", "", "src3", "src3 3:x"]
+#: References to each book, in every form that can be read and every one that cannot; {b} is the book.
+_FORMS = ["{b} 4", "{b} 2-4", "{b} 2:1-3:1", "{b} 5:1,2", "{b} 5:1–2", "{b} 11", "{b} 2:0", "{b} 2:2-1", "{b} 4-2", "x{b} 1", "{b}", "{b} 2:x", "{b}. 4:1, 3-2"]
 
 
-def _names(s, d):
-    own = table(s, d, "documents").select(F.lower("source").alias("alias"), F.col("source").alias("book")).where("source is not null").distinct()
-    return own
+def _lesson_refs(s, d):
+    """(book, form, ref) of every book and form."""
+    books = lens.lessons(s, d).select("book").distinct()
+    forms = F.array(*(F.replace(F.lit(f), F.lit("{b}"), F.initcap("book")) for f in _FORMS))
+    return books.select("book", F.posexplode(forms).alias("form", "ref"))
 
 
-def _parsed(s, d, translation=None):
-    units = lens.units(s, d)
-    bounds = R.bounds_of(units if translation is None else units.where(F.col("translation") == translation))
-    asked = s.createDataFrame(list(enumerate(_REFS)), "ref_ix int, ref string")
-    return R.parse_references(asked, "ref", _names(s, d), bounds)
+def _lesson_parsed(s, d):
+    lessons = lens.lessons(s, d)
+    names = lessons.select(F.col("book").alias("alias"), "book").distinct()
+    asked = _lesson_refs(s, d).withColumnRenamed("book", "of")
+    return R.parse_references(asked, "ref", names, R.bounds_of(lessons))
 
 
-@query("g01_resolve_book", "select * from (values ('1John', '1 John'), ('1 Jn', '1 John'), ('I John', '1 John'), ('Ps.', 'Psalms'), ('song  of solomon', 'Song of Songs'), ('1st sam', '1 Samuel'), ('iii john', '3 John'), ('Foo', '')) t(raw, book)")
+#: (of, form, spans, display, error) of _FORMS in SQL, from the last verses of chapters 2 to 5.
+LESSONS_SQL = """b as (select book, chapter, max(verse_no) as v from lessons group by all),
+k as (select book as of, max(chapter) as top, max(v) filter (where chapter = 2) as c2, max(v) filter (where chapter = 3) as c3, max(v) filter (where chapter = 4) as c4, max(v) filter (where chapter = 5) as c5 from b group by book),
+f as (select of, 0 as form, case when c4 is null then 'chapter out of range' end as error, '4:1-' || c4 as spans, of || ' 4' as display from k
+union all select of, 1, case when c2 is null or c3 is null or c4 is null then 'chapter out of range' end, '2:1-' || c2 || ';3:1-' || c3 || ';4:1-' || c4, of || ' 2-4' from k
+union all select of, 2, case when c2 is null or c3 is null then 'chapter out of range' end, '2:1-' || c2 || ';3:1-1', of || case when c3 = 1 then ' 2-3' else ' 2:1-3:1' end from k
+union all select of, 3, case when c5 is null then 'chapter out of range' when c5 < 2 then 'verse out of range' end, '5:1-1;5:2-2', of || ' 5:1,2' from k
+union all select of, 4, case when c5 is null then 'chapter out of range' when c5 < 2 then 'verse out of range' end, '5:1-2', of || case when c5 = 2 then ' 5' else ' 5:1-2' end from k
+union all select of, 5, 'chapter out of range', null, null from k
+union all select of, 6, case when c2 is null then 'chapter out of range' else 'verse out of range' end, null, null from k
+union all select of, 7, case when c2 is null then 'chapter out of range' when c2 < 2 then 'verse out of range' else 'inverted' end, null, null from k
+union all select of, 8, case when top < 4 then 'chapter out of range' else 'inverted' end, null, null from k
+union all select of, 9, 'unknown book', null, null from k
+union all select of, 10, 'unreadable', null, null from k
+union all select of, 11, 'unreadable', null, null from k
+union all select of, 12, case when c4 is null then 'chapter out of range' when c4 < 3 then 'verse out of range' else 'inverted' end, null, null from k)"""
+
+
+@query("g01_resolve_book", """with r as (select distinct l_partkey % 6 as form, l_partkey % 73 as nth from lineitem),
+n as (select list_transform(string_split('{names}', '|'), lambda x: x) as names)
+select form, nth, case when form = 5 then '' else names[cast(nth + 1 as int)] end as book from r, n""".replace("{names}", "|".join(R.books())))
 def _(s, d):
-    asked = s.createDataFrame([(x,) for x in ("1John", "1 Jn", "I John", "Ps.", "song  of solomon", "1st sam", "iii john", "Foo")], "raw string")
-    return R.resolve_books(asked, "raw", R.aliases(s)).select("raw", F.coalesce("book", F.lit("")).alias("book"))
+    """Names of books that the table's numbers pick, in six writings of which the last is no name."""
+    picked = table(s, d, "lineitem").select((F.col("l_partkey") % 6).alias("form"), (F.col("l_partkey") % 73).alias("nth")).distinct()
+    name = F.element_at(F.lit(R.books()), (F.col("nth") + 1).cast("int"))
+    numeral = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "^3 ", "III "), "^2 ", "ii "), "^1 ", "I ")
+    ordinal = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "^3 ", "3rd "), "^2 ", "2nd "), "^1 ", "1st ")
+    raw = F.when(F.col("form") == 0, F.upper(name)).when(F.col("form") == 1, F.regexp_replace(name, "^([123]) ", "$1")).when(F.col("form") == 2, numeral).when(F.col("form") == 3, ordinal)
+    raw = raw.when(F.col("form") == 4, F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit("  ")), F.lit(". "))).otherwise(F.concat(F.lit("x"), name))
+    return R.resolve_books(picked.withColumn("raw", raw), "raw", R.aliases(s)).select("form", "nth", F.coalesce("book", F.lit("")).alias("book"))
 
 
-@query("g02_parse", """with b as (select book, chapter, max(verse_no) as v from units group by all)
-select 'src3 3' as ref, '3:1-' || (select v from b where book = 'src3' and chapter = 3) as spans union all select 'src3 9999', 'chapter out of range' union all select 'nowhere 1:1', 'unknown book' union all select 'src3 3:0', 'verse out of range' union all select '', 'empty'""", "units")
+@query("g02_parse", "with " + LESSONS_SQL + " select of, form, coalesce(error, spans) as spans from f", "units lessons")
 def _(s, d):
     text = F.array_join(F.transform("spans", lambda x: F.format_string("%d:%d-%d", x["ch"], x["vs"], x["ve"])), ";")
-    return _parsed(s, d).where(F.col("ref").isin("src3 3", "src3 9999", "nowhere 1:1", "src3 3:0", "")).select("ref", F.coalesce("error", text).alias("spans"))
+    return _lesson_parsed(s, d).select("of", "form", F.coalesce("error", text).alias("spans"))
 
 
-@query("g04_display")
+@query("g04_display", "with " + LESSONS_SQL + " select of, form, coalesce(error, display) as shown from f", "units lessons")
 def _(s, d):
-    return _parsed(s, d).select("ref", F.coalesce("display", "error").alias("shown"))
+    return _lesson_parsed(s, d).select("of", "form", F.coalesce("error", "display").alias("shown"))
 
 
 @query("g06_range_display", """select id, case when sv = 0 and ev = 0 then 'B ' || sc || (case when sc = ec then '' else '-' || ec end) when sc = ec and sv = ev then 'B ' || sc || ':' || sv when sc = ec then 'B ' || sc || ':' || sv || '-' || ev else 'B ' || sc || ':' || sv || '-' || ec || ':' || ev end as shown from notes""", "notes")
@@ -111,24 +139,37 @@ def _(s, d):
     return lens.notes(s, d).select("id", R.range_display(F.lit("B"), "sc", "sv", "ec", "ev").alias("shown"))
 
 
-@query("g07_contextual_refs", "select * from (values ('src3', 3, 1, 'ok'), ('src3', 3, 9000, 'invalid'), ('src5', 5, 1, 'ok'), ('src5', -1, -1, 'chapter only')) t(ref_book, ref_chapter, ref_verse, outcome)")
+@query("g07_contextual_refs", """with b as (select book, chapter, max(verse_no) as v from lessons group by all), k as (select distinct book, book_order from lessons),
+n as (select k.book, coalesce(x.book, k.book) as nx from k left join k x on x.book_order = k.book_order + 1),
+p as (select book as of, 0 as part_ix, book as ref_book, 3 as ref_chapter, unnest([1, 9000]) as ref_verse from n
+union all select book, 1, nx, 5, unnest([1, 2]) from n union all select book, 2, nx, 5, 2 from n union all select book, 3, book, null, null from n)
+select p.of, p.part_ix, p.ref_book, coalesce(p.ref_chapter, -1) as ref_chapter, coalesce(p.ref_verse, -1) as ref_verse, case when p.ref_verse is null then 'chapter only' when b.v >= p.ref_verse then 'ok' else 'invalid' end as outcome
+from p left join b on b.book = p.ref_book and b.chapter = p.ref_chapter""", "units lessons")
 def _(s, d):
-    units = lens.units(s, d)
-    asked = s.createDataFrame([("3:1,9000; Beta 5:1", "src3", 1), ("beta 7", "src3", 1)], "refs string, cur_book string, cur_chapter int")
-    names = s.createDataFrame([("alpha", "src3"), ("beta", "src5")], "alias string, book string")
-    out = R.contextual_refs(asked, "refs", names, R.bounds_of(units))
-    return out.select("ref_book", F.when(F.col("outcome") == "chapter only", -1).otherwise(F.col("ref_chapter")).alias("ref_chapter"), F.coalesce("ref_verse", F.lit(-1)).alias("ref_verse"), "outcome")
+    """Lists whose parts take book and chapter from the ones before; the second book is the next of the canon."""
+    lessons = lens.lessons(s, d)
+    books = lessons.select("book", "book_order").distinct()
+    nx = books.select(F.col("book").alias("nx"), (F.col("book_order") - 1).alias("book_order"))
+    named = books.join(nx, "book_order", "left").withColumn("nx", F.coalesce("nx", "book"))
+    refs = F.concat(F.lit("3:1,9000; "), F.initcap("nx"), F.lit(" 5:2-1;2. ; "), F.col("book"), F.lit(" 7"))
+    asked = named.select(F.col("book").alias("of"), refs.alias("refs"), F.col("book").alias("cur_book"), F.lit(1).alias("cur_chapter"))
+    out = R.contextual_refs(asked, "refs", lessons.select(F.col("book").alias("alias"), "book").distinct(), R.bounds_of(lessons))
+    return out.select("of", "part_ix", "ref_book", F.when(F.col("outcome") == "chapter only", -1).otherwise(F.col("ref_chapter")).alias("ref_chapter"), F.coalesce("ref_verse", F.lit(-1)).alias("ref_verse"), "outcome")
 
 
-@query("g09_anchor_forms", "select * from (values ('2 Peter 1:5, 7', '2 Peter 1:5; 2 Peter 1:7'), ('Jude 20', 'Jude 1:20'), ('Romans 14:7.', 'Romans 14:7'), ('A 1:1; Jude 3', 'A 1:1; Jude 1:3')) t(raw, refs)")
+@query("g09_anchor_forms", """select p_partkey, case p_partkey % 4 when 0 then p_brand || ' ' || p_size || ':5; ' || p_brand || ' ' || p_size || ':7' when 1 then 'Jude 1:' || p_size when 2 then p_brand || ' ' || p_size || ':7' else p_brand || ' 1:1; Jude 1:' || p_size end as refs from part""")
 def _(s, d):
-    asked = s.createDataFrame([("2 Peter 1:5, 7",), ("Jude 20",), ("Romans 14:7.",), ("A 1:1; Jude 3",)], "raw string")
-    return asked.select("raw", R.normal_anchors(F.col("raw"), ["Jude", "Obadiah"]).alias("refs"))
+    brand, size = F.col("p_brand"), F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(brand, F.lit(" "), size, F.lit(":5, 7"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Jude "), size))
+    raw = raw.when(F.col("p_partkey") % 4 == 2, F.concat(brand, F.lit(" "), size, F.lit(":7."))).otherwise(F.concat(brand, F.lit(" 1:1; Jude "), size))
+    return table(s, d, "part").select("p_partkey", R.normal_anchors(raw, ["Jude", "Obadiah"]).alias("refs"))
 
 
-@query("g10_skip_unreadable")
+@query("g10_skip_unreadable", "with " + LESSONS_SQL + " select of, string_agg(display, '; ' order by form) as shown from f where error is null group by of", "units lessons")
 def _(s, d):
-    return _parsed(s, d).where("error is null").select("ref_ix", "display")
+    """Each book's list of references, with those left out that cannot be read."""
+    good = _lesson_parsed(s, d).where("error is null").groupBy("of").agg(F.array_sort(F.collect_list(F.struct("form", "display"))).alias("all"))
+    return good.select("of", F.array_join(F.transform("all", lambda x: x["display"]), "; ").alias("shown"))
 
 
 @query("g11_lexicon_number", "select id, 'H' || cast(cast(substr(number, 2) as int) as varchar) as base from lex", "lex")
@@ -136,9 +177,14 @@ def _(s, d):
     return lens.lex(s, d).select("id", R.lexicon_number(F.concat(F.lit(" "), F.lower("number"), F.lit(" "))).alias("base"))
 
 
-@query("g12_roman", "select * from (values ('xiv', 14), ('MCMXC', 1990), ('iv', 4), ('xc', 90), ('abc', -1)) t(raw, n)")
+@query("g12_roman", """with p as (select p_partkey, p_partkey % 3999 + 1 as n from part)
+select p_partkey, case when p_partkey % 5 = 0 then -1 else n end as n from p""")
 def _(s, d):
-    return s.createDataFrame([(x,) for x in ("xiv", "MCMXC", "iv", "xc", "abc")], "raw string").select("raw", F.coalesce(R.roman(F.col("raw")), F.lit(-1)).alias("n"))
+    """Numbers of the table written in roman digits and read again; every fifth spoilt by another letter."""
+    part = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 3999 + 1).alias("n"))
+    digit = lambda place, ones: F.element_at(F.lit(["", *(p.translate(str.maketrans("ivx", ones)) for p in "i ii iii iv v vi vii viii ix".split())]), (F.floor(F.col("n") / place) % 10 + 1).cast("int"))
+    raw = F.concat(F.repeat(F.lit("M"), F.floor(F.col("n") / 1000).cast("int")), digit(100, "cdm"), digit(10, "xlc"), digit(1, "ivx"), F.when(F.col("p_partkey") % 5 == 0, "a").otherwise(""))
+    return part.select("p_partkey", F.coalesce(R.roman(raw), F.lit(-1)).cast("long").alias("n"))
 
 
 @query("g15_remap", r"select o_orderkey, case when o_orderkey % 3 = 0 then o_orderkey % 7 else o_orderkey % 5 end as ch, greatest(1, case when o_orderkey % 3 = 0 then o_orderkey % 4 else o_orderkey % 6 end) as v from orders")

@@ -10,7 +10,9 @@ BOUNDS = [("Genesis", 0, 2, {1: 31, 2: 25}), ("Psalms", 18, 150, {23: 6}), ("Joh
 
 @pytest.fixture(scope="module")
 def parse(spark):
-    bounds = spark.createDataFrame(BOUNDS, "book string, book_order int, chapters int, max_verse map<int,int>")
+    # a chapter that is not listed has no bound; the last one of a book has one verse where nothing else is known
+    rows = [(book, order, c, v) for book, order, top, verses in BOUNDS for c, v in {top: 1, **verses}.items()]
+    bounds = spark.createDataFrame(rows, "book string, book_order int, chapter long, last int")
 
     def run(refs):
         asked = spark.createDataFrame([(r,) for r in refs], "ref string")
@@ -61,3 +63,20 @@ def test_every_book_is_its_own_alias(spark):
     assert len(R.books()) == 73 and len({a for a, _ in rows}) == len(rows)
     asked = spark.createDataFrame([(a, b) for a, b in rows], "raw string, want string")
     assert R.resolve_books(asked, "raw", R.aliases(spark)).where(~F.col("book").eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_repeated_and_missing_references(spark, parse):
+    """Equal texts are read once and keep their rows; a null is empty."""
+    bounds = spark.createDataFrame([("Genesis", 0, 5_000_000_000, 3)], "book string, book_order int, chapter long, last int")
+    asked = spark.createDataFrame([(1, "Genesis 5000000000:2"), (2, "Genesis 5000000000:2"), (3, None), (4, "gn 5000000000")], "id int, ref string")
+    got = {r.id: r for r in R.parse_references(asked, "ref", R.aliases(spark), bounds).collect()}
+    assert [got[k].display for k in (1, 2, 4)] == ["Genesis 5000000000:2", "Genesis 5000000000:2", "Genesis 5000000000"]
+    assert got[3].error == "empty" and got[1].spans[0].ch == 5_000_000_000
+
+
+def test_literal_references_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("B", k, 1, "x") for k in range(50)], "book string, chapter long, verse_no int, text string").write.parquet(str(tmp_path / "u"))
+    units = spark.read.parquet(str(tmp_path / "u"))
+    asked = R.within_chapters(units, ["B 3", "B 7-9", "B 11:2-12:1", "B 20:1,2-3", "B", "", "B 40–41"])
+    assert sorted(r.chapter for r in asked.collect()) == [3, 7, 8, 9, 11, 12, 20, 40, 41]
+    assert "PushedFilters: [Or" in asked._jdf.queryExecution().toString()
