@@ -7,13 +7,15 @@ interval that a weight ends in is thinned, so bags with different weights see ne
 registers agree with a probability equal to the weighted Jaccard similarity.
 
 Registers are banded. Documents that share a band are checked by exact multiset overlap: every one
-against its bucket's least document first; buckets whose documents are still in several components
-after that are checked pair by pair in blocks. Copies of the same words are one node throughout.
+against its bucket's least document first. Where a bucket's documents are still in several components
+after that, those outside its largest component are checked, in blocks, against all that lie in another
+component than they. Copies of the same words are one node throughout.
 
 Defined cases: a null or empty text (or one of blanks) has no shingles and is linked with nothing; a
-text of one to four words is one shingle; repeated rows, and rows that tie on doc_id, are documents of
-their own that fall in the group of their words; a null doc_id is never the least of a group that has
-another; an empty table gives no rows; extra columns are left out.
+text of one to four words is one shingle; very long texts are single bags, one in memory at a time where
+signatures are made; of the rows of a group the one with the least doc_id, nulls last, and then the least
+hash of doc_id and text is kept, so rows that tie on doc_id and rows without one are told apart; equal
+rows are kept or not together; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Documents of a block in pairwise checks.
 BLOCK = 128
+#: Documents that one task compares with the least of their bucket.
+FAN = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = np.arange(1, 65, dtype=np.uint64) * _GOLD
 _UNIT = float(2.0**-53)
@@ -146,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end += 1
             bags = [shingles(t or b"") for t in texts[at:end]]
             keys = bands(signatures(bags)).view(np.int64)
-            nodes = [_node(t) if len(b[0]) else None for t, b in zip(texts[at:end], bags)]
+            nodes = [_node(t) if len(b[0]) else None for t, b in zip(texts[at:end], bags)]  # equal words, equal node
             yield pa.RecordBatch.from_arrays([pa.array(ids[at:end], pa.int64()), pa.array(rows[at:end], pa.int64()), pa.array(nodes, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "row", "node", "bands"])
             at = end
 
@@ -181,10 +185,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check_block(table: pa.Table) -> pa.Table:
-    """Links between documents of one bucket's two blocks that lie in different components."""
-    node, part, text = (table.column(n).to_pylist() for n in ("node", "component", "text"))
-    side = table.column("side").to_pylist()
-    same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    """Links of one bucket's block of outsiders with a block of its members that lie in other components."""
+    node, part, text, outside = (table.column(n).to_pylist() for n in ("node", "component", "text", "outside"))
     bags = [shingles(t) for t in text]
     total = [int(b[1].sum()) for b in bags]
     root: dict[int, int] = {}
@@ -195,10 +197,9 @@ def _check_block(table: pa.Table) -> pa.Table:
         return x
 
     links = []
-    for i in range(len(node)):
-        for j in range(i + 1, len(node)):
-            if not same and side[i] == side[j]:
-                continue
+    members = [k for k, o in enumerate(outside) if not o]
+    for i in (k for k, o in enumerate(outside) if o):
+        for j in members:
             a, b = find(part[i]), find(part[j])
             if a != b and min(total[i], total[j]) >= SIMILAR * max(total[i], total[j]) and overlap(bags[i], bags[j]) >= SIMILAR:
                 root[max(a, b)] = min(a, b)
@@ -206,58 +207,69 @@ def _check_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
+def _compare_least(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of (a, b, n): b, the least of a bucket of n, goes to as many tasks as its fan needs."""
+    salts = F.greatest(F.ceil(F.col("n") / FAN), F.lit(1)).cast("int")
+    fans = stars.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    least = fans.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    others = stars.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    return others.join(least, ["b", "salt"]).select("a", "text_a", "b", "text_b").mapInArrow(_verify, "a long, b long")
+
+
+def _compare_across(keyed: DataFrame, shared: DataFrame, part: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components of one bucket.
+
+    Only documents outside a bucket's largest component are dealt anew, each in its block against all
+    blocks of members: if they are few, every member is sent along once.
+    """
+    # buckets with the same members are one
+    once = common.materialize(shared.groupBy("n", "members", "least").agg(F.min("band").alias("band")).where("n > 2"), "once")
+    member = common.spread_join(keyed, once.select("band", "n"), "band", "node").join(part, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
+    member = common.materialize(member, "member")
+    parts = member.groupBy("band", "n", "component").agg(F.count("*").alias("rows"))
+    open_ = parts.groupBy("band", "n").agg(F.max(F.struct("rows", "component")).alias("top")).where("top.rows < n")
+    open_ = common.materialize(open_.select("band", "n", F.col("top.component").alias("main"), (F.col("n") - F.col("top.rows")).alias("out")), "open")
+    member = common.spread_join(member.drop("n"), open_, "band", "node")
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node"), count(c)).cast("int")
+    to_all = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    outside = member.where("component <> main").select("band", "node", "component", own("out").alias("x"), to_all("n").alias("y"), F.lit(True).alias("outside"))
+    inside = member.select("band", "node", "component", to_all("out").alias("x"), own("n").alias("y"), F.lit(False).alias("outside"))
+    dealt = outside.unionAll(inside).join(texts, "node")
+    return dealt.groupBy("band", "x", "y").applyInArrow(_check_block, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row (its hash), group_id (least doc_id of the group), n_links and kept for every row.
 
     ``n_links`` counts the verified links of the row's words to other words that the groups were built
-    from; copies are not counted. A row is kept when its doc_id is its group's.
+    from; copies are not counted.
     """
     signed = common.materialize(sign(docs), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(at).alias("at"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members")).where("n > 1")
     shared = common.materialize(shared, "shared")
-    stars = common.materialize(keyed.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    stars = common.spread_join(keyed, shared, "band", "node").where("node <> least")
+    stars = common.materialize(stars.groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.max("n").alias("n")), "stars")
 
-    # texts of nodes in some bucket, each from the row with its least doc_id
+    # texts of nodes in some bucket, each from the row that stands for it
     wanted = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node"))).distinct()
-    source = nodes.join(wanted, "node", "left_semi").select("node", F.col("doc_id").alias("of"))
-    found = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("binary").alias("text"))
-    texts = common.materialize(_only_own(found.join(source, found["of"].eqNullSafe(source["of"]))), "texts")
+    source = nodes.join(wanted, "node", "left_semi").select("node", F.col("at.row").alias("row"))
+    found = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")).join(source, "row")
+    texts = common.materialize(found.dropDuplicates(["row"]).select("node", "text"), "texts")
 
-    pairs = stars.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = common.materialize(pairs.select("a", "text_a", "b", "text_b").mapInArrow(_verify, "a long, b long"), "links")
-
-    part = components(links)
-    # buckets with the same members are one; those whose documents are all in one component, or are a pair, are settled
-    once = shared.groupBy("n", "members", "least").agg(F.min("band").alias("band")).where("n > 2")
-    member = keyed.join(once.select("band", "n"), "band").join(part, "node", "left").select("band", "n", "node", F.coalesce("component", "node").alias("component"))
-    open_ = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    member = common.materialize(member.join(open_, "band"), "member")
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), count).cast("int")
-    dealt = member.select("*", count.alias("blocks"), own.alias("own")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rest = dealt.join(texts, "node").groupBy("band", "x", "y").applyInArrow(_check_block, "a long, b long")
-    links = common.materialize(links.unionAll(rest), "links")
+    links = common.materialize(_compare_least(stars, texts), "links")
+    rest = common.materialize(_compare_across(keyed, shared, components(links), texts), "links")
+    links = links.unionAll(rest)
     part = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    where = nodes.select("node", "doc_id").join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = where.groupBy("component").agg(F.min("doc_id").alias("group_id"))
-    where = where.join(least, "component").join(degree, "node", "left").select("node", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    where = nodes.select("node", "at").join(part, "node", "left").select("node", "at", F.coalesce("component", "node").alias("component"))
+    least = where.groupBy("component").agg(F.min("at").alias("least"))
+    where = where.join(least, "component").join(degree, "node", "left").select("node", F.col("least.doc_id").alias("group_id"), F.col("least.row").alias("least_row"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "row", "node").join(where, "node", "left")
-    group = F.coalesce("group_id", "doc_id")
-    return out.select("doc_id", "row", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), group.eqNullSafe(F.col("doc_id")).alias("kept"))
-
-
-def _only_own(rows: DataFrame) -> DataFrame:
-    """Rows whose text is the node's: others share its doc_id only. One row for each node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own = [k for k, (n, t) in enumerate(zip(node, text)) if t and _node(t) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([node[k] for k in own], pa.int64()), pa.array([text[k] for k in own], pa.binary())], names=["node", "text"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, text binary")
+    own = F.col("least_row").isNull()  # a row without words is a group by itself
+    group = F.when(own, F.col("doc_id")).otherwise(F.col("group_id"))
+    return out.select("doc_id", "row", group.alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (own | (F.col("least_row") == F.col("row"))).alias("kept"))

@@ -90,7 +90,7 @@ def test_groups(spark):
     assert found(df) == groups(rows)
 
 
-def test_blocks_link_what_the_least_misses(spark, monkeypatch):
+def test_blocks_link_what_the_least_misses(spark):
     """Documents that are near each other but not near the least of their bucket are found in blocks."""
     import pyarrow as pa
 
@@ -98,12 +98,54 @@ def test_blocks_link_what_the_least_misses(spark, monkeypatch):
     a, b = prose(rng, 100).encode(), prose(rng, 100).encode()
     near = b.split()
     near[50] = b"z"
-    table = pa.table({"node": [1, 2, 3], "component": [1, 2, 3], "text": [a, b, b" ".join(near)], "side": [0, 0, 0], "x": [0] * 3, "y": [0] * 3})
+    table = pa.table({"node": [2, 1, 2, 3], "component": [2, 1, 2, 3], "text": [b, a, b, b" ".join(near)], "outside": [True, False, False, False]})
     assert N._check_block(table).to_pylist() == [{"a": 2, "b": 3}]
-    across = table.set_column(5, "y", pa.array([1, 1, 1]))
-    assert N._check_block(across).to_pylist() == []
-    assert N._check_block(across.set_column(3, "side", pa.array([0, 0, 1]))).to_pylist() == [{"a": 2, "b": 3}]
-    assert N._check_block(table.set_column(1, "component", pa.array([1, 2, 2]))).to_pylist() == []
+    assert N._check_block(table.set_column(1, "component", pa.array([2, 1, 2, 2]))).to_pylist() == []
+
+
+def test_across_components(spark, monkeypatch):
+    """Buckets that hold several components: every link between two of them is found, in blocks of any size."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(9):
+        base = prose(rng, 100).split()
+        for _ in range(rng.randrange(1, 6)):
+            own = list(base)
+            own[rng.randrange(100)] = "x"
+            texts.append(" ".join(own).encode())
+    rows = [(k, bag(t.decode())) for k, t in enumerate(texts)]
+    near = {(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= N.SIMILAR}
+    given = {(0, 1)}  # one component from the start
+    for block, each in ((128, 1000), (3, 4)):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N.common, "KEY_ROWS", each)
+        keyed = spark.createDataFrame([(k, 7) for k in range(len(texts))] + [(k, 8) for k in range(3)], "node long, band long")
+        shared = spark.createDataFrame([(7, 0, len(texts), 1), (8, 0, 3, 2)], "band long, least long, n long, members long")
+        part = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+        frame = spark.createDataFrame(list(enumerate(texts)), "node long, text binary")
+        got = {tuple(sorted(r)) for r in N._compare_across(keyed, shared, part, frame).collect()}
+        assert got <= near and joined(len(texts), got | given) == joined(len(texts), near | given)
+
+
+def joined(n, links):
+    """The least number that each of n is linked with."""
+    label = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_one_of_each_group_is_kept(spark):
+    """Near copies that tie on doc_id, or have none, are told apart by their texts."""
+    rng = random.Random(14)
+    base = prose(rng, 200).split()
+    near = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (10, 30, 50)]
+    for ids in ((5, 5, 5), (None, None, None), (None, 2, 2)):
+        df = spark.createDataFrame(list(zip(ids, near)) + [(ids[0], near[0])], "doc_id long, text string")
+        got = N.near_duplicates(df).collect()
+        assert len(got) == 4 and len({r.row for r in got if r.kept}) == 1
+        assert {r.group_id for r in got} == {min((i for i in ids if i is not None), default=None)}
 
 
 def test_components(spark):
