@@ -36,8 +36,6 @@ CONFUSED = {
     "^": "42",
     "?": "2",
 }
-# Characters of a number as it may be scanned.
-NUMBER_CHARACTERS = "0123456789$#SsOoLlIibB^?"
 
 
 def _c(x) -> Column:

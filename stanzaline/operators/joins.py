@@ -84,6 +84,24 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return only_a.unionByName(only_b)
 
 
+def like_canonical(notes: DataFrame, verses: DataFrame, keys: list[str], verse: str, head: str, text: str, least: float = 0.25, other: Column | None = None) -> DataFrame:
+    """Notes (keys, verse, head) whose head is like the verse of their key, with the likeness and the verse that it is of.
+
+    A note has one candidate, the verse of its own key, so nothing is compared with more than one row; where
+    ``other`` holds (a column of the notes) and the first is not alike, the verse of that number is the second.
+    Beginnings are compared by letters and digits alone; equal notes are one.
+    """
+    from ..functions.scalars import similarity
+
+    bare = lambda c, n: F.regexp_replace(F.lower(F.substring(c, 1, n)), "[^a-z0-9]", "")
+    own = verses.select(*keys, F.col(verse).alias("_verse"), bare(F.col(text), 80).alias("_text"))
+    tried = notes.withColumn("_head", bare(F.col(head), 150)).withColumn("_verse", F.explode(F.array_distinct(F.array(verse, F.coalesce(other, F.col(verse)) if other is not None else verse))))
+    met = tried.join(own, [*keys, "_verse"]).withColumn("likeness", similarity("_text", "_head")).where(F.col("likeness") >= least)
+    first = F.struct(F.col("_verse") != F.col(verse), "likeness", F.col("_verse").alias("matched"))
+    best = met.groupBy(*notes.columns).agg(F.min(first).alias("_best"))
+    return best.select(*notes.columns, F.col("_best.matched").alias("matched"), F.col("_best.likeness").alias("likeness"))
+
+
 def zip_by_order(a: DataFrame, b: DataFrame, group: str, a_order: str, b_order: str) -> DataFrame:
     """Joins the n-th row of each group on one side with the n-th on the other; a side that runs out is null."""
     number = lambda df, o: df.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(o)))

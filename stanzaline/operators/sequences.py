@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.scalars import CONFUSED, NUMBER_CHARACTERS
+from .recovery import Heading, heading_of, reading
 
 
 def longest_chain(keys: Sequence) -> list[int]:
@@ -31,7 +31,12 @@ def longest_chain(keys: Sequence) -> list[int]:
 
 def per_group(df: DataFrame, group: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Grouped map whose input is sorted by ``order``."""
-    return df.groupBy(*group).applyInPandas(lambda part: run(part.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+    return df.groupBy(*group).applyInPandas(lambda part: _plain(run(part.sort_values(order, kind="stable").reset_index(drop=True))), schema)
+
+
+def _plain(out: pd.DataFrame) -> pd.DataFrame:
+    """Columns without rows as objects: their own kind, a number, does not become a text."""
+    return out if len(out) else out.astype(object)
 
 
 def keep_chain(df: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
@@ -39,57 +44,51 @@ def keep_chain(df: DataFrame, group: list[str], order: list[str], key: str) -> D
     return per_group(df, group, order, lambda part: part.iloc[longest_chain(part[key].tolist())], df.schema.simpleString()[7:-1])
 
 
-def substitutions(token: str, expected: str, most: int = 2) -> int | None:
-    """Characters read as the digit they are taken for, or null where the token is not the expected number."""
-    if not token or len(token) != len(expected) or set(token) - set(NUMBER_CHARACTERS):
-        return None
-    n = 0
-    for seen, want in zip(token, expected):
-        if seen != want:
-            if want not in CONFUSED.get(seen, ""):
-                return None
-            n += 1
-    return n if n <= most else None
+#: Short words that are no misread numbers.
+COMMON_WORDS = frozenset("is as at to of in on up us we he she it the and for".split())
 
 
-def recover_numbers(tokens: Sequence[str], top: int, gaps: Sequence[tuple[int, int]] = (), near: int = 5, far: int = 15, window: int = 50) -> list[tuple[int, int, bool]]:
-    """Headings that carry a rising number, out of scanned tokens: (position, number, corrected).
+def recover_numbers(tokens: Sequence[str], top: int, gaps: Sequence[tuple[int, int]] = (), near: int = 5, far: int = 15, window: int = 50, anchored: bool = False) -> list[tuple[int, int, bool]]:
+    """Headings that carry a rising number, out of scanned tokens: (position, number, corrected). The simple machine.
 
-    The number expected next is looked for first; a token may also be up to ``near`` further on with
-    confused digits, or ``far`` further on without. Known gaps are jumped. Other tokens are passed over.
+    The number nearest to the expected one is taken; it may be up to ``near`` further on with confused
+    digits, or ``far`` further on without. Known gaps are jumped. With ``anchored`` a short token that is no
+    common word takes the expected number where the one after it follows exactly. Other tokens are passed over.
     """
-    found, taken, want = [], set(), 1
+    found, want = [], 1
     for at, token in enumerate(tokens):
         if want > top:
             break
-        jump = next((end + 1 for start, end in gaps if start <= want <= end + 1 and end + 1 not in taken and substitutions(token, str(end + 1)) is not None), None)
-        if jump is not None:
-            number, corrected = jump, True
+        behind = next((end + 1 for start, end in gaps if start <= want <= end + 1 and reading(token, end + 1) is not None), None)
+        if behind is not None:
+            number, corrected = behind, True
         else:
-            fits = ((n - want, substitutions(token, str(n)), n) for n in range(want, min(top, want + window) + 1) if n not in taken)
-            best = next(((ahead, subs, n) for ahead, subs, n in fits if subs is not None), None)
-            if best is None or not (best[0] <= near or (best[0] <= far and best[1] == 0)):
+            fits = ((n - want, misread) for n in range(want, min(top, want + window) + 1) if (misread := reading(token, n)) is not None)
+            ahead, misread = next(fits, (window + 1, 0))
+            if ahead <= near or (ahead <= far and misread == 0):
+                number, corrected = want + ahead, misread + ahead > 0
+            elif anchored and 2 <= len(token) <= 4 and token.lower() not in COMMON_WORDS and at + 1 < len(tokens) and tokens[at + 1] == str(want + 1):
+                number, corrected = want, True
+            else:
                 continue
-            number, corrected = best[2], best[1] > 0 or best[0] > 0
         found.append((at, number, corrected))
-        taken.add(number)
         want = number + 1
     return found
 
 
 def best_start(tokens: Sequence[str], top: int, **options) -> int:
     """The place to start from that recovers the most numbers, the first on a tie; only tokens that may be 1 count."""
-    starts = [i for i, t in enumerate(tokens) if substitutions(t, "1") is not None] or [0]
+    starts = [i for i, t in enumerate(tokens) if reading(t, 1) is not None] or [0]
     return max(starts, key=lambda i: (len(recover_numbers(tokens[i:], top, **options)), -i))
 
 
-def number_headings(df: DataFrame, group: str, order: str, token: str, top: int, gaps: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """(group, order, number, corrected) of the headings recovered in each group."""
+def number_headings(df: DataFrame, group: str, order: str, token: str, top: int, gaps: Sequence[tuple[int, int]] = (), anchored: bool = False) -> DataFrame:
+    """(group, order, number, corrected) of the headings that the simple machine recovers in each group."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tokens = part[token].tolist()
-        start = best_start(tokens, top, gaps=gaps) if tokens else 0
-        rows = recover_numbers(tokens[start:], top, gaps)
+        start = best_start(tokens, top, gaps=gaps, anchored=anchored) if tokens else 0
+        rows = recover_numbers(tokens[start:], top, gaps, anchored=anchored)
         at = [start + i for i, _, _ in rows]
         return pd.DataFrame({group: part[group].iloc[at].values, order: part[order].iloc[at].values, "number": [n for _, n, _ in rows], "corrected": [c for _, _, c in rows]})
 
@@ -97,6 +96,19 @@ def number_headings(df: DataFrame, group: str, order: str, token: str, top: int,
     return per_group(df, [group], [order], run, f"{group} {kinds[group]}, {order} {kinds[order]}, number long, corrected boolean")
 
 
+def numbered_lines(df: DataFrame, group: str, order: str, line: str, machine: Callable[[list[Heading]], list]) -> DataFrame:
+    """(group, order, number, how) of the lines of each group that ``machine`` takes for headings."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        heads = [(k, h) for k, x in enumerate(part[line]) if (h := heading_of(x))]
+        rows = machine([h for _, h in heads])
+        at = [heads[r.position][0] for r in rows]
+        return pd.DataFrame({group: part[group].iloc[at].values, order: part[order].iloc[at].values, "number": [r.number for r in rows], "how": [r.how for r in rows]})
+
+    kinds = dict(df.dtypes)
+    return per_group(df, [group], [order], run, f"{group} {kinds[group]}, {order} {kinds[order]}, number long, how string")
+
+
 def ordered_words(phrase: Sequence[str], verse: Sequence[str], start: int = 0) -> tuple[str, int]:
     """(strong, weak or none, position after the last word found) of a phrase in a verse."""
     at, hits = start, 0
@@ -147,39 +159,23 @@ def trigger_sections(texts: Sequence[str], triggers: Sequence[tuple[str, str]])
     return out
 
 
-def merge_events(kinds: Sequence[str], numbers: Sequence[int]) -> list[tuple[int, str]]:
-    """Headings and introductions in order, those only whose number continues the sequence: (position, kind)."""
-    want, kept = 1, []
-    for i, (kind, number) in enumerate(zip(kinds, numbers)):
-        if kind == "heading" and number == want:
-            kept.append((i, kind))
-            want += 1
-        elif kind == "intro" and number in (want, want - 1):
-            kept.append((i, kind))
-    return kept
-
+def align_to_verses(phrases: DataFrame, verses: DataFrame, group: list[str], phrase_order: str, verse_order: str, words: str = "words", **options) -> DataFrame:
+    """Phrase rows with the verse of their group that they belong to (null: none) and the strength of the match.
 
-def section_machine(lines: Sequence[tuple[str, int]], chapters: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(position, chapter, verse) of chapter and verse headers that are plausible.
-
-    A chapter header counts if it is at most two further on than the last; a verse header must fit the
-    chapter, and one that overflows it opens the next chapter that has room for it.
+    Phrases and verses of a group (a chapter) meet in one task; the group's phrases are aligned in order.
     """
-    chapter, verse, out = 0, 0, []
-    for i, (kind, number) in enumerate(lines):
-        if kind == "chapter" and chapter < number <= chapter + 2 and number in chapters:
-            chapter, verse = number, 0
-            out.append((i, chapter, 0))
-        elif kind == "verse" and chapter:
-            if verse < number <= chapters[chapter]:
-                verse = number
-            elif number > chapters[chapter] or number <= verse:
-                room = next((c for c in (chapter + 1, chapter + 2) if number <= chapters.get(c, 0)), None)
-                if room is None or number > 3:
-                    continue
-                chapter, verse = room, number
-            out.append((i, chapter, verse))
-    return out
+    kinds = dict(phrases.dtypes)
+    kept = [*group, phrase_order]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values(phrase_order, kind="stable"), right.sort_values(verse_order, kind="stable")
+        found = align_phrases([list(w) for w in left[words]], [list(w) for w in right[words]], **options)
+        numbers = right[verse_order].tolist()
+        own = pd.array([numbers[v - 1] if v else None for v, _ in found], dtype="Int64")
+        return _plain(pd.DataFrame({**{c: left[c].values for c in kept}, "verse": own, "strength": [k for _, k in found]}))
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", verse long, strength string"
+    return phrases.groupBy(*group).cogroup(verses.groupBy(*group)).applyInPandas(run, schema)
 
 
 def classify_blocks(blocks: Sequence[str]) -> list[tuple[str, str]]:

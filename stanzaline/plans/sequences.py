@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import recovery as R
 from ..operators import sequences as Q
 from . import lens
 from .lens import query, table
@@ -17,22 +18,35 @@ def _(s, d):
     return Q.keep_chain(c, ["conv_id"], ["turn"], "k")
 
 
+def _scanned(s, d):
+    """The parts of each brand as a scanned dictionary: numbered entries, some numbers misread, lost or unreadable."""
+    at = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    part = table(s, d, "part").select("p_brand", "p_partkey", "p_size", "p_name", at.alias("n"))
+    digits = F.col("n").cast("string")
+    token = F.when(F.col("p_partkey") % 11 == 3, F.translate(digits, "1358", "lSBS")).when(F.col("p_partkey") % 17 == 5, "~#").when(F.col("p_partkey") % 13 == 7, F.concat(F.lit("."), digits)).otherwise(digits)
+    body = F.when(F.col("p_partkey") % 19 == 0, F.lit("no entry at all")).otherwise(F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" "), F.element_at(F.split("p_name", " "), 2), F.lit(", "), F.lit("sound; "), F.col("p_name")))
+    return part.where("p_partkey % 23 <> 0").select("p_brand", "p_partkey", F.concat(token, F.lit(". "), body).alias("line"))
+
+
 @query("q03_headings")
 def _(s, d):
-    """Numbers 1, 2, 3, ... as scanned headings, some of them misread, recovered in each office."""
-    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = table(s, d, "conversations").select("conv_id", "turn", at.alias("n"))
-    token = F.when(F.col("turn") % 5 == 3, F.translate(F.col("n").cast("string"), "105", "lOS")).otherwise(F.col("n").cast("string"))
-    return Q.number_headings(c.select("conv_id", "turn", token.alias("token")), "conv_id", "turn", "token", 999)
+    """The earlier machine over each brand's entries, from the heading 1 that begins the longest run."""
+    return Q.numbered_lines(_scanned(s, d), "p_brand", "p_partkey", "line", lambda heads: R.confirmed_numbers(heads, 99_999, R.confirmed_start(heads, 99_999)))
 
 
 @query("q04_machine")
 def _(s, d):
-    """Suppliers by region as one numbered list with a known gap, every seventh number lost in the scan."""
-    n = F.col("s_suppkey")
-    token = F.when(n % 7 == 0, F.lit("x")).otherwise(F.translate(n.cast("string"), "0", "O"))
-    rows = table(s, d, "supplier").select(F.lit("list").alias("file"), F.col("s_suppkey").alias("line"), token.alias("token"))
-    return Q.number_headings(rows, "file", "line", "token", 100_000, gaps=[(10, 12)])
+    """The full machine over each brand's entries, a file each, with a known gap."""
+    return Q.numbered_lines(_scanned(s, d), "p_brand", "p_partkey", "line", lambda heads: R.best_run(heads, 99_999, [(10, 12)]))
+
+
+@query("q04b_simple")
+def _(s, d):
+    """The simple machine over the same entries, with and without anchors."""
+    heads = _scanned(s, d).withColumn("token", F.regexp_replace(F.regexp_extract("line", r"^(\S+?)[.] ", 1), r"^\.", ""))
+    plain = Q.number_headings(heads, "p_brand", "p_partkey", "token", 99_999, [(10, 12)])
+    anchored = Q.number_headings(heads, "p_brand", "p_partkey", "token", 99_999, [(10, 12)], anchored=True)
+    return plain.withColumn("machine", F.lit("plain")).unionByName(anchored.withColumn("machine", F.lit("anchored")))
 
 
 @query("q05_align")
@@ -51,27 +65,47 @@ def _(s, d):
 
 @query("q07_events")
 def _(s, d):
-    e = table(s, d, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Each book's lines as a scanned commentary: a heading and a marked note for every line, every fourth chapter behind an introduction."""
+    u = lens.lessons(s, d).where("translation = 'en'").select("book", "chapter", "verse_no", "text")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        kinds = ["heading" if t != "purchase" else "intro" for t in part["event_type"]]
-        kept = Q.merge_events(kinds, [int(k) % 4 for k in part["k"]])
-        return pd.DataFrame({"user_id": part["user_id"].iloc[[i for i, _ in kept]].values, "event_id": part["event_id"].iloc[[i for i, _ in kept]].values, "kind": [k for _, k in kept]})
-
-    return Q.per_group(e, ["user_id"], ["event_id"], run, "user_id long, event_id long, kind string")
+        rows = list(part.itertuples(index=False))
+        book = rows[0].book
+        verses = {(r.chapter, r.verse_no): r.text for r in rows}
+        last: dict = {}
+        for r in rows:
+            last[(book, r.chapter)] = max(r.verse_no, last.get((book, r.chapter), 0))
+        events = []
+        for r in rows:
+            if r.verse_no == 1 and r.chapter % 4 == 0:
+                events += [R.Event("heading", book, r.chapter, 1, []), R.Event("intro", book, r.chapter, 0, ["On this chapter.", "Ver. 1. " + r.text])]
+            else:
+                events.append(R.Event("heading", book, r.chapter, r.verse_no, [f"Ver. {r.verse_no}. {r.text}"]))
+        found = R.NoteMerge(last, lambda b, c, v: verses.get((c, v))).run(events)
+        return pd.DataFrame(found, columns=["book", "chapter", "verse", "note"])
+
+    return Q.per_group(u, ["book"], ["chapter", "verse_no"], run, "book string, chapter long, verse long, note string")
 
 
 @query("q08_sections")
 def _(s, d):
-    e = table(s, d, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Each book's lines as a commentary's pages: chapter headers, verse headers of long lines, and the text between."""
+    u = lens.lessons(s, d).where("translation = 'en'").select("book", "chapter", "verse_no", "text")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        lines = [("chapter" if t == "purchase" else "verse", int(k) % 12 + 1) for t, k in zip(part["event_type"], part["k"])]
-        found = Q.section_machine(lines, {c: 5 + c % 7 for c in range(1, 13)})
-        at = [i for i, _, _ in found]
-        return pd.DataFrame({"user_id": part["user_id"].iloc[at].values, "event_id": part["event_id"].iloc[at].values, "chapter": [c for _, c, _ in found], "verse": [v for _, _, v in found]})
+        last = part.groupby("chapter")["verse_no"].max().astype(int).to_dict()
+        lines = []
+        for r in part.itertuples(index=False):
+            if r.verse_no == 1:
+                lines += [R.Line("page", int(r.chapter)), R.Line("chapter", int(r.chapter), 1, int(r.chapter), None, r.text)]
+            elif len(r.text) > 120:
+                lines.append(R.Line("verse", 0, int(r.verse_no), 0, None, r.text))
+            else:
+                lines.append(R.Line("text", text=r.text))
+        found = R.SectionMachine(last).run(lines)
+        return pd.DataFrame([(part["book"].iloc[0], *x) for x in found], columns=["book", "start_chapter", "start_verse", "end_chapter", "end_verse", "text"])
 
-    return Q.per_group(e, ["user_id"], ["event_id"], run, "user_id long, event_id long, chapter long, verse long")
+    return Q.per_group(u, ["book"], ["chapter", "verse_no"], run, "book string, start_chapter long, start_verse long, end_chapter long, end_verse long, text string")
 
 
 @query("q09_header_groups", """with m as (select chapter, verse_no, length(text) < 80 as head from units), r as (select *, verse_no - row_number() over (partition by chapter, head order by verse_no) as run from m)
@@ -114,11 +148,20 @@ def _(s, d):
 
 @query("j19_fuzzy")
 def _(s, d):
-    """Pairs on an equal key whose texts are alike."""
-    from ..functions.scalars import similarity
-
-    p = table(s, d, "part")
-    a = p.select("p_size", "p_brand", F.col("p_partkey").alias("a"), F.col("p_name").alias("a_name"))
-    b = p.select("p_size", "p_brand", F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name"))
-    met = a.join(b, ["p_size", "p_brand"]).where("a < b")
-    return met.select("a", "b", F.round(similarity("a_name", "b_name"), 6).alias("ratio")).where("ratio >= 0.8")
+    """Notes that quote every third line, spoilt here and there, and are kept if they are like the line that they name, or like the second of its chapter."""
+    from ..operators.joins import like_canonical
+
+    u = lens.lessons(s, d).select("translation", "book", "chapter", "verse_no", "text")
+    words = F.split("text", " ")
+    spoilt = F.array_join(F.transform(words, lambda w, k: F.when((k + F.col("verse_no")) % F.col("verse_no") == 0, F.reverse(w)).otherwise(w)), " ")
+    notes = u.where("verse_no % 3 = 2").select("translation", "book", "chapter", F.when(F.col("verse_no") == 2, 1).otherwise(F.col("verse_no")).alias("verse_no"), spoilt.alias("head"))
+    found = like_canonical(notes, u, ["translation", "book", "chapter"], "verse_no", "head", "text", 0.4, F.when(F.col("verse_no") == 1, 2))
+    return found.select("book", "chapter", "verse_no", "matched", F.round("likeness", 6).alias("likeness"))
+
+
+@query("j20_phrases")
+def _(s, d):
+    """Phrases from the middle of every second line, aligned to the lines of their chapter."""
+    u = lens.lessons(s, d).select("book", "chapter", "verse_no", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "").alias("words"))
+    phrases = u.where("verse_no % 2 = 1 and size(words) > 3").select("book", "chapter", F.col("verse_no").alias("seq"), F.slice("words", F.floor(F.size("words") / 2).cast("int"), 4).alias("words"))
+    return Q.align_to_verses(phrases, u, ["book", "chapter"], "seq", "verse_no")

@@ -29,6 +29,8 @@ def test_recover_numbers():
     assert Q.recover_numbers(["1", "2", "6"], 9, gaps=[(3, 5)]) == [(0, 1, False), (1, 2, False), (2, 6, True)]
     assert Q.recover_numbers(["1", "40"], 99) == [(0, 1, False)]
     assert Q.best_start(["9", "l", "x", "1", "2", "3", "4"], 9) == 3
+    assert Q.recover_numbers(["1", "2", "abc", "4"], 9, anchored=True) == [(0, 1, False), (1, 2, False), (2, 3, True), (3, 4, False)]
+    assert Q.recover_numbers(["1", "2", "the", "4"], 9, anchored=True) == [(0, 1, False), (1, 2, False), (3, 4, True)] == Q.recover_numbers(["1", "2", "abc", "4"], 9)
 
 
 def test_align():
@@ -40,8 +42,6 @@ def test_align():
 
 def test_machines():
     assert Q.trigger_sections(["title", "O Lord open", "more", "Here endeth", "O Lord open"], [("o lord", "opening"), ("here", "end")]) == ["", "opening", "opening", "end", "end"]
-    assert Q.merge_events(["heading", "intro", "heading", "heading"], [1, 1, 3, 2]) == [(0, "heading"), (1, "intro"), (3, "heading")]
-    assert Q.section_machine([("chapter", 1), ("verse", 2), ("verse", 1), ("chapter", 9), ("verse", 3)], {1: 5, 2: 4}) == [(0, 1, 0), (1, 1, 2), (2, 2, 1), (4, 2, 3)]
     assert Q.classify_blocks(["[note]", "THE ORDER", "V. O Lord", "_then_", "Our Father"]) == [("heading", "note"), ("cue", ""), ("rubric", ""), ("text", "")]
 
 

@@ -1,0 +1,115 @@
+"""Machines over scanned numbers, sections and notes, on small files."""
+
+import random
+
+from stanzaline.operators import recovery as R
+
+
+def heads(*tokens):
+    return [R.Heading(t.rstrip("!"), ("w", "s,"), not t.endswith("!")) for t in tokens]
+
+
+def found(machine):
+    return [(r.position, r.number, r.how) for r in machine]
+
+
+def test_readings():
+    assert R.reading("12", 12) == 0 and R.reading("l2", 12) == 1 and R.reading("lS", 18) == 2
+    assert R.reading("x2", 12) is None and R.reading("2", 12) is None and R.reading("lSlS", 1818, 2) is None
+    assert R.plain_token("._11.54\"") == "1154"
+    assert R.heading_of("15. word sound, more; and") == R.Heading("15", ("word", "sound,"), True)
+    assert R.heading_of("15. word [note] x; y").entry is False and R.heading_of("no number here") is None
+
+
+def test_full_machine():
+    run = lambda h, top=999, gaps=(): found(R.NumberMachine(h, top, gaps).run())
+    assert run(heads("1", "2", "3")) == [(0, 1, "as_expected"), (1, 2, "as_expected"), (2, 3, "as_expected")]
+    assert run(heads("1", "Z", "3")) == [(0, 1, "as_expected"), (1, 2, "between_anchors"), (2, 3, "as_expected")]
+    assert run(heads("1", "Z!", "4")) == [(0, 1, "as_expected"), (2, 4, "fits_ahead")]
+    assert run(heads("1", "Z!", "2", "x!", "9")) == [(0, 1, "as_expected"), (2, 2, "as_expected"), (4, 9, "fits_ahead")]
+    assert run(heads("1", "2", "6"), gaps=[(3, 5)]) == [(0, 1, "as_expected"), (1, 2, "as_expected"), (2, 6, "behind_gap")]
+    assert run(heads("1", "400", "401")) == [(0, 1, "as_expected"), (1, 400, "jumps"), (2, 401, "as_expected")]
+    assert run(heads("1", "400!", "2")) == [(0, 1, "as_expected"), (2, 2, "as_expected")]
+    assert found(R.NumberMachine(heads("1", *["x!"] * 9, "2"), 9, patience=5).run()) == [(0, 1, "as_expected")]
+    assert found(R.best_run(heads("9", "l", "x!", "1", "2", "3"), 99)) == [(1, 1, "as_expected"), (4, 2, "as_expected"), (5, 3, "as_expected")]
+    assert R.best_run(heads("4"), 99) == []
+
+
+def test_full_machine_recovers_a_spoilt_file():
+    rng = random.Random(4)
+    confused = {"1": "l", "0": "O", "5": "S", "8": "B", "6": "b"}
+    tokens = ["".join(confused.get(c, c) if rng.random() < 0.15 else c for c in str(n)) for n in range(1, 800) if n % 37]
+    got = [r.number for r in R.NumberMachine(heads(*tokens), 999).run()]
+    wanted = [n for n in range(1, 800) if n % 37]
+    assert got == sorted(set(got)) and len(set(got) & set(wanted)) > 0.97 * len(wanted)
+
+
+def test_earlier_machine():
+    run = lambda *t, top=999: found(R.confirmed_numbers(heads(*t), top))
+    assert run("1", "2", "3") == [(0, 1, "exact"), (1, 2, "exact"), (2, 3, "exact")]
+    assert run("1", "7", "3") == [(0, 1, "exact"), (1, 2, "misread"), (2, 3, "exact")]
+    assert run("1", "7", "8") == [(0, 1, "exact"), (1, 7, "face value"), (2, 8, "exact")]
+    assert run("1", "~", "3") == [(0, 1, "exact"), (1, 2, "unreadable"), (2, 3, "exact")]
+    assert run("1", "~!", "2", "600") == [(0, 1, "exact"), (2, 2, "exact"), (3, 600, "jump")]
+    assert run("1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "4", "11")[-2:] == [(9, 10, "exact"), (11, 11, "exact")]
+    assert run("1", "5000", "2") == [(0, 1, "exact"), (2, 2, "exact")]
+    assert R.confirmed_start(heads("1", "~!", "1", "2", "3"), 99) == 2 and R.confirmed_start([], 9) == 0
+
+
+def text(n):
+    return f"text {n} " + "x" * 40
+
+
+def test_sections():
+    L = R.Line
+    run = R.SectionMachine({1: 10, 2: 5, 3: 8, 4: 9}).run
+    lines = [L("text", text="front matter"), L("chapter", 1, 1, 1, None, text(1)), L("text", text="more"), L("verse", 0, 4, 0, 6, text(2)), L("verse", 0, 9, 0, 99, text(3))]
+    assert run(lines) == [R.Section(1, 1, 1, 10, text(1) + " more"), R.Section(1, 4, 1, 6, text(2)), R.Section(1, 9, 1, 10, text(3))]
+    # a verse that chapter 2 does not have is chapter 3's, one that no near chapter has is none
+    assert [s[:3] for s in run([L("chapter", 2, 1, 2, None, text(1)), L("verse", 0, 7, 0, None, text(2)), L("verse", 0, 50, 0, None, text(3))])] == [(2, 1, 2), (3, 7, 3)]
+    # pages move the chapter on by three at most; a low verse adopts the chapter of the page ahead
+    assert [s[:2] for s in run([L("page", 1), L("page", 9), L("verse", 0, 8, 0, None, text(1)), L("verse", 0, 2, 0, None, text(2)), L("text", text="z"), L("page", 2)])] == [(1, 8), (2, 2)]
+    # beyond the book, beyond the chapter, too short
+    assert run([L("chapter", 9, 1, 9, None, text(1)), L("chapter", 2, 6, 2, None, text(2)), L("chapter", 2, 1, 2, None, "short")]) == []
+    assert [s[:4] for s in run([L("chapter", 50, 1, 50, 3, text(1))])] == [(1, 1, 1, 3)]
+    assert [s[:2] for s in R.SectionMachine({1: 21}).run([L("verse", 0, 3, 0, None, text(1))])] == [(1, 3)]
+
+
+VERSES = {("Gen", 1, 1): "In the beginning the light was made and the water", ("Gen", 1, 2): "And the stone stood without form in the field", ("Gen", 1, 3): "Let there be bread for all the people of the house", ("Gen", 2, 1): "Thus the winter and the glass were finished", ("Ex", 3, 1): "Now the keeper led the flock to the far river", ("Ex", 3, 2): "And a flame of fire came out of the old bush"}
+LAST = {("Gen", 1): 3, ("Gen", 2): 1, ("Ex", 1): 5, ("Ex", 2): 9, ("Ex", 3): 2}
+
+
+def merged(*events):
+    return {(b, c, v): t for b, c, v, t in R.NoteMerge(LAST, lambda b, c, v: VERSES.get((b, c, v))).run([R.Event(*e) for e in events])}
+
+
+def test_notes_in_sequence():
+    got = merged(("heading", "Gen", 1, 1, ["Ver. 1. In the beginning the light was made, ...", "so it is"]), ("heading", "Gen", 1, 2, ["And the stone stood without form: a note with no mark"]), ("heading", "Ex", 3, 2, ["see Gen 1:1, a mere citation"]))
+    assert got == {("Gen", 1, 1): "Ver. 1. In the beginning the light was made, ... so it is", ("Gen", 1, 2): "And the stone stood without form: a note with no mark"}
+    # a block that is neither like its verse nor about it goes; two citations keep it
+    assert merged(("heading", "Gen", 1, 1, ["Ver. 1. x"]), ("heading", "Gen", 1, 2, ["zzz qqq"])) == {("Gen", 1, 1): "Ver. 1. x"}
+    assert ("Gen", 1, 2) in merged(("heading", "Gen", 1, 1, ["Ver. 1. x"]), ("heading", "Gen", 1, 2, ["zzz Ge 1:2 qqq Gen 1:3"]))
+
+
+def test_best_note_of_a_verse():
+    got = merged(("heading", "Gen", 2, 1, ["Ver. 1, a"]), ("heading", "Gen", 2, 1, ["Ver. 1, longer"]), ("heading", "Gen", 2, 1, ["Ver. 1, b"]))
+    assert got == {("Gen", 2, 1): "Ver. 1, longer"}
+
+
+def test_introductions():
+    intro = ["On this chapter.", "Ver. 1. zzz qqq vvv of another", *["zq"] * 12, "Ver. 1. Thus the winter and the glass were finished, that is"]
+    got = merged(("heading", "Gen", 2, 1, []), ("intro", "Gen", 2, 0, intro))
+    assert got == {("Gen", 2, 0): "On this chapter. Ver. 1. zzz qqq vvv of another" + " zq" * 12, ("Gen", 2, 1): intro[-1]}
+    # a title that its text does not bear out is that of the heading before it
+    got = merged(("heading", "Ex", 3, 1, []), ("intro", "Ex", 2, 0, ["of Ex 3:1 and Ex 3:2 it says"]))
+    assert got == {("Ex", 3, 0): "of Ex 3:1 and Ex 3:2 it says"}
+    assert set(merged(("heading", "Ex", 3, 1, []), ("intro", "Ex", 2, 0, ["of Ex 2:1, Ex 2:2 and Ex 3:1"]))) == {("Ex", 2, 0)}
+    assert set(merged(("intro", "Gen", 0, 0, ["of the book", "Ver. 1. In the beginning the light was made"]))) == {("Gen", 0, 0), ("Gen", 1, 1)}
+
+
+def test_moved_notes():
+    host = ["Ver. 1. In the beginning the light was made and the water", "Ver. 2. And a flame of fire came out of the old bush, so", "Ver. 3. nothing that is known"]
+    got = merged(("intro", "Ex", 3, 0, ["On it."]), ("heading", "Gen", 1, 1, host))
+    assert got[("Gen", 1, 1)] == host[0] and got[("Ex", 3, 2)] == host[1] and len(got) == 3
+    # out of bounds
+    assert merged(("heading", "Gen", 1, 9, ["Ver. 9. x"])) == {}
