@@ -1,12 +1,13 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
 Documents are tokenized once; those longer than a sequence are cut into full pieces. Pieces are then
-placed by the sum-of-squares rule: among the gaps that a piece fits into, and a new sequence, it goes
-where the sum of squared counts of open sequences per residual gap becomes smallest.
+placed, longest first, by the sum-of-squares rule: among the gaps of open sequences that a piece fits
+into it goes where the sum of squared counts of open sequences per residual gap becomes smallest. A new
+sequence is opened only for a piece that fits into none, since every sequence more is one too many.
 
-Defined cases: a null text is empty, and an empty document is one piece with the end token alone;
-repeated rows and ties are pieces of their own; null doc_ids are kept; an empty table gives no rows;
-extra columns are left out.
+Defined cases: a null text is empty, and an empty document is one piece with the end token alone; a very
+long text is as many pieces as it takes; repeated rows and ties are pieces of their own; null doc_ids are
+kept; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -37,24 +38,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed: the pre-tokenizer's split pattern for which WordEncoder has a fast path, and the rest of that layout.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+def splits_at_blanks(layout: dict) -> bool:
+    """Whether a tokenizer file normalizes and splits in the way that WordEncoder knows."""
+    normalizer, splitter = layout.get("normalizer") or {}, layout.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [])
+    parts = splitter.get("pretokenizers", [])
+    blanks = [s for s in steps if s.get("type") == "Replace"]
+    return (
+        layout.get("model", {}).get("type") == "BPE"
+        and not layout["model"].get("ignore_merges")
+        and [s.get("type") for s in steps] == WORD_NORMALIZERS
+        and all(s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in blanks)
+        and [s.get("type") for s in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": WORD_SPLIT}
+        and parts[0].get("behavior") == "Removed"
+        and parts[0].get("invert") is True
+        and parts[1].get("add_prefix_space") is False
+        and parts[1].get("use_regex") is False
+    )
+
+
 class WordEncoder:
-    """Token ids of whole texts for a word-level BPE tokenizer whose words never cross white space.
+    """Token ids of whole texts.
 
-    Such a tokenizer gives a text the ids of its parts between white space, one after the other, so
-    parts that were seen before are looked up. Anything out of the ordinary goes through the
-    tokenizer itself.
+    Where the tokenizer's words never cross white space, a text has the ids of its parts between white
+    space, one after the other, so parts that were seen before are looked up. Anything out of the
+    ordinary, and any text where the tokenizer file has another layout, goes through the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.full = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = splits_at_blanks(json.load(file))
         self.model = self.full.model
         self.special = [x.content.encode() for x in self.full.get_added_tokens_decoder().values()]
-        #: Fixed: the tokenizer's own split pattern.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = regex.compile(WORD_SPLIT)
         #: Printable ASCII and letters that no normalization changes.
         self.plain = regex.compile(r"[!-~¡-¬®-įı-ňŊ-ž]+")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -95,7 +124,7 @@ class WordEncoder:
 
     def encode(self, data: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
-        if any(s in data for s in self.special):
+        if not self.by_words or any(s in data for s in self.special):
             return self._whole(data.decode())
         known, part = self.parts, self._part
         return b"".join([known.get(p) or part(p) for p in data.split()])
@@ -143,6 +172,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     return slim.mapInArrow(run, PIECE)
 
 
+_NEVER = np.iinfo(np.int64).max
+
+
 class SumOfSquares:
     """Open sequences by gap; ``place`` returns (sequence, offset)."""
 
@@ -160,10 +192,9 @@ class SumOfSquares:
         # leaving gap g for g - size changes the sum by 2 * (count[g - size] - count[g] + 1), 1 - 2 * count[g] for g = size
         change = 2 * (count[: top - size] - count[size:top] + 1)
         change[0] = 1 - 2 * count[size]
-        change[count[size:top] == 0] = np.iinfo(np.int64).max
+        change[count[size:top] == 0] = _NEVER
         best = int(change.argmin())
-        fresh = 2 * count[top - size] + 1
-        if change[best] <= fresh:
+        if change[best] < _NEVER:
             gap = best + size
             sequence = self.open[gap].pop()
             count[gap] -= 1
@@ -179,13 +210,14 @@ class SumOfSquares:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` with sequence_id and offset. Needs doc_id, row, piece and length; all columns stay.
 
-    Shards hold about ``shard_pieces`` pieces each, dealt by a hash of the piece, and pack by themselves in
-    the order of that hash; sequence ids are shard and number within it.
+    Shards hold about ``shard_pieces`` pieces each and pack by themselves; sequence ids are shard and number
+    within it. Pieces are dealt by a hash of the piece and of its place in ``pieces``, so equal rows are
+    spread too; ``pieces`` should be a stored table, which gives every row the same place when it is read again.
     """
     count = pieces.count()
     shards = max(1, round(count / shard_pieces))
     names = pieces.columns
-    dealt = pieces.withColumn("pack_key", F.xxhash64("row", "piece")).withColumn("pack_shard", F.pmod("pack_key", F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("pack_key", F.xxhash64("row", "piece", F.monotonically_increasing_id())).withColumn("pack_shard", F.pmod("pack_key", F.lit(shards)).cast("int"))
     at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
