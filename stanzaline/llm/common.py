@@ -39,14 +39,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process wrote to the shared folder and has not cleared.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it again."""
+    """Cut the lineage: write a table to the shared folder and read it again. ``clear`` removes it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove the tables that ``materialize`` wrote, but for those that ``keep`` reads. For owners whose frames are all read."""
+    kept = set() if keep is None else {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    for path in [p for p in _written if p.rpartition("/")[2] not in kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def buckets(df: DataFrame, each: int = BUCKET_BYTES) -> int:
     """How many buckets the input needs, from the size that the scan reports; never under the shuffle setting's eighth."""
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

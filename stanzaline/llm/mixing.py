@@ -1,14 +1,16 @@
 """Mixing sources to target weights.
 
-Every source gets a target number of words. Its documents are ordered by hash-random keys; prefix sums
-of their sizes are built from bucket totals (a few rows per bucket) and a running sum inside each
-bucket, and the order is cut where the source's budget ends. A target above the source's size repeats
-whole epochs first.
+Every source gets a target number of words. Its documents are ordered by hash-random keys, in buckets
+that are ranges of the keys. Prefix sums of the buckets' totals, first over coarse ones and then inside
+one of these, say in which bucket the source's budget ends; a running sum inside that bucket alone cuts
+it exactly. All other documents lie before or behind the cut as a whole, so they are neither shuffled nor
+sorted. A target above the source's size repeats whole epochs first.
 
 Defined cases: a null or empty text has size 0 and is taken for nothing; a null source is a source of
-its own, the last one; a null doc_id is ordered by its key like any other; repeated rows are separate
-documents whose order among themselves does not matter; an empty table gives no rows. Columns of the
-input whose names start with ``mix_`` are replaced, all others stay.
+its own, the last one; keys are hashes of doc_id and text, so null and repeated doc_ids are spread like
+any others; equal rows are separate documents that tie, and it does not matter which of them is cut; a
+very long text is one document that the cut may divide; an empty table gives no rows. All columns of the
+input stay as they are; those of the result that would clash with one get underscores in front.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ MOST_EPOCHS = 2.0
 SEED = 20240511
 #: Rows that one bucket of the prefix sums is meant to hold.
 BUCKET_ROWS = 1024
+#: Buckets that one coarse bucket holds.
+COARSE = 4096
 _KEY_BITS = 40
 
 
@@ -58,32 +62,59 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     With ``whole_documents`` the document at the cut is taken whole if half of it fits, else left;
     otherwise it is taken up to the cut, so that a source's words add up to its target, rounded.
     """
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    rows = docs.select(*own, common.word_count(F.col("text")).alias("mix_size"), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 64 - _KEY_BITS).alias("mix_key"))
+    own, spark = docs.columns, docs.sparkSession
+    size, source_size, target, taken = common.fresh(own, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    key, copy, bucket, within = common.fresh(own, "mix_key", "mix_copy", "mix_bucket", "mix_within")
     count = max(1, -(-docs.select(F.lit(1)).count() // BUCKET_ROWS))
+    rows = docs.withColumn(copy, F.xxhash64("text")).withColumn(key, F.shiftrightunsigned(F.xxhash64("doc_id", copy, F.lit(seed)), 64 - _KEY_BITS))
     # a bucket is a range of keys, and keys are uniform: no sampling, and a hot source has as many buckets as it needs
-    rows = rows.withColumn("mix_bucket", (F.col("mix_key") * F.lit(count) / F.lit(float(1 << _KEY_BITS))).cast("long"))
-    sums = common.materialize(rows.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("words")), "mix")
+    rows = rows.withColumn(bucket, (F.col(key) * F.lit(count) / F.lit(float(1 << _KEY_BITS))).cast("long")).withColumn(size, common.word_count(F.col("text")))
+    sums = common.materialize(rows.groupBy("source", F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words")), "mix")
     # one row for each source: a list of the corpus's sources, not of its documents
     wanted = source_targets([(r["source"], r["words"]) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()], weights, share, most)
-    spark = docs.sparkSession
-    goals = spark.createDataFrame(wanted, "source string, mix_source_size long, mix_target double")
-    before = Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "mix_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("mix_offset"))
-    offsets = offsets.join(goals, offsets["source"].eqNullSafe(goals["source"])).select(offsets["source"].alias("mix_source"), offsets["mix_bucket"].alias("mix_slot"), "mix_offset", "mix_source_size", "mix_target")
-    within = Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", F.col("mix_size")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("mix_within", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
-    placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["mix_source"]) & (placed["mix_bucket"] == offsets["mix_slot"]))
-    start, size, goal = F.col("mix_offset") + F.col("mix_within"), F.col("mix_size"), F.round("mix_target").cast("long")
-    epochs = F.when(F.col("mix_source_size") > 0, F.floor(goal / F.col("mix_source_size"))).otherwise(0).cast("long")
-    left = goal - epochs * F.col("mix_source_size") - start
-    part = F.when(left * 2 >= size, size).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least(size, left))
-    return placed.select(*own, "mix_size", "mix_source_size", "mix_target", (epochs * size + part).cast("long").alias("mix_taken"))
+    goals = []
+    for source, n, goal in wanted:
+        epochs = round(goal) // n if n else 0
+        goals.append((source, n, float(goal), epochs, round(goal) - epochs * n))
+    cuts = _cuts(sums, spark.createDataFrame(goals, "of string, size long, target double, epochs long, left long"))
+    named = {"of": "mix_of", "size": "mix_of_size", "target": "mix_of_target", "epochs": "mix_epochs", "left": "mix_left", "cut": "mix_cut"}
+    named = dict(zip(named, common.fresh([*rows.columns, source_size, target, taken, within], *named.values())))
+    cuts = spark.createDataFrame(cuts, ", ".join(f"{named[c]} {t}" for c, t in zip(named, ("string", "long", "double", "long", "long", "long"))))
+    of, of_size, of_target, epochs, left, cut = (F.col(c) for c in named.values())
+    met = rows.join(cuts, F.col("source").eqNullSafe(of))
+    out = [*(F.col(c) for c in own), F.col(size), of_size.alias(source_size), of_target.alias(target)]
+    outside = met.where(F.col(bucket) != cut).select(*out, ((epochs + (F.col(bucket) < cut).cast("long")) * F.col(size)).alias(taken))
+    # what is left of a source's budget at the start of its cut bucket, whose rows alone are sorted
+    order = Window.partitionBy("source").orderBy(key, "doc_id", copy).rowsBetween(Window.unboundedPreceding, -1)
+    inside = met.where(F.col(bucket) == cut).withColumn(within, left - F.coalesce(F.sum(size).over(order), F.lit(0)))
+    part = F.when(F.col(within) * 2 >= F.col(size), F.col(size)).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least(F.col(size), F.col(within)))
+    return outside.unionAll(inside.select(*out, (epochs * F.col(size) + part).cast("long").alias(taken)))
+
+
+def _cuts(sums: DataFrame, goals: DataFrame) -> list[tuple]:
+    """Each source's (of, size, target, epochs, left, cut): the bucket in which its budget ends (-1: at an epoch's end), and what is left of it there."""
+    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def descend(level: DataFrame, into: DataFrame) -> DataFrame:
+        placed = level.join(into, level["source"].eqNullSafe(into["of"])).withColumn("left", F.col("left") - F.coalesce(F.sum("words").over(before), F.lit(0)))
+        return placed.where("left >= 0 and left < words").select(*into.columns, "at")
+
+    # prefix sums over coarse buckets, then over the buckets of the one in which the budget ends
+    coarse = sums.withColumn("at", F.floor(F.col("bucket") / COARSE)).groupBy("source", "at").agg(F.sum("words").alias("words"))
+    top = descend(coarse, goals).withColumnRenamed("at", "coarse")
+    fine = sums.withColumnRenamed("bucket", "at")
+    of_top = fine.join(top.select(F.col("of").alias("top_of"), "coarse"), F.col("source").eqNullSafe(F.col("top_of")) & (F.floor(F.col("at") / COARSE) == F.col("coarse"))).select("source", "at", "words")
+    found = {r["of"]: r for r in descend(of_top, top).collect()}
+    out = []
+    for r in goals.collect():
+        end = found.get(r["of"]) if r["left"] > 0 else None
+        out.append((r["of"], r["size"], r["target"], r["epochs"], end["left"] if end else 0, end["at"] if end else -1))
+    return out
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as often as whole documents are taken, with its own columns."""
     own = docs.columns
-    taken = mix(docs, whole_documents=True, **options)
-    times = F.when(F.col("mix_size") > 0, (F.col("mix_taken") / F.col("mix_size")).cast("int")).otherwise(0)
-    return taken.withColumn("mix_repeat", F.explode(F.array_repeat(F.lit(0), times))).select(*own)
+    size, taken, repeat = common.fresh(own, "mix_size", "mix_taken", "mix_repeat")
+    times = F.when(F.col(size) > 0, (F.col(taken) / F.col(size)).cast("int")).otherwise(0)
+    return mix(docs, whole_documents=True, **options).withColumn(repeat, F.explode(F.array_repeat(F.lit(0), times))).select(*own)

@@ -27,18 +27,62 @@ def test_mix(docs, clashing):
         totals[s] += size(t)
     goal = {s: t for s, _, t in M.source_targets(list(totals.items()))}
     for df in (docs, clashing):
-        got = M.mix(df).collect()
-        assert sorted((r.doc_id is None, r.doc_id or 0, r.mix_size) for r in got) == sorted((i is None, i or 0, size(t)) for i, t, *_ in rows)
+        mixed = M.mix(df)
+        made = [c for c in mixed.columns if c not in df.columns]
+        assert mixed.columns == [*df.columns, *made] and [c.lstrip("_") for c in made] == ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+        got = [(r, r[made[0]], r[made[1]], r[made[2]], r[made[3]]) for r in mixed.collect()]
+        assert all(r[c] == 1 for r, *_ in got for c in df.columns[5:])
+        assert sorted((r.doc_id is None, r.doc_id or 0, n) for r, n, *_ in got) == sorted((i is None, i or 0, size(t)) for i, t, *_ in rows)
         taken = defaultdict(int)
-        for r in got:
-            assert r.mix_source_size == totals[r.source] and r.mix_target == goal[r.source] and 0 <= r.mix_taken <= 2 * r.mix_size
-            taken[r.source] += r.mix_taken
+        for r, n, whole, target, took in got:
+            assert whole == totals[r.source] and target == goal[r.source] and 0 <= took <= 2 * n
+            taken[r.source] += took
         assert all(abs(taken[s] - goal[s]) <= 0.5 for s in totals)
-        assert df.columns == docs.columns or set(df.columns) - {"mix_size", "mix_taken"} <= set(got[0].asDict())
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.mix_size, r.mix_taken)
     assert sorted(map(key, M.mix(docs).collect())) == sorted(map(key, M.mix(docs.repartition(5)).collect()))
 
 
+def test_missing_ids_are_spread(spark):
+    """Documents without a doc_id have keys of their own, so the cut divides them like any others."""
+    rows = [(None, f"w{k} " * (1 + k % 9), "s") for k in range(3000)] + [(k, "x " * 5, "t") for k in range(3000)]
+    for each in (16, 1024):
+        M.BUCKET_ROWS, kept = each, M.BUCKET_ROWS
+        try:
+            got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.7).collect()
+        finally:
+            M.BUCKET_ROWS = kept
+        for s in "st":
+            own = [r for r in got if r.source == s]
+            part = [r for r in own if r.mix_taken % r.mix_size]
+            assert abs(sum(r.mix_taken for r in own) - own[0].mix_target) <= 0.5 and len(part) <= 1
+
+
+def test_query(spark, tmp_path):
+    """The registered query against sizes, targets and cuts by plain Python."""
+    from stanzaline.llm import queries
+
+    rows = awkward_rows() + [(500 + k, "w " * (k % 90), "en", f"src{k % 5}", 1) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_mixing(spark, str(tmp_path)).collect()
+    totals, source = defaultdict(int), {}
+    for i, t, _, s, _ in rows:
+        totals[s] += size(t)
+        source[(i, size(t))] = s
+    # targets by water filling, in small steps of the level
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    low, high, whole = 0.0, 1e9, 1.5 * sum(totals.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(level * weight[s], 2 * totals[s]) for s in order) < whole else (low, level)
+    taken = defaultdict(int)
+    for r in got:
+        s = source[(r.doc_id, r.size)]
+        taken[s] += r.taken
+        assert r.source_size == totals[s] and abs(r.target - min(low * weight[s], 2 * totals[s])) < 1e-3 and 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - min(low * weight[s], 2 * totals[s])) <= 0.51 for s in order)
+
+
 def test_many_buckets(spark):
     rows = [(i, "w " * (i % 7), "hot" if i % 3 else f"s{i % 5}") for i in range(5000)]
     got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -49,9 +93,11 @@ def test_many_buckets(spark):
     assert len(got) == 5000 and all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
 
 
-def test_documents_whole(docs, no_docs):
+def test_documents_whole(docs, clashing, no_docs):
     got = M.mixed_documents(docs)
     assert got.columns == docs.columns
+    other = M.mixed_documents(clashing)
+    assert other.columns == clashing.columns and all({r[c] for c in clashing.columns[5:]} == {1} for r in other.collect())
     known = {(i, t) for i, t, *_ in awkward_rows()}
     assert all((r.doc_id, r.text) in known for r in got.collect())
     assert M.mix(no_docs).count() == 0 and M.mixed_documents(no_docs).count() == 0
