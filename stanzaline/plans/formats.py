@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
@@ -62,14 +67,65 @@ def _(s, d):
     return _hashed(R.segment_walk(_files(s, d, head, lambda n, x: F.concat(F.lit('<v id="'), n, F.lit('"/>'), x))))
 
 
-@query("s12_dump_values", f"select book_order as book_id, cast(chapter as int) as chapter, verse_no as verse, md5(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) as h from units where not contains(text, chr(92))", "units")
+@query("s10_verse_lines", f"select 'R' || upper(book) as book, cast(chapter as int) as chapter, verse || '-' || verse as verse, md5({_MARKED}) as h from units where {_MARKED} <> '' and book in ('src1', 'src2', 'src3', 'src5', 'src8', 'src13')", "units")
 def _(s, d):
-    u = lens.units(s, d).where(~F.contains("text", F.lit("\\")))
-    row = F.concat(F.lit("(1,"), F.concat_ws(",", F.col("book_order").cast("string"), F.col("chapter").cast("string"), "verse"), F.lit(",'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("')"))
-    found = R.dump_values(u.select(F.lit("x").alias("file"), row.alias("body")))
+    """Files of all books, of which some are named; a marker line stands before every verse."""
+    head = F.concat(F.lit("\\id R"), F.upper("source"), F.lit(" x\n\\h x\n\\c "), F.col("doc_id").cast("string"), F.lit("\n"))
+    line = lambda n, x: F.concat(F.lit("\\p\n\\v "), n, F.lit("-"), n, F.lit(" "), x)
+    named = [f"RSRC{k}" for k in (1, 2, 3, 5, 8, 13)]
+    return _hashed(R.marked_verse_lines(_files(s, d, head, line), named))
+
+
+@query("s12_dump_values", f"select book_order as book_id, cast(chapter as int) as chapter, verse_no as verse, md5(trim(regexp_replace(text, '{_WS}', ' ', 'g'))) as h from units", "units")
+def _(s, d):
+    literal = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    row = F.concat(F.lit("(1,"), F.concat_ws(",", F.col("book_order").cast("string"), F.col("chapter").cast("string"), "verse"), F.lit(",'"), literal, F.lit("')"))
+    found = R.dump_values(lens.units(s, d).select(F.lit("x").alias("file"), row.alias("body")))
     return found.select("book_id", "chapter", "verse", F.md5("text").alias("h"))
 
 
+def _modules(s, d):
+    """Each brand's parts as a compressed module: blocks of four names, a dictionary in blocks of three entries, and its key index."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("p_partkey")
+        names, keys = [n.encode() for n in part["p_name"]], part["p_partkey"].tolist()
+        texts = [zlib.compress(b"|".join(names[k : k + 4])) for k in range(0, len(names), 4)]
+        at = np.cumsum([0, *map(len, texts)])
+        blocks = b"".join(struct.pack("<III", o, len(t), 0) for o, t in zip(at, texts))
+        entries = [b'<entryFree n="Part %d &amp; all">%s</entryFree>' % (k, n) for k, n in zip(keys, names)]
+        packed = []
+        for k in range(0, len(entries), 3):
+            own = entries[k : k + 3]
+            start = 4 + 8 * len(own)
+            packed.append(zlib.compress(struct.pack("<I", len(own)) + b"".join(struct.pack("<II", start + sum(map(len, own[:i])), len(e)) for i, e in enumerate(own)) + b"".join(own)))
+        places = np.cumsum([0, *map(len, packed)])
+        records = [b"PART %d &amp; ALL\r\n" % k + struct.pack("<II", i // 3, i % 3) for i, k in enumerate(keys)]
+        found = np.cumsum([0, *map(len, records)])
+        row = (part["p_brand"].iloc[0], blocks, b"".join(texts), b"".join(struct.pack("<II", o, len(r)) for o, r in zip(found, records)), b"".join(records), b"".join(struct.pack("<II", o, len(p)) for o, p in zip(places, packed)), b"".join(packed))
+        return pd.DataFrame([row], columns=["module", "blocks", "texts", "keys", "terms", "index", "data"])
+
+    parts = table(s, d, "part").select("p_brand", "p_partkey", "p_name")
+    return parts.groupBy("p_brand").applyInPandas(pack, "module string, blocks binary, texts binary, keys binary, terms binary, index binary, data binary")
+
+
+@query("s14_blocks", "select module, cast(block as int) as block, md5(string_agg(p_name, '|' order by p_partkey)) as h from (select p_brand as module, (row_number() over (partition by p_brand order by p_partkey) - 1) // 4 as block, p_name, p_partkey from part) group by all")
+def _(s, d):
+    files = _modules(s, d).select("module", F.col("blocks").alias("index"), F.col("texts").alias("data"))
+    return R.compressed_blocks(files).select("module", "block", F.md5("body").alias("h"))
+
+
+@query("s15_entries", "select module, cast(nth // 3 as int) as block, cast(nth % 3 as int) as entry, p_name as text from (select p_brand as module, row_number() over (partition by p_brand order by p_partkey) - 1 as nth, p_name from part)")
+def _(s, d):
+    return R.compressed_entries(_modules(s, d)).select("module", "block", "entry", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
+
+
+@query("s16_dictionary", "select p_brand as module, 'Part ' || p_partkey || ' & all' as term, p_name as text from part")
+def _(s, d):
+    good, _ = R.keyed_entries(_modules(s, d))
+    return good.select("module", "term", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
+
+
 @query("s18_headed_tsv", "select p_partkey as k, p_name as word from part")
 def _(s, d):
     rows = F.array_join(F.collect_list(F.concat_ws("\t", F.lit("x"), F.col("p_partkey").cast("string"), "p_name")), "\n")

@@ -6,6 +6,7 @@ where a format has a state. Formats that need a parser run in Arrow batches.
 
 from __future__ import annotations
 
+import html
 import re
 import struct
 import zlib
@@ -76,6 +77,25 @@ def markers_by_line(texts: DataFrame) -> DataFrame:
     return joined.where("text <> ''")
 
 
+def marked_verse_lines(texts: DataFrame, books: list[str]) -> DataFrame:
+    r"""Lines of ``\id``, ``\c`` and ``\v`` markers of the books that are named; verse is a text, so that ``3-4`` stays.
+
+    Lines without a marker continue a verse, lines of any other marker do not; a chapter ends the verse
+    before it; files of other books and verses without text go.
+    """
+    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda p, g=1: F.nullif(F.regexp_extract("line", p, g), F.lit(""))
+    rows = lines(texts).withColumn("line", F.trim(F.replace("line", F.lit("\ufeff"), F.lit("")))).where("line <> ''")
+    rows = rows.withColumn("b", own(r"^\\id +(\S+)")).withColumn("c", own(r"^\\c\s+([0-9]+)")).withColumn("v", own(r"^\\v\s+(\S+)"))
+    rows = rows.withColumn("book", F.last("b", True).over(w)).where(F.col("book").isin(books))
+    opens = F.when(F.col("v").isNotNull() | F.col("c").isNotNull(), F.col("line_no"))
+    rows = rows.withColumn("chapter", F.last("c", True).over(w)).withColumn("opened", F.last(opens, True).over(w))
+    part = F.when(F.col("v").isNotNull(), F.regexp_extract("line", r"^\\v\s+\S+\s?(.*)$", 1)).when(~F.col("line").startswith("\\"), F.col("line"))
+    per = rows.where("opened is not null").groupBy("file", "book", "chapter", "opened").agg(F.max("v").alias("verse"), F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("line_no", part.alias("part"))))).alias("p"))
+    text = T.strip_backslash_markers(F.array_join(F.transform("p", lambda x: x["part"]), " "))
+    return per.where("verse is not null and chapter is not null").select("book", F.col("chapter").cast("int").alias("chapter"), "verse", text.alias("text")).where("text <> ''")
+
+
 def tagged_verses(texts: DataFrame) -> DataFrame:
     """``<v id="n" bcv="BOOK.c.v"/>text<ve/>``: notes and headings dropped, other tags unwrapped."""
     found = F.regexp_extract_all("body", F.lit(r'(?s)<v +id="[0-9]+" +bcv="([A-Z0-9]+\.[0-9]+\.[0-9]+)" */>(?:.*?)<ve */>'), F.lit(0))
@@ -111,10 +131,10 @@ def segment_walk(texts: DataFrame) -> DataFrame:
                         value = at[1] if at else ""
                         if name == "book":
                             book, chapter, verse = value, 0, 0
-                        elif name == "c":
-                            chapter, verse = int(value), 0
                         else:
-                            verse = int(re.match(r"\d+", value)[0])
+                            # what has no number is no chapter or verse, and its text is left out
+                            number = int(digits[0]) if (digits := re.match(r"\d{1,9}", value)) else 0
+                            chapter, verse = (number, 0) if name == "c" else (chapter, number)
                     elif end and name in stack:
                         while stack.pop() != name:
                             pass
@@ -135,8 +155,14 @@ def dump_values(texts: DataFrame) -> DataFrame:
     rows = texts.select(F.explode(found).alias("m"))
     part = lambda n: F.regexp_extract("m", r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+),", n).cast("int")
     inner = F.regexp_extract("m", rf"(?s),\s*'({inside})'\)$", 1)
-    plain = F.regexp_replace(F.replace(F.regexp_replace(F.regexp_replace(inner, r"\\[nrt]", " "), r"\\(.)", "$1"), F.lit("''"), F.lit("'")), r"\\\\", r"\\")
-    return rows.select(part(2).alias("book_id"), part(3).alias("chapter"), part(4).alias("verse"), T.squeeze(plain).alias("text"))
+    # pairs of backslashes first, from the left, so that one that is escaped escapes nothing
+    held = F.regexp_replace(inner, r"\\\\", _HELD)
+    plain = F.regexp_replace(F.regexp_replace(F.replace(held, F.lit("''"), F.lit("'")), r"\\[nrt]", " "), r"\\(.)", "$1")
+    return rows.select(part(2).alias("book_id"), part(3).alias("chapter"), part(4).alias("verse"), T.squeeze(F.replace(plain, F.lit(_HELD), F.lit("\\"))).alias("text"))
+
+
+#: Stands for a backslash while others are taken for escapes: a private character that no text uses.
+_HELD = "\ue000"
 
 
 def fenced_verses(texts: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
@@ -157,42 +183,80 @@ def fenced_verses(texts: DataFrame, corrections: DataFrame | None = None) -> Dat
     return out.join(fixed, ["book", "chapter", "verse"], "left").select("book", "chapter", "verse", F.coalesce("fixed", "text").alias("text"))
 
 
-def compressed_blocks(spark: SparkSession, index: str, data: str) -> DataFrame:
-    """(block, body) of zlib blocks at the places that an index of three little-endian numbers (offset, size, full size) gives."""
-    files = spark.read.format("binaryFile").load(index).select(F.col("content").alias("index")).join(F.broadcast(spark.read.format("binaryFile").load(data).select(F.col("content").alias("data"))))
+def module_files(spark: SparkSession, **paths: str) -> DataFrame:
+    """(module, a binary column for each name): the files of a module, which differ in their ending alone, in one row."""
+    out = None
+    for name, path in paths.items():
+        files = spark.read.format("binaryFile").load(path)
+        files = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("module"), F.col("content").alias(name))
+        out = files if out is None else out.join(files, "module")
+    return out
+
+
+def _unpacked(body: bytes) -> Iterator[tuple[int, str]]:
+    """(entry, text) of a block: a count, then offset and size of each entry; offset 0 is an empty one."""
+    (count,) = struct.unpack_from("<I", body)
+    for n, (at, size) in enumerate(struct.iter_unpack("<II", body[4 : 4 + 8 * count])):
+        yield n, body[at : at + size].decode("utf-8", "replace").rstrip("\0") if at else ""
+
+
+def compressed_blocks(files: DataFrame) -> DataFrame:
+    """(module, block, body) of zlib blocks at the places that ``index``, three little-endian numbers each (offset, size, full size), gives in ``data``."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for index_bytes, data_bytes in zip(batch["index"], batch["data"]):
-                found = [(i, zlib.decompress(data_bytes[at : at + size]).decode("utf-8", "replace")) for i, (at, size, _) in enumerate(struct.iter_unpack("<III", index_bytes)) if size]
-                yield pd.DataFrame(found, columns=["block", "body"])
+            for module, index, data in zip(batch["module"], batch["index"], batch["data"]):
+                found = [(module, i, zlib.decompress(data[at : at + size]).decode("utf-8", "replace")) for i, (at, size, _) in enumerate(struct.iter_unpack("<III", index)) if size]
+                yield pd.DataFrame(found, columns=["module", "block", "body"])
 
-    return files.mapInPandas(decode, "block int, body string")
+    return files.select("module", "index", "data").mapInPandas(decode, "module string, block int, body string")
 
 
-def compressed_entries(spark: SparkSession, index: str, data: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of zlib blocks (a count, then offset and size of each) joined to their keys on (block, entry); and what one side lacks."""
+def compressed_entries(files: DataFrame) -> DataFrame:
+    """(module, block, entry, text) of the entries in zlib blocks, which ``index`` (offset, size) finds in ``data``; a block is inflated once."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for block, body in zip(batch["block"], batch["raw"]):
-                (count,) = struct.unpack_from("<I", body)
-                for n in range(count):
-                    at, size = struct.unpack_from("<II", body, 4 + 8 * n)
-                    rows.append((block, n, body[at : at + size].decode("utf-8", "replace").rstrip("\0")))
-            yield pd.DataFrame(rows, columns=["block", "entry", "text"])
+            for module, index, data in zip(batch["module"], batch["index"], batch["data"]):
+                for block, (at, size) in enumerate(struct.iter_unpack("<II", index)):
+                    rows = [(module, block, n, text) for n, text in _unpacked(zlib.decompress(data[at : at + size]))]
+                    yield pd.DataFrame(rows, columns=["module", "block", "entry", "text"])
 
-    files = spark.read.format("binaryFile").load(index).select(F.col("content").alias("index")).join(F.broadcast(spark.read.format("binaryFile").load(data).select(F.col("content").alias("data"))))
+    return files.select("module", "index", "data").mapInPandas(decode, "module string, block int, entry int, text string")
 
-    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for index_bytes, data_bytes in zip(batch["index"], batch["data"]):
-                yield pd.DataFrame([(i, zlib.decompress(data_bytes[at : at + size])) for i, (at, size) in enumerate(struct.iter_unpack("<II", index_bytes))], columns=["block", "raw"])
 
-    entries = files.mapInPandas(inflate, "block int, raw binary").mapInPandas(unpack, "block int, entry int, text string")
-    lost = keys.join(entries, ["block", "entry"], "left_anti").select("block", "entry").unionByName(entries.join(keys, ["block", "entry"], "left_anti").select("block", "entry"))
-    return keys.join(entries, ["block", "entry"]), lost
+def module_keys(files: DataFrame) -> DataFrame:
+    """(module, nth, term, block, entry) of a key index: ``keys`` (offset, size) finds records in ``terms``, a term, a line end and two numbers each."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for module, keys, terms in zip(batch["module"], batch["keys"], batch["terms"]):
+                rows = []
+                for n, (at, size) in enumerate(struct.iter_unpack("<II", keys)):
+                    term, end, place = terms[at : at + size].rpartition(b"\r\n")
+                    # the numbers may hold a line end themselves
+                    if len(place) != 8:
+                        term, end, place = terms[at : at + size - 10], terms[at + size - 10 : at + size - 8], terms[at + size - 8 : at + size]
+                    if end == b"\r\n" and len(place) == 8:
+                        rows.append((module, n, html.unescape(term.decode("utf-8", "replace")).strip(), *struct.unpack("<II", place)))
+                yield pd.DataFrame(rows, columns=["module", "nth", "term", "block", "entry"])
+
+    return files.select("module", "keys", "terms").mapInPandas(decode, "module string, nth int, term string, block int, entry int")
+
+
+def keyed_entries(files: DataFrame, heading: str = r'^<entryFree n="((?:[^"\\]|\\.)*)"') -> tuple[DataFrame, DataFrame]:
+    """Entries of a dictionary in the order of its key index, with the term that the entry itself has, and what does not fit.
+
+    Keys meet entries on (module, block, entry). Faults are keys without an entry, entries without a key, and
+    keys whose entry has another term, in any letter case.
+    """
+    place = ["module", "block", "entry"]
+    own = F.trim(T.unescape_common(F.regexp_extract("text", heading, 1)))
+    entries = compressed_entries(files).withColumn("own", own)
+    met = module_keys(files).join(entries, place, "full")
+    fault = F.when(F.col("text").isNull(), "no entry").when(F.col("term").isNull(), "no key").when(F.upper("term") != F.upper("own"), "other term")
+    met = met.withColumn("fault", fault)
+    return met.where("fault is null").select("module", "nth", F.col("own").alias("term"), "text"), met.where("fault is not null").select(*place, "fault")
 
 
 def xml_entries(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -204,7 +268,7 @@ def headed_tsv(texts: DataFrame, wanted: list[str]) -> DataFrame:
     """Columns by name of a TSV whose header is the first line that has them all; short rows go. A header is a line per file."""
     rows = lines(texts).withColumn("cells", F.split("line", "\t", -1))
     heads = rows.where(F.size(F.array_intersect("cells", F.lit(wanted))) == len(set(wanted))).groupBy("file").agg(F.min_by(F.struct("line_no", "cells"), "line_no").alias("h"))
-    met = rows.join(F.broadcast(heads), "file").where("line_no > h.line_no and size(cells) >= size(h.cells)")
+    met = rows.join(heads, "file").where("line_no > h.line_no and size(cells) >= size(h.cells)")
     pick = lambda c: F.element_at("cells", F.array_position("h.cells", F.lit(c)).cast("int")).alias(c)
     return met.select("file", "line_no", *(pick(c) for c in wanted))
 

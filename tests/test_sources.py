@@ -46,6 +46,21 @@ def test_tagged_and_segments(spark, tmp_path):
     assert rows(R.segment_walk(walk)) == [("RUT", 1, 1, "In the days"), ("RUT", 1, 2, "of old")]
 
 
+def test_marked_verse_lines(spark, tmp_path):
+    body = "\ufeff\\id RUT x\n\\h Ruth\n\\c 1\n\\p\n\\v 1 In the\n\\q skipped\n  days \\nd of\\nd* old\n\n\\v 2-3 so\n\\c 2\nnowhere\n\\v 1\n\\v 2 end"
+    put(tmp_path, "a.p.sfm", body)
+    put(tmp_path, "b.p.sfm", "\\id FRT\n\\c 1\n\\v 1 no")
+    texts = R.whole_texts(spark, str(tmp_path / "*.sfm"))
+    assert rows(R.marked_verse_lines(texts, ["RUT"])) == [("RUT", 1, "1", "In the days of old"), ("RUT", 1, "2-3", "so"), ("RUT", 2, "2", "end")]
+
+
+def test_odd_numbers_and_escapes(spark, tmp_path):
+    walk = R.whole_texts(spark, put(tmp_path, "b.xml", '<book id="RUT"><c id="x"/><v id="1"/>lost<c id="1"/><v id="a"/>lost<v id="2b"/>kept<v/>lost</book>'))
+    assert rows(R.segment_walk(walk)) == [("RUT", 1, 2, "kept")]
+    dump = R.whole_texts(spark, put(tmp_path, "a.sql", "INSERT INTO t VALUES (1,1,1,1,'a\\\\nb \\\\ c\\nd \\'e\\' f\\\\''g');"))
+    assert rows(R.dump_values(dump), "text") == [("a\\nb \\ c d 'e' f\\'g",)]
+
+
 def test_dump_and_fence(spark, tmp_path):
     dump = R.whole_texts(spark, put(tmp_path, "a.sql", r"INSERT INTO t VALUES (1, 8, 1, 1, 'It''s \'so\'\n now'),(2,8,1,2,'b');"))
     assert rows(R.dump_values(dump)) == [(8, 1, 1, "It's 'so' now"), (8, 1, 2, "b")]
@@ -56,16 +71,42 @@ def test_dump_and_fence(spark, tmp_path):
 
 
 def test_compressed(spark, tmp_path):
-    blocks = [zlib.compress(x) for x in (b"one", b"two")]
-    index = struct.pack("<III", 0, len(blocks[0]), 3) + struct.pack("<III", len(blocks[0]), len(blocks[1]), 3)
-    i, d = put(tmp_path, "a.idx", index), put(tmp_path, "a.dat", b"".join(blocks))
-    assert rows(R.compressed_blocks(spark, i, d)) == [(0, "one"), (1, "two")]
-    raw = struct.pack("<III", 1, 12, 5) + b"alpha"
-    packed = zlib.compress(raw)
-    i, d = put(tmp_path, "b.idx", struct.pack("<II", 0, len(packed))), put(tmp_path, "b.dat", packed)
-    keys = spark.createDataFrame([(0, 0, "A"), (0, 1, "B")], "block int, entry int, term string")
-    entries, lost = R.compressed_entries(spark, i, d, keys)
-    assert rows(entries, "term", "text") == [("A", "alpha")] and rows(lost) == [(0, 1)]
+    for name, words in (("a", (b"one", b"two")), ("c", (b"three",))):
+        blocks = [zlib.compress(x) for x in words]
+        at = [sum(map(len, blocks[:k])) for k in range(len(blocks))]
+        put(tmp_path, f"{name}.idx", b"".join(struct.pack("<III", o, len(x), 3) for o, x in zip(at, blocks)) + struct.pack("<III", 0, 0, 0))
+        put(tmp_path, f"{name}.dat", b"".join(blocks))
+    files = R.module_files(spark, index=str(tmp_path / "*.idx"), data=str(tmp_path / "*.dat"))
+    assert rows(R.compressed_blocks(files)) == [("a", 0, "one"), ("a", 1, "two"), ("c", 0, "three")]
+
+
+def block(*texts):
+    head, body = struct.pack("<I", len(texts)), b""
+    for t in texts:
+        head += struct.pack("<II", 4 + 8 * len(texts) + len(body), len(t) + 1)
+        body += t + b"\0"
+    return zlib.compress(head + body)
+
+
+def test_dictionary(spark, tmp_path):
+    """Keys and entries by block and entry, and each of the three faults; two modules side by side."""
+    for name in ("m", "n"):
+        entry = lambda t: b'<entryFree n="%s">%s of %s</entryFree>' % (t, t, name.encode())
+        blocks = [block(entry(b"Aaron"), entry(b"Abel &amp; Co")), block(entry(b"Other"), entry(b"Lost"))]
+        terms, keys = b"", b""
+        for term, b, e in ((b"AARON", 0, 0), (b"ABEL &amp; CO", 0, 1), (b"CAIN", 1, 0), (b"GONE", 5, 0)):
+            record = term + b"\r\n" + struct.pack("<II", b, e)
+            keys += struct.pack("<II", len(terms), len(record))
+            terms += record
+        put(tmp_path, f"{name}.idx", keys)
+        put(tmp_path, f"{name}.dat", terms)
+        put(tmp_path, f"{name}.zdx", struct.pack("<IIII", 0, len(blocks[0]), len(blocks[0]), len(blocks[1])))
+        put(tmp_path, f"{name}.zdt", b"".join(blocks))
+    files = R.module_files(spark, keys=str(tmp_path / "*.idx"), terms=str(tmp_path / "*.dat"), index=str(tmp_path / "*.zdx"), data=str(tmp_path / "*.zdt"))
+    good, faults = R.keyed_entries(files)
+    assert rows(good, "module", "nth", "term") == [(m, k, t) for m in "mn" for k, t in enumerate(("Aaron", "Abel & Co"))]
+    assert all(r.text.endswith(f"of {r.module}</entryFree>") for r in good.collect())
+    assert rows(faults) == [(m, *f) for m in "mn" for f in ((1, 0, "other term"), (1, 1, "no key"), (5, 0, "no entry"))]
 
 
 def test_tables(spark, tmp_path):
