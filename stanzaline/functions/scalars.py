@@ -54,6 +54,13 @@ def plan_day(start, today, days: int) -> tuple[Column, Column]:
     return day, F.when(day < 1, "not begun").when(day > days, "finished").otherwise("active")
 
 
+def utc_stamp(at=None) -> Column:
+    """A time, or else the clock's, in UTC to the second, as ISO text."""
+    if at is None:
+        at = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.concat(F.date_format(_c(at), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def is_leap(x) -> Column:
     year = F.year(_c(x))
     return (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))

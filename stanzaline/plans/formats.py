@@ -140,9 +140,13 @@ def _(s, d):
     return R.anchored_topics(table(s, d, "part").select(key.alias("file"), body.alias("body"))).select("id", "label", "text")
 
 
-@query("s21_table_cells")
+@query("s21_table_cells", """select cast(p_partkey as varchar) as file, cast(cell as int) as cell, paragraph, rubric from (
+select p_partkey, 0 as cell, p_name as paragraph, true as rubric from part union all select p_partkey, 0, p_brand || ' ' || p_size || ' & so', false from part union all select p_partkey, 1, 'and more of the ' || p_name, false from part union all select p_partkey, 1, 'y', false from part)""")
 def _(s, d):
-    return R.table_cells(table(s, d, "pages").select(F.col("page_id").cast("string").alias("file"), F.col("html").alias("body")))
+    """Two cells each, the first with a table inside, the second with two paragraphs parted by line breaks."""
+    html = F.concat(F.lit("<table><tr><TD class='a'><p><i>"), F.col("p_name"), F.lit("</i></p><p>"), F.col("p_brand"), F.lit(" <table><td>"), F.col("p_size").cast("string"), F.lit("</td></table> &amp; so</p></TD><td>and more of the <i>"), F.col("p_name"), F.lit("</i><br/> <br>y</td></tr></table>"))
+    found = R.table_cells(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("file"), html.alias("body")))
+    return found.select("file", "cell", F.replace("paragraph", F.lit("&amp;"), F.lit("&")).alias("paragraph"), "rubric")
 
 
 @query("s22_wiki_blocks")
@@ -180,45 +184,65 @@ def _(s, d):
     return post.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), of("the").alias("thes"), of("in").alias("ins"))
 
 
-def _asked(s, raws):
-    return s.createDataFrame([(r,) for r in raws], "raw string")
+_text = F.format_string
 
 
-@query("g08_head_reference", "select * from (values ('MATTHEW 23:29-39', 'Matthew 23:29-23:39'), ('Genesis 1:1.', 'Genesis 1:1-1:1'), ('Jude 1-2', 'Jude 1:1-1:2'), ('13:34-14:2', 'Luke 13:34-14:2'), ('psalm 1:2', 'Psalms 1:2-1:2'), ('nothing', '')) t(raw, shown)")
+@query("g08_head_reference", """select p_partkey, case p_partkey % 6 when 0 then b || ' ' || k || ':' || n || '-' || k || ':' || n + 3 when 1 then b || ' ' || k || ':' || n || '-' || k || ':' || n
+when 2 then 'Jude 1:' || k || '-1:' || k + 2 when 3 then 'Luke ' || k || ':' || n || '-' || k + 1 || ':2' when 4 then 'Psalms ' || k || ':2-' || k || ':2' else '' end as shown from formed""", "formed")
 def _(s, d):
-    asked = _asked(s, ["MATTHEW 23:29-39", "Genesis 1:1.", "Jude 1-2", "13:34-14:2", "psalm 1:2", "nothing"]).select("raw", H.head_reference(F.col("raw"), F.lit("Luke")).alias("r"))
-    return asked.select("raw", F.when(F.col("r").isNotNull(), F.format_string("%s %d:%d-%d:%d", "r.book", "r.sc", "r.sv", "r.ec", "r.ev")).otherwise("").alias("shown"))
+    forms = [_text("%s %d:%d-%d", F.upper("b"), "k", "n", F.col("n") + 3), _text("%s %d:%d.", "b", "k", "n"), _text("Jude %d-%d", "k", F.col("k") + 2), _text("%d:%d–%d:2", "k", "n", F.col("k") + 1), _text("psalm %d:2", "k"), _text("%s of %s", "w1", "w2")]
+    asked = lens.formed(s, d, *forms).select("p_partkey", H.head_reference(F.col("raw"), F.lit("Luke")).alias("r"))
+    shown = F.when(F.col("r").isNotNull(), _text("%s %d:%d-%d:%d", "r.book", "r.sc", "r.sv", "r.ec", "r.ev")).otherwise("")
+    return asked.select("p_partkey", shown.alias("shown"))
 
 
-@query("g13_chapter_heads", "select * from (values ('Chap. ii. 4-iv. 26. The Fall', '2:4-4:26 The Fall'), ('CHAP. III.', '3:1-3:0 '), ('PSALM I. Blessed', '1:1-1:0 Blessed'), ('chap. xiii. 16, with regard to', ''), ('prose', '')) t(raw, shown)")
+@query("g13_chapter_heads", """select p_partkey, case p_partkey % 5 when 0 then k || ':' || n || '-' || k + 1 || ':26 The ' || w2 when 1 then k || ':1-' || k || ':0 ' when 2 then k || ':1-' || k || ':0 Blessed ' || w1 else '' end as shown from formed""", "formed")
 def _(s, d):
-    asked = _asked(s, ["Chap. ii. 4-iv. 26. The Fall", "CHAP. III.", "PSALM I. Blessed", "chap. xiii. 16, with regard to", "prose"]).select("raw", H.chapter_head(F.col("raw")).alias("h"))
-    shown = F.format_string("%d:%d-%d:%d %s", "h.sc", "h.sv", "h.ec", F.coalesce("h.ev", F.lit(0)), "h.title")
-    return asked.select("raw", F.when(F.col("h").isNotNull(), shown).otherwise("").alias("shown"))
+    small, large = lens.roman_of(F.col("k")), lens.roman_of(F.col("k"), False)
+    forms = [_text("Chap. %s. %d-%s. 26. The %s", small, "n", lens.roman_of(F.col("k") + 1), "w2"), _text("CHAP. %s.", large), _text("PSALM %s. Blessed %s", large, "w1"), _text("chap. %s. %d, with regard to", small, "n"), _text("%s %s", "w1", "w2")]
+    asked = lens.formed(s, d, *forms).select("p_partkey", H.chapter_head(F.col("raw")).alias("h"))
+    shown = _text("%d:%d-%d:%d %s", "h.sc", "h.sv", "h.ec", F.coalesce("h.ev", F.lit(0)), "h.title")
+    return asked.select("p_partkey", F.when(F.col("h").isNotNull(), shown).otherwise("").alias("shown"))
 
 
-@query("g13_verse_heads", "select * from (values ('Ver. 1. In', '1-1 In'), ('Vers. 1, 2. And', '1-2 And'), ('Vers. 7 sq. So', '7-7 So'), ('Ver. 900.', ''), ('ver. 2 to', '')) t(raw, shown)")
+@query("g13_verse_heads", """select p_partkey, case p_partkey % 5 when 0 then n || '-' || n || ' In ' || w1 when 1 then n || '-' || n + 1 || ' And' when 2 then n || '-' || n || ' So' else '' end as shown from formed""", "formed")
 def _(s, d):
-    asked = _asked(s, ["Ver. 1. In", "Vers. 1, 2. And", "Vers. 7 sq. So", "Ver. 900.", "ver. 2 to"]).select("raw", H.verse_head(F.col("raw")).alias("h"))
-    return asked.select("raw", F.when(F.col("h").isNotNull(), F.format_string("%d-%d %s", "h.sv", "h.ev", "h.rest")).otherwise("").alias("shown"))
+    forms = [_text("Ver. %d. In %s", "n", "w1"), _text("Vers. %d, %d. And", "n", F.col("n") + 1), _text("Vers. %d sq. So", "n"), _text("Ver. %d.", F.col("n") + 176), _text("ver. %d to", "n")]
+    asked = lens.formed(s, d, *forms).select("p_partkey", H.verse_head(F.col("raw")).alias("h"))
+    return asked.select("p_partkey", F.when(F.col("h").isNotNull(), _text("%d-%d %s", "h.sv", "h.ev", "h.rest")).otherwise("").alias("shown"))
 
 
-@query("g13_running_heads", "select * from (values ('CHAP. IV. 1-3. 57', 4), ('Chap. xii. 9 210', 12), ('CHAP. II. The Fall 12', -1), ('CHAP. II.', -1)) t(raw, chapter)")
+@query("g13_running_heads", "select p_partkey, cast(case when p_partkey % 4 < 2 then k else -1 end as int) as chapter from formed", "formed")
 def _(s, d):
-    return _asked(s, ["CHAP. IV. 1-3. 57", "Chap. xii. 9 210", "CHAP. II. The Fall 12", "CHAP. II."]).select("raw", F.coalesce(H.running_head(F.col("raw")), F.lit(-1)).alias("chapter"))
+    small, large = lens.roman_of(F.col("k")), lens.roman_of(F.col("k"), False)
+    forms = [_text("CHAP. %s. 1-3. %d", large, "n"), _text("Chap. %s. 9 %d", small, F.col("n") + 100), _text("CHAP. %s. The %s 12", large, "w1"), _text("CHAP. %s.", large)]
+    return lens.formed(s, d, *forms).select("p_partkey", F.coalesce(H.running_head(F.col("raw")), F.lit(-1)).alias("chapter"))
 
 
-@query("g14_intro_titles", "select * from (values ('NUMBERS 1', 'Numbers 1'), ('2 CHRONICLES 3 & 4', '2 Chronicles 3-4'), ('H PETER l', '2 Peter 1'), ('FIRST KING 2', '1 Kings 2'), ('ECCLESIASTES, OR THE PREACHER', 'Ecclesiastes'), ('SOMETHING 3', '')) t(raw, shown)")
+@query("g14_intro_titles", """select p_partkey, case p_partkey % 6 when 0 then b || ' ' || k when 1 then b || ' ' || k || '-' || k + 1 when 2 then '2 Peter 1' when 3 then '1 Kings ' || k when 4 then 'Ecclesiastes' else '' end as shown from formed""", "formed")
 def _(s, d):
-    asked = _asked(s, ["NUMBERS 1", "2 CHRONICLES 3 & 4", "H PETER l", "FIRST KING 2", "ECCLESIASTES, OR THE PREACHER", "SOMETHING 3"]).select("raw", H.intro_title(F.col("raw")).alias("t"))
+    forms = [_text("%s %d", F.upper("b"), "k"), _text("%s %d & %d", F.upper("b"), "k", F.col("k") + 1), F.lit("H PETER l"), _text("FIRST KING %d", "k"), _text("ECCLESIASTES, OR THE %s", F.upper("w1")), _text("%s %d", F.upper("w1"), "k")]
+    asked = lens.formed(s, d, *forms).select("p_partkey", H.intro_title(F.col("raw")).alias("t"))
     more = lambda mark, c: F.coalesce(F.concat(F.lit(mark), F.col(c).cast("string")), F.lit(""))
-    return asked.select("raw", F.coalesce(F.concat("t.book", more(" ", "t.chapter"), more("-", "t.to_chapter")), F.lit("")).alias("shown"))
+    return asked.select("p_partkey", F.coalesce(F.concat("t.book", more(" ", "t.chapter"), more("-", "t.to_chapter")), F.lit("")).alias("shown"))
 
 
-@query("g16_summary_ranges", "select * from (values ('Of it, v. 1-7. Then v. 16, 17 and vv. 3-5, not ver. 9.', '1-7;16-17;3-5', -1), ('12 And he', '', 12)) t(raw, ranges, first_verse)")
+@query("g16_summary_ranges", """select p_partkey, case p_partkey % 2 when 0 then '1-' || n || ';' || k || '-' || k + 1 || ';3-5' else '' end as ranges, cast(case p_partkey % 2 when 0 then -1 else n end as int) as first_verse from formed""", "formed")
 def _(s, d):
+    forms = [_text("Of it, v. 1-%d. Then v. %d, %d and vv. 3–5, not ver. 9.", "n", "k", F.col("k") + 1), _text("%d And %s", "n", "w1")]
     ranges = F.array_join(F.transform(H.summary_ranges(F.col("raw")), lambda r: F.format_string("%d-%d", r["s"], r["e"])), ";")
-    return _asked(s, ["Of it, v. 1-7. Then v. 16, 17 and vv. 3-5, not ver. 9.", "12 And he"]).select("raw", ranges.alias("ranges"), F.coalesce(H.leading_verse(F.col("raw")), F.lit(-1)).alias("first_verse"))
+    return lens.formed(s, d, *forms).select("p_partkey", ranges.alias("ranges"), F.coalesce(H.leading_verse(F.col("raw")), F.lit(-1)).alias("first_verse"))
+
+
+@query("g16_summary_refs", """with c as (select book, chapter, max(verse_no) as top from lessons group by all)
+select book, chapter, u.verse_no, u.text from c join (select distinct book, chapter, verse_no, text from lessons) u using (book, chapter) where u.verse_no = 1 or u.verse_no between 3 and 4 or u.verse_no = c.top""", "units lessons")
+def _(s, d):
+    """Each chapter's summary, which names some of its verses, and the lines that it names."""
+    u = lens.lessons(s, d)
+    summary = F.concat(F.lit("The matter, v. 1. That, vv. 3, 4, and in the end v. "), F.max("verse_no").cast("string"), F.lit("; see ver. 2."))
+    refs = u.groupBy("book", "chapter").agg(summary.alias("summary")).select("book", "chapter", F.explode(H.summary_ranges(F.col("summary"))).alias("r"))
+    named = refs.select("book", "chapter", F.explode(F.sequence("r.s", "r.e")).alias("verse_no")).distinct()
+    return u.join(named, ["book", "chapter", "verse_no"]).select("book", "chapter", "verse_no", "text").distinct()
 
 
 @query("x11_tei", "select p_partkey, p_name || chr(10) || p_type as body from part")
@@ -227,10 +251,12 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", H.tei_lines(tei).alias("body"))
 
 
-@query("d05_utc_stamp", "select count(*) as n from part where true")
+@query("d05_utc_stamp", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') as stamp, true as before_now from events")
 def _(s, d):
-    """The one clock, current_timestamp, is after every check-in's time."""
-    stamped = table(s, d, "part").withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    return stamped.where("at > '2024-01-01T00:00:00Z'").agg(F.count("*").alias("n"))
+    """Times in the form of the one clock's, which is after all of them."""
+    from ..functions.scalars import utc_stamp
+
+    stamp = utc_stamp("ts")
+    return table(s, d, "events").select("event_id", stamp.alias("stamp"), (stamp < utc_stamp()).alias("before_now"))
 
 

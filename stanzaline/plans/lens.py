@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import tokens_of
@@ -99,10 +99,33 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang", F.posexplode(tokens_of(F.col("text"))).alias("at", "term"))
 
 
+def formed(spark: SparkSession, d: str, *forms: Column) -> DataFrame:
+    """The parts with ``raw``, one of the forms by p_partkey; forms may use k and n (numbers), w1 and w2 (words), b and c (a book and its name)."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(forms)).alias("form"), (F.col("p_partkey") % 37 + 1).alias("k"), F.col("p_size").cast("long").alias("n"), F.split("p_name", " ").alias("w"))
+    p = p.select("p_partkey", "form", "k", "n", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.element_at(F.lit(FORMED_BOOKS), (F.col("k") % len(FORMED_BOOKS) + 1).cast("int")).alias("b"))
+    raw = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        raw = F.when(F.col("form") == i, form).otherwise(raw)
+    return p.withColumn("raw", raw)
+
+
+#: Books that formed texts name.
+FORMED_BOOKS = ["Genesis", "Ruth", "2 Kings", "Psalms", "Isaiah", "Luke", "1 John"]
+
+
+def roman_of(n: Column, small: bool = True) -> Column:
+    """Roman numeral of a number below 4000."""
+    units_ = "i ii iii iv v vi vii viii ix".split()
+    digit = lambda place, ones: F.element_at(F.lit(["", *(p.translate(str.maketrans("ivx", ones)) for p in units_)]), (F.floor(n / place) % 10 + 1).cast("int"))
+    numeral = F.concat(F.repeat(F.lit("m"), F.floor(n / 1000).cast("int")), digit(100, "cdm"), digit(10, "xlc"), digit(1, "ivx"))
+    return numeral if small else F.upper(numeral)
+
+
 SQL = {
     "units": """select lang as translation, source as book, try_cast(substr(source, 4, 9) as int) as book_order, doc_id as chapter, cast(pos as varchar) as verse, cast(pos as int) as verse_no, line as text
         from (select lang, source, doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from (select *, string_split(text, chr(10)) as l from documents)) where trim(line) <> ''""",
     "lessons": """select translation, 'b' || translate(cast(chapter // 10 as varchar), '0123456789', 'abcdefghij') as book, cast(chapter // 10 as int) as book_order, chapter % 10 + 1 as chapter, verse, verse_no, text from units""",
+    "formed": "select p_partkey, p_partkey % 37 + 1 as k, cast(p_size as bigint) as n, split_part(p_name, ' ', 1) as w1, split_part(p_name, ' ', 2) as w2, (['Genesis', 'Ruth', '2 Kings', 'Psalms', 'Isaiah', 'Luke', '1 John'])[(p_partkey % 37 + 1) % 7 + 1] as b from part",
     "notes": """select p_partkey as id, p_brand as source_id, cast(p_partkey % 20 as int) as book_order, cast(1 + p_partkey % 4 as int) as sc, cast(p_partkey % 5 as int) as sv,
         cast(1 + p_partkey % 4 + (case when p_partkey % 11 = 0 then 1 else 0 end) as int) as ec, cast(case when p_partkey % 7 = 0 then 0 else p_partkey % 5 + p_size % 3 end as int) as ev, p_name as text from part""",
     "keys": "select distinct cast(l_suppkey % 20 as int) as book_order, cast(1 + l_partkey % 6 as int) as ch, cast(l_linenumber as int) as v from lineitem",

@@ -21,9 +21,11 @@ def _(s, d):
     return table(s, d, "region").select("r_regionkey", "r_name")
 
 
-@query("p01_key_filter", "select chapter, verse_no, text from units where translation = 'en' and book = 'src3' and chapter = 3", "units")
+@query("p01_key_filter", "select chapter, verse_no, text from units where translation = (select lang from documents where doc_id = 3) and book = 'src3' and chapter = 3", "units")
 def _(s, d):
-    return lens.units(s, d).where("translation = 'en' and book = 'src3' and chapter = 3").select("chapter", "verse_no", "text")
+    """Three keys; the third document's language is read first, as a caller has it."""
+    own = table(s, d, "documents").where("doc_id = 3").select("lang").first()
+    return lens.units(s, d).where((F.col("translation") == (own["lang"] if own else None)) & (F.col("book") == "src3") & (F.col("chapter") == 3)).select("chapter", "verse_no", "text")
 
 
 @query("p02_verse_range", "select translation, chapter, verse_no, text from units where verse_no between 2 and 4", "units")
@@ -88,9 +90,11 @@ def _(s, d):
     return table(s, d, "documents").where(F.array_contains(found, "license")).select("doc_id")
 
 
-@query("p13_inverted", "select id, sc, sv, ec, ev from notes where ev <> 0 and (sc > ec or (sc = ec and sv > ev))", "notes")
+@query("p13_inverted", "select id, sc + 2 as sc, sv, ec, ev from notes where ev <> 0 and (sc + 2 > ec or (sc + 2 = ec and sv > ev)) and id % 3 = 0", "notes")
 def _(s, d):
-    return lens.notes(s, d).where("ev <> 0 and (sc > ec or (sc = ec and sv > ev))").select("id", "sc", "sv", "ec", "ev")
+    """Of ranges, a third of whose starts are two chapters late, those that end before they begin."""
+    late = lens.notes(s, d).withColumn("sc", F.col("sc") + F.when(F.col("id") % 3 == 0, 2).otherwise(0))
+    return late.where("ev <> 0 and (sc > ec or (sc = ec and sv > ev))").select("id", "sc", "sv", "ec", "ev")
 
 
 @query("p14_in_bounds", """with b as (select book_order, chapter, max(verse_no) as top from units group by all)
@@ -216,9 +220,10 @@ def _(s, d):
     return J.first_by_priority(lens.lex(s, d), "number", "source_id", order, "definition", "id")
 
 
-@query("j13_anti", "select c_custkey from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("j13_anti", "select distinct e.head, e.ref from edges e where not exists (select 1 from part p where p.p_partkey = e.ref and p.p_size <= 40)", "edges")
 def _(s, d):
-    return J.orphans(table(s, d, "customer"), "c_custkey", table(s, d, "orders"), "o_custkey").select("c_custkey")
+    """Links whose part is not among those of at most 40."""
+    return J.orphans(lens.edges(s, d).select("head", "ref").distinct(), "ref", table(s, d, "part").where("p_size <= 40"), "p_partkey")
 
 
 @query("j14_key_diff", """with a as (select distinct verse_no, book from units where translation = 'en'), b as (select distinct verse_no, book from units where translation = 'fr')

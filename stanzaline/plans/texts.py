@@ -196,11 +196,6 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", pick(1).alias("ch"), F.greatest(F.lit(1), pick(2)).alias("v"))
 
 
-@query("g16_summary_refs", r"select doc_id, array_to_string(regexp_extract_all(text, '[0-9]{3,4}'), ',') as numbers from documents")
-def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit("[0-9]{3,4}"), F.lit(0)), ",").alias("numbers"))
-
-
 # ---- strings and markup
 
 
@@ -289,10 +284,11 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.array_join(T.plain_words("text"), " ").alias("words"))
 
 
-@query("x16_tail_fragment", "select * from (values ('BILITY.', 'see ACCOUNTABILITY.', true), ('TION.', 'CRIMINATION.', true), ('NATION', 'NATION', false), ('X', 'BOX', false)) t(term, line, tail)")
+@query("x16_tail_fragment", """with t as (select p_partkey, regexp_replace(upper(right(p_name, cast(p_size % 8 as int))), '[^A-Z]', '', 'g') as t, upper(split_part(p_name, ' ', 2)) as last from part)
+select p_partkey, len(t) >= 2 and len(t) * 2 <= len(last) and ends_with(last, t) and t <> last as tail from t""")
 def _(s, d):
-    asked = s.createDataFrame([("BILITY.", "see ACCOUNTABILITY."), ("TION.", "CRIMINATION."), ("NATION", "NATION"), ("X", "BOX")], "term string, line string")
-    return asked.select("term", "line", T.is_tail_of("term", "line").alias("tail"))
+    term = F.concat(F.upper(F.right("p_name", (F.col("p_size") % 8).cast("int"))), F.lit("."))
+    return table(s, d, "part").select("p_partkey", T.is_tail_of(term, F.concat(F.lit("see "), F.upper("p_name"), F.lit("."))).alias("tail"))
 
 
 @query("x17_remark", r"select conv_id, turn, (len(string_split(text, ' ')) > 30 or contains(text, chr(10)) or regexp_matches(text, '\b(Heb|Gr|Chald|Sept|Vulg|Syr|Arab|Targum|A\.M\.|B\.C\.|An\. Ex\.|i\.e\.|viz\.)\b') or (regexp_matches(text, '^[0-9. \tA-Za-z,;]+$') and regexp_matches(text, '[0-9]{3,}'))) as remark from conversations")
@@ -307,9 +303,10 @@ def _(s, d):
     return table(s, d, "supplier").select("s_suppkey", word.alias("word"), sound.alias("sound"))
 
 
-@query("x19_base_numbers", "select * from (values ('H7225G', 'H7225'), ('H1_A, H2', 'H1, H2'), ('G25', 'G25'), (' , H3_b', 'H3')) t(raw, base)")
+@query("x19_base_numbers", "select p_partkey, case p_partkey % 4 when 0 then 'H' || n when 1 then 'H' || n || ', G' || k when 2 then 'G' || n else 'H' || k end as base from formed", "formed")
 def _(s, d):
-    return s.createDataFrame([("H7225G",), ("H1_A, H2",), ("G25",), (" , H3_b",)], "raw string").select("raw", T.base_numbers("raw").alias("base"))
+    forms = [F.format_string("H%dG", "n"), F.format_string("H%d_A, G%d", "n", "k"), F.format_string("G%d", "n"), F.format_string(" , H%d_b", "k")]
+    return lens.formed(s, d, *forms).select("p_partkey", T.base_numbers("raw").alias("base"))
 
 
 @query("x20_split_once", "select p_partkey, split_part(p_type, ' ', 1) as head, case when instr(p_type, ' ') = 0 then '' else substr(p_type, instr(p_type, ' ') + 1) end as rest from part")
@@ -323,16 +320,16 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", T.correct("p_type", [("STEEL", "IRON"), ("IRON", "TIN")]).alias("fixed"))
 
 
-@query("x22_dehyphenate", "select * from (values ('WIs-' || chr(10) || chr(10) || 'DOM', 'WIsDOM'), ('1:1-' || chr(10) || '3.', '1:1-3.'), ('a\u2014' || chr(10) || 'b', 'a\u2014b'), ('a\u2014' || chr(10) || 'B', 'a\u2014' || chr(10) || 'B')) t(raw, joined)")
+@query("x22_dehyphenate", """select p_partkey, case p_partkey % 5 when 0 then w1 || upper(w2) when 1 then k || ':' || n || '-' || k || '.' when 2 then w1 || '—' || w2 when 3 then w1 || '—' || chr(10) || upper(w2) else w1 || '- ' || w2 end as joined from formed""", "formed")
 def _(s, d):
-    asked = s.createDataFrame([("WIs-\n\nDOM",), ("1:1-\n3.",), ("a\u2014\nb",), ("a\u2014\nB",)], "raw string")
-    return asked.select("raw", T.join_hyphenated("raw").alias("joined"))
+    forms = [F.format_string("%s-\n\n%s", "w1", F.upper("w2")), F.format_string("%d:%d-\n%d.", "k", "n", "k"), F.format_string("%s—\n%s", "w1", "w2"), F.format_string("%s—\n%s", "w1", F.upper("w2")), F.format_string("%s- %s", "w1", "w2")]
+    return lens.formed(s, d, *forms).select("p_partkey", T.join_hyphenated("raw").alias("joined"))
 
 
-@query("x23_furniture", "select * from (values ('123', true), ('  45 THE BOOK', true), ('GENESIS. 12', true), ('- - -', true), ('In the beginning 12', false)) t(line, furniture)")
+@query("x23_furniture", "select p_partkey, p_partkey % 6 < 4 as furniture from formed", "formed")
 def _(s, d):
-    asked = s.createDataFrame([("123",), ("  45 THE BOOK",), ("GENESIS. 12",), ("- - -",), ("In the beginning 12",)], "line string")
-    return asked.select("line", T.is_furniture("line").alias("furniture"))
+    forms = [F.format_string("%d", "n"), F.format_string("  %d THE %s", "n", F.upper("w2")), F.format_string("%s. %d", F.upper("w1"), "n"), F.repeat(F.lit("- "), F.col("k").cast("int")), F.format_string("In the %s %d", "w1", "n"), F.format_string("%d in the %s", "n", "w2")]
+    return lens.formed(s, d, *forms).select("p_partkey", T.is_furniture("raw").alias("furniture"))
 
 
 @query("x24_footer", "select doc_id, md5(trim(text)) as h from documents")
@@ -353,10 +350,11 @@ def _(s, d):
     return table(s, d, "nation").select("n_nationkey", T.wiki_text(wiki).alias("text"))
 
 
-@query("x27_spaced_capitals", "select * from (values ('of E Z E K I E L now', 'of EZEKIEL now'), ('A B', 'A B'), ('I A M', 'IAM'), ('X Y Z and P Q R', 'XYZ and PQR')) t(raw, joined)")
+@query("x27_spaced_capitals", "select p_partkey, case p_partkey % 3 when 0 then 'of ' || upper(w1) || ' now' when 1 then 'A B ' || w2 else upper(w2) || ' and ' || upper(w1) end as joined from formed", "formed")
 def _(s, d):
-    asked = s.createDataFrame([("of E Z E K I E L now",), ("A B",), ("I A M",), ("X Y Z and P Q R",)], "raw string")
-    return asked.select("raw", T.join_spaced_capitals("raw").alias("joined"))
+    spaced = lambda w: F.array_join(F.split(F.upper(w), ""), " ")
+    forms = [F.format_string("of %s now", spaced("w1")), F.format_string("A B %s", "w2"), F.format_string("%s and %s", spaced("w2"), spaced("w1"))]
+    return lens.formed(s, d, *forms).select("p_partkey", T.join_spaced_capitals("raw").alias("joined"))
 
 
 @query("x28_prefix", "select c_custkey, split_part(c_name, '#', 1) as prefix from customer")
@@ -378,10 +376,13 @@ def _(s, d):
 # ---- dates, digits, hashes, arrays
 
 
-@query("d01_iso_date", "select raw, coalesce(cast(try_cast(case when regexp_matches(raw, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') then raw end as date) as varchar), 'invalid') as day from (values ('2026-09-20'), ('2025-02-29'), ('20250101'), ('x')) t(raw)")
+@query("d01_iso_date", "select o_orderkey, case o_orderkey % 4 when 0 then strftime(o_orderdate, '%Y-%m-%d') else 'invalid' end as day from orders")
 def _(s, d):
-    asked = s.createDataFrame([("2026-09-20",), ("2025-02-29",), ("20250101",), ("x",)], "raw string")
-    return asked.select("raw", F.coalesce(D.iso_date("raw").cast("string"), F.lit("invalid")).alias("day"))
+    """Dates of the table; three of four spoilt: a day too many, no hyphens, blanks."""
+    at = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, at("yyyy-MM-dd")).when(k == 1, F.concat(at("yyyy-MM"), F.lit("-32"))).when(k == 2, at("yyyyMMdd")).otherwise(F.concat(at("yyyy-MM-dd"), F.lit(" x")))
+    return table(s, d, "orders").select("o_orderkey", F.coalesce(D.iso_date(raw).cast("string"), F.lit("invalid")).alias("day"))
 
 
 @query("d02_plan_day", "select o_orderkey, date_diff('day', date '1997-01-01', cast(o_orderdate as date)) + 1 as day, case when date_diff('day', date '1997-01-01', cast(o_orderdate as date)) + 1 < 1 then 'not begun' when date_diff('day', date '1997-01-01', cast(o_orderdate as date)) + 1 > 365 then 'finished' else 'active' end as status from orders")
@@ -405,10 +406,12 @@ def _(s, d):
     return days.select("m", "dd", big(D.month_day_number(F.col("m").cast("int"), F.col("dd").cast("int"))).alias("n"))
 
 
-@query("d06_month_name", "select * from (values ('january-1', 1), ('March-1', 61), ('december-31', 366), ('june-31', -1), ('x-1', -1)) t(raw, n)")
+@query("d06_month_name", "select o_orderkey, cast(case o_orderkey % 4 when 2 then -1 when 3 then -1 else dayofyear(make_date(2024, month(o_orderdate), day(o_orderdate))) end as int) as n from orders")
 def _(s, d):
-    asked = s.createDataFrame([("january-1",), ("March-1",), ("december-31",), ("june-31",), ("x-1",)], "raw string")
-    return asked.select("raw", F.coalesce(D.month_name_key("raw"), F.lit(-1)).alias("n"))
+    """Days of the table as month and day, in small or other letters; half spoilt: a day or a month that there is not."""
+    name, day, k = F.date_format("o_orderdate", "MMMM"), F.dayofmonth("o_orderdate").cast("string"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.concat_ws("-", F.lower(name), day)).when(k == 1, F.concat_ws("-", name, day)).when(k == 2, F.concat_ws("-", name, F.lit("32"))).otherwise(F.concat_ws("-", F.lit("x"), day))
+    return table(s, d, "orders").select("o_orderkey", F.coalesce(D.month_name_key(raw), F.lit(-1)).alias("n"))
 
 
 @query("m01_hash_modulo", """select n_name, list_reduce(list_prepend(0::bigint, list_transform(range(1, 65), lambda i: cast(instr('0123456789abcdef', substr(sha256(n_name), cast(i as int), 1)) - 1 as bigint))), lambda a, b: (a * 16 + b) % 31102) as at from nation""")
@@ -433,10 +436,13 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", big(F.coalesce(D.digit_differences(a, b), F.lit(-1))).alias("n"))
 
 
-@query("m06_confusion", "select * from (values ('l23', '123', 1), ('lO3', '103', 2), ('lOS', '105', -1), ('12', '123', -1), ('123', '123', 0), ('x23', '123', -1)) t(token, expected, subs)")
+@query("m06_confusion", """with e as (select p_partkey, cast(p_partkey + 100 as varchar) as e from part), c as (select *, len(e) - len(replace(replace(e, '1', ''), '0', '')) as swapped from e)
+select p_partkey, cast(case p_partkey % 4 when 0 then 0 when 1 then case when swapped <= 2 then swapped else -1 end else -1 end as int) as subs from c""")
 def _(s, d):
-    asked = s.createDataFrame([("l23", "123"), ("lO3", "103"), ("lOS", "105"), ("12", "123"), ("123", "123"), ("x23", "123")], "token string, expected string")
-    return asked.select("token", "expected", F.coalesce(D.confusion_substitutions("token", "expected"), F.lit(-1)).alias("subs"))
+    """Numbers as they are, with l and O for 1 and 0, without their last digit, and with a letter that is taken for none."""
+    e, k = (F.col("p_partkey") + 100).cast("string"), F.col("p_partkey") % 4
+    token = F.when(k == 0, e).when(k == 1, F.translate(e, "10", "lO")).when(k == 2, F.left(e, F.length(e) - 1)).otherwise(F.concat(F.lit("x"), F.substring(e, F.lit(2), F.length(e))))
+    return table(s, d, "part").select("p_partkey", F.coalesce(D.confusion_substitutions(token, e), F.lit(-1)).alias("subs"))
 
 
 @query("n01_split_explode", "select p_partkey, unnest(string_split(p_type, ' ')) as part from part")
@@ -469,16 +475,20 @@ def _(s, d):
     return per.select("head", F.array_join(F.transform(F.slice("refs", 1, 3), lambda x: x.cast("string")), ",").alias("first"), big(F.size("refs")).alias("total"))
 
 
-@query("n06_longest_prefix", "select * from (values ('a b c', 'x a b d', 2), ('a b', 'a b', 2), ('q', 'a b', 0), ('b d', 'x a b d', 2)) t(words, within, n)")
+@query("n06_longest_prefix", "select p_partkey, cast(([2, 1, 0, 2])[p_partkey % 4 + 1] as int) as n from part")
 def _(s, d):
-    asked = s.createDataFrame([("a b c", "x a b d"), ("a b", "a b"), ("q", "a b"), ("b d", "x a b d")], "words string, within string")
-    return asked.select("words", "within", D.longest_prefix(F.split("words", " "), F.split("within", " ")).alias("n"))
+    """How many first words of ``w1 w2 end`` stand in a row in other texts."""
+    within = [F.format_string("x %s %s y", "w1", "w2"), F.format_string("x %s y", "w1"), F.format_string("x %s y", "w2"), F.format_string("%s y %s %s", "w1", "w1", "w2")]
+    words = F.array("w1", "w2", F.lit("end"))
+    return lens.formed(s, d, *within).select("p_partkey", D.longest_prefix(words, F.split("raw", " ")).alias("n"))
 
 
-@query("n07_subsequence", "select * from (values ('a c', 'a b c', 'strong'), ('a x c', 'a b c', 'weak'), ('a x y', 'a b c', 'none'), ('c a', 'a b c', 'none')) t(words, within, strength)")
+@query("n07_subsequence", "select p_partkey, (['strong', 'weak', 'none', 'none'])[p_partkey % 4 + 1] as strength from part")
 def _(s, d):
-    asked = s.createDataFrame([("a c", "a b c"), ("a x c", "a b c"), ("a x y", "a b c"), ("c a", "a b c")], "words string, within string")
-    return asked.select("words", "within", D.match_strength(F.split("words", " "), F.split("within", " ")).alias("strength"))
+    """Words in their order, with one that is absent, with two, and in another order."""
+    words = [F.format_string("%s %s", "w1", "w2"), F.format_string("%s zz %s", "w1", "w2"), F.format_string("%s zz qq", "w1"), F.format_string("%s %s", "w2", "w1")]
+    within = F.array(F.lit("x"), F.col("w1"), F.lit("y"), F.col("w2"))
+    return lens.formed(s, d, *words).select("p_partkey", D.match_strength(F.split("raw", " "), within).alias("strength"))
 
 
 @query("n08_format", "select o_orderkey, o_orderpriority || ' ' || o_custkey || ':' || (o_orderkey % 9) as shown from orders")
