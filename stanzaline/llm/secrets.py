@@ -1,12 +1,14 @@
 """Secret scans with structural confirmation.
 
-Three plain patterns find assignments, access keys and hex runs. Runs of base64 and hex are then
-decoded and reported only when their structure holds: DER keys whose nested lengths add up, OpenSSH
-keys whose length-prefixed fields do, PEM blocks whose body is such a key, and signed tokens whose
-header is JSON with an algorithm.
-
-Defined cases: a null or empty text has no spans; repeated rows are scanned alike; other columns are
-left out. Offsets are code points, ends exclusive.
+Three plain patterns find assignments, access keys and hex runs. Runs of base64, also wrapped over
+lines, and of hex, also with colons between the bytes, are then decoded and reported only when their
+structure holds: DER private keys whose nested lengths add up, OpenSSH private keys whose
+length-prefixed fields do, PEM blocks whose body is such a key, and signed tokens whose header is JSON
+with an algorithm. Public keys and certificates are no secrets and are not reported.
+
+Defined cases: a null or empty text has no spans; repeated rows are scanned alike; an empty table gives
+no rows; very long texts are scanned whole; other columns are left out. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -30,10 +32,17 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})(?![A-Za-z0-9_-])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]*?)-----END \1-----")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+#: Lines of at least 40 characters, and a last one of any length; blanks or quote marks may stand before each.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:(?:\r?\n|\\n)[ \t>]*[A-Za-z0-9+/]{40,})*(?:(?:\r?\n|\\n)[ \t>]*[A-Za-z0-9+/]{1,}={0,2})")
 LONG_CODE = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Fa-f])")
+#: Bytes in hex with colons between, also over several lines.
+COLON_CODE = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:(?:\r?\n[ \t]*)?){31,}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 #: Order of kinds among spans that start together.
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "ssh", "der_hex")
 _RANK = {k: i for i, k in enumerate(KINDS)}
+_FIRST = ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3")
+_BLANKS, _COLONS, _BREAK = re.compile(r"\\n|[\s>]+"), re.compile(r"[:\s]+"), re.compile(r"(?:\r?\n|\\n)[ \t>]*")
+_ENDING = re.compile(r"(?:\r?\n|\\n)[ \t>]*\Z")
 
 
 def _der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
@@ -63,44 +72,50 @@ def _der_children(data: bytes, start: int, end: int) -> list[tuple[int, int, int
     return found
 
 
-def is_der_key(data: bytes) -> bool:
-    """A PKCS#1, PKCS#8, SEC1 or subject-public-key structure: nested lengths that fill the outer one."""
-    if len(data) < 24 or data[0] != 0x30:
-        return False
+#: Fixed: first bytes of the object identifiers of password-based encryption.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
+
+
+def _whole(data: bytes, tag: int) -> list[tuple[int, int, int]] | None:
+    """The children of the one element, with this tag, that fills the data."""
+    if not data or data[0] != tag:
+        return None
     outer = _der_length(data, 1, len(data))
-    if outer is None or outer[1] != len(data):
-        return False
-    inner = _der_children(data, *outer)
-    if not inner or len(inner) < 2:
+    return _der_children(data, *outer) if outer and outer[1] == len(data) else None
+
+
+def is_der_key(data: bytes) -> bool:
+    """A PKCS#1, SEC1, PKCS#8 or encrypted PKCS#8 private key: nested lengths that fill the outer ones."""
+    if len(data) < 24 or not (inner := _whole(data, 0x30)) or len(inner) < 2:
         return False
     tags = [t for t, _, _ in inner]
-    if tags[0] == 0x02 and len(tags) >= 9 and set(tags) == {0x02}:  # version and eight numbers
-        return True
-    if tags[:2] == [0x02, 0x04] and inner[0][2] - inner[0][1] == 1:  # version and the private number
-        return True
-    if tags[0] == 0x02:
-        inner, tags = inner[1:], tags[1:]
-    if tags[:2] not in ([0x30, 0x04], [0x30, 0x03]):
+    small = inner[0][2] - inner[0][1] == 1
+    if tags[0] == 0x02 and len(tags) >= 9 and set(tags[:9]) == {0x02}:  # version and eight numbers
+        return small
+    if tags[:2] == [0x02, 0x04]:  # version and the private number, of a curve's size
+        return small and 16 <= inner[1][2] - inner[1][1] <= 80
+    plain = tags[:3] == [0x02, 0x30, 0x04] and small
+    if not plain and tags != [0x30, 0x04]:
+        return False
+    (_, low, high), (_, start, end) = inner[1:3] if plain else inner[:2]
+    algorithm = _der_children(data, low, high)  # an object identifier first
+    if not algorithm or algorithm[0][0] != 0x06:
         return False
-    algorithm = _der_children(data, inner[0][1], inner[0][2])  # an object identifier first
-    return bool(algorithm) and algorithm[0][0] == 0x06
+    body = data[start:end]
+    if plain:  # a key of the algorithm's own kind, itself nested
+        return is_der_key(body) or _whole(body, 0x30) is not None or (body[:1] == b"\x04" and len(body) > 2 and body[1] == len(body) - 2)
+    return len(body) >= 32 and data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED)
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container, or a public key blob: length-prefixed fields that fill it."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while fields < 3 and at + 4 <= len(data):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            fields += 1
-        return fields == 3 and at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
-    if not re.match(rb"\0\0\0.(ssh-|ecdsa-|sk-)", data, re.S):
+    """An OpenSSH private key container: length-prefixed fields in their order."""
+    if not data.startswith(b"openssh-key-v1\0"):
         return False
-    at, fields = 0, 0
-    while at + 4 <= len(data):
+    at, fields = 15, 0
+    while fields < 3 and at + 4 <= len(data):
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields += 1
-    return at == len(data) and fields >= 2
+    return fields == 3 and at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
 
 
 def _base64(text: str, url: bool = False) -> bytes | None:
@@ -141,16 +156,28 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             data = _base64(re.sub(r"\\n|\s|\\", "", m[2]))
             if data and (is_der_key(data) or is_ssh_key(data)):
                 found.append(("pem", m.start(), m.end()))
-    for m in BASE64.finditer(text):
-        # every such structure begins with one of these bytes: 0x30 0x8?, "openssh", or a short length
-        if m[0][:2] in ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3", "AA") and (data := _base64(m[0])):
-            if is_der_key(data):
-                found.append(("der", m.start(), m.end()))
-            elif is_ssh_key(data):
-                found.append(("ssh", m.start(), m.end()))
+    # lines first: a run of one line may be a part of them
+    taken: list[tuple[int, int]] = []
+    for pattern in (WRAPPED, BASE64) if "\n" in text or "\\n" in text else (BASE64,):
+        for m in pattern.finditer(text):
+            # every such structure begins with 0x30 and a length, or with "openssh"
+            if m[0][:2] not in _FIRST or any(s <= m.start() and m.end() <= e for s, e in taken):
+                continue
+            # the last line may be the words that follow
+            for end in (m.end(), m.end() - len(_BREAK.split(m[0])[-1])) if pattern is WRAPPED else (m.end(),):
+                code = _ENDING.sub("", text[m.start() : end])
+                data = _base64(_BLANKS.sub("", code))
+                if kind := data and ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None):
+                    found.append((kind, m.start(), m.start() + len(code)))
+                    taken.append((m.start(), m.start() + len(code)))
+                    break
     for m in LONG_CODE.finditer(text):
         if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append(("der_hex", m.start(), m.end()))
+    if ":" in text:
+        for m in COLON_CODE.finditer(text):
+            if m[0].startswith("30") and is_der_key(bytes.fromhex(_COLONS.sub("", m[0]))):
+                found.append(("der_hex", m.start(), m.end()))
     return found
 
 
