@@ -1,12 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded; learned filters run over overlapping chunks that cover the whole document; each
-chunk is max-pooled, chunks are combined by their mean and their maximum into one probability.
+chunk is max-pooled, chunks are combined by their mean and their maximum into one probability. Nothing
+but the pooled filters goes into it.
 
 Defined cases: a null or empty text is a document of padding bytes and has a score like any other;
 unlabelled and conflicting labels are left out of training (a doc_id with both labels is conflicting);
-repeated rows score alike; a null doc_id has no label; without labels of both classes every score is
-0.5; labels, lang, source and doc_id are never inputs; extra columns are left out.
+of several texts of one labelled doc_id the least is learned from; repeated rows score alike; a null
+doc_id has no label; very long texts are scored and learned from in slices; without labels of both
+classes every score is 0.5; labels, lang, source and doc_id are never inputs; an empty table gives no
+rows; the score's name gets underscores in front where a column has it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -27,6 +31,8 @@ EMBED, WIDTH, STRIDE, FILTERS = 6, 16, 4, 32
 CHUNK, OVERLAP = 1024, WIDTH - STRIDE
 #: Labelled documents that a fit takes at most of class 0 and of class 1, by hash of doc_id.
 MAX_PER_CLASS = (1200, 2400)
+#: Bytes of text that a fit takes at most, in the same order; documents that do not fit any more are passed over.
+MAX_BYTES = 64 << 20
 STEPS, BATCH, RATE, SEED = 1300, 16, 0.004, 7
 THRESHOLD = 0.7
 _STEP = CHUNK - OVERLAP
@@ -39,7 +45,7 @@ class Model:
     embed: np.ndarray  # 256 x EMBED
     filters: np.ndarray  # WIDTH * EMBED x FILTERS
     bias: np.ndarray  # FILTERS
-    dense: np.ndarray  # 2 * FILTERS, then one for the length
+    dense: np.ndarray  # 2 * FILTERS: of the mean, of the maximum
     offset: float
     constant: float | None = None
 
@@ -60,15 +66,21 @@ def _windows(model: Model, rows: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (n, places, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * size, size))
 
 
-def _pooled(model: Model, rows: np.ndarray) -> np.ndarray:
+def _responses(model: Model, rows: np.ndarray) -> np.ndarray:
     windows = _windows(model, rows)
     n, places, width = windows.shape
-    out = np.ascontiguousarray(windows).reshape(n * places, width) @ model.filters
-    return np.maximum(out.reshape(n, places, -1).max(1) + model.bias, 0)
+    return (np.ascontiguousarray(windows).reshape(n * places, width) @ model.filters).reshape(n, places, -1)
+
 
+def _pooled(model: Model, rows: np.ndarray) -> np.ndarray:
+    return np.maximum(_responses(model, rows).max(1) + model.bias, 0)
 
-def _features(mean: np.ndarray, top: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([mean, top, [np.float32(np.log1p(size) / 5 - 1)]])
+
+def _argmax(model: Model, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled filters of every chunk, and the places that they come from."""
+    out = _responses(model, rows)
+    where = out.argmax(1)
+    return np.maximum(np.take_along_axis(out, where[:, None], 1)[:, 0] + model.bias, 0), where
 
 
 def score(model: Model, data: bytes) -> float:
@@ -80,34 +92,34 @@ def score(model: Model, data: bytes) -> float:
         pooled = _pooled(model, rows[at : at + _AT_ONCE])
         total += pooled.sum(0, dtype=np.float64)
         top = np.maximum(top, pooled.max(0))
-    z = float(_features(total / len(rows), top, len(data)) @ model.dense + model.offset)
+    z = float(np.concatenate([total / len(rows), top]) @ model.dense + model.offset)
     return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
 def _gradients(model: Model, data: bytes, label: int, into: dict[str, np.ndarray]) -> float:
+    """Adds one document's gradients; forth and back over slices of its chunks."""
     rows = chunks(data)
-    windows = _windows(model, rows)
-    n, places, width = windows.shape
-    flat = np.ascontiguousarray(windows).reshape(n * places, width)
-    out = (flat @ model.filters).reshape(n, places, FILTERS)
-    where = out.argmax(1)
-    pooled = np.maximum(np.take_along_axis(out, where[:, None], 1)[:, 0] + model.bias, 0)
-    mean, best = pooled.mean(0), pooled.argmax(0)
-    features = _features(mean, pooled.max(0), len(data))
+    n = len(rows)
+    pooled, where = (np.zeros((n, FILTERS), t) for t in (model.filters.dtype, np.int64))
+    for at in range(0, n, _AT_ONCE):
+        pooled[at : at + _AT_ONCE], where[at : at + _AT_ONCE] = _argmax(model, rows[at : at + _AT_ONCE])
+    best = pooled.argmax(0)
+    features = np.concatenate([pooled.mean(0), pooled.max(0)])
     p = 1 / (1 + np.exp(-np.clip(features @ model.dense + model.offset, -30, 30)))
     err = np.float32(p - label)
     into["dense"] += err * features
     into["offset"] += err
     back = np.repeat((err * model.dense[:FILTERS] / n)[None], n, 0)
-    back[best, np.arange(FILTERS)] += err * model.dense[FILTERS : 2 * FILTERS]
+    back[best, np.arange(FILTERS)] += err * model.dense[FILTERS:]
     back *= pooled > 0
     into["bias"] += back.sum(0)
-    c, f = np.nonzero(back)
-    at = where[c, f]
-    hit = flat[c * places + at]
-    into["filters"] += _add(f, hit * back[c, f][:, None], FILTERS).T
-    seen = rows[c[:, None], at[:, None] * STRIDE + np.arange(WIDTH)]
-    into["embed"] += _add(seen.ravel(), (model.filters.T[f] * back[c, f][:, None]).reshape(-1, EMBED), 256)
+    for at in range(0, n, _AT_ONCE):
+        part, slope = rows[at : at + _AT_ONCE], back[at : at + _AT_ONCE]
+        c, f = np.nonzero(slope)
+        seen = part[c[:, None], where[at + c, f][:, None] * STRIDE + np.arange(WIDTH)]
+        hit = model.embed[seen].reshape(len(c), -1)
+        into["filters"] += _add(f, hit * slope[c, f][:, None], FILTERS).T
+        into["embed"] += _add(seen.ravel(), (model.filters.T[f] * slope[c, f][:, None]).reshape(-1, EMBED), 256)
     return float(-np.log(max(1e-9, p if label else 1 - p)))
 
 
@@ -121,7 +133,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = STEPS, rate: float =
     """Adam on the cross entropy, in a fixed number of steps."""
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
-    model = Model(normal(256, EMBED, by=0.5), normal(WIDTH * EMBED, FILTERS, by=0.15), np.zeros(FILTERS, np.float32), normal(2 * FILTERS + 1, by=0.1), 0.0)
+    model = Model(normal(256, EMBED, by=0.5), normal(WIDTH * EMBED, FILTERS, by=0.15), np.zeros(FILTERS, np.float32), normal(2 * FILTERS, by=0.1), 0.0)
     by_class = [[i for i, y in enumerate(labels) if y == k] for k in (0, 1)]
     if not all(by_class):
         model.constant = 0.5
@@ -153,7 +165,7 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_per_class: tuple[int, int] = MAX_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_per_class: tuple[int, int] = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
     """A model of a bounded, hash-ordered sample of the labelled rows that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~is_held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).alias("y"), F.max(column).alias("most")).where("y = most")
@@ -162,20 +174,25 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_per_c
     if not sample:
         return fit([], [])
     # at most sum(max_per_class) ids, so the filter reaches the scan
-    rows = docs.where(F.col("doc_id").isin(list(sample))).select("doc_id", F.col("text").cast("binary").alias("text")).collect()
-    rows = sorted({(r["doc_id"], bytes(r["text"] or b"")) for r in rows})
+    rows = docs.where(F.col("doc_id").isin(list(sample))).select("doc_id", F.col("text").cast("binary").alias("text"))
+    sizes = {r["doc_id"]: r["n"] for r in rows.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()}
+    left, taken = max_bytes, []
+    for i in sample:
+        if sizes.get(i, max_bytes + 1) <= left:
+            left -= sizes[i]
+            taken.append(i)
+    rows = rows.where(F.col("doc_id").isin(taken)).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text")).collect()
+    rows = sorted((r["doc_id"], bytes(r["text"])) for r in rows)
     return fit([t for _, t in rows], [sample[i] for i, _ in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score of the whole text; one pass, no shuffle."""
-    at, fields = docs.columns.index("text"), docs.schema
+    at, fields, (name,) = docs.columns.index("text"), docs.schema, common.fresh(docs.columns, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             scores = [score(model, t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*fields.fields, StructField(name, DoubleType())]))
