@@ -98,8 +98,11 @@ def _usable(values: list | None) -> np.ndarray | None:
     if not values or any(v is None for v in values):
         return None
     x = np.array(values, np.float64)
-    norm = np.sqrt((x * x).sum())
-    return x / norm if np.isfinite(norm) and norm > 0 else None
+    top = np.abs(x).max()
+    if not (np.isfinite(top) and top > 0):
+        return None
+    x = x / top  # squares of very large or small components would leave the range
+    return x / np.sqrt((x * x).sum())
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     shared = flat.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node") % (1 << 40)).alias("members"), F.min("node").alias("low")).where("n > 1")
     # cells with the same members say the same: the least stands for them
     shared = shared.groupBy("n", "members", "low").agg(F.min("cell").alias("cell"))
-    member = common.materialize(flat.join(shared.select("cell", "n"), "cell"), "member")
+    member = common.materialize(common.spread_join(flat, common.materialize(shared.select("cell", "n"), "shared"), "cell", "node"), "member")
     own = member.groupBy("node").agg(F.collect_list("cell").alias("cells"))  # at most as many as probed
     full = nodes.join(own, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
