@@ -154,7 +154,8 @@ def _(s, d):
     u = lens.lessons(s, d).select("translation", "book", "chapter", "verse_no", "text")
     words = F.split("text", " ")
     spoilt = F.array_join(F.transform(words, lambda w, k: F.when((k + F.col("verse_no")) % F.col("verse_no") == 0, F.reverse(w)).otherwise(w)), " ")
-    notes = u.where("verse_no % 3 = 2").select("translation", "book", "chapter", F.when(F.col("verse_no") == 2, 1).otherwise(F.col("verse_no")).alias("verse_no"), spoilt.alias("head"))
+    heads = u.where("verse_no % 3 = 2").withColumn("head", spoilt)
+    notes = heads.select("translation", "book", "chapter", F.when(F.col("verse_no") == 2, 1).otherwise(F.col("verse_no")).alias("verse_no"), "head")
     found = like_canonical(notes, u, ["translation", "book", "chapter"], "verse_no", "head", "text", 0.4, F.when(F.col("verse_no") == 1, 2))
     return found.select("book", "chapter", "verse_no", "matched", F.round("likeness", 6).alias("likeness"))
 

@@ -344,7 +344,7 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.cut_clean("text", 40).alias("cut"))
 
 
-@query("x26_wikitext")
+@query("x26_wikitext", "select n_nationkey, 'x ' || n_name || ' i' as text from nation")
 def _(s, d):
     wiki = F.concat(F.lit("{{a|{{b|x}}}} [[t|"), F.col("n_name"), F.lit("]] ''i''<ref>r</ref>"))
     return table(s, d, "nation").select("n_nationkey", T.wiki_text(wiki).alias("text"))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from stanzaline.plans import registry
+from test_values import VALUES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,7 +39,7 @@ def test_query(spark, duck, name):
     got = registry.queries()[name](spark, DATA).toPandas()
     sql = registry.oracles().get(name)
     if sql is None:
-        assert len(got.columns)
+        assert len(got.columns) and name in VALUES  # compared there with plain Python
         return
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
