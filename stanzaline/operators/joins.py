@@ -27,12 +27,23 @@ def covering_notes(keys: DataFrame, notes: DataFrame) -> DataFrame:
     return keys.join(unfolded, ["book_order", "ch"]).where(covers("ch", "v"))
 
 
+#: Verses that one bucket of an interval join holds.
+BUCKET = 16
+
+
 def overlap_tiers(keys: DataFrame, anchors: DataFrame, slack: int = 3) -> DataFrame:
-    """Anchors at each key (ch, v) of the best tier only: 0 covers the verse, 1 lies within ``slack`` of it."""
-    met = keys.join(anchors, "ch").where((F.col("vs") <= F.col("v") + slack) & (F.col("ve") >= F.col("v") - slack))
+    """Anchors at each key (ch, v) of the best tier only: 0 covers the verse, 1 lies within ``slack`` of it.
+
+    Anchors, widened by the slack, are unfolded over buckets of verses, so a key meets the anchors of its
+    chapter and bucket alone, and each of them once; a chapter with many of both is no hot key.
+    """
+    bucket = lambda v: F.floor(v / BUCKET)
+    reach = F.sequence(bucket(F.col("vs") - slack), bucket(F.col("ve") + slack))
+    spread = anchors.where("vs <= ve").withColumn("_bucket", F.explode(reach))
+    met = keys.withColumn("_bucket", bucket(F.col("v"))).join(spread, ["ch", "_bucket"]).where((F.col("vs") <= F.col("v") + slack) & (F.col("ve") >= F.col("v") - slack))
     tier = F.when((F.col("vs") <= F.col("v")) & (F.col("ve") >= F.col("v")), 0).otherwise(1)
     best = F.min("tier").over(Window.partitionBy("ch", "v"))
-    return met.withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("best")
+    return met.drop("_bucket").withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("best")
 
 
 def resolve_passages(refs: DataFrame, units: DataFrame, position: str = "ref_ix") -> DataFrame:

@@ -224,9 +224,11 @@ def _(s, d):
     return lens.notes(s, d).where("book_order = 5").where(J.covers(F.lit(2), F.lit(1))).select("id", "text")
 
 
-@query("c19_cross_refs", "select distinct head, line, ref from edges where head in (1, 2, 3, 4, 5)", "edges")
+@query("c19_cross_refs", "with l as (select max(o_orderkey) as head from orders group by o_custkey) select distinct e.head, e.line, e.ref from edges e join l on l.head = e.head", "edges")
 def _(s, d):
-    return lens.edges(s, d).where("head in (1, 2, 3, 4, 5)").distinct()
+    """All links of each customer's last order."""
+    heads = table(s, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("head")).select("head")
+    return lens.edges(s, d).join(heads, "head", "left_semi").distinct()
 
 
 @query("c20_devotional", """with e as (select event_id, dayofyear(ts) as n, hour(ts) < 12 as morning from events)

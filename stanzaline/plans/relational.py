@@ -208,9 +208,11 @@ def _(s, d):
     return eight.join(p, "ref", "left").select("head", "ref", F.coalesce("p_name", F.lit("")).alias("name"))
 
 
-@query("j11_edges", "select head, line, ref from edges where head between 10 and 40 and line = 1", "edges")
+@query("j11_edges", "select distinct e.head, e.line, e.ref from edges e join orders o on o.o_orderkey = e.head and e.line = o.o_custkey % 7 + 1 and o.o_orderstatus <> 'O'", "edges")
 def _(s, d):
-    return lens.edges(s, d).where("head between 10 and 40 and line = 1")
+    """The links of the lines that closed orders name, by head and line."""
+    asked = table(s, d, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("head"), (F.col("o_custkey") % 7 + 1).alias("line"))
+    return lens.edges(s, d).join(asked, ["head", "line"], "left_semi").select("head", "line", "ref").distinct()
 
 
 @query("j12_priority", """with k as (select *, list_position(['Brand#13', 'Brand#22', 'Brand#31', 'Brand#44', 'Brand#55'], source_id) as r from lex where list_position(['Brand#13', 'Brand#22', 'Brand#31', 'Brand#44', 'Brand#55'], source_id) > 0)
