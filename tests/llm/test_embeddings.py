@@ -73,3 +73,27 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert sum(g[1] for g in got) >= 0.97 * links and all(g[1] <= w[1] for g, w in zip(got, wanted))
     monkeypatch.setattr(E, "BLOCK", 3)
     assert found(spark.createDataFrame(rows, SCHEMA)) == got
+
+
+def test_recall_at_the_threshold():
+    """Pairs just above the threshold share a cell, whatever the number of dimensions."""
+    rng = np.random.default_rng(5)
+    for dim in (16, 64, 256):
+        a = rng.standard_normal((2000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        side = rng.standard_normal((2000, dim))
+        side -= (side * a).sum(1, keepdims=True) * a
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        b = 0.951 * a + np.sqrt(1 - 0.951**2) * side
+        x, y = (E.cells(v).reshape(len(v), -1) for v in (a, b))
+        met = [bool(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist())]
+        assert np.mean(met) >= 0.99, dim
+
+
+def test_sizes_do_not_matter(spark):
+    """Components far from one link as if they were scaled; subnormal ones too."""
+    base = [0.3, -0.2, 0.9, 0.1] * 4
+    near = [x + 0.01 for x in base]
+    rows = [(k, [x * f for x in v]) for k, (v, f) in enumerate([(base, 1.0), (near, 1e200), (base, 1e-200), (near, 1e-310), ([0.0] * 16, 1.0)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(df) == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 0, 4)]

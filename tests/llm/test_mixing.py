@@ -83,6 +83,14 @@ def test_query(spark, tmp_path):
     assert len(got) == len(rows) and all(abs(taken[s] - min(low * weight[s], 2 * totals[s])) <= 0.51 for s in order)
 
 
+def test_many_sources(docs, monkeypatch):
+    """Cuts of more sources than may be broadcast are joined otherwise, with the same result."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.mix_size, r.mix_taken)
+    wanted = sorted(map(key, M.mix(docs).collect()))
+    monkeypatch.setattr(M, "MOST_BROADCAST", 0)
+    assert sorted(map(key, M.mix(docs).collect())) == wanted
+
+
 def test_many_buckets(spark):
     rows = [(i, "w " * (i % 7), "hot" if i % 3 else f"s{i % 5}") for i in range(5000)]
     got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -98,3 +98,78 @@ def test_training_rows(spark, docs):
     assert none.constant == 0.5
     got = docs.where("doc_id is not null").select("doc_id", Q.is_held_out("doc_id").alias("h")).collect()
     assert all(r.h == Q.held_out(r.doc_id) for r in got)
+
+
+def slow_score(model, data):
+    """The network by its definition: every window of every chunk by itself."""
+    step, count = Q.CHUNK - Q.OVERLAP, max(1, -(-(len(data) - Q.OVERLAP) // (Q.CHUNK - Q.OVERLAP)))
+    pooled = []
+    for c in range(count):
+        chunk = data[c * step : c * step + Q.CHUNK].ljust(Q.CHUNK, b"\0")
+        best = [-np.inf] * Q.FILTERS
+        for at in range(0, Q.CHUNK - Q.WIDTH + 1, Q.STRIDE):
+            window = np.concatenate([model.embed[b] for b in chunk[at : at + Q.WIDTH]])
+            best = np.maximum(best, window @ model.filters)
+        pooled.append(np.maximum(best + model.bias, 0))
+    features = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+    return 1 / (1 + np.exp(-(features @ model.dense + model.offset)))
+
+
+def test_score_by_definition(model, sample):
+    assert len(model.dense) == 2 * Q.FILTERS  # nothing but pooled filters goes in
+    for text in ("", "a", sample[0][0], sample[1][3] * 4, "é" * 3000):
+        assert abs(Q.score(model, text.encode()) - slow_score(model, text.encode())) < 1e-5
+
+
+def test_gradients_in_slices(model, sample, monkeypatch):
+    text = (sample[0][0] * 30).encode()
+    names = ("embed", "filters", "bias", "dense", "offset")
+    whole, parts = ({n: np.zeros_like(np.asarray(getattr(model, n), np.float64)) for n in names} for _ in range(2))
+    Q._gradients(model, text, 0, whole)
+    monkeypatch.setattr(Q, "_AT_ONCE", 2)
+    Q._gradients(model, text, 0, parts)
+    assert len(Q.chunks(text)) > 4 and all(np.allclose(whole[n], parts[n], atol=1e-5) for n in names)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """The fit gets no more bytes than it may, and one text of a doc_id that has several."""
+    docs = spark.createDataFrame([(i, "x" * 10 * (i + 1)) for i in range(20)] + [(3, "a")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda texts, ys: seen.append(texts) or Q.Model(None, None, None, None, 0.0, constant=0.5))
+    Q.train(docs, labels)
+    Q.train(docs, labels, max_bytes=300)
+    held = sum(Q.held_out(i) for i in range(20))
+    assert len(seen[0]) == 20 - held and (b"a" in seen[0]) == (not Q.held_out(3))
+    assert 0 < len(seen[1]) < len(seen[0]) and sum(map(len, seen[1])) <= 300
+
+
+def test_query(spark, tmp_path, sample, monkeypatch):
+    """The registered query: remainders, thresholds, and scores of the model that it learned, made again by its definition."""
+    from stanzaline.llm import queries
+
+    good, bad = sample
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(good + bad)] + [(500 + k, t, *rest) for k, (_, t, *rest) in enumerate(awkward_rows()) if len(t or "") < 3000] + [(None, "x", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < len(good)), 0) for i in range(len(good + bad))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fit, learned = Q.fit, []
+
+    def short(texts, ys):
+        learned.append((set(texts), fit(texts, ys, steps=150)))
+        return learned[-1][1]
+
+    monkeypatch.setattr(Q, "fit", short)
+    got = queries.op5_quality(spark, str(tmp_path)).collect()
+    texts, model = learned[0]
+    assert len(got) == len(rows)
+    left = sorted(((r.doc_id is None, r.doc_id or 0, r.held_out, r.predicted, round(r.score, 4)) for r in got))
+    wanted = []
+    for i, t, *_ in rows:
+        held = i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+        p = slow_score(model, (t or "").encode())
+        wanted.append((i is None, i or 0, held, int(p >= 0.7), round(float(p), 4)))
+        if held and i < 500:
+            assert t.encode() not in texts
+    assert [x[:4] for x in left] == [x[:4] for x in sorted(wanted)] and all(abs(a[4] - b[4]) < 2e-4 for a, b in zip(left, sorted(wanted)))
+    own = [(r.predicted, int(r.doc_id < len(good))) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 500]
+    assert sum(a == b for a, b in own) >= 0.85 * len(own)

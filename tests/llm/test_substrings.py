@@ -57,3 +57,40 @@ def test_passages(spark):
         rows.append((i * 7 % 60, text))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(df) == brute(rows)
+
+
+def test_passages_of_many_documents(spark, monkeypatch):
+    """Hashes that many documents of a chunk have are answered there; the others meet the least and the greatest of them."""
+    rng = random.Random(10)
+    passage, other = prose(rng, 70), prose(rng, 60)
+    rows = [(i * 11 % 83, f"{prose(rng, rng.randrange(9))} {passage} {prose(rng, rng.randrange(30))}") for i in range(80)]
+    rows += [(i, f"{other} {prose(rng, 5)} {passage}") for i in (81, 81, 82, None, None)] + [(90, passage + " x"), (90, passage)]
+    for often in (2, 8, 10**9):
+        monkeypatch.setattr(S, "OFTEN", often)
+        assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    alone = [(7, f"{k} {passage}") for k in range(20)]
+    monkeypatch.setattr(S, "OFTEN", 8)
+    assert all(r[2] == 0 for r in found(spark.createDataFrame(alone, "doc_id long, text string")))
+    again = [(k, f"{k} " + " ".join([passage] * (20 * (k == 3)))) for k in range(6)]  # often, but in one document
+    assert found(spark.createDataFrame(again, "doc_id long, text string")) == brute(again)
+
+
+def test_chunks_settle_what_they_know():
+    """Within one chunk: the answers and questions of a hash by brute force."""
+    rng = np.random.default_rng(4)
+    for smaller in (False, True):
+        chunk = S.Chunks(4, 8, smaller)
+        for _ in range(60):
+            n = int(rng.integers(1, 60))
+            hashes = np.sort(rng.integers(0, 4, n).astype(np.uint64))
+            checks, ids = rng.integers(0, 2, n).astype(np.uint32), rng.integers(0, 5, n)
+            asks, known = chunk._settle(hashes, checks, ids)
+            known = set() if known is None else set(known.tolist())
+            groups = {}
+            for k in range(n):
+                groups.setdefault((hashes[k], checks[k]), []).append(k)
+            for own in groups.values():
+                low, high = min(ids[own]), max(ids[own])
+                here, sent = known & set(own), set(asks.tolist()) & set(own)
+                assert all(ids[k] > low if smaller else low != high for k in here)
+                assert here | sent == set(own) and {low, high} <= set(ids[list(sent)]) or smaller and low in ids[list(sent)]
