@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composites, formats, lens, positional, quality_checks, relational, sequences, texts  # noqa: F401  (they register their queries)
+from . import composites, formats, lens, positional, quality_checks, relational, sequences, stores, texts  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.headers import head_reference
 from ..operators import recovery as R
 from ..operators import sequences as Q
 from . import lens
@@ -118,9 +119,15 @@ def _(s, d):
     return islands(heads, ["chapter"], "verse_no").select("chapter", "low", "high")
 
 
-@query("q10_fan_out", "select p_partkey, unnest(string_split(p_type, ' ')) as ref, p_name as text from part")
+@query("q10_fan_out", """select p_partkey, b || ' ' || k || ':1-' || k || ':' || n as ref, w1 || ' ' || w2 as text from formed where p_partkey % 3 >= 0 union all select p_partkey, 'Jude 1:' || n || '-1:' || n, w1 || ' ' || w2 from formed where p_partkey % 3 >= 1
+union all select p_partkey, 'Luke ' || k || ':2-' || k + 1 || ':3', w1 || ' ' || w2 from formed where p_partkey % 3 = 2""", "formed")
 def _(s, d):
-    return table(s, d, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("ref"), F.col("p_name").alias("text"))
+    """One text to each of the references that its head names: one, two or three of them, the last without its book."""
+    one, two = F.format_string("%s %d:1-%d", F.upper("b"), "k", "n"), F.format_string("Jude %d", "n")
+    heads = [one, F.concat_ws("; ", one, two), F.concat_ws("; ", one, two, F.format_string("%d:2-%d:3.", "k", F.col("k") + 1))]
+    each = lens.formed(s, d, *heads).select("p_partkey", F.concat_ws(" ", "w1", "w2").alias("text"), F.explode(F.split("raw", "; ")).alias("head"))
+    ref = head_reference(F.col("head"), F.lit("Luke"))
+    return each.select("p_partkey", ref.alias("r"), "text").select("p_partkey", F.format_string("%s %d:%d-%d:%d", "r.book", "r.sc", "r.sv", "r.ec", "r.ev").alias("ref"), "text")
 
 
 @query("q11_blocks")

@@ -37,19 +37,22 @@ def json_config(spark: SparkSession, path: str, field: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.explode(field).alias("entry")).select("entry.*")
 
 
-def json_chapter_maps(spark: SparkSession, path: str, book: str = "book", chapters: str = "chapters") -> DataFrame:
+def config_entries(texts: DataFrame, field: str, entry: str) -> DataFrame:
+    """As json_config, of texts that are JSON; ``entry`` is the schema of one entry."""
+    return texts.select(F.explode(F.from_json("body", f"{field} array<struct<{entry}>>")[field]).alias("entry")).select("entry.*")
+
+
+def json_chapter_maps(texts: DataFrame) -> DataFrame:
     """``{"book": .., "chapters": {"1": {"1": text}}}``: maps unfolded twice."""
-    schema = f"{book} string, {chapters} map<string, map<string, string>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    per = rows.select(F.col(book).alias("book"), F.explode(chapters).alias("chapter", "verses"))
+    rows = texts.select(F.from_json("body", "book string, chapters map<string, map<string, string>>").alias("j"))
+    per = rows.select("j.book", F.explode("j.chapters").alias("chapter", "verses"))
     return per.select("book", F.col("chapter").try_cast("int").alias("chapter"), F.explode("verses").alias("verse", "text")).select("book", "chapter", F.col("verse").try_cast("int").alias("verse"), "text")
 
 
-def json_nested(spark: SparkSession, path: str) -> DataFrame:
+def json_nested(texts: DataFrame) -> DataFrame:
     """``{"books": [{"name", "chapters": [{"chapter", "verses": [{"verse", "text"}]}]}]}``."""
     schema = "books array<struct<name string, chapters array<struct<chapter int, verses array<struct<verse int, text string>>>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    per = rows.select(F.explode("books").alias("b")).select(F.col("b.name").alias("book"), F.explode("b.chapters").alias("c"))
+    per = texts.select(F.explode(F.from_json("body", schema)["books"]).alias("b")).select(F.col("b.name").alias("book"), F.explode("b.chapters").alias("c"))
     return per.select("book", F.col("c.chapter").alias("chapter"), F.explode("c.verses").alias("v")).select("book", "chapter", "v.verse", "v.text")
 
 
@@ -264,6 +267,12 @@ def xml_entries(spark: SparkSession, path: str, tag: str, schema: str) -> DataFr
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def xml_elements(texts: DataFrame, tag: str, schema: str) -> DataFrame:
+    """As xml_entries, of texts; an element holds none of its own name."""
+    found = F.regexp_extract_all("body", F.lit(rf"(?s)<{tag}[ >].*?</{tag}>"), F.lit(0))
+    return texts.select(F.explode(found).alias("m")).select(F.from_xml("m", schema).alias("e")).select("e.*")
+
+
 def headed_tsv(texts: DataFrame, wanted: list[str]) -> DataFrame:
     """Columns by name of a TSV whose header is the first line that has them all; short rows go. A header is a line per file."""
     rows = lines(texts).withColumn("cells", F.split("line", "\t", -1))
@@ -275,11 +284,15 @@ def headed_tsv(texts: DataFrame, wanted: list[str]) -> DataFrame:
 
 def word_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """TSV rows whose first cell is an address ``Book.c.v#n``."""
-    rows = spark.read.csv(path, sep="\t", quote="", schema=", ".join(f"{n} string" for n in names))
+    return addressed_words(spark.read.csv(path, sep="\t", quote="", schema=", ".join(f"{n} string" for n in names)))
+
+
+def addressed_words(rows: DataFrame) -> DataFrame:
+    """Rows whose first column is an address ``Book.c.v#n``, with its parts in place of it."""
     pattern = r"^([1-3]?[A-Za-z]+)\.([0-9]+)\.([0-9]+)#([0-9]+)"
-    own = F.col(names[0])
+    own = F.col(rows.columns[0])
     part = lambda n: F.regexp_extract(own, pattern, n)
-    return rows.where(own.rlike(pattern)).select(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), part(4).cast("int").alias("position"), *names[1:])
+    return rows.where(own.rlike(pattern)).select(part(1).alias("book"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("verse"), part(4).cast("int").alias("position"), *rows.columns[1:])
 
 
 def anchored_topics(texts: DataFrame) -> DataFrame:
@@ -362,7 +375,12 @@ def header_fields(texts: DataFrame, names: list[str]) -> DataFrame:
     return texts.select("file", *(pick(n) for n in names))
 
 
-def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(name, expected, actual) of files whose SHA-256 is not the one that the manifest (name, sha256) states."""
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("actual"))
+def unverified(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, expected, actual) of files (name, content) whose SHA-256 is not the one that the manifest (name, sha256) states, or that are missing."""
+    found = files.select("name", F.sha2("content", 256).alias("actual"))
     return manifest.join(found, "name", "left").where(~F.col("sha256").eqNullSafe(F.col("actual"))).select("name", F.col("sha256").alias("expected"), "actual")
+
+
+def verified_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """``unverified`` of the files of a folder, by their names."""
+    return unverified(spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), manifest)

@@ -21,11 +21,12 @@ def put(folder, name, text):
 
 def test_json_shapes(spark, tmp_path):
     a = put(tmp_path, "a.json", json.dumps({"book": "Ruth", "chapters": {"1": {"1": "x", "2": "y"}}}))
-    assert rows(R.json_chapter_maps(spark, a)) == [("Ruth", 1, 1, "x"), ("Ruth", 1, 2, "y")]
+    assert rows(R.json_chapter_maps(R.whole_texts(spark, a))) == [("Ruth", 1, 1, "x"), ("Ruth", 1, 2, "y")]
     b = put(tmp_path, "b.json", json.dumps({"books": [{"name": "Ruth", "chapters": [{"chapter": 1, "verses": [{"verse": 1, "text": "x"}]}]}]}))
-    assert rows(R.json_nested(spark, b)) == [("Ruth", 1, 1, "x")]
+    assert rows(R.json_nested(R.whole_texts(spark, b))) == [("Ruth", 1, 1, "x")]
     c = put(tmp_path, "c.json", json.dumps({"moods": [{"mood": "calm", "label": "Calm"}]}))
     assert rows(R.json_config(spark, c, "moods"), "mood", "label") == [("calm", "Calm")]
+    assert rows(R.config_entries(R.whole_texts(spark, c), "moods", "mood string, label string")) == [("calm", "Calm")]
 
 
 USFM = "\\id RUT notes\n\\c 1\n\\p\n\\v 1 In the \\nd days\\nd*|\nof old \\f + \\ft gone\\f*\n\\v 2\n\\c 2\n\\v 1 And so\n"
@@ -116,6 +117,7 @@ def test_tables(spark, tmp_path):
     assert rows(words) == [("Rut", 1, 2, 3, "w", "g")]
     xml = put(tmp_path, "c.xml", '<r><entry id="1"><w>aleph</w></entry><entry id="2"><w>beth</w></entry></r>')
     assert rows(R.xml_entries(spark, xml, "entry", "_id string, w string")) == [("1", "aleph"), ("2", "beth")]
+    assert rows(R.xml_elements(R.whole_texts(spark, xml), "entry", "_id string, w string")) == [("1", "aleph"), ("2", "beth")]
 
 
 def test_markup_pages(spark, tmp_path):
