@@ -11,7 +11,9 @@ smaller doc_id. Three steps find exactly those windows without hashing all of th
 3. The removed windows go back to their documents.
 
 Hashes travel as packed chunks, one row for each bucket and batch; documents are dealt once by a hash
-of the row and meet the results of steps 1 and 2 in the same partitions.
+of the row and meet the results of steps 1 and 2 in the same partitions. A hash that many documents of
+one chunk have is answered within the chunk as far as it can be, and only its least and greatest
+document ask the others, so a passage that a third of all documents share sends a few rows per chunk.
 
 Defined cases: a null text has no words; repeated rows and rows with the same doc_id do not remove
 each other; a null doc_id is larger than all others; texts below WINDOW words stay whole; an empty
@@ -102,11 +104,19 @@ def near_windows(n: int, shared: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(hit)[: n - WINDOW + 1] > 0)
 
 
+#: Occurrences of a hash in one chunk from which on the chunk answers for itself.
+OFTEN = 8
+
+
 class Chunks:
-    """Packs (hash, check, row, doc_id, position) by hash bucket."""
+    """Packs (hash, check, row, doc_id, position) by hash bucket.
 
-    def __init__(self, count: int):
-        self.count, self.parts, self.rows, self.docs, self.held = count, [], [], [], 0
+    Rows of ``flush`` are questions (home -1) or answers, which pass through any bucket to their home.
+    """
+
+    def __init__(self, count: int, home: int, smaller: bool):
+        self.count, self.home, self.smaller = count, home, smaller
+        self.parts, self.rows, self.docs, self.held = [], [], [], 0
 
     def add(self, row: int, doc_id: int, hashes: np.ndarray, checks: np.ndarray, at: np.ndarray) -> None:
         if len(at):
@@ -120,16 +130,61 @@ class Chunks:
             hashes, checks, at = (np.concatenate(x) for x in zip(*self.parts))
             own = np.repeat(np.arange(len(self.parts), dtype=np.uint32), [len(p[0]) for p in self.parts])
             rows, docs = np.array(self.rows, np.int64), np.array(self.docs, np.int64)
+            order = np.argsort(hashes, kind="stable")
+            hashes, checks, at, own = hashes[order], checks[order], at[order], own[order]
+            asks, known = self._settle(hashes, checks, docs[own])
+            if known is not None:
+                homes, data = _answer_rows(rows[own[known]], at[known], self.home)
+                yield _chunk_batch([h % self.count for h in homes], homes, data)
+                hashes, checks, at, own = hashes[asks], checks[asks], at[asks], own[asks]
+            # buckets are ranges of hashes, so these are in their order already
             bucket = ((hashes >> np.uint64(32)) * np.uint64(self.count) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             names, data = [], []
-            for part in np.split(order, cuts):
-                used, local = np.unique(own[part], return_inverse=True)
-                names.append(int(bucket[part[0]]))
-                data.append(_pack(rows[used], docs[used], hashes[part], checks[part], local.astype(np.uint32), at[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
-        self.__init__(self.count)
+            for part in np.split(np.arange(len(hashes)), np.flatnonzero(np.diff(bucket)) + 1):
+                if len(part):
+                    used, local = np.unique(own[part], return_inverse=True)
+                    names.append(int(bucket[part[0]]))
+                    data.append(_pack(rows[used], docs[used], hashes[part], checks[part], local.astype(np.uint32), at[part]))
+            yield _chunk_batch(names, [-1] * len(names), data)
+        self.__init__(self.count, self.home, self.smaller)
+
+    def _settle(self, hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Occurrences that ask the others, and those whose answer this chunk knows (None: it knows none)."""
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        sizes = np.diff(np.r_[first, len(hashes)])
+        if not (often := sizes >= OFTEN).any():
+            return np.arange(len(hashes)), None
+        rank = np.repeat(first, sizes)
+        same = checks == checks[rank]  # an equal hash of other words asks for itself
+        least, most = (np.repeat(f.reduceat(np.where(same, ids, v), first), sizes) for f, v in ((np.minimum, np.int64(LARGEST)), (np.maximum, np.int64(-LARGEST))))
+        several = np.repeat(often, sizes) & same & (least != most)
+        if self.smaller:
+            # the least document asks whether there is a smaller one; all others have one here
+            known = several & (ids > least)
+            return np.flatnonzero(~known), np.flatnonzero(known) if known.any() else None
+        # one occurrence each of the least and the greatest document stands for all
+        asks = ~several
+        for end in (least, most):
+            hit = np.flatnonzero(several & (ids == end))
+            asks[hit[np.unique(rank[hit], return_index=True)[1]]] = True
+        return np.flatnonzero(asks), np.flatnonzero(several) if several.any() else None
+
+
+def _chunk_batch(buckets: list[int], homes: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(homes, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "home", "data"])
+
+
+def _answer_rows(rows: np.ndarray, at: np.ndarray, home: int) -> tuple[list[int], list[bytes]]:
+    """Positions of rows, packed by their home bucket."""
+    homes = np.mod(rows, home)
+    order = np.lexsort((at, rows, homes))
+    rows, at, homes = rows[order], at[order], homes[order]
+    names, data = [], []
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(homes)) + 1):
+        used, local = np.unique(rows[part], return_inverse=True)
+        names.append(int(homes[part[0]]))
+        data.append(np.array([len(used), len(part)], np.int64).tobytes() + used.tobytes() + local.astype(np.uint32).tobytes() + at[part].astype(np.uint32).tobytes())
+    return names, data
 
 
 _KINDS = (np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32)
@@ -148,7 +203,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return found
 
 
-_CHUNK = "bucket int, data binary"
+_CHUNK, _ANSWER = "bucket int, home int, data binary", "bucket int, data binary"
 #: Hashes that a mapper holds before it sends them on.
 _HELD = 1_500_000
 
@@ -157,7 +212,13 @@ def _answers(smaller: bool, home: int):
     """Positions whose hash another document has too (``smaller``: one with a smaller doc_id), packed by home bucket of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(x) for b in batches for x in b.column(1).to_pylist()]
+        parts = []
+        for batch in batches:
+            for known, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if known < 0:
+                    parts.append(_unpack(data))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([known], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
         if not parts:
             return
         base = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
@@ -177,14 +238,7 @@ def _answers(smaller: bool, home: int):
         own, at = own[hit], at[hit]
         if not len(own):
             return
-        homes = np.mod(rows[own], home)
-        order = np.lexsort((at, own, homes))
-        own, at, homes = own[order], at[order], homes[order]
-        names, data = [], []
-        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(homes)) + 1):
-            used, local = np.unique(own[part], return_inverse=True)
-            names.append(int(homes[part[0]]))
-            data.append(np.array([len(used), len(part)], np.int64).tobytes() + rows[used].tobytes() + local.astype(np.uint32).tobytes() + at[part].tobytes())
+        names, data = _answer_rows(rows[own], at, home)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     return run
@@ -235,7 +289,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = rows.select(F.pmod("row", F.lit(home)).cast("int").alias("bucket"), "row", "doc_id", "text").repartition(buckets, "bucket")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Chunks(buckets)
+        found = Chunks(buckets, home, smaller=False)
         for batch in batches:
             for row, order, _, text in _texts(pa.Table.from_batches([batch])):
                 words = word_hashes(text)
@@ -247,7 +301,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         yield from found.flush()
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        shared, found, out = _by_row(right), Chunks(buckets), []
+        shared, found, out = _by_row(right), Chunks(buckets, home, smaller=True), []
         if shared:
             for row, order, _, text in _texts(left):
                 if (hits := shared.get(row)) is not None:
@@ -258,7 +312,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
                     if found.held > _HELD:
                         out += found.flush()
             out += found.flush()
-        return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("data", pa.binary())]))
+        return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("data", pa.binary())]))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         gone, out = _by_row(right), []
@@ -273,7 +327,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT) if out else _RESULT.empty_table()
 
     def answered(chunks: DataFrame, smaller: bool) -> DataFrame:
-        return chunks.repartitionById(buckets, "bucket").mapInArrow(_answers(smaller, home), _CHUNK).repartition(buckets, "bucket")
+        return chunks.repartitionById(buckets, "bucket").mapInArrow(_answers(smaller, home), _ANSWER).repartition(buckets, "bucket")
 
     def met(answers: DataFrame):
         return texts.groupBy("bucket").cogroup(answers.groupBy("bucket"))
