@@ -30,6 +30,8 @@ SEED = 20240511
 BUCKET_ROWS = 1024
 #: Buckets that one coarse bucket holds.
 COARSE = 4096
+#: Sources whose cuts are broadcast: a row of about 60 bytes for each. Of more sources the cuts are joined by a shuffle.
+MOST_BROADCAST = 100_000
 _KEY_BITS = 40
 
 
@@ -76,12 +78,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     for source, n, goal in wanted:
         epochs = round(goal) // n if n else 0
         goals.append((source, n, float(goal), epochs, round(goal) - epochs * n))
-    cuts = _cuts(sums, spark.createDataFrame(goals, "of string, size long, target double, epochs long, left long"))
+    cuts = _cuts(sums, goals)
     named = {"of": "mix_of", "size": "mix_of_size", "target": "mix_of_target", "epochs": "mix_epochs", "left": "mix_left", "cut": "mix_cut"}
     named = dict(zip(named, common.fresh([*rows.columns, source_size, target, taken, within], *named.values())))
+    few = len(cuts) <= MOST_BROADCAST
     cuts = spark.createDataFrame(cuts, ", ".join(f"{named[c]} {t}" for c, t in zip(named, ("string", "long", "double", "long", "long", "long"))))
     of, of_size, of_target, epochs, left, cut = (F.col(c) for c in named.values())
-    met = rows.join(cuts, F.col("source").eqNullSafe(of))
+    met = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(of))
     out = [*(F.col(c) for c in own), F.col(size), of_size.alias(source_size), of_target.alias(target)]
     outside = met.where(F.col(bucket) != cut).select(*out, ((epochs + (F.col(bucket) < cut).cast("long")) * F.col(size)).alias(taken))
     # what is left of a source's budget at the start of its cut bucket, whose rows alone are sorted
@@ -91,9 +94,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return outside.unionAll(inside.select(*out, (epochs * F.col(size) + part).cast("long").alias(taken)))
 
 
-def _cuts(sums: DataFrame, goals: DataFrame) -> list[tuple]:
+def _cuts(sums: DataFrame, goals: list[tuple]) -> list[tuple]:
     """Each source's (of, size, target, epochs, left, cut): the bucket in which its budget ends (-1: at an epoch's end), and what is left of it there."""
     before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    known = sums.sparkSession.createDataFrame(goals, "of string, size long, target double, epochs long, left long")
 
     def descend(level: DataFrame, into: DataFrame) -> DataFrame:
         placed = level.join(into, level["source"].eqNullSafe(into["of"])).withColumn("left", F.col("left") - F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -101,14 +105,14 @@ def _cuts(sums: DataFrame, goals: DataFrame) -> list[tuple]:
 
     # prefix sums over coarse buckets, then over the buckets of the one in which the budget ends
     coarse = sums.withColumn("at", F.floor(F.col("bucket") / COARSE)).groupBy("source", "at").agg(F.sum("words").alias("words"))
-    top = descend(coarse, goals).withColumnRenamed("at", "coarse")
+    top = descend(coarse, known).withColumnRenamed("at", "coarse")
     fine = sums.withColumnRenamed("bucket", "at")
     of_top = fine.join(top.select(F.col("of").alias("top_of"), "coarse"), F.col("source").eqNullSafe(F.col("top_of")) & (F.floor(F.col("at") / COARSE) == F.col("coarse"))).select("source", "at", "words")
     found = {r["of"]: r for r in descend(of_top, top).collect()}
     out = []
-    for r in goals.collect():
-        end = found.get(r["of"]) if r["left"] > 0 else None
-        out.append((r["of"], r["size"], r["target"], r["epochs"], end["left"] if end else 0, end["at"] if end else -1))
+    for *goal, left in goals:
+        end = found.get(goal[0]) if left > 0 else None
+        out.append((*goal, end["left"] if end else 0, end["at"] if end else -1))
     return out
 
 
