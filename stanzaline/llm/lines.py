@@ -89,25 +89,32 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+#: Passes in which runs that lie in another order are aligned together; what is left then is aligned one by one.
+PASSES = 8
+
+
 def align_all(early: list[int], late: list[int]) -> list[tuple[int, int]]:
-    """Aligned elements of both, by as many passes as it takes until nothing that ``early`` has is left of ``late``.
+    """Aligned elements of both, until nothing that ``early`` has is left of ``late``.
 
-    A pass aligns what the earlier ones left. Where it finds nothing, since elements are repeated, the
-    next one takes the first of each alone.
+    A pass aligns what the earlier ones left, the first of repeated elements alone where they are in the
+    way. Copies of an aligned element go with it, and what is in no order after PASSES goes one by one, so
+    the work is in proportion to the elements.
     """
-    known = set(early)
-    found, left = [], [k for k, v in enumerate(late) if v in known]
-    while left:
+    here = {v: k for k, v in reversed(list(enumerate(early)))}
+    found, left = [], [k for k, v in enumerate(late) if v in here]
+    for _ in range(PASSES):
+        if not left:
+            break
         pairs = align(early, [late[k] for k in left])
         if not pairs:
-            here = {v: k for k, v in reversed(list(enumerate(early)))}
             there = {late[k]: j for j, k in reversed(list(enumerate(left)))}
-            ours, theirs = sorted(here.values()), sorted(there.values())
+            ours, theirs = sorted(here[v] for v in there), sorted(there.values())
             pairs = [(ours[i], theirs[j]) for i, j in align([early[k] for k in ours], [late[left[j]] for j in theirs])]
-        found += [(i, left[j]) for i, j in pairs]
-        gone = {j for _, j in pairs}
-        left = [k for j, k in enumerate(left) if j not in gone]
-    return sorted(found)
+        met = {late[left[j]] for _, j in pairs}
+        own = {j: i for i, j in pairs}
+        found += [(own.get(j, here[late[k]]), k) for j, k in enumerate(left) if late[k] in met]
+        left = [k for k in left if late[k] not in met]
+    return sorted(found + [(here[late[k]], k) for k in left])
 
 
 _LAST = (1 << 63) - 1

@@ -80,6 +80,18 @@ def test_align_all_leaves_nothing():
         assert [j for _, j in sorted(pairs, key=lambda p: p[1])] == [j for j, v in enumerate(b) if v in a]
 
 
+def test_align_all_takes_few_passes():
+    """Long documents in the opposite order, or of one line over and over, cost no more than others."""
+    import time
+
+    began = time.time()
+    n = 20_000
+    assert len(L.align_all(list(range(n)), list(range(n))[::-1])) == n
+    assert len(L.align_all([1, 2], [1, 2] * n)) == 2 * n
+    assert len(L.align_all([1, 2] * n, [2, 2, 1, 1] * n)) == 4 * n
+    assert time.time() - began < 20
+
+
 def test_awkward(docs, clashing, no_docs):
     wanted = brute(awkward_rows())
     assert found(docs) == wanted
