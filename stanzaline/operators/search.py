@@ -1,8 +1,8 @@
 """Full-text search over stemmed, folded tokens: postings, conjunctive match, BM25 and snippets.
 
 A token is a run of letters and digits, in lower case and without marks on Latin letters; words of
-three letters and more are stemmed. Tokens are found and folded by built-in expressions. Stems need
-Python, so a search stems only the tokens that begin like one of its terms; an index stems all.
+three letters and more are stemmed. Stems need Python, so a search counts its terms in one Arrow pass
+and stems only different words that begin like one of its terms, which stemming leaves but for two letters.
 """
 
 from __future__ import annotations
@@ -64,14 +64,6 @@ def checked_limit(limit: int | None = None) -> int:
     return limit
 
 
-def _may_stem_to(token, stems: list[str]) -> Column:
-    """Whether a token can have one of the stems: stemming changes the last two letters of a stem at most."""
-    out = F.lit(False)
-    for start in sorted({t[: max(1, len(t) - 2)] for t in stems}):
-        out = out | token.startswith(start)
-    return out
-
-
 def postings(tokens: DataFrame, key: str = "doc_id", term: str = "term") -> DataFrame:
     """(term, key, tf): tokens are counted before the shuffle."""
     return tokens.groupBy(term, key).agg(F.count("*").alias("tf"))
@@ -87,12 +79,30 @@ def lengths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def term_counts(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """The documents with dl (tokens) and tf (an array: how often each term occurs); row by row, no shuffle."""
-    stems = list(dict.fromkeys(terms))
-    found = docs.withColumn("_tokens", tokens_of(F.col(text)))
-    found = found.withColumn("dl", F.size("_tokens")).withColumn("_stems", stem_all(F.filter("_tokens", lambda t: _may_stem_to(t, stems))))
-    occurs = lambda stem: F.size(F.filter("_stems", lambda t: t == stem))
-    return found.withColumn("tf", F.array(*map(occurs, stems))).drop("_tokens", "_stems")
+    """The documents with dl (tokens) and tf (an array: how often each term occurs); row by row in one Arrow pass, no shuffle."""
+    stems = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+    starts = tuple(t[: max(1, len(t) - 2)] for t in stems)
+
+    def count(texts: pd.Series) -> pd.DataFrame:
+        known: dict[str, int] = {}
+        sizes, counts = [], []
+        for body in texts:
+            words = _WORDS.findall((body or "").lower())
+            tf = [0] * len(stems)
+            for w in words:
+                if (at := known.get(w, -2)) == -2:
+                    bare = "".join(_MARKED.get(c, c) for c in w if not "\u0300" <= c <= "\u0331")
+                    at = known[w] = stems.get(porter(bare), -1) if bare.startswith(starts) else -1
+                if at >= 0:
+                    tf[at] += 1
+            sizes.append(len(words))
+            counts.append(tf)
+            if len(known) > _REMEMBERED:
+                known.clear()
+        return pd.DataFrame({"dl": sizes, "tf": counts})
+
+    counted = F.pandas_udf(count, "dl long, tf array<long>")(F.col(text))
+    return docs.withColumn("_counted", counted).select(*docs.columns, "_counted.dl", "_counted.tf")
 
 
 def match_all(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
