@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, lines, mixing, neardup, packing, quality, secrets, substrings, warc
+from . import embeddings, fingerprints, lines, mixing, neardup, packing, phrases, quality, secrets, substrings, toxicity, warc, whitening
 from .common import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), lexicon, "score")
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 OP10_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 top as (select html, max(page_id) as top from p where octet_length(encode(html)) >= 1000 group by html)
@@ -116,6 +131,25 @@ select node as vec_id, coalesce(min(l.n), 0) as n_links, min(label) as component
 from reach left join links l on l.a = node group by node
 """
 
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+total as (select lang, sum(len(ws)) as n from w group by lang),
+grams as (select lang, s, array_to_string(list_slice(ws, i, i + s - 1), ' ') as phrase
+    from (select lang, ws, s, unnest(range(1, len(ws) - s + 2)) as i from w, (values (1), (2), (3)) as sizes(s))),
+f as (select lang, s, phrase, count(*) as f from grams group by all having count(*) >= 10),
+c as (select *, string_split(phrase, ' ') as ws from f where s > 1),
+cuts as (select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f::hugeint * y.f) as score
+    from (select *, unnest(range(1, s)) as k from c) c
+    join f x on x.lang = c.lang and x.phrase = array_to_string(list_slice(c.ws, 1, k), ' ')
+    join f y on y.lang = c.lang and y.phrase = array_to_string(list_slice(c.ws, k + 1, c.s), ' ')),
+worst as (select lang, phrase, a, l, r, score from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (select c.lang, array_to_string(list_slice(c.ws, i, i + 1), ' ') as phrase, max(c.f) as most from (select *, unnest([1, 2]) as i from c where s = 3) c group by all),
+kept as (select w.* from worst w left join held h on h.lang = w.lang and h.phrase = w.phrase where h.most is null or 100 * h.most < 50 * w.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n::bigint as n, k.score::bigint as score from ranked k join total t on t.lang = k.lang where k.rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_neardup": op1_neardup,
     "op2_substrings": op2_substrings,
@@ -127,6 +161,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_embeddings": op9_embeddings,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
+    "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES: dict[str, str] = {
@@ -134,4 +171,5 @@ ORACLES: dict[str, str] = {
     "op2_substrings": OP2_SQL,
     "op9_embeddings": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_phrases": OP11_SQL,
 }
