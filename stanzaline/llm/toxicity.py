@@ -61,7 +61,7 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
 #: l and i are one letter, since 1 and | stand for both.
 MERGED = {"l": "i"}
 
-_HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f]")
 #: A sign stands for a letter between letters, @ and $ also before one.
 _SIGN = re.compile(r"(?<=[^\W_])[!|€£](?=[^\W_])|[@$](?=[^\W_])")
 _LATIN = str.maketrans({**LOOKALIKES, **DIGITS, **MERGED})
