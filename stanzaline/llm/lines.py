@@ -1,22 +1,24 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share a window: a shortest run of lines with MIN_BLOCK characters, be it one
-line or many short ones. A document is aligned by patience diff with the earliest carrier of each of its
-windows, and the aligned common blocks are deleted from the later document. Runs that the longest common
-order leaves out, since the earlier document has them in another order or once instead of twice, are
-aligned in further passes until no common window is left.
-
-A block that a document shares with any earlier one is made of windows, and each of these has an earliest
-carrier, so meeting the earliest carriers alone deletes all that meeting every earlier document would: a
-line goes if, and only if, it lies in a window that an earlier document has. How many carry it makes no
-difference, and no document meets more others than it has windows.
-
-Defined cases: a null text has no lines; blank lines anchor nothing and go only inside a window; a text
-with fewer than MIN_BLOCK characters in all stays; a null doc_id is later than all others; rows that tie
-on doc_id are ordered by a hash of the text, and equal rows among them are one document, all of which keep
-or lose the same lines; lines repeated within one document only stay; a very long text is one task's
-work, in proportion to its lines; an empty table gives no rows. All columns of the input stay as they are;
-those of the result that would clash with one get underscores in front.
+Documents overlap where they share a window: a shortest run of lines with MIN_BLOCK characters, be it one line
+or many short ones. Of the many carriers of a window the earliest alone is a partner, so a document meets no more
+others than it has windows, however many carry them. A later document and its partner are aligned line by line by
+patience diff, over the stretch of each that reaches from the first to the last window for which they are
+partners: lines that stand once in both are matched along their longest common order, then what lies between
+two of them likewise; where no line stands once, the first occurrences of a line are matched, then the second ones.
+Aligned common blocks, runs of lines that follow each other in both documents, with at least MIN_BLOCK characters
+go from the later document.
+
+What the longest common order leaves out stays: a block that the earlier document has in another place of the order
+is no aligned block, and of a line that the later document repeats more often no more occurrences go than the
+partner has. Blocks for which there is another partner are aligned with that one.
+
+Defined cases: a null text has no lines; blank lines go only inside a block; a text with fewer than MIN_BLOCK
+characters in all stays; a null doc_id is later than all others; rows that tie on doc_id are ordered by a hash of the
+text, and equal rows among them are one document, all of which keep or lose the same lines; lines repeated within one
+document only stay; a very long text is one task's work, in proportion to its lines and the stretches that it shares;
+an empty table gives no rows. All columns of the input stay as they are; those of the result that would clash with one
+get underscores in front.
 """
 
 from __future__ import annotations
@@ -67,6 +69,17 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _numbered(values: list[int], low: int, high: int) -> dict[tuple[int, int], int]:
+    """Places of the first, second, ... occurrence of each value."""
+    seen: dict[int, int] = {}
+    at = {}
+    for k in range(low, high):
+        v = values[k]
+        seen[v] = seen.get(v, 0) + 1
+        at[v, seen[v]] = k
+    return at
+
+
 def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned equal elements (position in a, position in b) by patience diff."""
     found, todo = [], [(0, len(a), 0, len(b))]
@@ -80,8 +93,11 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             found.append((ah, bh))
         if al == ah or bl == bh:
             continue
-        in_a, in_b = _unique(a, al, ah), _unique(b, bl, bh)
-        anchors = _increasing(sorted((i, in_b[v]) for v, i in in_a.items() if v in in_b))
+        for places in (_unique, _numbered):
+            in_a, in_b = places(a, al, ah), places(b, bl, bh)
+            anchors = _increasing(sorted((i, in_b[v]) for v, i in in_a.items() if v in in_b))
+            if anchors:
+                break
         if anchors:
             found += anchors
             edges = [(al - 1, bl - 1), *anchors, (ah, bh)]
@@ -89,32 +105,19 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-#: Passes in which runs that lie in another order are aligned together; what is left then is aligned one by one.
-PASSES = 8
-
-
-def align_all(early: list[int], late: list[int]) -> list[tuple[int, int]]:
-    """Aligned elements of both, until nothing that ``early`` has is left of ``late``.
-
-    A pass aligns what the earlier ones left, the first of repeated elements alone where they are in the
-    way. Copies of an aligned element go with it, and what is in no order after PASSES goes one by one, so
-    the work is in proportion to the elements.
-    """
-    here = {v: k for k, v in reversed(list(enumerate(early)))}
-    found, left = [], [k for k, v in enumerate(late) if v in here]
-    for _ in range(PASSES):
-        if not left:
-            break
-        pairs = align(early, [late[k] for k in left])
-        if not pairs:
-            there = {late[k]: j for j, k in reversed(list(enumerate(left)))}
-            ours, theirs = sorted(here[v] for v in there), sorted(there.values())
-            pairs = [(ours[i], theirs[j]) for i, j in align([early[k] for k in ours], [late[left[j]] for j in theirs])]
-        met = {late[left[j]] for _, j in pairs}
-        own = {j: i for i, j in pairs}
-        found += [(own.get(j, here[late[k]]), k) for j, k in enumerate(left) if late[k] in met]
-        left = [k for k in left if late[k] not in met]
-    return sorted(found + [(here[late[k]], k) for k in left])
+def blocks(early: list[int], late: list[int], sizes: list[int]) -> list[tuple[int, int]]:
+    """Line ranges (start, end) of ``late`` that are aligned with lines that follow each other in ``early`` and hold MIN_BLOCK characters."""
+    out = []
+    start, size, last = 0, 0, (-2, -2)
+    for i, j in [*align(early, late), (-2, -2)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if size >= MIN_BLOCK:
+                out.append((start, last[1] + 1))
+            start, size = j, 0
+        if j >= 0:
+            size += sizes[j]
+        last = i, j
+    return out
 
 
 _LAST = (1 << 63) - 1
@@ -158,36 +161,33 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "window", "start", "end"])
 
 
-def blocks(windows_of: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Line ranges of one document that go, out of its windows: (start, end, early row, place there)."""
-    by_early: dict[int, list[tuple[int, int, int]]] = {}
-    for start, end, early, place in sorted(windows_of):
-        by_early.setdefault(early, []).append((start, end, place))
-    spans = []
-    for own in by_early.values():
-        # a window's place in the earlier document stands for the window
-        pairs = align_all(sorted({p for _, _, p in own}), [p for _, _, p in own])
-        spans += [own[j][:2] for _, j in pairs]
-    merged: list[list[int]] = []
-    for start, end in sorted(spans):
-        if merged and start <= merged[-1][1]:
-            merged[-1][1] = max(end, merged[-1][1])
-        else:
-            merged.append([start, end])
-    return [(s, e) for s, e in merged]
-
-
 _CUT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, cut) of each pair out of (row, first, late, sizes, early): the stretches of both documents, ``first`` the place of the later one's."""
     for batch in batches:
         cut = []
-        for found in batch.column(1).to_pylist():
-            cut.append([{"start": s, "end": e} for s, e in blocks([(w["start"], w["end"], w["early"], w["place"]) for w in found])])
+        for first, late, sizes, early in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            cut.append([{"start": first + s, "end": first + e} for s, e in blocks(early, late, sizes)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, _CUT)], names=["row", "cut"])
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, cut) with ranges that overlap or touch put together."""
+    for batch in batches:
+        out = []
+        for ranges in batch.column(1).to_pylist():
+            merged: list[list[int]] = []
+            for start, end in sorted((r["start"], r["end"]) for r in ranges):
+                if merged and start <= merged[-1][1]:
+                    merged[-1][1] = max(end, merged[-1][1])
+                else:
+                    merged.append([start, end])
+            out.append([{"start": s, "end": e} for s, e in merged])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _CUT)], names=["row", "cut"])
+
+
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -197,14 +197,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     row = F.xxhash64("doc_id", "text")
     split = docs.where(F.length("text") >= MIN_BLOCK).select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), _lines(F.col("text")).alias("lines"))
     hashed = split.select("row", "doc", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(F.trim(x))).alias("sizes"))
-    carried = common.materialize(hashed.mapInArrow(_carried, "row long, doc long, window long, start int, end int"), "windows")
+    # equal rows are one document
+    single = common.materialize(hashed.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc", "hashes", "sizes"))), "line-hashes")
+    carried = common.materialize(single.select("row", "doc", "hashes", "sizes").mapInArrow(_carried, "row long, doc long, window long, start int, end int"), "windows")
     # doc and row, in this order, say which document is earlier
     each = carried.groupBy("window").agg(F.min(F.struct("doc", "row", "start")).alias("first"), F.max(F.struct("doc", "row")).alias("last"), F.count("*").alias("n"))
     each = each.where(F.struct("first.doc", "first.row") != F.col("last")).select("window", F.col("first.doc").alias("early_doc"), F.col("first.row").alias("early"), F.col("first.start").alias("place"), "n")
     met = common.spread_join(carried, common.materialize(each, "shared"), "window", "row")
     later = (F.col("doc") > F.col("early_doc")) | ((F.col("doc") == F.col("early_doc")) & (F.col("row") > F.col("early")))
-    found = met.where(later).groupBy("row").agg(F.collect_set(F.struct("start", "end", "early", "place")).alias("windows"))
-    cuts = found.mapInArrow(_align, "row long, cut array<struct<start:int,end:int>>")
+    # the stretch of either document that the windows of the pair span
+    spans = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("place").alias("early_start"), F.max(F.col("place") + F.col("end") - F.col("start")).alias("early_end")]
+    pairs = common.materialize(met.where(later).groupBy("row", "early").agg(*spans), "pairs")
+    partners = pairs.groupBy("early").agg(F.count("*").alias("n")).join(single.select(F.col("row").alias("early"), F.col("hashes").alias("early_hashes")), "early")
+    stretch = lambda column, start, end: F.slice(column, F.col(start) + 1, F.col(end) - F.col(start))
+    paired = common.spread_join(pairs, partners, "early", "row").withColumn("early_hashes", stretch("early_hashes", "early_start", "early_end"))
+    both = paired.join(single.select("row", "hashes", "sizes"), "row").select("row", F.col("start").alias("first"), stretch("hashes", "start", "end").alias("late"), stretch("sizes", "start", "end").alias("sizes"), "early_hashes")
+    cut_of = "row long, cut array<struct<start:int,end:int>>"
+    cuts = both.mapInArrow(_align, cut_of).where(F.size("cut") > 0).groupBy("row").agg(F.flatten(F.collect_list("cut")).alias("cut")).mapInArrow(_merge, cut_of)
 
     own = docs.columns
     key, cut_key, cut, lines = common.fresh(own, "line_row", "line_cut_row", "line_cut", "line_all")

@@ -38,7 +38,7 @@ from . import common
 
 THRESHOLD = 0.5
 #: Labelled documents that a fit takes at most of class 0 and of class 1, by hash of doc_id, and their bytes of text.
-MAX_PER_CLASS, MAX_BYTES = (12_000, 6_000), 64 << 20
+MAX_PER_CLASS, MAX_BYTES = (8_000, 4_000), 32 << 20
 #: Terms that a lexicon holds at most, best first, and characters of a term.
 MAX_TERMS, SHORTEST, LONGEST = 2_000, 3, 24
 #: Toxic texts that a term must be found in; errors by which the lower end of an interval lies below the value; least lower end of a rate ratio (e to the power of MARGIN).

@@ -22,8 +22,71 @@ def runs(lines):
     return out
 
 
-def cuts(rows):
-    """Line numbers that go, by (order, text): those in a run that any earlier document has. Rows that tie on doc_id must differ in nothing."""
+def chain(pairs):
+    """Longest run of pairs with increasing second numbers; of several that whose last pairs come latest."""
+    best = []
+    for k, (_, v) in enumerate(pairs):
+        best.append(1 + max((best[j] for j in range(k) if pairs[j][1] < v), default=0))
+    out, size, below = [], max(best, default=0), float("inf")
+    for k in range(len(pairs) - 1, -1, -1):
+        if best[k] == size and pairs[k][1] < below:
+            out.append(pairs[k])
+            size, below = size - 1, pairs[k][1]
+    return out[::-1]
+
+
+def patience(a, b, i=0, j=0):
+    """Aligned lines of a and b, which begin at i and j, by recursion."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j), *patience(a[1:], b[1:], i + 1, j + 1)]
+    if a[-1] == b[-1]:
+        return [*patience(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+    once = chain([(k, b.index(x)) for k, x in enumerate(a) if a.count(x) == 1 == b.count(x)])
+    if not once:
+        numbered = lambda lines: [(x, lines[:k].count(x)) for k, x in enumerate(lines)]
+        na, nb = numbered(a), numbered(b)
+        once = chain([(k, nb.index(x)) for k, x in enumerate(na) if x in nb])
+    out, (s, t) = [], (0, 0)
+    for k, m in [*once, (len(a), len(b))] if once else []:
+        out += patience(a[s:k], b[t:m], i + s, j + t) + [(i + k, j + m)]
+        s, t = k + 1, m + 1
+    return out[:-1] if once else []
+
+
+def aligned_blocks(a, b):
+    """Lines of b in aligned blocks of MIN_BLOCK characters."""
+    pairs, gone = set(patience(a, b)), set()
+    for i, j in pairs:
+        if (i - 1, j - 1) not in pairs:
+            n = next(n for n in range(1, len(b) + 2) if (i + n, j + n) not in pairs)
+            if sum(len(x.strip(" ")) for x in b[j : j + n]) >= L.MIN_BLOCK:
+                gone |= set(range(j, j + n))
+    return gone
+
+
+def cuts(rows, gone=aligned_blocks):
+    """Line numbers that go, by (order, text). Rows that tie on doc_id must share nothing."""
+    docs = sorted({(order(i), t) for i, t, *_ in rows if t})
+    first, cut = {}, {}
+    for d, (_, text) in enumerate(docs):
+        lines = text.split("\n")
+        own, spans = sorted(runs(lines)), {}
+        for s, e in own:
+            if tuple(lines[s:e]) in first:
+                early, p = first[tuple(lines[s:e])]
+                x = spans.setdefault(early, (s, e, p, p + e - s))
+                spans[early] = min(x[0], s), max(x[1], e), min(x[2], p), max(x[3], p + e - s)
+        for early, (s, e, p, q) in spans.items():
+            cut.setdefault(docs[d], set()).update(s + k for k in gone(docs[early][1].split("\n")[p:q], lines[s:e]))
+        for s, e in own:
+            first.setdefault(tuple(lines[s:e]), (d, s))
+    return cut
+
+
+def everything(rows):
+    """Lines of windows that any earlier document has, in whatever order: what there is to remove at most."""
     seen, cut = set(), {}
     for i, text in sorted({(order(i), t) for i, t, *_ in rows if t}):
         lines = text.split("\n")
@@ -71,24 +134,26 @@ def test_align_is_increasing_and_equal():
     assert L.align(list(range(50)), list(range(50))) == [(i, i) for i in range(50)]
 
 
-def test_align_all_leaves_nothing():
+def test_alignment_by_definition():
     rng = random.Random(6)
-    for _ in range(400):
-        a, b = ([rng.randrange(5) for _ in range(rng.randrange(10))] for _ in range(2))
-        pairs = L.align_all(a, b)
-        assert all(a[i] == b[j] for i, j in pairs)
-        assert [j for _, j in sorted(pairs, key=lambda p: p[1])] == [j for j, v in enumerate(b) if v in a]
+    for n in (3, 6, 20):
+        for _ in range(300):
+            a, b = ([rng.randrange(n) for _ in range(rng.randrange(14))] for _ in range(2))
+            assert L.align(a, b) == patience(a, b)
+            lines_a, lines_b = ([f"{v} " + "x" * (9 + 6 * v) for v in x] for x in (a, b))
+            got = {k for s, e in L.blocks(a, b, [len(x) for x in lines_b]) for k in range(s, e)}
+            assert got == aligned_blocks(lines_a, lines_b)
 
 
-def test_align_all_takes_few_passes():
+def test_long_alignments():
     """Long documents in the opposite order, or of one line over and over, cost no more than others."""
     import time
 
     began = time.time()
     n = 20_000
-    assert len(L.align_all(list(range(n)), list(range(n))[::-1])) == n
-    assert len(L.align_all([1, 2], [1, 2] * n)) == 2 * n
-    assert len(L.align_all([1, 2] * n, [2, 2, 1, 1] * n)) == 4 * n
+    assert len(L.align(list(range(n)), list(range(n))[::-1])) == 1
+    assert len(L.align([1, 2] * n, [3, 1, 2] * n)) >= 2 * n
+    assert len(L.align([1, 2] * n, [2, 2, 1, 1] * n)) >= n
     assert time.time() - began < 20
 
 
@@ -121,27 +186,42 @@ def test_passages(spark):
 
 def test_number_of_carriers_does_not_matter(spark):
     """A block of two lines, each of which an earlier document has alone, goes from all copies but the first."""
-    a, b = "line a " + "x" * 20, "line b " + "y" * 21
+    a, b = "line a " + "x" * 40, "line b " + "y" * 41
     for n in (2, 3, 4, 6, 12):
         rows = [(0, f"{a}\nown start of the first"), (1, f"own start of the second\n{b}")]
         rows += [(i, f"own {i} {i * i}\n{a}\n{b}\nend {i}") for i in range(2, 2 + n)]
         got = found(spark.createDataFrame(rows, "doc_id long, text string"))
         assert got == brute(rows)
-        assert sorted((r[0], r[2]) for r in got) == [(0, 0), (1, 0), (2, 0), *((i, 2) for i in range(3, 2 + n))]
+        assert sorted((r[0], r[2]) for r in got) == [(0, 0), (1, 0), *((i, 2) for i in range(2, 2 + n))]
 
 
-def test_other_orders(spark):
-    """A passage whose first carrier has it in another order, or more seldom, goes from later ones, however many carry it."""
+def test_the_alignment_decides(spark):
+    """Of blocks in another order, and of repetitions that the partner has not, some stay that taking every common window would remove."""
     rng = random.Random(8)
-    a, b, c, d = ("abcd"[k] * 3 + " " + prose(rng, 7) for k in range(4))
-    rows = [(0, "\n".join([b, prose(rng, 9), a])), (1, "\n".join([a, b]))]
-    rows += [(i, "\n".join([prose(rng, 9), a, prose(rng, 9), b, prose(rng, 9), a])) for i in range(2, 9)]
-    rows += [(i, "\n".join([c[:25], prose(rng, 9)])) for i in range(10, 15)] + [(i, "\n".join([prose(rng, 9), d[:25]])) for i in range(15, 20)]
-    rows += [(i, "\n".join([prose(rng, 9), c[:25], d[:25], prose(rng, 9)])) for i in range(20, 28)]
+    a, b, c = ("abc"[k] * 3 + " " + prose(rng, 9) for k in range(3))
+    rows = [(0, "\n".join([a, prose(rng, 9), b, c])), (1, "\n".join([b, c, a])), (2, "\n".join([prose(rng, 9), a, prose(rng, 9), a])), (3, "\n".join([a, "other", b, c]))]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == brute(rows) != sorted((result(everything(rows), *r) for r in rows), key=repr)
+    kept = {r[0]: r[3] for r in got}
+    assert [r[2] for r in got] == [0, 2, 1, 3] and kept[1] == a and kept[3] == "other"
+
+
+def test_recall(spark):
+    """Blocks that documents take from earlier ones in their order go, with few exceptions."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        own = [prose(rng, rng.randrange(3, 9)) for _ in range(rng.randrange(3, 9))]
+        if rows:
+            source = rng.choice(rows)[1].split("\n")
+            at = rng.randrange(len(source))
+            own[rng.randrange(len(own)) : 0] = source[at : at + rng.randrange(1, 9)]
+            own.insert(rng.randrange(len(own)), rng.choice(rng.choice(rows)[1].split("\n")))
+        rows.append((i, "\n".join(own)))
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert got == brute(rows)
-    removed = {r[0]: r[2] for r in got}
-    assert removed[1] == 2 and all(removed[i] == 3 for i in range(2, 9)) and removed[20] == 0 and all(removed[i] == 2 for i in range(21, 28))
+    most = sum(map(len, everything(rows).values()))
+    assert most > 100 and 0.9 * most <= sum(r[2] for r in got) <= most
 
 
 def test_many_common_lines(spark, monkeypatch):
