@@ -75,21 +75,22 @@ HOT_KEYS = 20_000
 KEY_ROWS = 1_000
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of ``many`` with ``few``, which has one row for each key and its rows in ``many`` as column ``n``.
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, n: str = "n") -> DataFrame:
+    """Inner join of ``many`` with ``few``, which has one row for each key and its rows in ``many`` as the column that ``n`` names.
 
     Keys with more rows than KEY_ROWS, and more than the HOT_KEYS-th part of all, are dealt by a hash of column
     ``by`` to several tasks. As the counts add up to no more than all rows, there are at most HOT_KEYS of them,
     so their list can be broadcast at any size of the input.
     """
-    total = few.agg(F.sum("n")).first()[0] or 0
+    total = few.agg(F.sum(n)).first()[0] or 0
     each = max(KEY_ROWS, -(-total // HOT_KEYS))
-    salts = F.ceil(F.col("n") / F.lit(each)).cast("int")
-    hot = few.where(F.col("n") > each).select(F.col(key).alias("hot_key"), salts.alias("hot_salts"))
-    dealt = many.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
-    dealt = dealt.withColumn("hot_salt", F.coalesce(F.pmod(F.xxhash64(by), "hot_salts"), F.lit(0)).cast("int")).drop("hot_key", "hot_salts")
-    copied = few.withColumn("hot_salt", F.explode(F.when(F.col("n") > each, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copied, [key, "hot_salt"]).drop("hot_salt")
+    hot_key, hot_salts, hot_salt = fresh([*many.columns, *few.columns], "hot_key", "hot_salts", "hot_salt")
+    salts = F.ceil(F.col(n) / F.lit(each)).cast("int")
+    hot = few.where(F.col(n) > each).select(F.col(key).alias(hot_key), salts.alias(hot_salts))
+    dealt = many.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
+    dealt = dealt.withColumn(hot_salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(hot_salts)), F.lit(0)).cast("int")).drop(hot_key, hot_salts)
+    copied = few.withColumn(hot_salt, F.explode(F.when(F.col(n) > each, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [key, hot_salt]).drop(hot_salt)
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

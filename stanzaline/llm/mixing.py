@@ -30,7 +30,7 @@ SEED = 20240511
 BUCKET_ROWS = 1024
 #: Buckets that one coarse bucket holds.
 COARSE = 4096
-#: Sources whose cuts are broadcast: a row of about 60 bytes for each. Of more sources the cuts are joined by a shuffle.
+#: Sources whose cuts are broadcast: a row of about 60 bytes for each. The cuts of more sources are joined by a shuffle, in which the rows of a large source are dealt to several tasks.
 MOST_BROADCAST = 100_000
 _KEY_BITS = 40
 
@@ -58,6 +58,11 @@ def source_targets(totals: Sequence[tuple[str | None, int]], weights: Sequence[f
     return [(s, n, t) for (s, n), t in zip(order, targets([n for _, n in order], own, share, most))]
 
 
+def _bucket(key, count: int):
+    """Number of the key's range, of ``count`` ranges; a product of longs would pass 64 bits from 2^23 ranges on."""
+    return (key / F.lit(float(1 << _KEY_BITS)) * F.lit(float(count))).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = SEED, whole_documents: bool = False) -> DataFrame:
     """The documents with mix_size, mix_source_size, mix_target and mix_taken (words taken, repeats counted).
 
@@ -70,8 +75,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     count = max(1, -(-docs.select(F.lit(1)).count() // BUCKET_ROWS))
     rows = docs.withColumn(copy, F.xxhash64("text")).withColumn(key, F.shiftrightunsigned(F.xxhash64("doc_id", copy, F.lit(seed)), 64 - _KEY_BITS))
     # a bucket is a range of keys, and keys are uniform: no sampling, and a hot source has as many buckets as it needs
-    rows = rows.withColumn(bucket, (F.col(key) * F.lit(count) / F.lit(float(1 << _KEY_BITS))).cast("long")).withColumn(size, common.word_count(F.col("text")))
-    sums = common.materialize(rows.groupBy("source", F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words")), "mix")
+    rows = rows.withColumn(bucket, _bucket(F.col(key), count)).withColumn(size, common.word_count(F.col("text")))
+    sums = common.materialize(rows.groupBy("source", F.col(bucket).alias("bucket")).agg(F.sum(size).alias("words"), F.count("*").alias("n")), "mix")
     # one row for each source: a list of the corpus's sources, not of its documents
     wanted = source_targets([(r["source"], r["words"]) for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()], weights, share, most)
     goals = []
@@ -84,7 +89,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     few = len(cuts) <= MOST_BROADCAST
     cuts = spark.createDataFrame(cuts, ", ".join(f"{named[c]} {t}" for c, t in zip(named, ("string", "long", "double", "long", "long", "long"))))
     of, of_size, of_target, epochs, left, cut = (F.col(c) for c in named.values())
-    met = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(of))
+    if few:
+        met = rows.join(F.broadcast(cuts), F.col("source").eqNullSafe(of))
+    else:
+        (n,) = common.fresh([*rows.columns, *named.values()], "mix_n")
+        counted = sums.groupBy("source").agg(F.sum("n").alias(n))
+        cuts = cuts.join(counted, of.eqNullSafe(F.col("source"))).drop("source")
+        # in a struct a null source is a key like any other
+        met = common.spread_join(rows.withColumn(within, F.struct("source")), cuts.withColumn(within, F.struct(of.alias("source"))), within, copy, n).drop(within)
     out = [*(F.col(c) for c in own), F.col(size), of_size.alias(source_size), of_target.alias(target)]
     outside = met.where(F.col(bucket) != cut).select(*out, ((epochs + (F.col(bucket) < cut).cast("long")) * F.col(size)).alias(taken))
     # what is left of a source's budget at the start of its cut bucket, whose rows alone are sorted

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from stanzaline.llm import mixing as M
 from awkward import awkward_rows
 
@@ -89,6 +91,17 @@ def test_many_sources(docs, monkeypatch):
     wanted = sorted(map(key, M.mix(docs).collect()))
     monkeypatch.setattr(M, "MOST_BROADCAST", 0)
     assert sorted(map(key, M.mix(docs).collect())) == wanted
+    monkeypatch.setattr("stanzaline.llm.common.KEY_ROWS", 2)  # and large sources are dealt out
+    named = docs.withColumnsRenamed({"n_chars": "n", "lang": "hot_salt"})
+    assert sorted(map(key, M.mix(named).collect())) == wanted
+
+
+def test_buckets_of_very_many_rows(spark):
+    """Keys in 2^27 buckets, as of 10^11 documents."""
+    count = 1 << 27
+    keys = [0, 1, (1 << 13) - 1, 1 << 13, (1 << 39), (1 << 40) - 1]
+    got = [r.b for r in spark.createDataFrame([(k,) for k in keys], "k long").select(M._bucket(F.col("k"), count).alias("b")).collect()]
+    assert got == [k * count >> 40 for k in keys] and got[-1] == count - 1
 
 
 def test_many_buckets(spark):
