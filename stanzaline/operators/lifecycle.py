@@ -45,20 +45,6 @@ def changed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFr
     return met.where(~F.col("_before").eqNullSafe(F.col("_after"))).select(key)
 
 
-def replace_partition(rows: DataFrame, path: str, by: str) -> None:
-    """Rewrites only the partitions that ``rows`` has; they are clustered by it, so each is written by few tasks."""
-    rows.repartition(F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
-def merge_once(rows: DataFrame, table: str) -> bool:
-    """Creates the table unless it is there; whether it did."""
-    spark: SparkSession = rows.sparkSession
-    if spark.catalog.tableExists(table):
-        return False
-    rows.write.saveAsTable(table)
-    return True
-
-
 def copy_table(spark: SparkSession, name: str, to: str, rename: dict[str, str] | None = None) -> DataFrame:
     rows = spark.table(name).withColumnsRenamed(rename or {})
     rows.write.saveAsTable(to)

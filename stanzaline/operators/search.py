@@ -1,17 +1,17 @@
-"""Full-text search over stemmed, folded tokens: postings, conjunctive match, BM25 and snippets.
+"""Tokens, stems, limits and snippets of full-text search; ``search_index`` stores and searches them.
 
 A token is a run of letters and digits, in lower case and without marks on Latin letters; words of
-three letters and more are stemmed. Stems need Python, so a search counts its terms in one Arrow pass
-and stems only different words that begin like one of its terms, which stemming leaves but for two letters.
+three letters and more are stemmed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -64,70 +64,6 @@ def checked_limit(limit: int | None = None) -> int:
     return limit
 
 
-def postings(tokens: DataFrame, key: str = "doc_id", term: str = "term") -> DataFrame:
-    """(term, key, tf): tokens are counted before the shuffle."""
-    return tokens.groupBy(term, key).agg(F.count("*").alias("tf"))
-
-
-def index_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each token, stemmed as ``term``, with the document's other columns: what an index is built of."""
-    return docs.select(*(c for c in docs.columns if c != text), F.explode(stem_all(tokens_of(F.col(text)))).alias("term"))
-
-
-def lengths(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    return tokens.groupBy(key).agg(F.count("*").alias("dl"))
-
-
-def term_counts(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """The documents with dl (tokens) and tf (an array: how often each term occurs); row by row in one Arrow pass, no shuffle."""
-    stems = {t: i for i, t in enumerate(dict.fromkeys(terms))}
-    starts = tuple(t[: max(1, len(t) - 2)] for t in stems)
-
-    def count(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, int] = {}
-        sizes, counts = [], []
-        for body in texts:
-            words = _WORDS.findall((body or "").lower())
-            tf = [0] * len(stems)
-            for w in words:
-                if (at := known.get(w, -2)) == -2:
-                    bare = "".join(_MARKED.get(c, c) for c in w if not "\u0300" <= c <= "\u0331")
-                    at = known[w] = stems.get(porter(bare), -1) if bare.startswith(starts) else -1
-                if at >= 0:
-                    tf[at] += 1
-            sizes.append(len(words))
-            counts.append(tf)
-            if len(known) > _REMEMBERED:
-                known.clear()
-        return pd.DataFrame({"dl": sizes, "tf": counts})
-
-    counted = F.pandas_udf(count, "dl long, tf array<long>")(F.col(text))
-    return docs.withColumn("_counted", counted).select(*docs.columns, "_counted.dl", "_counted.tf")
-
-
-def match_all(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """The documents that hold every term."""
-    return term_counts(docs, text, terms).where(F.forall("tf", lambda n: n > 0)).drop("dl", "tf")
-
-
-def bm25(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """The documents that hold every term, with their score; statistics are those of all documents.
-
-    Lengths and counts come from each row's own tokens, so the only exchange is that of the one row of
-    statistics, which is joined to the hits.
-    """
-    n = len(dict.fromkeys(terms))
-    per = term_counts(docs, text, terms)
-    total = per.agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)))
-    score = F.lit(0.0)
-    for i in range(n):
-        tf, df = F.col("tf")[i], F.col(f"df{i}")
-        rare = F.log((F.col("docs") - df + 0.5) / (df + 0.5))
-        score = score + F.when(rare > 0, rare).otherwise(LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    hits = per.where(F.forall("tf", lambda n: n > 0)).join(F.broadcast(total))
-    return hits.select(*docs.columns, score.alias("score"))
-
-
 _WORDS = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u0331])*")
 
 
@@ -166,9 +102,13 @@ def best_window(hits: list[tuple[int, int]], size: int, width: int, heads: list[
 
 def snippet_of(text: str | None, stems: list[str], width: int = SNIPPET_TOKENS) -> str | None:
     """The best window of a text, hits in ``<em>``, dots where text is left out; null where nothing is hit."""
-    spans = [m.span() for m in _WORDS.finditer(text or "")]
     known = {t: i for i, t in enumerate(stems)}
-    hits = [(k, known[w]) for k, (s, e) in enumerate(spans) if (w := _folded(text[s:e])) in known]
+    return snippet_at(text, [(k, known[w]) for k, m in enumerate(_WORDS.finditer(text or "")) if (w := _folded(m[0])) in known], width)
+
+
+def snippet_at(text: str | None, hits: list[tuple[int, int]], width: int = SNIPPET_TOKENS) -> str | None:
+    """The best window of a text in which (token, term) are hit."""
+    spans = [m.span() for m in _WORDS.finditer(text or "")]
     if not hits:
         return None
     # a sentence begins behind a stop or a colon and blanks
@@ -184,19 +124,6 @@ def snippet_of(text: str | None, stems: list[str], width: int = SNIPPET_TOKENS)
     return ("..." if start else "") + "".join(out)
 
 
-def snippet(text, terms: list[str], width: int = SNIPPET_TOKENS) -> Column:
-    """``snippet_of`` as a column, for the few rows that a search shows."""
-    stems = list(dict.fromkeys(terms))
-    return F.pandas_udf(lambda texts: texts.map(lambda t: snippet_of(t, stems, width)), StringType())(text)
-
-
-def search(docs: DataFrame, query: str, where: Column, limit: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The best documents of all that match the query and ``where``, with score and snippet; the least key first on a tie (of ten decimals)."""
-    terms = terms_of(query)
-    best = bm25(docs, text, terms).where(where).orderBy(F.desc(F.round("score", 10)), key).limit(checked_limit(limit))
-    return best.withColumn("snippet", snippet(F.col(text), terms))
-
-
 _VOWELS = set("aeiou")
 
 
@@ -226,6 +153,14 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+_TABLES = tuple({old: new for old, _, new in (p.partition(":") for p in table.split())} for table in (_STEP2, _STEP3))
+_REMOVED = dict.fromkeys(_STEP4.split(), "")
+
+
+def _longest_end(word: str, endings: dict[str, str]) -> str:
+    return next((word[k:] for k in range(max(0, len(word) - 7), len(word)) if word[k:] in endings), "")
+
+
 def porter(word: str) -> str:
     """The stem of a lower-case word by the 1980 algorithm, with the two later departures of its author."""
     if not 3 <= len(word.encode()) <= 64:
@@ -247,17 +182,13 @@ def porter(word: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for old, _, new in sorted((p.partition(":") for p in table.split()), key=lambda p: -len(p[0])):
-            if w.endswith(old):
-                w = w[: -len(old)] + new if _measure(w[: -len(old)]) > 0 else w
-                break
-    for old in sorted(_STEP4.split(), key=len, reverse=True):
-        if w.endswith(old):
-            stem = w[: -len(old)]
-            if _measure(stem) > 1 and (old != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
+    for table in _TABLES:
+        if old := _longest_end(w, table):
+            w = w[: -len(old)] + table[old] if _measure(w[: -len(old)]) > 0 else w
+    if old := _longest_end(w, _REMOVED):
+        stem = w[: -len(old)]
+        if _measure(stem) > 1 and (old != "ion" or stem.endswith(("s", "t"))):
+            w = stem
     if w.endswith("e"):
         m = _measure(w[:-1])
         if m > 1 or (m == 1 and not _short_end(w[:-1])):
@@ -266,7 +197,7 @@ def porter(word: str) -> str:
 
 
 #: Words whose stems a worker remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 400_000
 _stems: dict[str, str] = {}
 
 
@@ -278,6 +209,14 @@ def _stem(word: str) -> str:
     return found
 
 
+def stems_in(text: str | None) -> list[str]:
+    """Stems of a text's tokens in their order."""
+    return [_remembered(w) for w in _WORDS.findall((text or "").lower())]
+
+
+_remembered = lru_cache(maxsize=_REMEMBERED)(_folded)
+
+
 @F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     """Stems of words."""

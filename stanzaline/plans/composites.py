@@ -9,7 +9,7 @@ from ..functions import refs as R
 from ..functions import scalars as D
 from ..functions import text as T
 from ..operators import joins as J
-from ..operators import search as S
+from ..operators import search_index as X
 from ..operators import windows as W
 from . import lens
 from .lens import query, table
@@ -99,7 +99,7 @@ def _(s, d):
 def _(s, d):
     """Statistics of the whole corpus, then the translation filter, then the best twenty."""
     docs = table(s, d, "documents").select("doc_id", "lang", "text")
-    return S.search(docs, "the ones", F.col("lang") == "en").select("doc_id", F.round("score", 6).alias("score"))
+    return X.search(lens.index(s, d), docs, "the ones", F.col("lang") == "en").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("c07_verse_of_day", """with c as (select count(*) as n from units where translation = 'de'), h as (select n, sha256('2026-09-20|de') as x from c),

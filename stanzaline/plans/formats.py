@@ -176,10 +176,8 @@ def _(s, d):
 
 @query("s33_index", "select doc_id, count(*) as tokens, count(*) filter (where term in ('the', 'thes')) as thes, count(*) filter (where term in ('in', 'ined', 'ines', 'ining')) as ins from tokens group by doc_id", "tokens")
 def _(s, d):
-    """The postings of the whole index, summed up by document, with two of their stems."""
-    from ..operators.search import index_tokens, postings
-
-    post = postings(index_tokens(table(s, d, "documents").select("doc_id", "text"), "text"))
+    """The stored index, summed up by document, with two of its stems."""
+    post = lens.index(s, d).all_postings().select("term", F.inline(F.transform("entries", lambda e: F.struct(e["key"].alias("doc_id"), e["tf"].alias("tf")))))
     of = lambda stem: F.coalesce(F.sum(F.when(F.col("term") == stem, F.col("tf"))), F.lit(0))
     return post.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), of("the").alias("thes"), of("in").alias("ins"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import tokens_of
+from ..operators.search_index import Index, stored
+from ..sources.places import shared_folder
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -99,6 +101,11 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang", F.posexplode(tokens_of(F.col("text"))).alias("at", "term"))
 
 
+def index(spark: SparkSession, d: str) -> Index:
+    """The stored search index of the documents; built when there is none of their present state."""
+    return stored(table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark))
+
+
 def formed(spark: SparkSession, d: str, *forms: Column) -> DataFrame:
     """The parts with ``raw``, one of the forms by p_partkey; forms may use k and n (numbers), w1 and w2 (words), b and c (a book and its name)."""
     p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(forms)).alias("form"), (F.col("p_partkey") % 37 + 1).alias("k"), F.col("p_size").cast("long").alias("n"), F.split("p_name", " ").alias("w"))

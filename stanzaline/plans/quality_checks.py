@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import audit as A
 from ..operators import joins as J
 from ..operators import lifecycle as L
+from ..sources.places import fresh_folder
+from ..sources.versions import VersionedTable
 from . import lens
 from .lens import query, table
 from .texts import LESSONS_SQL, _lesson_parsed
@@ -39,8 +41,13 @@ def _(s, d):
 
 @query("l05_dry_run", "select count(*) filter (where id % 10 = 3) as patched, count(*) as rows from notes", "notes")
 def _(s, d):
-    after = L.patch(lens.notes(s, d), _changes(s, d), "id")
-    return after.agg(F.count_if(F.col("text") == "patched").alias("patched"), F.count("*").alias("rows"))
+    """A change is written as a draft, looked at, and not committed: the table keeps its one version."""
+    store = VersionedTable(s, fresh_folder(s, "dry-run"))
+    store.append(lens.notes(s, d)).commit()
+    draft = store.replace(L.patch(store.read(), _changes(s, d), "id"))
+    still = store.read().agg(F.count_if(F.col("text") == "patched").alias("before"))
+    after = draft.read().agg(F.count_if(F.col("text") == "patched").alias("patched"), F.count("*").alias("rows"))
+    return after.join(F.broadcast(still)).select((F.col("patched") - F.col("before")).alias("patched"), "rows")
 
 
 @query("l06_protected", "select id from notes where id % 10 = 3", "notes")

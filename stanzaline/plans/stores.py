@@ -1,11 +1,12 @@
 """Sinks, tables and readers of whole files as registered queries: what was written is read again.
 
-Tables and files go to a folder of their own under the session's warehouse, which driver and executors share.
+Tables and files go to a folder of their own in the one that driver and executors share; ``places.clear`` removes them.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,14 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as L
 from ..sources import readers as R
 from ..sources import sinks
+from ..sources.places import fresh_folder
+from ..sources.versions import Conflict, VersionedTable
 from . import lens
 from .lens import query, table
 
 _SQUEEZED = "trim(regexp_replace(text, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stanzaline-{name}-{uuid.uuid4().hex}"
-
-
 def _texts(s, d) -> DataFrame:
     return lens.notes(s, d).select("id", "source_id", "text")
 
@@ -30,7 +29,7 @@ def _texts(s, d) -> DataFrame:
 @query("s03_store", "select id, source_id, text from notes", "notes")
 def _(s, d):
     """A store that is made when it is first written to, and read as an empty one before."""
-    path, rows = _folder(s, "store"), _texts(s, d)
+    path, rows = fresh_folder(s, "store"), _texts(s, d)
     before = sinks.open_store(s, path, "id bigint, source_id string, text string")
     sinks.append(before.unionByName(rows), path)
     return sinks.open_store(s, path, "id bigint, source_id string, text string")
@@ -38,7 +37,7 @@ def _(s, d):
 
 @query("s28_append", "select id, text from notes union all select id, text from notes where id % 3 = 0", "notes")
 def _(s, d):
-    path, rows = _folder(s, "append"), _texts(s, d).select("id", "text")
+    path, rows = fresh_folder(s, "append"), _texts(s, d).select("id", "text")
     sinks.append(rows, path)
     sinks.append(rows.where("id % 3 = 0"), path)
     return s.read.parquet(path)
@@ -46,34 +45,33 @@ def _(s, d):
 
 @query("s29_batches", "select id, text from notes", "notes")
 def _(s, d):
-    """One write in three batches by key; a batch is as many tasks as its rows need."""
-    path, rows = _folder(s, "batches"), _texts(s, d).select("id", "text")
-    for k in range(3):
-        sinks.append(rows.where(F.col("id") % 3 == k), path)
-    return s.read.parquet(path)
+    """Three batches by key, written in one pass and committed together."""
+    store, rows = VersionedTable(s, fresh_folder(s, "batches"), "batch"), _texts(s, d).select("id", "text", (F.col("id") % 3).alias("batch"))
+    store.append(rows).commit()
+    return store.read().select("id", "text")
 
 
 @query("s30_rebuild", "select id, text from notes where id % 2 = 0", "notes")
 def _(s, d):
-    path, rows = _folder(s, "rebuild"), _texts(s, d).select("id", "text")
-    sinks.append(rows, path)
-    sinks.rebuild(rows.where("id % 2 = 0"), path)
-    return s.read.parquet(path)
+    """A second version takes the place of the first as a whole."""
+    store, rows = VersionedTable(s, fresh_folder(s, "rebuild")), _texts(s, d).select("id", "text")
+    store.append(rows).commit()
+    store.replace(rows.where("id % 2 = 0")).commit()
+    return store.read()
 
 
 @query("s31_partition_replace", "select id, source_id, case when source_id in ('Brand#2', 'Brand#13') then upper(text) else text end as text from notes where source_id not in ('Brand#2', 'Brand#13') or id % 2 = 0", "notes")
 def _(s, d):
-    """Two sources are written anew, half of their rows; the others stay."""
-    path, rows = _folder(s, "parts"), _texts(s, d)
-    rows.repartition("source_id").write.partitionBy("source_id").parquet(path)
-    fresh = rows.where("source_id in ('Brand#2', 'Brand#13') and id % 2 = 0").withColumn("text", F.upper("text"))
-    L.replace_partition(fresh, path, "source_id")
-    return s.read.parquet(path).select("id", "source_id", "text")
+    """Two sources are written anew, half of their rows, and swapped together; the others stay."""
+    store, rows = VersionedTable(s, fresh_folder(s, "parts"), "source_id"), _texts(s, d)
+    store.append(rows).commit()
+    store.replace_partitions(rows.where("source_id in ('Brand#2', 'Brand#13') and id % 2 = 0").withColumn("text", F.upper("text"))).commit()
+    return store.read()
 
 
 @query("s32_report", "select source_id, count(*) as n, min(text) as first from notes group by source_id", "notes")
 def _(s, d):
-    path = _folder(s, "report")
+    path = fresh_folder(s, "report")
     sinks.report(_texts(s, d).groupBy("source_id").agg(F.count("*").alias("n"), F.min("text").alias("first")), path)
     return s.read.schema("source_id string, n bigint, first string").json(path)
 
@@ -88,11 +86,13 @@ def _(s, d):
 
 @query("l07_merge_once", "select id, text from notes where id % 2 = 1", "notes")
 def _(s, d):
-    """The second merge of the same table does nothing."""
-    name, rows = f"stanzaline_{uuid.uuid4().hex}", _texts(s, d).select("id", "text")
-    L.merge_once(rows.where("id % 2 = 1"), name)
-    L.merge_once(rows.where("id % 2 = 0"), name)
-    return s.table(name)
+    """Two merges that begin from the same empty table: the second does nothing."""
+    store, rows = VersionedTable(s, fresh_folder(s, "merge")), _texts(s, d).select("id", "text")
+    first, second = store.append(rows.where("id % 2 = 1")), store.append(rows.where("id % 2 = 0"))
+    first.commit()
+    with suppress(Conflict):
+        second.commit()
+    return store.read()
 
 
 @query("m02_checksums", "select cast(doc_id as varchar) as name, case when doc_id % 10 = 3 then sha256('other') else sha256(text) end as expected, case when doc_id % 10 <> 7 then sha256(text) end as actual from documents where doc_id % 10 in (3, 7)")

@@ -8,6 +8,7 @@ from ..functions import refs as R
 from ..functions import scalars as D
 from ..functions import text as T
 from ..operators import search as S
+from ..operators import search_index as X
 from . import lens
 from .lens import query, table
 
@@ -39,8 +40,8 @@ def _(s, d):
 
 @query("f04_match_all", "select doc_id from tokens where lang = 'en' group by doc_id having count(*) filter (where term in ('license', 'licensed')) > 0 and count(*) filter (where term = 'under') > 0", "tokens")
 def _(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return S.match_all(docs, "text", S.terms_of("licenses, under!")).select("doc_id")
+    found = X.match(lens.index(s, d), "licenses, under!")
+    return table(s, d, "documents").where("lang = 'en'").select("doc_id").join(found, F.col("doc_id") == F.col("key"), "left_semi")
 
 
 #: BM25 of two terms in SQL; {a} and {b} are their forms.
@@ -53,13 +54,13 @@ _THE, _IN, _ON = "'the', 'thes'", "'in', 'ined', 'ines', 'ining'", "'on', 'one',
 
 @query("f05_bm25", "with " + BM25_SQL.format(a=_IN, b=_THE) + " select doc_id, round(score, 6) as score from sc", "tokens")
 def _(s, d):
-    return S.bm25(table(s, d, "documents").select("doc_id", "text"), "text", S.terms_of("In the")).select("doc_id", F.round("score", 6).alias("score"))
+    return X.match(lens.index(s, d), "In the").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("f06_snippet")
 def _(s, d):
-    docs, terms = table(s, d, "documents").select("doc_id", "text"), S.terms_of("license under")
-    return S.match_all(docs, "text", terms).select("doc_id", S.snippet(F.col("text"), terms).alias("snippet"))
+    found = X.match(lens.index(s, d), "license under").select(F.col("key").alias("doc_id"), "hits")
+    return table(s, d, "documents").select("doc_id", "text").join(found, "doc_id").select("doc_id", X.snippet(F.col("text"), F.col("hits")).alias("snippet"))
 
 
 @query("f07_limit", "select p_partkey, case when asked is null then 20 when asked between 1 and 100 then asked end as shown, asked is not null and asked not between 1 and 100 as error from (select p_partkey, case when p_size % 5 > 0 then (p_size - 3) * 4 end as asked from part)")

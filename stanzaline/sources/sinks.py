@@ -1,34 +1,18 @@
-"""Writers: append, rebuild, partition replacement, JSON reports and the search index."""
+"""Writers: append and JSON reports; ``versions`` has those that replace rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import search as S
-from ..operators.lifecycle import replace_partition
-
-__all__ = ["append", "rebuild", "replace_partition", "report", "build_index", "open_store"]
 
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def rebuild(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
-
-
 def report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def build_index(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Postings clustered by term and lengths, both derived from the texts, so they cannot go stale unnoticed."""
-    S.postings(tokens, key).repartition(F.col("term")).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/postings")
-    S.lengths(tokens, key).write.mode("overwrite").parquet(f"{path}/lengths")
-
-
 def open_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A store's rows, none where nothing has been written yet."""
     from pyspark.errors import AnalysisException

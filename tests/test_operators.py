@@ -50,70 +50,6 @@ def test_porter():
     assert {w: S.porter(w) for w in wanted} == wanted
 
 
-@pytest.fixture(scope="module")
-def small_index(spark):
-    """A few texts, in Spark and in a SQLite index of the same kind."""
-    import random
-    import sqlite3
-
-    rng = random.Random(3)
-    pool = "love loves loved loving Été été naïve licensing licensed License, happy happiness. possibly İstanbul re-entry x1 42 the The cafe\u0301 of. running: runs ran ponies pony".split()
-    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["", "...", "love", "  love is. Happy loves  "]
-    con = sqlite3.connect(":memory:")
-    try:
-        con.execute("create virtual table f using fts5(t, tokenize='porter unicode61')")
-    except sqlite3.OperationalError:
-        pytest.skip("SQLite without full-text search")
-    con.execute("create virtual table v using fts5vocab(f, 'instance')")
-    con.executemany("insert into f(rowid, t) values (?, ?)", list(enumerate(texts)))
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), con
-
-
-def test_index_tokens(small_index):
-    docs, con = small_index
-    got = sorted((r.term, r.doc_id, r.tf) for r in S.postings(S.index_tokens(docs, "text")).collect())
-    assert got == sorted(con.execute("select term, doc, count(*) from v group by 1, 2").fetchall()) and len(got) > 300
-
-
-@pytest.mark.parametrize("query", ["love", "happy LICENSES", "running the", "\"ponies\" of; x1", "absent love"])
-def test_search_like_an_index(small_index, query):
-    docs, con = small_index
-    match = " ".join(f'"{t}"' for t in __import__("re").findall("[A-Za-z0-9]+", query))
-    rows = con.execute("select rowid, -bm25(f), snippet(f, 0, '<em>', '</em>', '...', 12) from f where f match ?", (match,)).fetchall()
-    terms = S.terms_of(query)
-    got = {r.doc_id: r for r in S.bm25(docs, "text", terms).withColumn("snippet", S.snippet(F.col("text"), terms)).collect()}
-    assert sorted(got) == sorted(i for i, _, _ in rows)
-    assert sorted(r.doc_id for r in S.match_all(docs, "text", terms).collect()) == sorted(got)
-    for i, score, snippet in rows:
-        assert abs(got[i].score - score) < 1e-9
-        assert got[i].snippet == snippet, i
-
-
-def test_search_limits(small_index):
-    docs, _ = small_index
-    found = S.search(docs, "love", F.col("doc_id") > 5, 3).collect()
-    assert len(found) == 3 and all(r.doc_id > 5 and "<em>" in r.snippet for r in found)
-    assert [round(r.score, 10) for r in found] == sorted((round(r.score, 10) for r in found), reverse=True)
-    assert S.checked_limit() == 20 and S.checked_limit(100) == 100
-    for bad in (0, 101, -1):
-        with pytest.raises(ValueError):
-            S.search(docs, "love", F.lit(True), bad)
-    with pytest.raises(ValueError):
-        S.search(docs, " !? ", F.lit(True))
-
-
-def test_stems_keep_their_beginning():
-    """A search looks only at tokens that begin like its stems, but for two letters."""
-    import random
-
-    rng = random.Random(5)
-    ends = "ational enci izer bli ization ator fulness biliti logi icate ical ness ance able ement ion ize ing ed eed s sses ies y".split()
-    for _ in range(5000):
-        word = "".join(rng.choice("bcdfglmnprstvyaeiou") for _ in range(rng.randrange(1, 6))) + "".join(rng.choice(ends) for _ in range(rng.randrange(3)))
-        stem = S.porter(word)
-        assert word.startswith(stem[: max(1, len(stem) - 2)])
-
-
 def test_dates(spark):
     days = [dt.date(2024, 2, 29), dt.date(2025, 3, 1), dt.date(2025, 2, 28), dt.date(1900, 3, 1), dt.date(2000, 12, 31)]
     got = [r.n for r in spark.createDataFrame([(d,) for d in days], "d date").select(D.leap_day_of_year("d").alias("n")).collect()]

@@ -147,13 +147,5 @@ def test_manifest_and_sinks(spark, tmp_path):
     sinks.append(spark.createDataFrame([(1,)], "a int"), store)
     sinks.append(spark.createDataFrame([(2,)], "a int"), store)
     assert rows(sinks.open_store(spark, store, "a int")) == [(1,), (2,)]
-    sinks.rebuild(spark.createDataFrame([(3,)], "a int"), store)
-    assert rows(spark.read.parquet(store)) == [(3,)]
-    parts = str(tmp_path / "parts")
-    spark.createDataFrame([("a", 1), ("b", 2)], "t string, v int").write.partitionBy("t").parquet(parts)
-    sinks.replace_partition(spark.createDataFrame([("a", 9)], "t string, v int"), parts, "t")
-    assert rows(spark.read.parquet(parts), "t", "v") == [("a", 9), ("b", 2)]
-    sinks.build_index(spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "doc_id long, term string"), str(tmp_path / "ix"))
-    assert rows(spark.read.parquet(str(tmp_path / "ix/postings"))) == [("x", 1, 2), ("y", 2, 1)]
     sinks.report(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).first()["a"] == 1
