@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .recovery import Heading, heading_of, reading
+from ..functions.scalars import CONFUSED
 
 
 def longest_chain(keys: Sequence) -> list[int]:
@@ -48,6 +48,13 @@ def keep_chain(df: DataFrame, group: list[str], order: list[str], key: str) -> D
 COMMON_WORDS = frozenset("is as at to of in on up us we he she it the and for".split())
 
 
+def misread(token: str, number: int) -> int | None:
+    """Characters of a token that stand for a digit of the number that they look like, two at most; null if it cannot be the number."""
+    digits = str(number)
+    costs = [0 if seen == digit else 1 if digit in CONFUSED.get(seen, "") else 3 for seen, digit in zip(token, digits)]
+    return sum(costs) if len(token) == len(digits) and sum(costs) <= 2 else None
+
+
 def recover_numbers(tokens: Sequence[str], top: int, gaps: Sequence[tuple[int, int]] = (), near: int = 5, far: int = 15, window: int = 50, anchored: bool = False) -> list[tuple[int, int, bool]]:
     """Headings that carry a rising number, out of scanned tokens: (position, number, corrected). The simple machine.
 
@@ -59,34 +66,31 @@ def recover_numbers(tokens: Sequence[str], top: int, gaps: Sequence[tuple[int, i
     for at, token in enumerate(tokens):
         if want > top:
             break
-        behind = next((end + 1 for start, end in gaps if start <= want <= end + 1 and reading(token, end + 1) is not None), None)
-        if behind is not None:
-            number, corrected = behind, True
-        else:
-            fits = ((n - want, misread) for n in range(want, min(top, want + window) + 1) if (misread := reading(token, n)) is not None)
-            ahead, misread = next(fits, (window + 1, 0))
-            if ahead <= near or (ahead <= far and misread == 0):
-                number, corrected = want + ahead, misread + ahead > 0
-            elif anchored and 2 <= len(token) <= 4 and token.lower() not in COMMON_WORDS and at + 1 < len(tokens) and tokens[at + 1] == str(want + 1):
-                number, corrected = want, True
-            else:
+        behind = next((end + 1 for start, end in gaps if start <= want <= end + 1 and misread(token, end + 1) is not None), None)
+        readings = ((n - want, cost) for n in range(want, min(top, want + window) + 1) if (cost := misread(token, n)) is not None)
+        ahead, cost = next(readings, (window + 1, 0)) if behind is None else (behind - want, 1)
+        if behind is None and ahead > near and (ahead > far or cost):
+            follows = at + 1 < len(tokens) and tokens[at + 1] == str(want + 1)
+            if not (anchored and follows and 2 <= len(token) <= 4 and token.lower() not in COMMON_WORDS):
                 continue
-        found.append((at, number, corrected))
-        want = number + 1
+            ahead, cost = 0, 1
+        found.append((at, want + ahead, behind is not None or cost + ahead > 0))
+        want += ahead + 1
     return found
 
 
 def best_start(tokens: Sequence[str], top: int, **options) -> int:
     """The place to start from that recovers the most numbers, the first on a tie; only tokens that may be 1 count."""
-    starts = [i for i, t in enumerate(tokens) if reading(t, 1) is not None] or [0]
+    starts = [i for i, t in enumerate(tokens) if misread(t, 1) is not None] or [0]
     return max(starts, key=lambda i: (len(recover_numbers(tokens[i:], top, **options)), -i))
 
 
-def number_headings(df: DataFrame, group: str, order: str, token: str, top: int, gaps: Sequence[tuple[int, int]] = (), anchored: bool = False) -> DataFrame:
-    """(group, order, number, corrected) of the headings that the simple machine recovers in each group."""
+def number_headings(df: DataFrame, group: str, order: str, token: str, gaps: Sequence[tuple[int, int]] = (), anchored: bool = False) -> DataFrame:
+    """(group, order, number, corrected) of the headings that the simple machine recovers in each group, up to the largest number that is readable as it stands."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tokens = part[token].tolist()
+        top = max((int(t) for t in tokens if t.isascii() and t.isdigit()), default=0)
         start = best_start(tokens, top, gaps=gaps, anchored=anchored) if tokens else 0
         rows = recover_numbers(tokens[start:], top, gaps, anchored=anchored)
         at = [start + i for i, _, _ in rows]
@@ -96,19 +100,6 @@ def number_headings(df: DataFrame, group: str, order: str, token: str, top: int,
     return per_group(df, [group], [order], run, f"{group} {kinds[group]}, {order} {kinds[order]}, number long, corrected boolean")
 
 
-def numbered_lines(df: DataFrame, group: str, order: str, line: str, machine: Callable[[list[Heading]], list]) -> DataFrame:
-    """(group, order, number, how) of the lines of each group that ``machine`` takes for headings."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        heads = [(k, h) for k, x in enumerate(part[line]) if (h := heading_of(x))]
-        rows = machine([h for _, h in heads])
-        at = [heads[r.position][0] for r in rows]
-        return pd.DataFrame({group: part[group].iloc[at].values, order: part[order].iloc[at].values, "number": [r.number for r in rows], "how": [r.how for r in rows]})
-
-    kinds = dict(df.dtypes)
-    return per_group(df, [group], [order], run, f"{group} {kinds[group]}, {order} {kinds[order]}, number long, how string")
-
-
 def ordered_words(phrase: Sequence[str], verse: Sequence[str], start: int = 0) -> tuple[str, int]:
     """(strong, weak or none, position after the last word found) of a phrase in a verse."""
     at, hits = start, 0

@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import head_reference
-from ..operators import recovery as R
 from ..operators import sequences as Q
 from . import lens
 from .lens import query, table
@@ -29,24 +28,12 @@ def _scanned(s, d):
     return part.where("p_partkey % 23 <> 0").select("p_brand", "p_partkey", F.concat(token, F.lit(". "), body).alias("line"))
 
 
-@query("q03_headings")
-def _(s, d):
-    """The earlier machine over each brand's entries, from the heading 1 that begins the longest run."""
-    return Q.numbered_lines(_scanned(s, d), "p_brand", "p_partkey", "line", lambda heads: R.confirmed_numbers(heads, 99_999, R.confirmed_start(heads, 99_999)))
-
-
-@query("q04_machine")
-def _(s, d):
-    """The full machine over each brand's entries, a file each, with a known gap."""
-    return Q.numbered_lines(_scanned(s, d), "p_brand", "p_partkey", "line", lambda heads: R.best_run(heads, 99_999, [(10, 12)]))
-
-
 @query("q04b_simple")
 def _(s, d):
     """The simple machine over the same entries, with and without anchors."""
     heads = _scanned(s, d).withColumn("token", F.regexp_replace(F.regexp_extract("line", r"^(\S+?)[.] ", 1), r"^\.", ""))
-    plain = Q.number_headings(heads, "p_brand", "p_partkey", "token", 99_999, [(10, 12)])
-    anchored = Q.number_headings(heads, "p_brand", "p_partkey", "token", 99_999, [(10, 12)], anchored=True)
+    plain = Q.number_headings(heads, "p_brand", "p_partkey", "token", [(10, 12)])
+    anchored = Q.number_headings(heads, "p_brand", "p_partkey", "token", [(10, 12)], anchored=True)
     return plain.withColumn("machine", F.lit("plain")).unionByName(anchored.withColumn("machine", F.lit("anchored")))
 
 
@@ -64,51 +51,6 @@ def _(s, d):
     return Q.per_group(c, ["conv_id"], ["turn"], run, "conv_id long, turn long, verse long, strength string")
 
 
-@query("q07_events")
-def _(s, d):
-    """Each book's lines as a scanned commentary: a heading and a marked note for every line, every fourth chapter behind an introduction."""
-    u = lens.lessons(s, d).where("translation = 'en'").select("book", "chapter", "verse_no", "text")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.itertuples(index=False))
-        book = rows[0].book
-        verses = {(r.chapter, r.verse_no): r.text for r in rows}
-        last: dict = {}
-        for r in rows:
-            last[(book, r.chapter)] = max(r.verse_no, last.get((book, r.chapter), 0))
-        events = []
-        for r in rows:
-            if r.verse_no == 1 and r.chapter % 4 == 0:
-                events += [R.Event("heading", book, r.chapter, 1, []), R.Event("intro", book, r.chapter, 0, ["On this chapter.", "Ver. 1. " + r.text])]
-            else:
-                events.append(R.Event("heading", book, r.chapter, r.verse_no, [f"Ver. {r.verse_no}. {r.text}"]))
-        found = R.NoteMerge(last, lambda b, c, v: verses.get((c, v))).run(events)
-        return pd.DataFrame(found, columns=["book", "chapter", "verse", "note"])
-
-    return Q.per_group(u, ["book"], ["chapter", "verse_no"], run, "book string, chapter long, verse long, note string")
-
-
-@query("q08_sections")
-def _(s, d):
-    """Each book's lines as a commentary's pages: chapter headers, verse headers of long lines, and the text between."""
-    u = lens.lessons(s, d).where("translation = 'en'").select("book", "chapter", "verse_no", "text")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        last = part.groupby("chapter")["verse_no"].max().astype(int).to_dict()
-        lines = []
-        for r in part.itertuples(index=False):
-            if r.verse_no == 1:
-                lines += [R.Line("page", int(r.chapter)), R.Line("chapter", int(r.chapter), 1, int(r.chapter), None, r.text)]
-            elif len(r.text) > 120:
-                lines.append(R.Line("verse", 0, int(r.verse_no), 0, None, r.text))
-            else:
-                lines.append(R.Line("text", text=r.text))
-        found = R.SectionMachine(last).run(lines)
-        return pd.DataFrame([(part["book"].iloc[0], *x) for x in found], columns=["book", "start_chapter", "start_verse", "end_chapter", "end_verse", "text"])
-
-    return Q.per_group(u, ["book"], ["chapter", "verse_no"], run, "book string, start_chapter long, start_verse long, end_chapter long, end_verse long, text string")
-
-
 @query("q09_header_groups", """with m as (select chapter, verse_no, length(text) < 80 as head from units), r as (select *, verse_no - row_number() over (partition by chapter, head order by verse_no) as run from m)
 select chapter, min(verse_no) as low, max(verse_no) as high from r where head group by chapter, run""", "units")
 def _(s, d):
