@@ -206,6 +206,19 @@ def _(s, d):
     return own.select("plan_id", "done", F.round(F.lit(100.0) * F.col("done") / 365, 1).alias("percent"))
 
 
+@query("c16_progress_stream", "select plan_id, count(distinct day) as done, round(100.0::double * count(distinct day) / 365, 1) as percent from checkins where day between 1 and 365 group by plan_id", "checkins")
+def _(s, d):
+    """The same from a stream of the events, by keyed state."""
+    from ..sources.places import fresh_folder
+    from ..streaming import progress as P
+
+    # a pattern, since a plain path of a stream must be a folder
+    events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    own, path = lens.checkins_of(events).select("plan_id", "day", F.col("checked_at").alias("at"), F.col("event_id").alias("n")), fresh_folder(s, "progress")
+    P.track(own, P.keep(f"{path}/rows"), f"{path}/mark").awaitTermination()
+    return P.current(s.read.parquet(f"{path}/rows")).select("plan_id", "done", "percent")
+
+
 @query("c17_study", f"""with n as (select k.book_order, k.ch, k.v, n.id from keys k join notes n on n.book_order = k.book_order and ((n.sc < k.ch) or (n.sc = k.ch and (n.sv = 0 or n.sv <= k.v))) and ((n.ec > k.ch) or (n.ec = k.ch and (n.ev = 0 or n.ev >= k.v)))),
 g as (select book_order, ch, v, count(*) as notes, string_agg(cast(id as varchar), ',' order by id) filter (where rn <= 25) as shown from (select *, row_number() over (partition by book_order, ch, v order by id) as rn from n) group by all)
 select k.book_order, k.ch, k.v, coalesce(g.notes, 0) as notes, coalesce(g.shown, '') as shown from keys k left join g using (book_order, ch, v)""", "keys notes")

@@ -92,7 +92,11 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkins(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_type = 'purchase'")
+    return checkins_of(table(spark, d, "events"))
+
+
+def checkins_of(events: DataFrame) -> DataFrame:
+    e = events.where("event_type = 'purchase'")
     return e.select((F.col("user_id") % 4).alias("plan_id"), F.lit("2024-01-01").alias("start_date"), (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("long").alias("day"), F.col("ts").alias("checked_at"), "event_id")
 
 
