@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
+from ..sources import modules as M
 from ..sources import readers as R
+from ..sources.places import fresh_folder
 from . import lens
 from .lens import query, table
 
@@ -111,18 +113,24 @@ def _modules(s, d):
 
 @query("s14_blocks", "select module, cast(block as int) as block, md5(string_agg(p_name, '|' order by p_partkey)) as h from (select p_brand as module, (row_number() over (partition by p_brand order by p_partkey) - 1) // 4 as block, p_name, p_partkey from part) group by all")
 def _(s, d):
-    files = _modules(s, d).select("module", F.col("blocks").alias("index"), F.col("texts").alias("data"))
-    return R.compressed_blocks(files).select("module", "block", F.md5("body").alias("h"))
+    path = fresh_folder(s, "blocks")
+    M.write(_modules(s, d).select("module", F.col("blocks").alias("index"), F.col("texts").alias("data")), path, "blocks")
+    return M.read(s, path, "blocks", 64).select("module", "block", F.md5("body").alias("h"))
 
 
 @query("s15_entries", "select module, cast(nth // 3 as int) as block, cast(nth % 3 as int) as entry, p_name as text from (select p_brand as module, row_number() over (partition by p_brand order by p_partkey) - 1 as nth, p_name from part)")
 def _(s, d):
-    return R.compressed_entries(_modules(s, d)).select("module", "block", "entry", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
+    path = fresh_folder(s, "entries")
+    M.write(_modules(s, d), path, "entries")
+    return M.read(s, path, "entries", 64).select("module", "block", "entry", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
 
 
 @query("s16_dictionary", "select p_brand as module, 'Part ' || p_partkey || ' & all' as term, p_name as text from part")
 def _(s, d):
-    good, _ = R.keyed_entries(_modules(s, d))
+    path, files = fresh_folder(s, "dictionary"), _modules(s, d)
+    M.write(files, path, "entries")
+    M.write(files.select("module", F.col("keys").alias("index"), F.col("terms").alias("data")), path, "keys")
+    good, _ = M.keyed_entries(M.read(s, path, "keys", 256), M.read(s, path, "entries", 64))
     return good.select("module", "term", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
 
 

@@ -6,10 +6,7 @@ where a format has a state. Formats that need a parser run in Arrow batches.
 
 from __future__ import annotations
 
-import html
 import re
-import struct
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -186,82 +183,6 @@ def fenced_verses(texts: DataFrame, corrections: DataFrame | None = None) -> Dat
     return out.join(fixed, ["book", "chapter", "verse"], "left").select("book", "chapter", "verse", F.coalesce("fixed", "text").alias("text"))
 
 
-def module_files(spark: SparkSession, **paths: str) -> DataFrame:
-    """(module, a binary column for each name): the files of a module, which differ in their ending alone, in one row."""
-    out = None
-    for name, path in paths.items():
-        files = spark.read.format("binaryFile").load(path)
-        files = files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("module"), F.col("content").alias(name))
-        out = files if out is None else out.join(files, "module")
-    return out
-
-
-def _unpacked(body: bytes) -> Iterator[tuple[int, str]]:
-    """(entry, text) of a block: a count, then offset and size of each entry; offset 0 is an empty one."""
-    (count,) = struct.unpack_from("<I", body)
-    for n, (at, size) in enumerate(struct.iter_unpack("<II", body[4 : 4 + 8 * count])):
-        yield n, body[at : at + size].decode("utf-8", "replace").rstrip("\0") if at else ""
-
-
-def compressed_blocks(files: DataFrame) -> DataFrame:
-    """(module, block, body) of zlib blocks at the places that ``index``, three little-endian numbers each (offset, size, full size), gives in ``data``."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for module, index, data in zip(batch["module"], batch["index"], batch["data"]):
-                found = [(module, i, zlib.decompress(data[at : at + size]).decode("utf-8", "replace")) for i, (at, size, _) in enumerate(struct.iter_unpack("<III", index)) if size]
-                yield pd.DataFrame(found, columns=["module", "block", "body"])
-
-    return files.select("module", "index", "data").mapInPandas(decode, "module string, block int, body string")
-
-
-def compressed_entries(files: DataFrame) -> DataFrame:
-    """(module, block, entry, text) of the entries in zlib blocks, which ``index`` (offset, size) finds in ``data``; a block is inflated once."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for module, index, data in zip(batch["module"], batch["index"], batch["data"]):
-                for block, (at, size) in enumerate(struct.iter_unpack("<II", index)):
-                    rows = [(module, block, n, text) for n, text in _unpacked(zlib.decompress(data[at : at + size]))]
-                    yield pd.DataFrame(rows, columns=["module", "block", "entry", "text"])
-
-    return files.select("module", "index", "data").mapInPandas(decode, "module string, block int, entry int, text string")
-
-
-def module_keys(files: DataFrame) -> DataFrame:
-    """(module, nth, term, block, entry) of a key index: ``keys`` (offset, size) finds records in ``terms``, a term, a line end and two numbers each."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for module, keys, terms in zip(batch["module"], batch["keys"], batch["terms"]):
-                rows = []
-                for n, (at, size) in enumerate(struct.iter_unpack("<II", keys)):
-                    term, end, place = terms[at : at + size].rpartition(b"\r\n")
-                    # the numbers may hold a line end themselves
-                    if len(place) != 8:
-                        term, end, place = terms[at : at + size - 10], terms[at + size - 10 : at + size - 8], terms[at + size - 8 : at + size]
-                    if end == b"\r\n" and len(place) == 8:
-                        rows.append((module, n, html.unescape(term.decode("utf-8", "replace")).strip(), *struct.unpack("<II", place)))
-                yield pd.DataFrame(rows, columns=["module", "nth", "term", "block", "entry"])
-
-    return files.select("module", "keys", "terms").mapInPandas(decode, "module string, nth int, term string, block int, entry int")
-
-
-def keyed_entries(files: DataFrame, heading: str = r'^<entryFree n="((?:[^"\\]|\\.)*)"') -> tuple[DataFrame, DataFrame]:
-    """Entries of a dictionary in the order of its key index, with the term that the entry itself has, and what does not fit.
-
-    Keys meet entries on (module, block, entry). Faults are keys without an entry, entries without a key, and
-    keys whose entry has another term, in any letter case.
-    """
-    place = ["module", "block", "entry"]
-    own = F.trim(T.unescape_common(F.regexp_extract("text", heading, 1)))
-    entries = compressed_entries(files).withColumn("own", own)
-    met = module_keys(files).join(entries, place, "full")
-    fault = F.when(F.col("text").isNull(), "no entry").when(F.col("term").isNull(), "no key").when(F.upper("term") != F.upper("own"), "other term")
-    met = met.withColumn("fault", fault)
-    return met.where("fault is null").select("module", "nth", F.col("own").alias("term"), "text"), met.where("fault is not null").select(*place, "fault")
-
-
 def xml_entries(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Elements of an XML file as rows; attributes are columns that begin with an underscore."""
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)

@@ -5,6 +5,9 @@ import json
 import struct
 import zlib
 
+import pytest
+
+from stanzaline.sources import modules as M
 from stanzaline.sources import readers as R
 from stanzaline.sources import sinks
 
@@ -77,8 +80,33 @@ def test_compressed(spark, tmp_path):
         at = [sum(map(len, blocks[:k])) for k in range(len(blocks))]
         put(tmp_path, f"{name}.idx", b"".join(struct.pack("<III", o, len(x), 3) for o, x in zip(at, blocks)) + struct.pack("<III", 0, 0, 0))
         put(tmp_path, f"{name}.dat", b"".join(blocks))
-    files = R.module_files(spark, index=str(tmp_path / "*.idx"), data=str(tmp_path / "*.dat"))
-    assert rows(R.compressed_blocks(files)) == [("a", 0, "one"), ("a", 1, "two"), ("c", 0, "three")]
+    assert rows(M.read(spark, str(tmp_path), "blocks")) == [("a", 0, "one"), ("a", 1, "two"), ("c", 0, "three")]
+    assert rows(M.read(spark, str(tmp_path / "none"), "blocks")) == []
+    put(tmp_path, "b.idx", b"")
+    with pytest.raises(Exception, match="b.dat"):
+        M.read(spark, str(tmp_path), "blocks").count()
+
+
+def test_module_in_many_partitions(spark, tmp_path):
+    """A module is read by runs of its blocks; filters on module and block are met by reading less."""
+    texts = [f"text {k} " + "x" * (k % 50) for k in range(500)]
+    blocks = [zlib.compress(t.encode()) if k % 7 else b"" for k, t in enumerate(texts)]
+    at = [0]
+    for b in blocks:
+        at.append(at[-1] + len(b))
+    index = b"".join(struct.pack("<III", o, len(b), 0) for o, b in zip(at, blocks))
+    files = spark.createDataFrame([("one", index, b"".join(blocks)), ("a/b c", index[: 12 * 30], b"".join(blocks[:30]))], "module string, index binary, data binary")
+    path = f"file://{tmp_path}/modules"
+    assert M.write(files, path, "blocks") == 2
+    df = M.read(spark, path, "blocks", 64)
+    assert df.rdd.getNumPartitions() == 8 + 1
+    wanted = {("one", k, t) for k, t in enumerate(texts) if k % 7} | {("a/b c", k, texts[k]) for k in range(30) if k % 7}
+    assert set(rows(df)) == wanted
+    some = df.where("module = 'one' and block >= 100 and block <= 227")
+    assert some.rdd.getNumPartitions() == 2 and set(rows(some)) == {w for w in wanted if w[0] == "one" and 100 <= w[1] <= 227}
+    assert set(rows(df.where("module in ('a/b c', 'x') and block = 8"))) == {("a/b c", 8, texts[8])}
+    assert rows(df.where("module = 'none'")) == []
+    assert rows(df.where("block = 8").select("body")) == [(texts[8],)] * 2
 
 
 def block(*texts):
@@ -103,8 +131,7 @@ def test_dictionary(spark, tmp_path):
         put(tmp_path, f"{name}.dat", terms)
         put(tmp_path, f"{name}.zdx", struct.pack("<IIII", 0, len(blocks[0]), len(blocks[0]), len(blocks[1])))
         put(tmp_path, f"{name}.zdt", b"".join(blocks))
-    files = R.module_files(spark, keys=str(tmp_path / "*.idx"), terms=str(tmp_path / "*.dat"), index=str(tmp_path / "*.zdx"), data=str(tmp_path / "*.zdt"))
-    good, faults = R.keyed_entries(files)
+    good, faults = M.keyed_entries(M.read(spark, str(tmp_path), "keys", 2), M.read(spark, str(tmp_path), "entries", 1))
     assert rows(good, "module", "nth", "term") == [(m, k, t) for m in "mn" for k, t in enumerate(("Aaron", "Abel & Co"))]
     assert all(r.text.endswith(f"of {r.module}</entryFree>") for r in good.collect())
     assert rows(faults) == [(m, *f) for m in "mn" for f in ((1, 0, "other term"), (1, 1, "no key"), (5, 0, "no entry"))]
