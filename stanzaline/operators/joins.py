@@ -1,7 +1,7 @@
 """Joins of keys, spans, notes and sources.
 
 Every join has an equality to shuffle on; ranges are residual conditions or are turned into equalities
-by unfolding the short side, so none plans as a nested loop. Sides are broadcast only by Spark's own
+by their dyadic covers, so none plans as a nested loop. Sides are broadcast only by Spark's own
 size check.
 """
 
@@ -17,33 +17,47 @@ def covers(ch, v, sc="sc", sv="sv", ec="ec", ev="ev") -> Column:
     return ((sc < ch) | ((sc == ch) & ((sv == 0) | (sv <= v)))) & ((ec > ch) | ((ec == ch) & ((ev == 0) | (ev >= v))))
 
 
-def covering_notes(keys: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes that cover each key (book_order, ch, v).
+def dyadic_cover(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Each row once for every block of its interval's cover: the fewest blocks of 2^_level numbers that begin at a multiple of their size, _block.
 
-    Notes are unfolded over their chapters, so the equality is on book and chapter: one book that
-    holds most notes spreads over its chapters.
+    An interval of n numbers has at most 2 log2(n) blocks, and each of its numbers lies in one of them. An
+    interval whose end lies before its beginning, or is null, has none.
     """
-    unfolded = notes.where("sc <= ec").select("*", F.explode(F.sequence("sc", "ec")).alias("ch"))
-    return keys.join(unfolded, ["book_order", "ch"]).where(covers("ch", "v"))
+    sized = rows.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low <= _high")
+    levels = F.explode(F.sequence(F.lit(0), F.floor(F.log2((F.col("_high") - F.col("_low") + 1).cast("double"))).cast("int")))
+    level = sized.withColumn("_level", levels)
+    # whole blocks of the level lie from _left to before _right; the next level takes them but for an odd one at either end
+    ends = level.withColumns({"_left": F.expr("shiftright(_low + shiftleft(1L, _level) - 1, _level)"), "_right": F.expr("shiftright(_high + 1, _level)")})
+    first = F.when((F.col("_left") % 2 != 0) & (F.col("_left") < F.col("_right")), F.col("_left"))
+    last = F.when((F.col("_right") % 2 != 0) & (F.col("_left") + F.abs(F.col("_left") % 2) < F.col("_right")), F.col("_right") - 1)
+    return ends.withColumn("_block", F.explode(F.array(first, last))).where("_block is not null").drop("_low", "_high", "_left", "_right")
 
 
-#: Verses that one bucket of an interval join holds.
-BUCKET = 16
+def meet_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, low: Column, high: Column) -> DataFrame:
+    """Points with the intervals (from ``low`` to ``high``, both included) of their keys that they lie in.
 
+    An interval is as many rows as its dyadic cover has blocks, however long it is; a point is one for each
+    level up to the length of the longest interval. Both meet on an equality, every pair once.
+    """
+    covered = dyadic_cover(intervals, low, high)
+    # one number; blocks of an interval are no longer than it
+    longest = intervals.agg(F.max(high.cast("long") - low.cast("long") + 1).alias("n")).first()["n"] or 0
+    levels = list(range(max(0, longest).bit_length()))
+    spread = points.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))).withColumn("_block", F.expr(f"shiftright(cast(`{at}` as bigint), _level)"))
+    return spread.join(covered, [*keys, "_level", "_block"]).drop("_level", "_block")
 
-def overlap_tiers(keys: DataFrame, anchors: DataFrame, slack: int = 3) -> DataFrame:
-    """Anchors at each key (ch, v) of the best tier only: 0 covers the verse, 1 lies within ``slack`` of it.
 
-    Anchors, widened by the slack, are unfolded over buckets of verses, so a key meets the anchors of its
-    chapter and bucket alone, and each of them once; a chapter with many of both is no hot key.
-    """
-    bucket = lambda v: F.floor(v / BUCKET)
-    reach = F.sequence(bucket(F.col("vs") - slack), bucket(F.col("ve") + slack))
-    spread = anchors.where("vs <= ve").withColumn("_bucket", F.explode(reach))
-    met = keys.withColumn("_bucket", bucket(F.col("v"))).join(spread, ["ch", "_bucket"]).where((F.col("vs") <= F.col("v") + slack) & (F.col("ve") >= F.col("v") - slack))
+def covering_notes(keys: DataFrame, notes: DataFrame) -> DataFrame:
+    """Notes that cover each key (book_order, ch, v): the intervals of chapters that hold it, the verses of the first and last a residual."""
+    return meet_intervals(keys, notes, ["book_order"], "ch", F.col("sc"), F.col("ec")).where(covers("ch", "v"))
+
+
+def overlap_tiers(keys: DataFrame, anchors: DataFrame, slack: int = 3) -> DataFrame:
+    """Anchors at each key (ch, v) of the best tier only: 0 covers the verse, 1 lies within ``slack`` of it."""
+    met = meet_intervals(keys, anchors.where("vs <= ve"), ["ch"], "v", F.col("vs") - slack, F.col("ve") + slack)
     tier = F.when((F.col("vs") <= F.col("v")) & (F.col("ve") >= F.col("v")), 0).otherwise(1)
     best = F.min("tier").over(Window.partitionBy("ch", "v"))
-    return met.drop("_bucket").withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("best")
+    return met.withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("best")
 
 
 def resolve_passages(refs: DataFrame, units: DataFrame, position: str = "ref_ix") -> DataFrame:

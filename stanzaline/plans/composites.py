@@ -33,9 +33,9 @@ def verse_of_day(units: DataFrame, translation: str, days: list[str]) -> DataFra
     total = per.agg(F.sum("n").alias("total"))
     asked = spark.createDataFrame([(x,) for x in days], "day string").join(F.broadcast(total))
     asked = asked.withColumn("at", D.hash_modulo(F.concat_ws("|", "day", F.lit(translation)), F.col("total")))
-    where = offsets.join(F.broadcast(asked), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + F.col("n")))
+    where = J.meet_intervals(asked, offsets, [], "at", F.col("low"), F.col("low") + F.col("n") - 1)
     number = Window.partitionBy("day", "book_order", "chapter").orderBy("verse_no")
-    rows = own.join(F.broadcast(where.select("day", "book_order", "chapter", (F.col("at") - F.col("low") + 1).alias("k"))), ["book_order", "chapter"])
+    rows = own.join(where.select("day", "book_order", "chapter", (F.col("at") - F.col("low") + 1).alias("k")), ["book_order", "chapter"])
     return rows.withColumn("n", F.row_number().over(number)).where("n = k").select("day", "translation", "book", "chapter", "verse_no", "text")
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from stanzaline.operators import audit as A
@@ -48,6 +50,36 @@ def test_overlap_tiers(spark):
     assert rows(J.overlap_tiers(keys, anchors), "v", "dev_id", "tier") == [(5, 1, 0), (8, 1, 1), (8, 2, 1)]
 
 
+def test_dyadic_covers(spark):
+    """Each number of an interval lies in one block, no other number in any; long intervals are few rows."""
+    rng = random.Random(4)
+    pairs = [(a, a + rng.randrange(-3, 40)) for a in (rng.randrange(-30, 60) for _ in range(300))] + [(0, 10**6 - 1), (3, 10**6 + 5), (5, None), (-(10**9), 10**9)]
+    found = {}
+    for r in J.dyadic_cover(spark.createDataFrame(pairs, "a long, b long").distinct(), F.col("a"), F.col("b")).collect():
+        found.setdefault((r.a, r.b), []).append((r._block << r._level, (r._block + 1 << r._level) - 1))
+    for low, high in pairs:
+        blocks = found.get((low, high), [])
+        if high is None or high < low:
+            assert not blocks
+        elif high - low < 100:
+            assert sorted(n for s, e in blocks for n in range(s, e + 1)) == list(range(low, high + 1))
+        else:
+            assert len(blocks) <= 62 and sum(e - s + 1 for s, e in blocks) == high - low + 1 and (high - low > 10**7 or len(blocks) <= 40)
+
+
+def test_points_in_long_intervals(spark):
+    rng = random.Random(9)
+    intervals = [(i, k := rng.randrange(3), a := rng.randrange(1000), a + rng.choice([0, 1, 5, 900, 10**6])) for i in range(60)]
+    points = [(rng.randrange(3), rng.randrange(2000)) for _ in range(200)]
+    left, right = spark.createDataFrame(points, "k int, at int"), spark.createDataFrame(intervals, "id int, k int, a int, b int")
+    met = J.meet_intervals(left, right, ["k"], "at", F.col("a"), F.col("b"))
+    assert rows(met, "k", "at", "id") == sorted((k, at, i) for k, at in points for i, own, a, b in intervals if k == own and a <= at <= b)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert J.meet_intervals(left, right.where("false"), ["k"], "at", F.col("a"), F.col("b")).count() == 0
+    assert rows(J.meet_intervals(left.limit(1).select(F.lit(7).alias("at")), right.where("id < 9"), [], "at", F.col("a"), F.col("b")), "id") == sorted((i,) for i, _, a, b in intervals if i < 9 and a <= 7 <= b)
+
+
 def test_no_nested_loops(spark):
     """The interval join has an equality."""
     notes = spark.range(10).select(F.col("id"), (F.col("id") % 3).alias("book_order"), (F.col("id") % 2).cast("int").alias("sc"), F.lit(1).alias("sv"), F.lit(2).alias("ec"), F.lit(0).alias("ev"))
