@@ -37,9 +37,10 @@ _MARKED = _bare_letters()
 
 
 def fold(text) -> Column:
-    """Lower case, without marks."""
-    bare = F.translate(F.lower(text), "".join(_MARKED), "".join(_MARKED.values()))
-    return F.regexp_replace(bare, r"[\x{300}-\x{331}]+", "")
+    """Lower case, without marks; letters are looked up only where there are others than ASCII."""
+    low = F.lower(text)
+    bare = F.regexp_replace(F.translate(low, "".join(_MARKED), "".join(_MARKED.values())), r"[\x{300}-\x{331}]+", "")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), bare).otherwise(low)
 
 
 def tokens_of(text) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.search import tokens_of
 from ..operators.search_index import Index, stored
 from ..sources.places import shared_folder
 
@@ -100,11 +99,6 @@ def checkins_of(events: DataFrame) -> DataFrame:
     return e.select((F.col("user_id") % 4).alias("plan_id"), F.lit("2024-01-01").alias("start_date"), (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).cast("long").alias("day"), F.col("ts").alias("checked_at"), "event_id")
 
 
-def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Search tokens: folded runs of letters and digits, not stemmed."""
-    return table(spark, d, "documents").select("doc_id", "lang", F.posexplode(tokens_of(F.col("text"))).alias("at", "term"))
-
-
 def index(spark: SparkSession, d: str) -> Index:
     """The stored search index of the documents; built when there is none of their present state."""
     return stored(table(spark, d, "documents").select("doc_id", "text"), shared_folder(spark))

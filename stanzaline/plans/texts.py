@@ -26,12 +26,13 @@ def _(s, d):
 
 @query("f02_tokens", "select doc_id, count(*) as n, count(distinct term) as terms from tokens group by doc_id", "tokens")
 def _(s, d):
-    return lens.tokens(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"))
+    own = table(s, d, "documents").select("doc_id", S.tokens_of(F.col("text")).alias("own")).where(F.size("own") > 0)
+    return own.select("doc_id", F.size("own").cast("long").alias("n"), F.size(F.array_distinct("own")).cast("long").alias("terms"))
 
 
 @query("f03_porter")
 def _(s, d):
-    words = lens.tokens(s, d).select("term").distinct()
+    words = table(s, d, "documents").select(F.explode(F.array_distinct(S.tokens_of(F.col("text")))).alias("term")).distinct()
     return words.select("term", S.stem("term").alias("stem"))
 
 
