@@ -146,10 +146,11 @@ def _(s, d):
 
 @query("j01_hit_to_row", "select d.doc_id, d.lang, d.n_chars from documents d join (select distinct doc_id from tokens where term in ('license', 'licensed')) h on h.doc_id = d.doc_id", "tokens")
 def _(s, d):
-    """Search hits with the columns of their rows: tokens and columns are of one row, so none is looked up."""
-    from ..operators.search import match_all, terms_of
+    """Hits of the stored index joined with their rows."""
+    from ..operators.search_index import match
 
-    return match_all(table(s, d, "documents").select("doc_id", "lang", "n_chars", "text"), "text", terms_of("licenses")).select("doc_id", "lang", "n_chars")
+    found = match(lens.index(s, d), "licenses").select(F.col("key").alias("doc_id"))
+    return table(s, d, "documents").select("doc_id", "lang", "n_chars").join(found, "doc_id")
 
 
 @query("j02_dimension", "select l.office, l.seq, l.speaker from liturgy l join (select distinct role from conversations) e on e.role = l.speaker where l.speaker = 'user'", "liturgy")
