@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins as J
+from ..operators import number_sets as N
 from . import lens
 from .lens import query, table
 
@@ -307,7 +308,7 @@ def _(s, d):
 
 @query("a06_distinct", "select book, count(distinct chapter) as n from units group by book", "units")
 def _(s, d):
-    return lens.units(s, d).groupBy("book").agg(F.countDistinct("chapter").alias("n"))
+    return N.count(N.build(lens.units(s, d), ["book"], "chapter"), ["book"])
 
 
 @query("a07_distinct_key", "select count(distinct (book, chapter, verse_no)) as n from units", "units")
@@ -382,8 +383,10 @@ def _(s, d):
 
 @query("a20_span_coverage", "with c as (select unnest(range(1, 367)) as day) select cast(c.day as bigint) as day from c anti join checkins k on k.day = c.day and k.plan_id = 1", "checkins")
 def _(s, d):
-    days = s.range(1, 367).select(F.col("id").alias("day"))
-    return days.join(lens.checkins(s, d).where("plan_id = 1"), "day", "left_anti")
+    own = lens.checkins(s, d).where("plan_id = 1").select("plan_id", "day")
+    # the plan is there also before its first check-in
+    plan = s.range(1).select(F.lit(1).cast("long").alias("plan_id"), F.lit(None).cast("long").alias("day"))
+    return N.missing(N.build(own.unionByName(plan), ["plan_id"], "day"), ["plan_id"], 1, 366, "day").select("day")
 
 
 @query("a21_tag_share", """select page_id, round(case when length(html) = 0 then 0 else coalesce(list_sum(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: length(x))), 0) / length(html)::double end, 6) as share from pages""")

@@ -5,7 +5,6 @@ import hashlib
 import itertools
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from stanzaline.functions import scalars as D
