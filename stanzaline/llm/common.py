@@ -43,11 +43,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _written: list[str] = []
 
 
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that ``clear`` removes."""
+    _written.append(fresh_path(spark, name))
+    return _written[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it again. ``clear`` removes it."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    _written.append(path)
+    path = owned_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -120,10 +120,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
     """Write the pages (page_id, url, html) as archives; (path, records, bytes) of each.
 
     The list has one entry per archive, so it grows with the bytes written over ``archive_bytes``.
-    Only archives of successful task attempts are in it.
+    Only archives of successful task attempts are in it. Without a folder they go to one that ``common.clear`` removes.
+    A record is held whole while it is written or read, so a payload must fit into a task's memory.
     """
     spark = pages.sparkSession
-    folder = folder or common.fresh_path(spark, "warc")
+    if folder is None:
+        folder = common.owned_path(spark, "warc")
     store, base = _opened(folder)
     store.create_dir(base, recursive=True)
     rows = referred(pages, min_revisit).mapInArrow(_writer(folder, archive_bytes), "path string, records long, bytes long").collect()

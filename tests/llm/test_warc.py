@@ -75,3 +75,16 @@ def test_members_in_small_reads(monkeypatch):
     raw = b"".join(A._record("response", k, "u", bytes([k]) * (k * 700), None) for k in range(8))
     monkeypatch.setattr(A, "READ_BYTES", 7)
     assert [A._page(m, "a")[0] for m in A.members(io.BytesIO(raw))] == list(range(8))
+
+
+def test_archives_are_cleared(spark):
+    from stanzaline.llm import common
+
+    pages = spark.createDataFrame([(1, "http://a", "x" * 2000)], "page_id long, url string, html string")
+    ((path, records, _),) = A.write_archives(pages)
+    folder = path.rpartition("/")[0]
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert records == 1 and fs.exists(at)
+    common.clear(spark)
+    assert not fs.exists(at)
