@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scans as S
 from ..operators import windows as W
 from . import lens
 from .lens import query, table
@@ -138,3 +139,44 @@ def _(s, d):
 def _(s, d):
     c = table(s, d, "conversations").withColumn("k", F.length("text"))
     return W.running_max_accept(c, ["conv_id"], "turn", "k").select("conv_id", "turn")
+
+
+@query("w01_one_stream", "select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) as n from lineitem")
+def _(s, d):
+    """Places in the whole table as one stream; so are the next five: blocks of its order, no window over all of it."""
+    return S.number(table(s, d, "lineitem").select("l_orderkey", "l_linenumber"), [], ["l_orderkey", "l_linenumber"]).withColumn("n", big(F.col("n")))
+
+
+@query("w04_one_stream", "select o_orderkey, last_value(case when o_orderstatus = 'F' then o_custkey end ignore nulls) over (order by o_orderkey rows unbounded preceding) as marker from orders")
+def _(s, d):
+    marker = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey"))
+    return S.carry_forward(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), [], ["o_orderkey"], marker, "marker").select("o_orderkey", "marker")
+
+
+@query("w05_one_stream", """with m as (select *, sum(case when o_orderstatus = 'P' then 1 else 0 end) over (order by o_orderkey rows unbounded preceding) as segment from orders)
+select cast(segment as bigint) as segment, string_agg(o_orderpriority, ' ' order by o_orderkey) as body from m group by segment""")
+def _(s, d):
+    return S.segments(table(s, d, "orders"), [], "o_orderkey", F.col("o_orderstatus") == "P", "o_orderpriority").select(big(F.col("segment")).alias("segment"), "body")
+
+
+@query("w07_one_stream", """with i as (select o_orderkey as id, o_orderkey * 3 as low, o_orderkey * 3 + o_custkey % 7 as high from orders),
+o as (select *, max(high) over (order by low, high, id rows between unbounded preceding and 1 preceding) as before from i),
+n as (select *, sum(case when before is null or low > before + 1 then 1 else 0 end) over (order by low, high, id rows unbounded preceding) as island from o)
+select min(low) as low, max(high) as high, count(*) as n from n group by island""")
+def _(s, d):
+    low = F.col("o_orderkey") * 3
+    intervals = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), low.alias("low"), (low + F.col("o_custkey") % 7).alias("high"))
+    return S.merge_intervals(intervals, [], "low", "high", "id").select("low", "high", "n")
+
+
+@query("w20_one_stream", """with m as (select o_orderkey, o_orderpriority, o_orderstatus <> 'F' and lead(o_orderpriority) over (order by o_orderkey) is not null as joins from orders),
+c as (select *, sum(case when coalesce(pj, false) then 0 else 1 end) over (order by o_orderkey rows unbounded preceding) as chain from (select *, lag(joins) over (order by o_orderkey) as pj from m))
+select min(o_orderkey) as o_orderkey, string_agg(o_orderpriority, ' ' order by o_orderkey) as text, count(*) as parts from c group by chain""")
+def _(s, d):
+    return S.join_with_next(table(s, d, "orders"), [], "o_orderkey", "o_orderpriority", F.col("o_orderstatus") != "F").select("o_orderkey", F.col("o_orderpriority").alias("text"), "parts")
+
+
+@query("q02_one_stream", """select o_orderkey from (select o_orderkey, o_totalprice as k, max(o_totalprice) over (order by o_orderkey rows between unbounded preceding and 1 preceding) as before from orders)
+where before is null or k >= before""")
+def _(s, d):
+    return S.running_max_accept(table(s, d, "orders").select("o_orderkey", "o_totalprice"), [], ["o_orderkey"], "o_totalprice").select("o_orderkey")
