@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..operators import hash_tree as H
 from ..operators import joins as J
 from ..operators import lifecycle as L
 from ..sources.places import fresh_folder
@@ -134,6 +135,41 @@ def _(s, d):
     return J.differences(n.where("id % 5 <> 0"), b, ["id"], "text")
 
 
+_TWO_SQL = """with a as (select o_orderkey, o_custkey, case when o_orderkey % 997 = 5 then 'other' else o_orderpriority end as p from orders where o_orderkey % 1013 <> 7), b as (select o_orderkey, o_custkey, o_orderpriority as p from orders where o_orderkey % 1009 <> 3)
+select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'only left' when a.o_orderkey is null then 'only right' else 'differs' end as kind
+from a full join b on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.p <> b.p"""
+
+
+def _two_orders(s, d):
+    """Two derivations of the orders that differ in few rows."""
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("p"))
+    a = o.where("o_orderkey % 1013 <> 7").withColumn("p", F.when(F.col("o_orderkey") % 997 == 5, "other").otherwise(F.col("p")))
+    return a, o.where("o_orderkey % 1009 <> 3")
+
+
+@query("v11_hash_tree", _TWO_SQL)
+def _(s, d):
+    """Sums of hashes by leaf first; rows of leaves that differ alone are joined."""
+    return H.differences(*_two_orders(s, d), ["o_orderkey"], ["o_custkey", "p"])
+
+
+@query("v11_stored_trees", _TWO_SQL)
+def _(s, d):
+    """The same with both tables stored beside their trees, which are compared from the root down."""
+    schema, stored = "o_orderkey bigint, o_custkey bigint, p string", []
+    for rows in _two_orders(s, d):
+        path = fresh_folder(s, "hash-tree")
+        H.store(rows.selectExpr("cast(o_orderkey as bigint) o_orderkey", "cast(o_custkey as bigint) o_custkey", "p"), ["o_orderkey"], path, folders=1)
+        stored.append(H.Stored(s, path, schema, folders=1))
+    return H.stored_differences(*stored, ["o_orderkey"], ["o_custkey", "p"])
+
+
+@query("t02_hash_tree", "select o_orderkey, p from (select o_orderkey, case when o_orderkey % 997 = 5 then 'other' else o_orderpriority end as p from orders where o_orderkey % 1013 <> 7) except select o_orderkey, o_orderpriority from orders where o_orderkey % 1009 <> 3")
+def _(s, d):
+    """Set difference in which rows of equal leaves take no part."""
+    return H.left_only(*(df.select("o_orderkey", "p") for df in _two_orders(s, d)))
+
+
 @query("v12_gaps", """with m as (select distinct l_suppkey, l_partkey from lineitem), n as (select *, lead(l_partkey) over (partition by l_suppkey order by l_partkey) as nx from m)
 select l_suppkey, l_partkey + 1 as low, nx - 1 as high from n where nx > l_partkey + 1""")
 def _(s, d):
