@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins as J
+from ..operators import patterns as M
 from ..operators import number_sets as N
 from . import lens
 from .lens import query, table
@@ -247,6 +248,30 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", hits.alias("hits")).where("hits > 0")
 
 
+def _spoken(s, d):
+    """Words of four letters and more of the conversations, and the documents in small letters."""
+    said = table(s, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("p"))
+    return said.distinct(), table(s, d, "documents").select("doc_id", F.lower("text").alias("low"))
+
+
+_SPOKEN_SQL = "p as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as p from conversations)"
+
+
+@query("j15_many_patterns", f"with {_SPOKEN_SQL}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) select p as pattern, count(distinct doc_id) as n_texts, count(*) as n_hits from w join p on p = w group by p")
+def _(s, d):
+    """All words of one table as patterns over the texts of another: one automaton, no pairs of patterns and texts."""
+    patterns, docs = _spoken(s, d)
+    return M.counts(docs, "low", patterns, "p", inside=M.LETTERS)
+
+
+@query("j15_pattern_hits", f"with {_SPOKEN_SQL}, w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) select doc_id, count(*) as n_hits, count(distinct p) as n_patterns, cast(sum(length(p)) as bigint) as covered from w join p on p = w group by doc_id")
+def _(s, d):
+    """The places of the same patterns, by document."""
+    patterns, docs = _spoken(s, d)
+    found = M.hits(docs, "doc_id", "low", patterns, "p", inside=M.LETTERS)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.count_distinct("pattern").alias("n_patterns"), F.sum((F.col("end") - F.col("start")).cast("long")).alias("covered"))
+
+
 @query("j16_zip", """with a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'user'),
 b as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'assistant')
 select conv_id, n, coalesce(a.turn, -1) as asked, coalesce(b.turn, -1) as answered from a full join b using (conv_id, n)""")
