@@ -1,5 +1,7 @@
 import hashlib
 
+import xxhash
+
 from stanzaline.llm import fingerprints as P
 from awkward import awkward_rows, prose
 
@@ -25,9 +27,14 @@ def test_pieces_do_not_matter(monkeypatch):
     assert P.digest(data) == whole
 
 
+def place(r):
+    """The order of rows: doc_id from the top, then the hash of the text as a signed number, then the text."""
+    tie = xxhash.xxh64(r[1].encode(), seed=42).intdigest()
+    return -r[0], tie - (1 << 64) * (tie >> 63), r[1].encode()
+
+
 def expected(rows):
-    order = sorted(((-(1 << 63) if i is None else i), t or "", i) for i, t, *_ in rows)
-    order.sort(key=lambda r: (-r[0], r[1].encode()))
+    order = sorted((((-(1 << 63) if i is None else i), t or "", i) for i, t, *_ in rows), key=place)
     out = []
     for k, (_, text, i) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -100,8 +107,7 @@ def test_query(spark, tmp_path):
     got = queries.op4_fingerprints(spark, str(tmp_path)).collect()
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == expected(rows)
     own = {hashlib.sha256((t or "").encode()).hexdigest(): P.digest((t or "").encode()) for _, t, *_ in rows}
-    order = sorted(((-(1 << 63) if i is None else i), t or "") for i, t, *_ in rows)
-    order.sort(key=lambda r: (-r[0], r[1].encode()))
+    order = sorted((((-(1 << 63) if i is None else i), t or "") for i, t, *_ in rows), key=place)
     following = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
     prints = {(-(1 << 63) if r.doc_id is None else r.doc_id, r.edited_sha256): r for r in got}
     apart = []
@@ -128,3 +134,15 @@ def test_ranges_follow_the_size(spark, monkeypatch):
         monkeypatch.setattr(P, "CUT_ROWS", sample)
         got = P.fingerprint_edits(df).collect()
         assert sorted(((r.doc_id, r.n_chars, hashlib.sha256(r.edited_text.encode()).hexdigest()) for r in got), key=repr) == wanted
+
+
+def test_rows_of_one_id_are_many_tasks(spark, monkeypatch):
+    """Most rows without a doc_id, others with one and the same: no task holds much more than its range, and the order stays."""
+    from pyspark.sql import functions as F
+
+    rows = [(None if k % 3 else 5, f"text {k}") for k in range(4000)] + [(9, "first"), (2, "x"), (5, "same"), (5, "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = P.with_next(df, P.EDITED, P._pair, 8)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < len(rows) / 4
+    assert sorted(((r.doc_id, r.n_chars, hashlib.sha256(r.edited_text.encode()).hexdigest()) for r in found.collect()), key=repr) == expected(rows)
