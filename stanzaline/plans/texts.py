@@ -268,12 +268,24 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.md5(T.unescape_all("html")).alias("h"))
 
 
-@query("x13_mend", "select doc_id, md5(text) as h from documents")
+_MEND_SQL = """with b as (select doc_id, replace(replace(replace(replace(text, ' ', chr(160)), ',', chr(226) || chr(128) || chr(153)), '.', chr(226) || chr(128) || chr(166)), '-', chr(151)) as x from documents)
+select doc_id, md5(translate(%s, '%s' || chr(160), '%s ')) as h from b"""
+
+
+def _mended(x: str) -> str:
+    """DuckDB form of the runs of three characters, one inside the other."""
+    for last, mark in ((152, 8216), (153, 8217), (156, 8220), (157, 8221), (147, 8211), (148, 8212), (166, 8230)):
+        x = f"replace({x}, chr(226) || chr(128) || chr({last}), chr({mark}))"
+    return x
+
+
+@query("x13_mend", _MEND_SQL % (_mended("x"), "".join(T.CONTROL_MARKS), "".join(T.CONTROL_MARKS.values())))
 def _(s, d):
-    """Texts broken as if read in the wrong code page come back as they were."""
-    broken = F.replace(F.col("text"), F.lit(" "), F.lit("\u00a0"))
-    safe = F.when(F.col("text").rlike("[\u0080-\u00a0]"), F.col("text")).otherwise(T.mend_encoding(broken))
-    return table(s, d, "documents").select("doc_id", F.md5(safe).alias("h"))
+    """Every text, broken as if read in the wrong code page: blanks, commas, full stops and hyphens; what was broken before is mended too."""
+    x = F.col("text")
+    for char, broken in ((" ", "\u00a0"), (",", "\u00e2\x80\x99"), (".", "\u00e2\x80\u00a6"), ("-", "\x97")):
+        x = F.replace(x, F.lit(char), F.lit(broken))
+    return table(s, d, "documents").select("doc_id", F.md5(T.mend_encoding(x)).alias("h"))
 
 
 @query("x14_letters_key", "select p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') as k from part")
@@ -334,11 +346,13 @@ def _(s, d):
     return lens.formed(s, d, *forms).select("p_partkey", T.is_furniture("raw").alias("furniture"))
 
 
-@query("x24_footer", "select doc_id, md5(trim(text)) as h from documents")
+@query("x24_footer", r"""with f as (select doc_id, string_split(text || chr(10) || chr(10) || '____' || chr(10) || case when doc_id % 3 = 0 then '2 S A M' else 'S A M' end || chr(10), chr(10)) as l from documents),
+k as (select doc_id, l, list_max(list_filter(range(1, len(l) + 1), lambda i: i = 1 or not regexp_full_match(l[i], '[ \t]*(_+|[A-Z]( [A-Z])+)?[ \t]*'))) as n from f)
+select doc_id, md5(trim(array_to_string(l[1:n], chr(10)))) as h from k""")
 def _(s, d):
-    footed = F.concat(F.col("text"), F.lit("\n\n____\n2 S A M\n"))
-    own = F.regexp_replace("text", r"(?:\n[ \t]*(?:_+|[A-Z](?: [A-Z])+)?[ \t]*)+$", "") == F.col("text")
-    return table(s, d, "documents").select("doc_id", F.md5(F.when(own, T.strip_footer(F.replace(footed, F.lit("2 S"), F.lit("S")))).otherwise(F.trim("text"))).alias("h"))
+    """Every text with a footer behind it, also those that end like one; every third footer has a digit and is none."""
+    footer = F.concat(F.lit("\n\n____\n"), F.when(F.col("doc_id") % 3 == 0, "2 S A M\n").otherwise("S A M\n"))
+    return table(s, d, "documents").select("doc_id", F.md5(T.strip_footer(F.concat("text", footer))).alias("h"))
 
 
 @query("x25_cut_clean", "select doc_id, regexp_replace(substring(text, 1, 40), '[ \\t\\r\\n\u2014\u2013\u00b7.-]+$', '') as cut from documents")
