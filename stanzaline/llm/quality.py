@@ -117,7 +117,7 @@ def _gradients(model: Model, data: bytes, label: int, into: dict[str, np.ndarray
         part, slope = rows[at : at + _AT_ONCE], back[at : at + _AT_ONCE]
         c, f = np.nonzero(slope)
         seen = part[c[:, None], where[at + c, f][:, None] * STRIDE + np.arange(WIDTH)]
-        hit = model.embed[seen].reshape(len(c), -1)
+        hit = model.embed[seen].reshape(len(c), WIDTH * EMBED)  # a slice may have none
         into["filters"] += _add(f, hit * slope[c, f][:, None], FILTERS).T
         into["embed"] += _add(seen.ravel(), (model.filters.T[f] * slope[c, f][:, None]).reshape(-1, EMBED), 256)
     return float(-np.log(max(1e-9, p if label else 1 - p)))

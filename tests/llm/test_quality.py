@@ -36,6 +36,24 @@ def test_chunks_cover():
         assert back.rstrip(b"\0") == data
 
 
+def test_gradients_where_no_filter_answers():
+    """A text that leaves every filter at nothing, and one of which a slice of chunks does."""
+    model = Q.fit([b"a", b"b"], [0, 1], steps=1)
+    zeros = lambda: {n: np.zeros_like(np.asarray(getattr(model, n), np.float32)) for n in ("embed", "filters", "bias", "dense", "offset")}
+    model.bias = np.full(Q.FILTERS, -1e6, np.float32)
+    into = zeros()
+    Q._gradients(model, b"words", 1, into)
+    assert into["offset"] and not any(into[n].any() for n in ("embed", "filters", "bias", "dense"))
+    # one byte answers, in the first slice alone
+    model.embed[:] = 0
+    model.embed[ord("x")] = 1
+    model.filters[:], model.bias[:] = 1, -1
+    model.dense[:Q.FILTERS], model.dense[Q.FILTERS :] = 0, 1
+    into = zeros()
+    Q._gradients(model, b"x" * 100 + b"y" * (Q.CHUNK * (Q._AT_ONCE + 3)), 0, into)
+    assert into["filters"].any() and into["embed"][ord("x")].any() and not into["embed"][ord("y")].any()
+
+
 def test_gradients_by_differences(sample):
     model = Q.fit([b"a", b"b"], [0, 1], steps=1)
     for n in ("embed", "filters", "bias", "dense"):
