@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.scalars import CONFUSED
 
@@ -39,6 +41,11 @@ def _plain(out: pd.DataFrame) -> pd.DataFrame:
     return out if len(out) else out.astype(object)
 
 
+def listed(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
+    """One row for each group with its (k, v) in order, for steps on very many small groups."""
+    return df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).alias("v")))).alias(out))
+
+
 def keep_chain(df: DataFrame, group: list[str], order: list[str], key: str) -> DataFrame:
     """Rows of each group's longest non-decreasing chain of keys."""
     return per_group(df, group, order, lambda part: part.iloc[longest_chain(part[key].tolist())], df.schema.simpleString()[7:-1])
@@ -153,20 +160,24 @@ def trigger_sections(texts: Sequence[str], triggers: Sequence[tuple[str, str]])
 def align_to_verses(phrases: DataFrame, verses: DataFrame, group: list[str], phrase_order: str, verse_order: str, words: str = "words", **options) -> DataFrame:
     """Phrase rows with the verse of their group that they belong to (null: none) and the strength of the match.
 
-    Phrases and verses of a group (a chapter) meet in one task; the group's phrases are aligned in order.
+    Phrases and verses of a group (a chapter) meet in one row; many groups go to Python at once.
     """
     kinds = dict(phrases.dtypes)
     kept = [*group, phrase_order]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values(phrase_order, kind="stable"), right.sort_values(verse_order, kind="stable")
-        found = align_phrases([list(w) for w in left[words]], [list(w) for w in right[words]], **options)
-        numbers = right[verse_order].tolist()
-        own = pd.array([numbers[v - 1] if v else None for v, _ in found], dtype="Int64")
-        return _plain(pd.DataFrame({**{c: left[c].values for c in kept}, "verse": own, "strength": [k for _, k in found]}))
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in kept) + ", verse long, strength string"
-    return phrases.groupBy(*group).cogroup(verses.groupBy(*group)).applyInPandas(run, schema)
+    names = [f"g{i}" for i in range(len(group))]
+    sides = [listed(df, group, order, words, side).withColumnsRenamed({c: f"{side}_{n}" for c, n in zip(group, names)}) for df, order, side in ((phrases, phrase_order, "left"), (verses, verse_order, "right"))]
+    same = reduce(lambda a, b: a & b, (F.col(f"left_{n}").eqNullSafe(F.col(f"right_{n}")) for n in names))
+    met = sides[0].join(sides[1], same, "left").select(*(F.col(f"left_{n}").alias(n) for n in names), "left", "right")
+    found = "array<struct<at: int, strength: string>>"
+
+    @F.pandas_udf(found)
+    def aligned(left: pd.Series, right: pd.Series) -> pd.Series:
+        texts = lambda own: [list(r["v"]) for r in own] if own is not None else []
+        return pd.Series([[{"at": v, "strength": k} for v, k in align_phrases(texts(a), texts(b), **options)] for a, b in zip(left, right)], dtype=object)
+
+    each = met.withColumn("found", aligned("left", "right")).select(*names, "right", F.inline(F.arrays_zip(F.col("left.k").alias("k"), F.col("found"))))
+    verse = F.when(F.col("found.at") > 0, F.get("right.k", F.col("found.at") - 1)).cast("long")
+    return each.select(*(F.col(n).alias(c) for n, c in zip(names, group)), F.col("k").cast(kinds[phrase_order]).alias(phrase_order), verse.alias("verse"), F.col("found.strength").alias("strength"))
 
 
 def classify_blocks(blocks: Sequence[str]) -> list[tuple[str, str]]:

@@ -74,14 +74,14 @@ def _(s, d):
 
 @query("q11_blocks")
 def _(s, d):
-    u = lens.units(s, d).select("chapter", "verse_no", "text")
+    u = Q.listed(lens.units(s, d), ["chapter"], "verse_no", "text", "own")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        blocks = Q.classify_blocks(part["text"].tolist())
-        n = list(range(1, len(blocks) + 1))
-        return pd.DataFrame({"chapter": [part["chapter"].iloc[0]] * len(n), "block": n, "kind": [k for k, _ in blocks], "sidenote": [x for _, x in blocks]})
+    @F.pandas_udf("array<struct<kind: string, sidenote: string>>")
+    def blocks(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "sidenote": x} for k, x in Q.classify_blocks(own)] for own in texts], dtype=object)
 
-    return Q.per_group(u, ["chapter"], ["verse_no"], run, "chapter long, block long, kind string, sidenote string")
+    found = u.select("chapter", F.posexplode(blocks("own.v")).alias("at", "b"))
+    return found.select("chapter", (F.col("at") + 1).cast("long").alias("block"), "b.kind", "b.sidenote")
 
 
 @query("w17_trigger_sections")
