@@ -32,9 +32,23 @@ def segments(df: DataFrame, group: list[str], order: str, is_marker: Column, tex
 
 
 def islands(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Runs of consecutive values as (low, high, n)."""
-    run = df.select(*group, value).distinct().withColumn("run", F.col(value) - F.row_number().over(Window.partitionBy(*group).orderBy(value)))
-    return run.groupBy(*group, "run").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")).drop("run")
+    """Runs of consecutive values as (low, high, n); n counts a repeated value once, a null value is a run by itself.
+
+    One sort, which can spill: the first row of a run takes its end from the next first row, so nothing is hashed.
+    """
+    at = Window.partitionBy(*group).orderBy(value)
+    own = df.select(*group, F.col(value).alias("low"), F.lag(value).over(at).alias("_before"), F.row_number().over(at).alias("_nth"))
+    fresh = (F.col("_nth") == 1) | ~F.col("low").eqNullSafe(F.col("_before"))
+    start = (F.col("_nth") == 1) | (fresh & (F.col("_before").isNull() | (F.col("low") - F.col("_before") > 1)))
+    whole = Window.partitionBy(*group).orderBy("low", "_nth")
+    until = whole.rowsBetween(Window.unboundedPreceding, 0)
+    # the last row of a group is marked, as no first row comes behind the last run
+    marked = own.select("*", start.alias("_start"), F.sum(fresh.cast("long")).over(until).alias("_count"), F.lead("_nth").over(whole).isNull().alias("_last"))
+    ends = marked.where(F.col("_start") | F.col("_last"))
+    following = lambda c: F.lead(c).over(whole)
+    own_end = F.col("_last") & F.col("_start")
+    ends = ends.select(*group, "low", "_start", F.when(own_end, F.col("low")).when(following("_start"), following("_before")).otherwise(following("low")).alias("high"), (F.when(own_end, F.col("_count")).when(following("_start"), following("_count") - 1).otherwise(following("_count")) - F.col("_count") + 1).alias("n"))
+    return ends.where("_start").select(*group, "low", "high", "n")
 
 
 def merge_intervals(df: DataFrame, group: list[str], start: str, end: str, tie: str, gap: int = 1) -> DataFrame:

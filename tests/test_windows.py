@@ -1,11 +1,31 @@
 """Windows and steps on many groups, against plain Python."""
 
+import random
 
 
-from stanzaline.operators import sequences
+from stanzaline.operators import sequences, windows
 from stanzaline.plans import registry
 
 
+def _runs(values):
+    out = []
+    for v in sorted({v for v in values if v is not None}):
+        if out and v == out[-1][1] + 1:
+            out[-1] = (out[-1][0], v, out[-1][2] + 1)
+        else:
+            out.append((v, v, 1))
+    return out + [(None, None, 1)] * (None in values)
+
+
+def test_islands_without_a_hash_of_rows(spark):
+    rng = random.Random(2)
+    groups = {g: [rng.choice([None, *range(rng.randrange(1, 40))]) for _ in range(rng.randrange(1, 60))] for g in [None, *range(30)]}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g long, v long").repartition(5)
+    made = windows.islands(df, ["g"], "v")
+    assert sorted(map(str, made.collect())) == sorted(f"Row(g={g}, low={a}, high={b}, n={n})" for g, own in groups.items() for a, b, n in _runs(own))
+    assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_groups_go_to_python_at_once(spark):
     """No grouped map, whose cost is that of a frame for each group."""
     every = registry.queries()
