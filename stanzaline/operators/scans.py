@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and how many cuts there are at most, about; beyond that blocks grow.
 BLOCK_ROWS, MOST_CUTS = 16_384, 100_000
+#: Cuts in a node of the tree by which rows find their block.
+FAN = 64
 #: Sampled order keys for each cut: the more, the more even are the blocks.
 THIN = 32
 
@@ -80,27 +82,50 @@ class Blocks:
             self.df = df.withColumn(self.block, F.lit(None).cast("int"))
             return
         rows = max(rows, -(-n // MOST_CUTS))
-        cuts = self._cuts(df, rows)
-        at, own = free_names([*df.columns, self.block], "_at", "_cuts")
-        cuts = cuts.select(*(F.col(c).alias(f"{own}{i}") for i, c in enumerate(self.group)), F.col("cuts").alias(own))
-        same = _all(F.col(c).eqNullSafe(F.col(f"{own}{i}")) for i, c in enumerate(self.group))
-        # how many cuts are not above the row: halving steps, so that a row costs the logarithm of their number; they
-        # reach twice as far as cuts are expected, and rows beyond would be in the last block
-        halves = F.array(*(F.lit(1 << k) for k in range((2 * n // rows).bit_length(), -1, -1)))
-        reach = lambda done, step: F.when(F.get(own, done + step - 1) <= F.col(at), done + step).otherwise(done)
-        place = F.when(F.col(own).isNotNull(), F.aggregate(halves, F.lit(0), reach))
-        met = df.withColumn(at, self._key()).join(F.broadcast(cuts), same, "left")
-        self.df = met.withColumn(self.block, place).select(*df.columns, self.block)
+        self.df = self._placed(df, self._cuts(df, rows), 2 * n // rows)
+
+    def _placed(self, df: DataFrame, cuts: DataFrame, expected: int) -> DataFrame:
+        """Rows with how many cuts are not above them, by a tree of cuts: a row meets one node of each level.
+
+        A join copies what it finds to every row, so a node has FAN cuts at most, however many there are; but the
+        top one, which has as many more as there are more cuts than expected.
+        """
+        names = free_names([*df.columns, self.block], "_at", "_node", "_cuts", "_key")
+        at, node, own, below = names
+        groups = free_names([*df.columns, self.block, *names], *(f"_g{i}" for i in range(len(self.group) + 1)))
+        steps = 1
+        while FAN**steps < expected:
+            steps += 1
+        met = df.withColumn(at, self._key()).withColumn(node, F.lit(0))
+        for step in range(steps - 1, -1, -1):
+            span, top = FAN**step, step == steps - 1
+            level = cuts.where(F.col("n") % span == 0).withColumn("node", F.lit(0) if top else F.floor(F.col("n") / (span * FAN)).cast("int"))
+            level = level.groupBy(*self.group, "node").agg(F.array_sort(F.collect_list("key")).alias(own)).withColumnsRenamed(dict(zip([*self.group, "node"], groups)))
+            same = _all(F.col(c).eqNullSafe(F.col(g)) for c, g in zip([*self.group, node], groups))
+            met = met.join(F.broadcast(level), same, "left")
+            # halving steps, so that a row costs the logarithm of their number; at the top they reach twice as far as is expected
+            most_ = 2 * expected // span + FAN if top else FAN
+            halves = F.array(*(F.lit(1 << k) for k in range(most_.bit_length(), -1, -1)))
+            reach = lambda done, half: F.when(F.get(own, done + half - 1) <= F.col(at), done + half).otherwise(done)
+            place = F.aggregate(halves, F.lit(0), reach)
+            # behind the first cut of the node found; rows below all cuts stay below, groups without cuts have no place
+            if top:
+                place = F.when(F.col(own).isNotNull(), place - 1)
+            else:
+                place = F.when(F.col(node) < 0, F.col(node)).when(F.col(own).isNotNull(), F.col(node) * FAN + place - 1)
+            met = met.withColumn(below, place.cast("int")).drop(node, own, *groups).withColumnRenamed(below, node)
+        return met.withColumn(self.block, F.col(node) + 1).select(*df.columns, self.block)
 
     def _key(self) -> Column:
         return F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(self.order)))
 
     def _cuts(self, df: DataFrame, rows: int) -> DataFrame:
-        """(group, cuts): every THIN-th sampled key of each group that has so many."""
+        """(group, key, n): every THIN-th sampled key of each group that has so many, numbered from 0."""
         rate = max(1, rows // THIN)
         keys = df.select(*self.group, self._key().alias("key")).where(F.pmod(F.xxhash64(*self.group, "key"), F.lit(rate)) == 0).distinct()
         numbered = keys.withColumn("n", F.row_number().over(Window.partitionBy(*self.group).orderBy("key")))
-        return numbered.where(F.col("n") % min(THIN, rows) == 0).groupBy(*self.group).agg(F.array_sort(F.collect_list("key")).alias("cuts"))
+        thin = min(THIN, rows)
+        return numbered.where(F.col("n") % thin == 0).select(*self.group, "key", (F.col("n") / thin - 1).cast("int").alias("n"))
 
     def run(self, **folds: Fold) -> Blocks:
         """The same blocks with a column for each fold."""

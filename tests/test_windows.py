@@ -3,7 +3,7 @@
 import random
 
 
-from stanzaline.operators import sequences, windows
+from stanzaline.operators import scans, sequences, windows
 from stanzaline.plans import registry
 
 
@@ -26,6 +26,28 @@ def test_islands_without_a_hash_of_rows(spark):
     assert "HashAggregate" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_by_a_tree_of_cuts(spark, monkeypatch):
+    """Three levels; no row is joined with more cuts than a node has, and places are those of a plain search."""
+    monkeypatch.setattr(scans, "FAN", 4)
+    rows = [(k % 2 if k % 7 else None, (k * 7919) % 2003) for k in range(2003)] + [(9, 1), (9, None)]
+    df = spark.createDataFrame(rows, "g int, k int")
+    for group in (["g"], []):
+        blocks = scans.Blocks(df, group, ["k"], rows=40)
+        cuts = {}
+        for r in blocks._cuts(blocks.df, 40).collect():
+            cuts.setdefault(r["g"] if group else 0, []).append(r["key"]["k0"])
+        got = blocks.df.collect()
+        assert len(got) == len(rows) and max(len(c) for c in cuts.values()) > 16
+        for r in got:
+            own = cuts.get(r["g"] if group else 0)
+            assert r[blocks.block] == (None if own is None else sum(r["k"] is not None and c <= r["k"] for c in own)), r
+        numbered = scans.number(df, group, ["k"], rows=40).collect()
+        seen = {}
+        for r in sorted(numbered, key=lambda r: (r["k"] is not None, r["k"] or 0)):
+            seen.setdefault(r["g"] if group else 0, []).append(r["n"])
+        assert all(own == list(range(1, len(own) + 1)) for own in seen.values())
+
+
 def test_many_groups_go_to_python_at_once(spark):
     """No grouped map, whose cost is that of a frame for each group."""
     every = registry.queries()
