@@ -1,8 +1,11 @@
 """Windows and steps on many groups, against plain Python."""
 
+import html
 import random
 
+from pyspark.sql import functions as F
 
+from stanzaline.functions import text as T
 from stanzaline.operators import scans, sequences, windows
 from stanzaline.plans import registry
 
@@ -48,6 +51,15 @@ def test_blocks_by_a_tree_of_cuts(spark, monkeypatch):
         assert all(own == list(range(1, len(own) + 1)) for own in seen.values())
 
 
+def test_references_alone_go_to_python(spark):
+    texts = [None, "", "&", "&amp", "&amp;amp; &notit; x", "a&#65;b&#x42c;&#0;&#xD800;&#1234567890;", "&copy&copy;&&lt;", "&" + "x" * 40 + ";", "é&eacute;\n&nbsp;&\t;", "no end &#", "😀&NotEqualTilde;😀"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    made = df.select("i", T.unescape_all("t").alias("u"))
+    assert {r["i"]: r["u"] for r in made.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" in plan
+
+
 def test_many_groups_go_to_python_at_once(spark):
     """No grouped map, whose cost is that of a frame for each group."""
     every = registry.queries()
