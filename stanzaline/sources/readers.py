@@ -110,9 +110,10 @@ def segment_walk(texts: DataFrame) -> DataFrame:
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = re.compile(r"<(/?)([A-Za-z]+)([^>]*?)(/?)>|([^<]+)")
-        for batch in batches:
+        # parts of a batch, so that only a part's rows and tokens are there at a time
+        for part in (batch["body"].iloc[at : at + 128] for batch in batches for at in range(0, len(batch), 128)):
             rows = []
-            for body in batch["body"]:
+            for body in part:
                 book, chapter, verse, stack, parts = "", 0, 0, [], []
 
                 def close():
@@ -121,7 +122,7 @@ def segment_walk(texts: DataFrame) -> DataFrame:
                         rows.append((book, chapter, verse, text))
                     parts.clear()
 
-                for end, name, attrs, empty, data in token.findall(body or ""):
+                for end, name, attrs, empty, data in (m.groups("") for m in token.finditer(body or "")):
                     if data:
                         if not {"f", "x", "s"} & set(stack):
                             parts.append(data)

@@ -3,11 +3,12 @@
 import html
 import random
 
-from pyspark.sql import functions as F
+import pandas as pd
 
 from stanzaline.functions import text as T
 from stanzaline.operators import scans, sequences, windows
 from stanzaline.plans import registry
+from stanzaline.sources import readers
 
 
 def _runs(values):
@@ -74,3 +75,16 @@ def test_phrases_of_groups_without_verses(spark):
     got = sequences.align_to_verses(phrases, verses, ["g"], "s", "v")
     assert got.dtypes == [("g", "int"), ("s", "int"), ("verse", "bigint"), ("strength", "string")]
     assert {(r.g, r.s, r.verse, r.strength) for r in got.collect()} == {(1, 1, 1, "strong"), (1, 2, 2, "strong"), (2, 1, None, "dropped"), (None, 3, 5, "strong")}
+
+
+def test_segments_of_parts_of_a_batch():
+    """What a batch of many texts gives comes in parts, so that not all its rows are there at once."""
+
+    class Texts:
+        select = lambda self, *_: self
+        mapInPandas = lambda self, walk, _: walk
+
+    body = '<book id="RUT"><c id="1"/><v id="1"/>In the <f>note</f>days<v id="2"/>of old'
+    frames = list(readers.segment_walk(Texts())(iter([pd.DataFrame({"body": [body, None, ""] * 200})])))
+    assert len(frames) > 3 and max(map(len, frames)) <= 256
+    assert pd.concat(frames).values.tolist() == [["RUT", 1, 1, "In the days"], ["RUT", 1, 2, "of old"]] * 200
