@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
+from ..operators.search_index import counted
 from ..sources import modules as M
 from ..sources import readers as R
 from ..sources.places import fresh_folder
@@ -185,9 +186,7 @@ def _(s, d):
 @query("s33_index", "select doc_id, count(*) as tokens, count(*) filter (where term in ('the', 'thes')) as thes, count(*) filter (where term in ('in', 'ined', 'ines', 'ining')) as ins from tokens group by doc_id", "tokens")
 def _(s, d):
     """The stored index, summed up by document, with two of its stems."""
-    post = lens.index(s, d).all_postings().select("term", F.inline(F.transform("entries", lambda e: F.struct(e["key"].alias("doc_id"), e["tf"].alias("tf")))))
-    of = lambda stem: F.coalesce(F.sum(F.when(F.col("term") == stem, F.col("tf"))), F.lit(0))
-    return post.groupBy("doc_id").agg(F.sum("tf").alias("tokens"), of("the").alias("thes"), of("in").alias("ins"))
+    return counted(lens.index(s, d), ["the", "in"]).select(F.col("key").alias("doc_id"), "tokens", F.col("of")[0].alias("thes"), F.col("of")[1].alias("ins"))
 
 
 _text = F.format_string

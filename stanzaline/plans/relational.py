@@ -151,7 +151,7 @@ def _(s, d):
     """Hits of the stored index joined with their rows."""
     from ..operators.search_index import match
 
-    found = match(lens.index(s, d), "licenses").select(F.col("key").alias("doc_id"))
+    found = match(lens.index(s, d), "licenses", places_=False).select(F.col("key").alias("doc_id"))
     return table(s, d, "documents").select("doc_id", "lang", "n_chars").join(found, "doc_id")
 
 

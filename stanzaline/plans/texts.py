@@ -41,7 +41,7 @@ def _(s, d):
 
 @query("f04_match_all", "select doc_id from tokens where lang = 'en' group by doc_id having count(*) filter (where term in ('license', 'licensed')) > 0 and count(*) filter (where term = 'under') > 0", "tokens")
 def _(s, d):
-    found = X.match(lens.index(s, d), "licenses, under!")
+    found = X.match(lens.index(s, d), "licenses, under!", places_=False)
     return table(s, d, "documents").where("lang = 'en'").select("doc_id").join(found, F.col("doc_id") == F.col("key"), "left_semi")
 
 
@@ -55,7 +55,7 @@ _THE, _IN, _ON = "'the', 'thes'", "'in', 'ined', 'ines', 'ining'", "'on', 'one',
 
 @query("f05_bm25", "with " + BM25_SQL.format(a=_IN, b=_THE) + " select doc_id, round(score, 6) as score from sc", "tokens")
 def _(s, d):
-    return X.match(lens.index(s, d), "In the").select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return X.match(lens.index(s, d), "In the", places_=False).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("f06_snippet")
