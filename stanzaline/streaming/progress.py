@@ -1,8 +1,9 @@
 """Check-ins as keyed state: what a plan has of days is kept with the plan, not read from a log.
 
 A check-in is known by its plan and day; a later one of a day replaces an earlier one, so batches that come
-again, twice or in another order leave the state as one pass over all of them would. Each batch gives a row for
-every plan that it changed. A plan is closed by a timer when the watermark passes its end: its last row says so
+again, twice or in another order leave the state as one pass over all of them would. Of a batch each task sends the
+last check-in of every plan and day alone, so that the state is touched for days and not for check-ins, however many
+a plan has. Each batch gives a row for every plan that it changed. A plan is closed by a timer when the watermark passes its end: its last row says so
 and its state goes, so the state holds running plans alone.
 
 Defined cases: rows with a null in plan, day or time are no check-ins, nor are days outside the plan; check-ins
@@ -25,6 +26,26 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 SCHEMA = "plan_id long, done long, percent double, last_day long, closed boolean"
 
 
+#: Rows that ``_latest`` holds at most.
+_HELD = 1 << 16
+
+
+def _last(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["at_us", "n"]).drop_duplicates(["plan_id", "day"], keep="last")
+
+
+def _latest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last check-in of every plan and day that a task sees; of one it may send several where they are very many."""
+    held = None
+    for batch in batches:
+        held = _last(batch if held is None else pd.concat([held, batch]))
+        if len(held) > _HELD:
+            yield held
+            held = None
+    if held is not None:
+        yield held
+
+
 class Progress(StatefulProcessor):
     """Days of a plan with their last check-in; ``ends_ms`` is when plans end, on the clock of the check-ins."""
 
@@ -38,6 +59,7 @@ class Progress(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         changed = False
         for batch in rows:
+            batch = batch.sort_values(["at_us", "n"]).drop_duplicates("day", keep="last")
             for day, at, n in zip(batch["day"], batch["at_us"], batch["n"]):
                 known = self.seen.getValue((int(day),)) if self.seen.containsKey((int(day),)) else None
                 if known is None or (int(at), int(n)) > tuple(known):
@@ -67,8 +89,10 @@ def track(checkins: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
     """
     spark = checkins.sparkSession
     own = checkins.withColumn("at", F.col("at").cast("timestamp")).where(F.col("plan_id").isNotNull() & F.col("at").isNotNull() & F.col("day").between(1, days))
-    own = own.select(F.col("plan_id").cast("long").alias("plan_id"), F.col("day").cast("long").alias("day"), "at", F.unix_micros("at").alias("at_us"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"))
-    own = own.withWatermark("at", late)
+    own = own.select(F.col("plan_id").cast("long").alias("plan_id"), F.col("day").cast("long").alias("day"), F.unix_micros("at").alias("at_us"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"))
+    # where the last check-in of a day is late, all of them are
+    own = own.mapInPandas(_latest, "plan_id long, day long, at_us long, n long")
+    own = own.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
     mode = "None" if ends_ms is None else "EventTime"
     changed = own.groupBy("plan_id").transformWithStateInPandas(Progress(days, ends_ms), SCHEMA, "Update", mode)
     before = spark.conf.get(_STORE)

@@ -59,3 +59,30 @@ def test_plans_are_closed(spark, tmp_path):
     got = run(spark, tmp_path, late="1 day", ends_ms=ends)
     assert {k: (r.done, r.percent, r.last_day) for k, r in got.items() if k != 77} == batch_result(rows, 30)
     assert all(r.closed for k, r in got.items() if k != 77)
+
+
+def test_state_is_touched_by_days():
+    """Of many check-ins of a few days the last ones alone are sent, and looked up in the state once."""
+    import pandas as pd
+
+    rng = random.Random(4)
+    rows = pd.DataFrame({"plan_id": [rng.randrange(3) for _ in range(9000)], "day": [rng.randrange(1, 30) for _ in range(9000)], "at_us": [rng.randrange(500) for _ in range(9000)], "n": range(9000)})
+    sent = pd.concat(P._latest(iter([rows[:4000], rows[4000:]])))
+    wanted = {}
+    for plan, day, at, n in rows.itertuples(index=False):
+        wanted[plan, day] = max(wanted.get((plan, day), (-1, -1)), (at, n))
+    assert {(r.plan_id, r.day): (r.at_us, r.n) for r in sent.itertuples()} == wanted and len(sent) == len(wanted)
+
+    class Seen(dict):
+        touched = 0
+
+        def containsKey(self, key):
+            Seen.touched += 1
+            return key in self
+
+        getValue, updateValue = dict.__getitem__, dict.__setitem__
+
+    own = P.Progress(30)
+    own.seen = Seen()
+    (row,) = own.handleInputRows((1,), iter([rows[rows.plan_id == 1]]), None)
+    assert row.done[0] == 29 == Seen.touched and own.seen == {(d,): at for (p, d), at in wanted.items() if p == 1}
