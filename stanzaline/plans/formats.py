@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import headers as H
+from ..operators.scans import number
 from ..operators.search_index import counted
 from ..sources import modules as M
 from ..sources import readers as R
@@ -87,11 +88,16 @@ def _(s, d):
     return found.select("book_id", "chapter", "verse", F.md5("text").alias("h"))
 
 
+#: Parts in a piece of a module: whole blocks of four and of three.
+_PIECE = 3072
+
+
 def _modules(s, d):
-    """Each brand's parts as a compressed module: blocks of four names, a dictionary in blocks of three entries, and its key index."""
+    """Each brand's parts as a compressed module: blocks of four names, a dictionary in blocks of three entries, and its key index; in pieces."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("p_partkey")
+        piece = int(part["piece"].iloc[0])
         names, keys = [n.encode() for n in part["p_name"]], part["p_partkey"].tolist()
         texts = [zlib.compress(b"|".join(names[k : k + 4])) for k in range(0, len(names), 4)]
         at = np.cumsum([0, *map(len, texts)])
@@ -103,19 +109,20 @@ def _modules(s, d):
             start = 4 + 8 * len(own)
             packed.append(zlib.compress(struct.pack("<I", len(own)) + b"".join(struct.pack("<II", start + sum(map(len, own[:i])), len(e)) for i, e in enumerate(own)) + b"".join(own)))
         places = np.cumsum([0, *map(len, packed)])
-        records = [b"PART %d &amp; ALL\r\n" % k + struct.pack("<II", i // 3, i % 3) for i, k in enumerate(keys)]
+        records = [b"PART %d &amp; ALL\r\n" % k + struct.pack("<II", i // 3, i % 3) for i, k in enumerate(keys, piece * _PIECE)]
         found = np.cumsum([0, *map(len, records)])
-        row = (part["p_brand"].iloc[0], blocks, b"".join(texts), b"".join(struct.pack("<II", o, len(r)) for o, r in zip(found, records)), b"".join(records), b"".join(struct.pack("<II", o, len(p)) for o, p in zip(places, packed)), b"".join(packed))
-        return pd.DataFrame([row], columns=["module", "blocks", "texts", "keys", "terms", "index", "data"])
+        row = (part["p_brand"].iloc[0], piece, blocks, b"".join(texts), b"".join(struct.pack("<II", o, len(r)) for o, r in zip(found, records)), b"".join(records), b"".join(struct.pack("<II", o, len(p)) for o, p in zip(places, packed)), b"".join(packed))
+        return pd.DataFrame([row], columns=["module", "piece", "blocks", "texts", "keys", "terms", "index", "data"])
 
     parts = table(s, d, "part").select("p_brand", "p_partkey", "p_name")
-    return parts.groupBy("p_brand").applyInPandas(pack, "module string, blocks binary, texts binary, keys binary, terms binary, index binary, data binary")
+    numbered = number(parts, ["p_brand"], ["p_partkey"], "nth").withColumn("piece", F.floor((F.col("nth") - 1) / _PIECE).cast("int"))
+    return numbered.groupBy("p_brand", "piece").applyInPandas(pack, "module string, piece int, blocks binary, texts binary, keys binary, terms binary, index binary, data binary")
 
 
 @query("s14_blocks", "select module, cast(block as int) as block, md5(string_agg(p_name, '|' order by p_partkey)) as h from (select p_brand as module, (row_number() over (partition by p_brand order by p_partkey) - 1) // 4 as block, p_name, p_partkey from part) group by all")
 def _(s, d):
     path = fresh_folder(s, "blocks")
-    M.write(_modules(s, d).select("module", F.col("blocks").alias("index"), F.col("texts").alias("data")), path, "blocks")
+    M.write(_modules(s, d).select("module", "piece", F.col("blocks").alias("index"), F.col("texts").alias("data")), path, "blocks")
     return M.read(s, path, "blocks", 64).select("module", "block", F.md5("body").alias("h"))
 
 
@@ -130,7 +137,7 @@ def _(s, d):
 def _(s, d):
     path, files = fresh_folder(s, "dictionary"), _modules(s, d)
     M.write(files, path, "entries")
-    M.write(files.select("module", F.col("keys").alias("index"), F.col("terms").alias("data")), path, "keys")
+    M.write(files.select("module", "piece", F.col("keys").alias("index"), F.col("terms").alias("data")), path, "keys")
     good, _ = M.keyed_entries(M.read(s, path, "keys", 256), M.read(s, path, "entries", 64))
     return good.select("module", "term", F.regexp_replace("text", "<[^>]*>", "").alias("text"))
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -165,23 +166,49 @@ def read(spark: SparkSession, path: str, kind: str, run: int = RUN) -> DataFrame
 
 
 def write(files: DataFrame, path: str, kind: str) -> int:
-    """Write (module, index, data) rows as files of a kind; how many. A module's files get their names when they are whole."""
-    ends = KINDS[kind].index, KINDS[kind].data
+    """Write (module, index, data) rows as files of a kind; how many modules. A module's files get their names when they are whole.
+
+    With a column ``piece`` a module comes in pieces, each with an index of its own data, which are written one after
+    the other by their numbers; no task holds a module.
+    """
+    ends, width = (KINDS[kind].index, KINDS[kind].data), KINDS[kind].record // 4
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _open(path)
         store.create_dir(folder, recursive=True)
+        open_, drafts, outs, base = None, (), (), 0
+
+        def done() -> pa.RecordBatch:
+            for draft, out, end in zip(drafts, outs, ends):
+                out.close()
+                store.move(draft, f"{folder}/{quote(open_, safe='')}{end}")
+            return pa.RecordBatch.from_arrays([pa.array([open_], pa.string())], names=["module"])
+
         for batch in batches:
-            for module, *bodies in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for body, end in zip(bodies, ends):
-                    draft = f"{folder}/.{uuid.uuid4().hex}"
-                    with store.open_output_stream(draft) as out:
-                        out.write(body)
-                    store.move(draft, f"{folder}/{quote(module, safe='')}{end}")
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["module"])
+            for at, module in enumerate(batch.column(0).to_pylist()):
+                if outs and (module != open_ or not pieces):
+                    yield done()
+                    outs = ()
+                if not outs:
+                    open_, base = module, 0
+                    drafts = [f"{folder}/.{uuid.uuid4().hex}" for _ in ends]
+                    outs = [store.open_output_stream(d) for d in drafts]
+                index, data = (batch.column(k)[at].as_buffer() for k in (1, 2))
+                if base:
+                    if base + data.size >> 32:
+                        raise OverflowError(f"{module} is larger than an index of this kind can say")
+                    index = np.frombuffer(index, "<u4").reshape(-1, width) + np.array([base] + [0] * (width - 1), "<u4")
+                    index = pa.py_buffer(np.ascontiguousarray(index))
+                for out, body in zip(outs, (index, data)):
+                    out.write(body)
+                base += data.size
+        if outs:
+            yield done()
 
     # a write is an action, so each module is written by one task that Spark may run again
-    return files.select("module", "index", "data").mapInArrow(put, "module string").count()
+    pieces = "piece" in files.columns
+    rows = files.repartition("module").sortWithinPartitions("module", "piece") if pieces else files
+    return rows.select("module", "index", "data").mapInArrow(put, "module string").count()
 
 
 def keyed_entries(keys: DataFrame, entries: DataFrame, heading: str = r'^<entryFree n="((?:[^"\\]|\\.)*)"') -> tuple[DataFrame, DataFrame]:

@@ -109,6 +109,32 @@ def test_module_in_many_partitions(spark, tmp_path):
     assert rows(df.where("block = 8").select("body")) == [(texts[8],)] * 2
 
 
+def test_module_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces are written one after the other, in whatever order they come; the queries pack modules by pieces of any size."""
+    from stanzaline.plans import formats, registry
+
+    texts = [f"text {k}" for k in range(60)]
+    blocks = [zlib.compress(t.encode()) for t in texts]
+    pieces = []
+    for module in ("one", "two"):
+        for piece in range(6):
+            own, at = blocks[piece * 10 : piece * 10 + 10], [0]
+            for b in own:
+                at.append(at[-1] + len(b))
+            pieces.append((module, piece, b"".join(struct.pack("<III", o, len(b), 0) for o, b in zip(at, own)), b"".join(own)))
+    files = spark.createDataFrame(pieces[::-1], "module string, piece int, index binary, data binary").repartition(5)
+    path = f"file://{tmp_path}/pieces"
+    assert M.write(files, path, "blocks") == 2
+    assert set(rows(M.read(spark, path, "blocks", 64))) == {(m, k, t) for m in ("one", "two") for k, t in enumerate(texts)}
+    for name in ("s14_blocks", "s16_dictionary"):
+        whole = rows(registry.queries()[name](spark, "/root/testdata/sf0.01"))
+        with monkeypatch.context() as m:
+            m.setattr(formats, "_PIECE", 12)
+            modules = formats._modules(spark, "/root/testdata/sf0.01")
+            assert modules.count() > 100 and modules.where("length(blocks) > 36").count() == 0
+            assert sorted(rows(registry.queries()[name](spark, "/root/testdata/sf0.01"))) == sorted(whole)
+
+
 def block(*texts):
     head, body = struct.pack("<I", len(texts)), b""
     for t in texts:
