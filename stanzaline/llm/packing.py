@@ -130,6 +130,12 @@ class WordEncoder:
         return b"".join([known.get(p) or part(p) for p in data.split()])
 
 
+    def forget(self) -> None:
+        """Drop the words that were seen: those of another task are others for the most part."""
+        self.parts.clear()
+        self.words.clear()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -147,7 +153,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     path, tail = tokenizer or tokenizer_path(), np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        own = encoder(path)
+        encode = own.encode
         names = ["doc_id", "row", "piece", "start", "length", "ids"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -167,6 +174,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
                     rows, held = [], 0
             if rows:
                 yield batch_of(rows)
+        own.forget()
+        common.give_back()
 
     slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
     return slim.mapInArrow(run, PIECE)
